@@ -1,14 +1,12 @@
-"""Naming rules as Column expressions.
+"""Naming rules as Spark SQL expressions.
 
-Every function takes and returns a ``Column``, so a rule runs inside codegen on a catalog
-table or on a data column alike. Non-ASCII letters count as "not a word character".
+Each rule takes SQL text (a column name is the simplest) and gives SQL text, so rules nest and
+run inside codegen on a catalog table or on a data column alike: ``F.expr(node_label("name"))``.
+Non-ASCII letters count as "not a word character".
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Keyword -> verb; the first keyword found decides, so the order matters.
 RELATIONSHIP_VERBS = {
     "manager": "MANAGES",
@@ -30,83 +28,74 @@ RELATIONSHIP_VERBS = {
 CARDINALITY_VERBS = {"1:N": "HAS", "N:1": "BELONGS_TO", "N:M": "ASSOCIATED_WITH"}
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def text_map(table: dict[str, str]) -> str:
+    """A fixed table as a SQL map."""
+    return f"map({', '.join(f"'{x}'" for kv in table.items() for x in kv)})"
 
 
-def _or_default(c: Column, default: str) -> Column:
-    return F.when(c == "", F.lit(default)).otherwise(c)
+def _pascal(x: str) -> str:
+    return f"replace(initcap(translate({x}, '_', ' ')), ' ', '')"
 
 
-def node_label(name: Column | str) -> Column:
+def node_label(name: str) -> str:
     """``order_items`` -> ``OrderItems``; a leading non-letter is prefixed with ``N``."""
-    word = F.regexp_replace(_col(name), "[^a-zA-Z0-9_]", "")
-    word = F.when(word.rlike("^[^a-zA-Z]"), F.concat(F.lit("N"), word)).otherwise(word)
-    pascal = F.replace(F.initcap(F.translate(word, "_", " ")), F.lit(" "), F.lit(""))
-    return _or_default(pascal, "Node")
+    word = f"regexp_replace({name}, '[^a-zA-Z0-9_]', '')"
+    word = f"regexp_replace({word}, '^([^a-zA-Z])', 'N$1')"
+    return f"coalesce(nullif({_pascal(word)}, ''), 'Node')"
 
 
-def property_name(name: Column | str) -> Column:
+def property_name(name: str) -> str:
     """``first_name`` -> ``firstName``."""
-    word = F.btrim(F.regexp_replace(_col(name), "[^a-zA-Z0-9_]", "_"), F.lit("_"))
-    head = F.lower(F.substring_index(word, "_", 1))
-    tail = F.regexp_replace(word, "^[^_]*", "")
-    tail = F.replace(F.initcap(F.translate(tail, "_", " ")), F.lit(" "), F.lit(""))
-    return _or_default(F.concat(head, tail), "property")
+    word = f"trim(BOTH '_' FROM regexp_replace({name}, '[^a-zA-Z0-9_]', '_'))"
+    head = f"lower(substring_index({word}, '_', 1))"
+    tail = _pascal(f"regexp_replace({word}, '^[^_]*', '')")
+    return f"coalesce(nullif(concat({head}, {tail}), ''), 'property')"
 
 
-def relationship_type(from_table: Column | str, to_table: Column | str) -> Column:
+def relationship_type(from_table: str, to_table: str) -> str:
     """Direct-mode name: both tables without their trailing ``s``, in SCREAMING_SNAKE_CASE."""
-    pair = F.concat_ws(
-        "_",
-        F.regexp_replace(_col(from_table), "s+$", ""),
-        F.regexp_replace(_col(to_table), "s+$", ""),
-    )
-    snake = F.upper(F.regexp_replace(pair, "([A-Z])", "_$1"))
-    snake = F.regexp_replace(F.regexp_replace(snake, "[^A-Z0-9_]", "_"), "_+", "_")
-    return F.btrim(snake, F.lit("_"))
+    pair = f"concat_ws('_', regexp_replace({from_table}, 's+$', ''), regexp_replace({to_table}, 's+$', ''))"
+    snake = f"upper(regexp_replace({pair}, '([A-Z])', '_$1'))"
+    snake = f"regexp_replace(regexp_replace({snake}, '[^A-Z0-9_]', '_'), '_+', '_')"
+    return f"trim(BOTH '_' FROM {snake})"
 
 
-def junction_type(table: Column | str) -> Column:
+def junction_type(table: str) -> str:
     """A junction table names its relationship: ``post_tags`` -> ``POST_TAGS``."""
-    return F.upper(F.regexp_replace(_col(table), "[ _]", "_"))
+    return f"upper(translate({table}, ' ', '_'))"
 
 
-def is_valid_identifier(name: Column | str) -> Column:
+def is_valid_identifier(name: str) -> str:
     """Letter or underscore first, then letters, digits, underscores; empty is invalid."""
-    return F.coalesce(_col(name).rlike(r"^[\p{L}_][\p{L}\p{N}_]*\z"), F.lit(False))
+    return rf"coalesce({name} rlike r'^[\p{{L}}_][\p{{L}}\p{{N}}_]*\z', false)"
 
 
-def verb_for(fk_column: Column | str, ref_table: Column | str, *, as_coded: bool = False) -> Column:
+def verb_for(fk_column: str, ref_table: str, *, as_coded: bool = False) -> str:
     """Verb of the first keyword found in the fk column or the referenced table, else null."""
-    fk = F.lower(_col(fk_column))
     if as_coded:
-        fk = F.replace(F.replace(fk, F.lit("_id"), F.lit("")), F.lit("id"), F.lit(""))
+        fk = f"replace(replace(lower({fk_column}), '_id', ''), 'id', '')"
     else:
-        fk = F.regexp_replace(fk, "_?id$", "")
-    ref = F.lower(_col(ref_table))
-    return F.coalesce(
-        *[F.when(fk.contains(k) | ref.contains(k), F.lit(v)) for k, v in RELATIONSHIP_VERBS.items()]
-    )
+        fk = f"regexp_replace(lower({fk_column}), '_?id$', '')"
+    hits = [
+        f"WHEN contains({fk}, '{k}') OR contains(lower({ref_table}), '{k}') THEN '{v}'"
+        for k, v in RELATIONSHIP_VERBS.items()
+    ]
+    return f"CASE {' '.join(hits)} END"
 
 
 def relationship_name(
-    fk_column: Column | str,
-    ref_table: Column | str,
-    is_inheritance: Column,
-    is_aggregation: Column,
-    *,
-    as_coded: bool = False,
-) -> Column:
+    fk_column: str, ref_table: str, is_inheritance: str, is_aggregation: str, *, as_coded: bool = False
+) -> str:
     """Enriched name: ``IS_A_X`` for inheritance, else a verb, else ``PART_OF_X`` / ``HAS_X``."""
-    ref = _col(ref_table)
-    plain = F.upper(F.replace(F.replace(ref, F.lit("tbl"), F.lit("")), F.lit("_"), F.lit("")))
-    prefix = F.when(is_aggregation, F.lit("PART_OF_")).otherwise(F.lit("HAS_"))
-    return F.when(is_inheritance, F.concat(F.lit("IS_A_"), F.upper(ref))).otherwise(
-        F.coalesce(verb_for(fk_column, ref, as_coded=as_coded), F.concat(prefix, plain))
+    plain = f"upper(replace(replace({ref_table}, 'tbl', ''), '_', ''))"
+    prefix = f"CASE WHEN {is_aggregation} THEN 'PART_OF_' ELSE 'HAS_' END"
+    verb = verb_for(fk_column, ref_table, as_coded=as_coded)
+    return (
+        f"CASE WHEN {is_inheritance} THEN concat('IS_A_', upper({ref_table})) "
+        f"ELSE coalesce({verb}, concat({prefix}, {plain})) END"
     )
 
 
-def name_stem(column: Column | str) -> Column:
+def name_stem(column: str) -> str:
     """Column name without a one-letter table prefix: ``o_custkey`` -> ``custkey``."""
-    return F.regexp_replace(F.lower(_col(column)), "^[a-z]_", "")
+    return f"regexp_replace(lower({column}), '^[a-z]_', '')"

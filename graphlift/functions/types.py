@@ -1,11 +1,8 @@
-"""SQL type name -> column type -> graph property type, as Column expressions."""
+"""SQL type name -> column type -> graph property type, as Spark SQL expressions."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .naming import text_map
 
 # SQL type name -> column type. In `as_coded` mode the first name that is a
 # substring decides, so the order matters there.
@@ -71,50 +68,39 @@ GRAPH_TYPES = {
 }
 
 
-def _lookup(key: Column, table: dict[str, str]) -> Column:
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
-
-
-def column_type(sql_type: Column | str, *, as_coded: bool = False) -> Column:
+def column_type(sql_type: str, *, as_coded: bool = False) -> str:
     """Column type of a SQL type name.
 
     The default rule reads the whole name without its length, falling back to its first word
     (``timestamp without time zone``). ``as_coded`` takes the first known name that occurs
     anywhere in the text, so ``bigint`` gives INTEGER and ``datetime`` gives DATE.
     """
-    name = F.lower(F.col(sql_type) if isinstance(sql_type, str) else sql_type)
+    name = f"lower({sql_type})"
     if as_coded:
-        hits = [F.when(name.contains(k), F.lit(v)) for k, v in COLUMN_TYPES.items()]
-        return F.coalesce(*hits, F.lit("UNKNOWN"))
-    known = {**COLUMN_TYPES, **MORE_COLUMN_TYPES}
-    whole = F.trim(F.regexp_replace(name, r"\(.*?\)", ""))
-    first = F.regexp_extract(whole, r"^\w+", 0)
-    complex_type = whole.rlike(r"^(array|map|struct)<")
-    return F.when(complex_type, F.lit("UNKNOWN")).otherwise(
-        F.coalesce(_lookup(whole, known), _lookup(first, known), F.lit("UNKNOWN"))
+        hits = [f"WHEN contains({name}, '{k}') THEN '{v}'" for k, v in COLUMN_TYPES.items()]
+        return f"CASE {' '.join(hits)} ELSE 'UNKNOWN' END"
+    known = text_map({**COLUMN_TYPES, **MORE_COLUMN_TYPES})
+    whole = rf"trim(regexp_replace({name}, r'\(.*?\)', ''))"
+    first = rf"regexp_extract({name}, r'^\w+', 0)"
+    return (
+        f"CASE WHEN {name} rlike '^(array|map|struct)<' THEN 'UNKNOWN' "
+        f"ELSE coalesce(try_element_at({known}, {whole}), try_element_at({known}, {first}), 'UNKNOWN') END"
     )
 
 
-def graph_type(sql_type: Column | str, *, as_coded: bool = False) -> Column:
+def graph_type(sql_type: str, *, as_coded: bool = False) -> str:
     """Graph property type of a SQL type name; unknown types are STRING, arrays LIST."""
-    name = F.lower(F.col(sql_type) if isinstance(sql_type, str) else sql_type)
+    name = f"lower({sql_type})"
     if not as_coded:
         return (
-            F.when(name.startswith("array<"), F.lit("LIST"))
-            .when(name.rlike("^(map|struct)<"), F.lit("MAP"))
-            .otherwise(F.coalesce(_lookup(column_type(name), GRAPH_TYPES), F.lit("STRING")))
+            f"CASE WHEN startswith({name}, 'array<') THEN 'LIST' WHEN {name} rlike '^(map|struct)<' THEN 'MAP' "
+            f"ELSE coalesce(try_element_at({text_map(GRAPH_TYPES)}, {column_type(sql_type)}), 'STRING') END"
         )
-
-    def has(*words: str) -> Column:
-        return reduce(lambda a, b: a | b, [name.contains(w) for w in words])
-
     return (
-        F.when(has("int", "serial"), F.lit("INTEGER"))
-        .when(has("float", "double", "real", "decimal", "numeric"), F.lit("FLOAT"))
-        .when(has("bool", "bit"), F.lit("BOOLEAN"))
-        .when(has("date") & ~has("time"), F.lit("DATE"))
-        .when(has("date", "time"), F.lit("DATETIME"))
-        .when(has("json"), F.lit("MAP"))
-        .otherwise(F.lit("STRING"))
+        f"CASE WHEN {name} rlike 'int|serial' THEN 'INTEGER' "
+        f"WHEN {name} rlike 'float|double|real|decimal|numeric' THEN 'FLOAT' "
+        f"WHEN {name} rlike 'bool|bit' THEN 'BOOLEAN' "
+        f"WHEN {name} rlike 'date' AND NOT {name} rlike 'time' THEN 'DATE' "
+        f"WHEN {name} rlike 'date|time' THEN 'DATETIME' "
+        f"WHEN {name} rlike 'json' THEN 'MAP' ELSE 'STRING' END"
     )

@@ -1,45 +1,53 @@
-"""Value conversion and node identity, as Column expressions."""
+"""Value conversion and node identity, as Spark SQL expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEY_SEPARATOR = "|"
 
-_TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
 
-def temporal_text(c: Column) -> Column:
+
+def literal(text: str | None) -> str:
+    """A text as a SQL literal; None is a null text."""
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def temporal_text(x: str) -> str:
     """``YYYY-MM-DD[ hh:mm:ss[.ffffff]]``: six fraction digits, or none when they are zero."""
-    text = c.cast("string")
-    return F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text)
+    text = f"CAST({x} AS STRING)"
+    return f"CASE WHEN contains({text}, '.') THEN rpad({text}, 26, '0') ELSE {text} END"
 
 
-def json_value(c: Column) -> Column:
+def json_value(x: str) -> str:
     """JSON text -> variant; text that is not JSON stays, as a string variant."""
-    return F.coalesce(F.try_parse_json(c), c.cast("variant"))
+    return f"coalesce(try_parse_json({x}), CAST({x} AS VARIANT))"
 
 
-def graph_value(c: Column, data_type: T.DataType, *, is_json: bool = False) -> Column:
+def graph_value(x: str, data_type: T.DataType, *, is_json: bool = False) -> str:
     """Value as it is stored on a node or edge."""
-    if isinstance(data_type, _TEMPORAL):
-        return temporal_text(c)
+    if isinstance(data_type, T.DatetimeType):
+        return temporal_text(x)
     if is_json and isinstance(data_type, T.StringType):
-        return json_value(c)
-    return c
+        return json_value(x)
+    return x
 
 
-def _key_text(c: Column, data_type: T.DataType) -> Column:
+def _key_text(name: str, data_type: T.DataType) -> str:
     if not isinstance(data_type, T.StringType):
-        return c.cast("string")
-    return F.regexp_replace(c, r"([\\|])", r"\\$1")
+        return f"CAST({quoted(name)} AS STRING)"
+    return rf"regexp_replace({quoted(name)}, r'([\\|])', r'\\$1')"
 
 
-def node_key(df: DataFrame, key: Sequence[str]) -> Column:
+def node_key(schema: T.StructType, key: Sequence[str]) -> str:
     """Node identity as text.
 
     One key column is cast; several are joined by ``|`` with that character escaped inside
@@ -47,9 +55,7 @@ def node_key(df: DataFrame, key: Sequence[str]) -> Column:
     stands in.
     """
     if not key:
-        return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
+        return f"sha2(to_json(struct({', '.join(quoted(f.name) for f in schema)})), 256)"
     if len(key) == 1:
-        return F.col(f"`{key[0]}`").cast("string")
-    return F.concat_ws(
-        KEY_SEPARATOR, *[_key_text(F.col(f"`{c}`"), df.schema[c].dataType) for c in key]
-    )
+        return f"CAST({quoted(key[0])} AS STRING)"
+    return f"concat_ws('{KEY_SEPARATOR}', {', '.join(_key_text(c, schema[c].dataType) for c in key)})"

@@ -67,7 +67,7 @@ def reconcile_counts(source: Source, graph: Graph, *, rule: str = "shared_key")
     rows = (
         source.row_counts()
         .join(entities, "table_name", "left_semi")
-        .select("table_name", node_label("table_name").alias("label"), F.col("row_count").alias("source_count"))
+        .select("table_name", F.expr(node_label("table_name")).alias("label"), F.col("row_count").alias("source_count"))
     )
     target = node_counts(graph).withColumnRenamed("n", "target_count")
     zero = F.lit(0).cast("bigint")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import graph_value, node_key
+from ..functions.values import graph_value, literal, node_key, quoted
 from ..sources.source import ForeignKey, Source
 
 EDGE_COLUMNS = ("fk_name", "rel_type", "from_label", "from_key", "to_label", "to_key", "cardinality", "props")
@@ -84,29 +84,28 @@ def fk_edges(
     """
     df = source[table]
     key = source.primary_key(table)
-    needed = list(dict.fromkeys([*(key or df.columns), *[e.fk.column for e in edge_types]]))
+    needed = dict.fromkeys(e.fk.column for e in edge_types)
     # The node's own key is taken before missing parents are blanked out.
-    df = df.select(node_key(df, key).alias("from_key"), *[_q(c) for c in needed])
+    df = df.selectExpr(f"{node_key(df.schema, key)} AS from_key", *[quoted(c) for c in needed])
     if check:
         df = with_existing_parents(source, df, check, row_counts=row_counts)
-    if len(edge_types) == 1:
-        e = edge_types[0]
-        return df.where(_q(e.fk.column).isNotNull()).select(*_edge(e, F.col("from_key"), _q(e.fk.column)))
-    structs = [F.struct(*_edge(e, F.col("from_key"), _q(e.fk.column))) for e in edge_types]
-    return df.select(F.inline(F.array(*structs))).where(F.col("to_key").isNotNull())
+    columns = [_edge(e, "from_key", quoted(e.fk.column)) for e in edge_types]
+    if len(columns) == 1:
+        return df.where(f"{quoted(edge_types[0].fk.column)} IS NOT NULL").selectExpr(*columns[0])
+    structs = ", ".join(f"struct({', '.join(c)})" for c in columns)
+    return df.selectExpr(f"inline(array({structs}))").where("to_key IS NOT NULL")
 
 
-def _edge(e: EdgeType, from_key: Column, to: Column, props: Column | None = None) -> list[Column]:
-    text = F.lit(None).cast("string")
+def _edge(e: EdgeType, from_key: str, to_key: str, props: str | None = None) -> list[str]:
     return [
-        F.lit(e.fk.name).alias("fk_name"),
-        F.lit(e.rel_type).alias("rel_type"),
-        F.lit(e.from_label).alias("from_label"),
-        from_key.cast("string").alias("from_key"),
-        F.lit(e.to_label).alias("to_label"),
-        to.cast("string").alias("to_key"),
-        (F.lit(e.cardinality) if e.cardinality else text).alias("cardinality"),
-        (text if props is None else props).alias("props"),
+        f"{literal(e.fk.name)} AS fk_name",
+        f"{literal(e.rel_type)} AS rel_type",
+        f"{literal(e.from_label)} AS from_label",
+        f"CAST({from_key} AS STRING) AS from_key",
+        f"{literal(e.to_label)} AS to_label",
+        f"CAST({to_key} AS STRING) AS to_key",
+        f"{literal(e.cardinality)} AS cardinality",
+        f"{props or literal(None)} AS props",
     ]
 
 
@@ -131,13 +130,13 @@ def junction_edges(
         df = with_existing_parents(source, df, (a, b), row_counts=row_counts)
     others = [f for f in df.schema.fields if f.name not in (a.column, b.column)]
     values = [
-        graph_value(_q(f.name), f.dataType, is_json=source.is_json(table, f.name)).alias(names[table, f.name])
+        f"{graph_value(quoted(f.name), f.dataType, is_json=source.is_json(table, f.name))} AS {quoted(names[table, f.name])}"
         for f in others
     ]
-    df = df.where(_q(a.column).isNotNull() & _q(b.column).isNotNull())
-    props = F.to_json(F.struct(*values)) if values and not flat else None
-    columns = _edge(edge, _q(a.column), _q(b.column), props)
-    return df.select(*columns[:-1], *values) if flat else df.select(*columns)
+    df = df.where(f"{quoted(a.column)} IS NOT NULL AND {quoted(b.column)} IS NOT NULL")
+    props = f"to_json(struct({', '.join(values)}))" if values and not flat else None
+    columns = _edge(edge, quoted(a.column), quoted(b.column), props)
+    return df.selectExpr(*columns[:-1], *values) if flat else df.selectExpr(*columns)
 
 
 # -- joining edges to nodes -------------------------------------------------------------------

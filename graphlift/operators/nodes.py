@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming as N
 from ..functions.types import graph_type
-from ..functions.values import graph_value, node_key
+from ..functions.values import graph_value, literal, node_key, quoted
 from ..sources.source import Source
 
 
@@ -18,12 +18,12 @@ def property_names(source: Source) -> dict[tuple[str, str], str]:
 
     The catalog is a local relation, so Spark folds the naming expression without a job.
     """
-    rows = source.cat_columns().select("table_name", "column_name", N.property_name("column_name").alias("p")).collect()
+    rows = source.cat_columns().select("table_name", "column_name", F.expr(N.property_name("column_name")).alias("p")).collect()
     return {(r.table_name, r.column_name): r.p for r in rows}
 
 
 def labels_of(source: Source) -> dict[str, str]:
-    rows = source.cat_tables().select("table_name", N.node_label("table_name").alias("l")).collect()
+    rows = source.cat_tables().select("table_name", F.expr(N.node_label("table_name")).alias("l")).collect()
     return {r.table_name: r.l for r in rows}
 
 
@@ -44,11 +44,11 @@ def table_nodes(
     key = source.primary_key(table)
     dropped = set() if keep_foreign_keys else {fk.column for fk in source.fks_of(table)} - set(key)
     properties = [
-        graph_value(F.col(f"`{f.name}`"), f.dataType, is_json=source.is_json(table, f.name)).alias(names[table, f.name])
+        f"{graph_value(quoted(f.name), f.dataType, is_json=source.is_json(table, f.name))} AS {quoted(names[table, f.name])}"
         for f in df.schema.fields
         if f.name not in dropped
     ]
-    return df.select(node_key(df, key).alias("node_key"), F.lit(label).alias("label"), *properties)
+    return df.selectExpr(f"{node_key(df.schema, key)} AS node_key", f"{literal(label)} AS label", *properties)
 
 
 def property_map(df: DataFrame) -> DataFrame:
@@ -60,10 +60,7 @@ def property_map(df: DataFrame) -> DataFrame:
 def property_count(df: DataFrame) -> Column:
     """Number of properties a node really has, nulls left out."""
     names = [c for c in df.columns if c not in ("node_key", "label")]
-    total = F.lit(0)
-    for c in names:
-        total = total + F.when(F.col(f"`{c}`").isNotNull(), 1).otherwise(0)
-    return total
+    return F.expr(" + ".join(f"int({quoted(c)} IS NOT NULL)" for c in names) or "0")
 
 
 def merge_subclass(
@@ -114,12 +111,12 @@ def label_table(
         pk = source.cat_tables().select("table_name", F.explode("pk_columns").alias("column_name"))
         dropped = source.cat_fks().select("table_name", "column_name").join(pk, ["table_name", "column_name"], "left_anti")
         columns = columns.join(dropped, ["table_name", "column_name"], "left_anti")
-    return columns.select(
-        N.node_label("table_name").alias("label"),
+    return columns.selectExpr(
+        f"{N.node_label('table_name')} AS label",
         "table_name",
-        N.property_name("column_name").alias("property"),
+        f"{N.property_name('column_name')} AS property",
         "column_name",
         "ordinal",
-        graph_type("sql_type").alias("property_type"),
-        (~F.col("nullable")).alias("is_required"),
+        f"{graph_type('sql_type')} AS property_type",
+        "NOT nullable AS is_required",
     )

@@ -9,15 +9,16 @@ key. ``rule='as_coded'`` is the looser reading: any foreign key inside the prima
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import naming as N
+from ..functions.values import literal, quoted
 from ..sources.source import Source, local_frame, union_all
-from .profile import _q, column_stats
+from .profile import column_stats
 
 RULES = ("shared_key", "as_coded")
 
@@ -34,19 +35,21 @@ class ConceptualModel:
     relationships: DataFrame
 
 
+def _loose(rule: str) -> bool:
+    if rule not in RULES:
+        raise ValueError(f"unknown rule: {rule}")
+    return rule == "as_coded"
+
+
 def junction_flags(source: Source, *, rule: str = "shared_key") -> DataFrame:
     """Catalog tables plus ``is_junction``: two foreign keys and a primary key made of them.
 
     ``as_coded`` is content with a primary key that is a part of the two columns.
     """
-    both = F.size("fk_columns") == 2
-    has_pk = F.size("pk_columns") > 0
-    inside = F.size(F.array_except("pk_columns", "fk_columns")) == 0
-    whole = F.size(F.array_except("fk_columns", "pk_columns")) == 0
-    test = both & has_pk & inside
-    if rule == "shared_key":
-        test = test & whole
-    return source.cat_tables().withColumn("is_junction", test)
+    test = "size(fk_columns) = 2 AND size(pk_columns) > 0 AND size(array_except(pk_columns, fk_columns)) = 0"
+    if not _loose(rule):
+        test += " AND size(array_except(fk_columns, pk_columns)) = 0"
+    return source.cat_tables().selectExpr("*", f"{test} AS is_junction")
 
 
 def enriched_fks(source: Source, *, rule: str = "shared_key", evidence: DataFrame | None = None) -> DataFrame:
@@ -54,172 +57,134 @@ def enriched_fks(source: Source, *, rule: str = "shared_key", evidence: DataFram
 
     Adds ``not_null``, ``is_junction``, ``is_inheritance``, ``is_weak``, ``is_aggregation``,
     ``cardinality``, ``relationship_name`` and ``semantics``. With ``evidence``, a column whose
-    rows hold no null counts as NOT NULL.
+    rows hold no null counts as NOT NULL. Tables already classified (subclasses; by default
+    junctions too) are neither weak nor aggregated.
     """
-    if rule not in RULES:
-        raise ValueError(f"unknown rule: {rule}")
-    as_coded = rule == "as_coded"
-    child = junction_flags(source, rule=rule).select("table_name", "table_ordinal", "pk_columns", "is_junction")
-    parent = source.cat_tables().select(F.col("table_name").alias("ref_table"), F.col("pk_columns").alias("ref_pk"))
-    unique = (
-        source.cat_keys()
-        .where(~F.col("is_primary") & (F.size("columns") == 1))
-        .select("table_name", F.col("columns")[0].alias("column_name"), F.lit(True).alias("unique_index"))
-        .distinct()
-    )
-    fks = (
-        source.cat_fks()
-        .join(child, "table_name")
-        .join(parent, "ref_table", "left")
-        .join(unique, ["table_name", "column_name"], "left")
-    )
-    not_null = F.col("declared_not_null")
-    if evidence is not None:
-        seen = evidence.select("fk_name", ((F.col("null_rows") == 0) & (F.col("child_rows") > 0)).alias("_complete"))
-        fks = fks.join(seen, "fk_name", "left")
-        not_null = not_null | F.coalesce("_complete", F.lit(False))
-
-    in_pk = F.array_contains("pk_columns", F.col("column_name"))
-    whole_pk = F.col("pk_columns") == F.array("column_name")
-    to_pk = F.coalesce(F.array_contains("ref_pk", F.col("ref_column")), F.lit(False))
-    whole_ref = F.coalesce(F.col("ref_pk") == F.array("ref_column"), F.lit(False))
-    inherits = (in_pk & to_pk) if as_coded else (whole_pk & whole_ref & ~F.col("is_junction"))
-    fks = (
-        fks.withColumn("not_null", not_null)
-        .withColumn("in_pk", in_pk)
-        .withColumn("pk_position", F.array_position("pk_columns", F.col("column_name")))
-        .withColumn("is_inheritance", inherits)
-    )
-    subclasses = (
-        fks.where("is_inheritance").select("table_name", F.lit(True).alias("_sub")).distinct()
-    )
-    fks = fks.join(subclasses, "table_name", "left")
-    # Tables already classified (subclass; by default also junction) take no further part.
-    open_table = F.col("_sub").isNull()
-    if not as_coded:
-        open_table = open_table & ~F.col("is_junction")
-    cascade = F.coalesce(F.upper("on_delete").contains("CASCADE"), F.lit(False))
-    weak = open_table & F.col("in_pk")
-    aggregation = open_table & (F.col("in_pk") | cascade | F.col("not_null"))
-    one_to_one = F.col("is_inheritance") | F.coalesce("unique_index", F.lit(False)) | whole_pk
-    return (
-        fks.withColumn("is_weak", weak)
-        .withColumn("is_aggregation", aggregation)
-        .withColumn("is_cascade", cascade)
-        .withColumn("cardinality", F.when(one_to_one, "1:1").otherwise("N:1"))
-        .withColumn(
-            "relationship_name",
-            N.relationship_name(
-                "column_name", "ref_table", F.col("is_inheritance"), F.col("is_aggregation"), as_coded=as_coded
-            ),
+    loose = _loose(rule)
+    if loose:
+        inherits = "array_contains(c.pk_columns, f.column_name) AND coalesce(array_contains(p.pk_columns, f.ref_column), false)"
+        closed = "false"
+    else:
+        inherits = (
+            "c.pk_columns = array(f.column_name) AND coalesce(p.pk_columns = array(f.ref_column), false) AND NOT c.is_junction"
         )
-        .withColumn("semantics", _semantics())
-        .select(
-            "fk_name", "table_name", "table_ordinal", "column_name", "fk_ordinal", "ref_table", "ref_column",
-            "on_delete", "not_null", "in_pk", "pk_position", "is_junction", "is_inheritance", "is_weak",
-            "is_aggregation", "cardinality", "relationship_name", "semantics",
+        closed = "is_junction"
+    if evidence is None:
+        seen = source.cat_fks().selectExpr("fk_name", "false AS complete").limit(0)
+    else:
+        seen = evidence.selectExpr("fk_name", "null_rows = 0 AND child_rows > 0 AS complete")
+    name = N.relationship_name("column_name", "ref_table", "is_inheritance", "is_aggregation", as_coded=loose)
+    return source.spark.sql(
+        f"""
+        WITH facts AS (
+            SELECT f.*, c.table_ordinal, c.is_junction,
+                   f.declared_not_null OR coalesce(e.complete, false) AS not_null,
+                   array_contains(c.pk_columns, f.column_name) AS in_pk,
+                   array_position(c.pk_columns, f.column_name) AS pk_position,
+                   c.pk_columns = array(f.column_name) AS is_whole_pk,
+                   u.column_name IS NOT NULL AS is_unique,
+                   {inherits} AS is_inheritance,
+                   coalesce(contains(upper(f.on_delete), 'CASCADE'), false) AS is_cascade
+            FROM {{fks}} f
+            JOIN {{tables}} c ON c.table_name = f.table_name
+            LEFT JOIN {{tables}} p ON p.table_name = f.ref_table
+            LEFT JOIN (SELECT DISTINCT table_name, columns[0] AS column_name FROM {{keys}}
+                       WHERE NOT is_primary AND is_unique AND size(columns) = 1) u
+              ON u.table_name = f.table_name AND u.column_name = f.column_name
+            LEFT JOIN {{seen}} e ON e.fk_name = f.fk_name
+        ), open AS (
+            SELECT facts.*, s.table_name IS NULL AND NOT {closed} AS is_open
+            FROM facts LEFT JOIN (SELECT DISTINCT table_name FROM facts WHERE is_inheritance) s
+              ON s.table_name = facts.table_name
+        ), flagged AS (
+            SELECT *, is_open AND in_pk AS is_weak,
+                   is_open AND (in_pk OR is_cascade OR not_null) AS is_aggregation,
+                   CASE WHEN is_inheritance OR is_unique OR is_whole_pk THEN '1:1' ELSE 'N:1' END AS cardinality
+            FROM open
         )
-    )
-
-
-def _semantics() -> Column:
-    return (
-        F.when(F.col("is_inheritance"), "INHERITANCE")
-        .when(F.col("is_aggregation") & F.col("is_cascade"), "COMPOSITION")
-        .when(F.col("is_aggregation"), "AGGREGATION")
-        .otherwise("ASSOCIATION")
+        SELECT fk_name, table_name, table_ordinal, column_name, fk_ordinal, ref_table, ref_column, on_delete, not_null,
+               in_pk, pk_position, is_junction, is_inheritance, is_weak, is_aggregation, cardinality,
+               {name} AS relationship_name,
+               CASE WHEN is_inheritance THEN 'INHERITANCE' WHEN is_aggregation AND is_cascade THEN 'COMPOSITION'
+                    WHEN is_aggregation THEN 'AGGREGATION' ELSE 'ASSOCIATION' END AS semantics
+        FROM flagged
+        """,
+        fks=source.cat_fks(),
+        tables=junction_flags(source, rule=rule),
+        keys=source.cat_keys(),
+        seen=seen,
     )
 
 
-def normal_cardinality(c: Column | str) -> Column:
-    """One of 1:1, 1:N, N:1, N:M; anything else is N:1."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.isin("1:1", "1:N", "N:1", "N:M"), c).otherwise("N:1")
-
-
-def _owner(fks: DataFrame, flag: str, name: str, rule: str) -> DataFrame:
-    """One parent per table: first in the primary key, or as coded the last foreign key."""
-    pick = F.max_by("ref_table", "fk_ordinal") if rule == "as_coded" else F.min_by("ref_table", "pk_position")
-    return fks.where(flag).groupBy("table_name").agg(pick.alias(name))
+def normal_cardinality(x: str) -> str:
+    """One of 1:1, 1:N, N:1, N:M; anything else is N:1 (SQL text)."""
+    return f"CASE WHEN {x} IN ('1:1', '1:N', 'N:1', 'N:M') THEN {x} ELSE 'N:1' END"
 
 
 def conceptual_entities(source: Source, fks: DataFrame, *, rule: str = "shared_key") -> DataFrame:
-    """Non-junction tables as entities: type, attributes, keys, superclass, subclasses, owner."""
-    attributes = (
-        source.cat_columns()
-        .join(
-            fks.where("NOT is_inheritance").select("table_name", "column_name"), ["table_name", "column_name"], "left_anti"
-        )
-        .groupBy("table_name")
-        .agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))).alias("a"))
-        .select("table_name", F.col("a.column_name").alias("attributes"))
-    )
-    supers = _owner(fks, "is_inheritance", "superclass", rule)
-    owners = _owner(fks, "is_weak", "owner", rule)
-    subs = supers.groupBy(F.col("superclass").alias("table_name")).agg(
-        F.array_sort(F.collect_list("table_name")).alias("subclasses")
-    )
-    return (
-        junction_flags(source, rule=rule)
-        .where("NOT is_junction")
-        .join(attributes, "table_name", "left")
-        .join(supers, "table_name", "left")
-        .join(owners, "table_name", "left")
-        .join(subs, "table_name", "left")
-        .select(
-            "table_name",
-            F.when(F.col("owner").isNotNull(), "WEAK").otherwise("STRONG").alias("entity_type"),
-            F.coalesce("attributes", F.array().cast("array<string>")).alias("attributes"),
-            F.col("pk_columns").alias("key_attributes"),
-            "superclass",
-            F.coalesce("subclasses", F.array().cast("array<string>")).alias("subclasses"),
-            "owner",
-        )
+    """Non-junction tables as entities: type, attributes, keys, superclass, subclasses, owner.
+
+    A table with several parents keeps the one whose column comes first in its primary key, or
+    as coded the last foreign key.
+    """
+    pick = "max_by(ref_table, fk_ordinal)" if _loose(rule) else "min_by(ref_table, pk_position)"
+    return source.spark.sql(
+        f"""
+        WITH supers AS (SELECT table_name, {pick} AS superclass FROM {{fks}} WHERE is_inheritance GROUP BY table_name),
+        owners AS (SELECT table_name, {pick} AS owner FROM {{fks}} WHERE is_weak GROUP BY table_name),
+        subs AS (SELECT superclass AS table_name, array_sort(collect_list(table_name)) AS subclasses
+                 FROM supers GROUP BY superclass),
+        attributes AS (
+            SELECT table_name, array_sort(collect_list(struct(ordinal, column_name))).column_name AS attributes
+            FROM {{columns}} c LEFT ANTI JOIN (SELECT * FROM {{fks}} WHERE NOT is_inheritance) f
+              USING (table_name, column_name)
+            GROUP BY table_name)
+        SELECT table_name, CASE WHEN owner IS NULL THEN 'STRONG' ELSE 'WEAK' END AS entity_type,
+               coalesce(attributes, array()) AS attributes, pk_columns AS key_attributes, superclass,
+               coalesce(subclasses, array()) AS subclasses, owner
+        FROM {{tables}} LEFT JOIN supers USING (table_name) LEFT JOIN owners USING (table_name)
+             LEFT JOIN subs USING (table_name) LEFT JOIN attributes USING (table_name)
+        WHERE NOT is_junction
+        """,
+        fks=fks,
+        columns=source.cat_columns(),
+        tables=junction_flags(source, rule=rule),
     )
 
 
 def junction_relationships(source: Source, *, rule: str = "shared_key") -> DataFrame:
     """N:M relationships: first foreign key -> second, the other columns as attributes."""
-    junctions = junction_flags(source, rule=rule).where("is_junction").select("table_name")
-    fks = source.cat_fks().join(junctions, "table_name", "left_semi")
-    first = fks.where("fk_ordinal = 1").select("table_name", F.col("ref_table").alias("source_entity"))
-    second = fks.where("fk_ordinal = 2").select("table_name", F.col("ref_table").alias("target_entity"))
-    attributes = (
-        source.cat_columns()
-        .join(fks, ["table_name", "column_name"], "left_anti")
-        .groupBy("table_name")
-        .agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))).alias("a"))
-        .select("table_name", F.col("a.column_name").alias("attributes"))
-    )
-    return (
-        first.join(second, "table_name")
-        .join(attributes, "table_name", "left")
-        .select(
-            N.junction_type("table_name").alias("name"),
-            "source_entity",
-            "target_entity",
-            F.lit("N:M").alias("cardinality"),
-            F.lit("ASSOCIATION").alias("semantics"),
-            F.lit(None).cast("string").alias("fk_name"),
-            F.col("table_name").alias("junction_table"),
-            F.coalesce("attributes", F.array().cast("array<string>")).alias("attributes"),
-            F.lit(False).alias("is_mandatory_source"),
-        )
+    return source.spark.sql(
+        f"""
+        WITH j AS (SELECT table_name FROM {{tables}} WHERE is_junction),
+        attributes AS (
+            SELECT table_name, array_sort(collect_list(struct(ordinal, column_name))).column_name AS attributes
+            FROM {{columns}} LEFT ANTI JOIN {{fks}} USING (table_name, column_name) GROUP BY table_name)
+        SELECT {N.junction_type("j.table_name")} AS name, a.ref_table AS source_entity, b.ref_table AS target_entity,
+               'N:M' AS cardinality, 'ASSOCIATION' AS semantics, CAST(NULL AS STRING) AS fk_name,
+               j.table_name AS junction_table, coalesce(t.attributes, array()) AS attributes, false AS is_mandatory_source
+        FROM j JOIN {{fks}} a ON a.table_name = j.table_name AND a.fk_ordinal = 1
+               JOIN {{fks}} b ON b.table_name = j.table_name AND b.fk_ordinal = 2
+               LEFT JOIN attributes t ON t.table_name = j.table_name
+        """,
+        fks=source.cat_fks(),
+        columns=source.cat_columns(),
+        tables=junction_flags(source, rule=rule),
     )
 
 
 def conceptual_relationships(source: Source, fks: DataFrame, *, rule: str = "shared_key") -> DataFrame:
     """Relationships from foreign keys of non-junction tables, and from junction tables."""
-    plain = fks.where("NOT is_junction").select(
-        F.col("relationship_name").alias("name"),
-        F.col("table_name").alias("source_entity"),
-        F.col("ref_table").alias("target_entity"),
-        normal_cardinality("cardinality").alias("cardinality"),
+    plain = fks.where("NOT is_junction").selectExpr(
+        "relationship_name AS name",
+        "table_name AS source_entity",
+        "ref_table AS target_entity",
+        f"{normal_cardinality('cardinality')} AS cardinality",
         "semantics",
         "fk_name",
-        F.lit(None).cast("string").alias("junction_table"),
-        F.array().cast("array<string>").alias("attributes"),
-        F.col("not_null").alias("is_mandatory_source"),
+        "CAST(NULL AS STRING) AS junction_table",
+        "CAST(array() AS ARRAY<STRING>) AS attributes",
+        "not_null AS is_mandatory_source",
     )
     return plain.unionByName(junction_relationships(source, rule=rule))
 
@@ -245,45 +210,43 @@ def hierarchies(model: ConceptualModel) -> DataFrame:
 
     The closure does not depend on the order of tables; a table met again on its own path ends it.
     """
-    isa = model.fks.where("is_inheritance").select(
-        F.col("ref_table").alias("parent"), F.col("table_name").alias("child")
-    ).distinct()
     return model.source.spark.sql(
         """
-        WITH RECURSIVE chain(root, member, depth, path) AS (
+        WITH RECURSIVE isa AS (SELECT DISTINCT ref_table AS parent, table_name AS child FROM {fks} WHERE is_inheritance),
+        chain(root, member, depth, path) AS (
             SELECT DISTINCT p.parent, p.parent, 0, array(p.parent)
-            FROM {isa} p LEFT ANTI JOIN {isa} c ON c.child = p.parent
+            FROM isa p LEFT ANTI JOIN isa c ON c.child = p.parent
             UNION ALL
             SELECT chain.root, i.child, chain.depth + 1, array_append(chain.path, i.child)
-            FROM chain JOIN {isa} i ON i.parent = chain.member
+            FROM chain JOIN isa i ON i.parent = chain.member
             WHERE NOT array_contains(chain.path, i.child)
         )
         SELECT root, member, depth, array_join(path, ' > ') AS path FROM chain
         """,
-        isa=isa,
+        fks=model.fks,
     )
 
 
 def weak_groups(model: ConceptualModel) -> DataFrame:
     """``(owner, weak_tables)``: every owner of every weak entity, names sorted."""
-    return (
-        model.fks.where("is_weak")
-        .groupBy(F.col("ref_table").alias("owner"))
-        .agg(F.array_sort(F.collect_set("table_name")).alias("weak_tables"))
+    return model.source.spark.sql(
+        "SELECT ref_table AS owner, array_sort(collect_set(table_name)) AS weak_tables "
+        "FROM {fks} WHERE is_weak GROUP BY ref_table",
+        fks=model.fks,
     )
 
 
 def model_statistics(model: ConceptualModel) -> DataFrame:
     """``(statistic, value)``: the totals of a conceptual model."""
-    e = model.entities.agg(
-        F.count(F.lit(1)).alias("total_entities"),
-        F.count_if(F.col("entity_type") == "STRONG").alias("strong_entities"),
-        F.count_if(F.col("entity_type") == "WEAK").alias("weak_entities"),
+    e = model.entities.selectExpr(
+        "count(1) AS total_entities",
+        "count_if(entity_type = 'STRONG') AS strong_entities",
+        "count_if(entity_type = 'WEAK') AS weak_entities",
     )
-    r = model.relationships.agg(
-        F.count(F.lit(1)).alias("total_relationships"),
-        F.count_if(F.col("semantics") == "INHERITANCE").alias("inheritance_relationships"),
-        F.count_if(F.col("semantics").isin("AGGREGATION", "COMPOSITION")).alias("aggregation_relationships"),
+    r = model.relationships.selectExpr(
+        "count(1) AS total_relationships",
+        "count_if(semantics = 'INHERITANCE') AS inheritance_relationships",
+        "count_if(semantics IN ('AGGREGATION', 'COMPOSITION')) AS aggregation_relationships",
     )
     return _long(e).unionByName(_long(r))
 
@@ -294,80 +257,82 @@ def _long(df: DataFrame) -> DataFrame:
 
 def distributions(model: ConceptualModel) -> DataFrame:
     """Histograms of entity types, cardinalities and semantics: ``(kind, value, n)``."""
-    kinds = model.entities.select(F.lit("entity_type").alias("kind"), F.col("entity_type").alias("value")).unionByName(
-        model.relationships.select(
-            F.inline(
-                F.array(
-                    F.struct(F.lit("cardinality").alias("kind"), F.col("cardinality").alias("value")),
-                    F.struct(F.lit("semantics").alias("kind"), F.col("semantics").alias("value")),
-                )
-            )
-        )
+    return model.source.spark.sql(
+        """
+        SELECT kind, value, count(1) AS n FROM (
+            SELECT 'entity_type' AS kind, entity_type AS value FROM {e}
+            UNION ALL SELECT 'cardinality', cardinality FROM {r}
+            UNION ALL SELECT 'semantics', semantics FROM {r})
+        GROUP BY kind, value
+        """,
+        e=model.entities,
+        r=model.relationships,
     )
-    return kinds.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def junction_cardinality(source: Source, *, rule: str = "shared_key", tables=None) -> DataFrame:
-    """Cardinality of junction tables from their rows: fan-out seen from both ends."""
-    names = [r.table_name for r in junction_flags(source, rule=rule).where("is_junction").collect()]
-    frames = []
-    for t in names if tables is None else tables:
-        a, b = source.fks_of(t)
-
-        def widest(fk):
-            return (
-                source[t].where(_q(fk.column).isNotNull()).groupBy(_q(fk.column)).agg(F.count(F.lit(1)).alias("n"))
-                .agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-            )
-
-        ends = (
-            widest(a).select(F.lit("a").alias("end"), "n").unionByName(widest(b).select(F.lit("b").alias("end"), "n"))
-            .agg(F.max(F.when(F.col("end") == "a", F.col("n"))).alias("from_fan_out"),
-                 F.max(F.when(F.col("end") == "b", F.col("n"))).alias("to_fan_out"))
-        )
-        many_to = F.when(F.col("to_fan_out") > 1, "N").otherwise("1")
-        many_from = F.when(F.col("from_fan_out") > 1, "M").otherwise("1")
-        shape = F.concat(many_to, F.lit(":"), many_from)
-        shape = F.when(shape == "1:M", "1:N").otherwise(shape)
-        frames.append(ends.select(F.lit(t).alias("table_name"), "from_fan_out", "to_fan_out", shape.alias("cardinality")))
-    return union_all(frames)
+
+
+# -- evidence from the rows -------------------------------------------------------------------
 
 
 def data_cardinality(evidence: DataFrame) -> DataFrame:
     """Cardinality of foreign keys from their rows: at most one child per parent is 1:1."""
-    return evidence.select(
+    return evidence.selectExpr(
         "fk_name",
         "table_name",
         "ref_table",
         "max_children",
-        F.when(F.col("max_children") <= 1, "1:1").otherwise("N:1").alias("cardinality"),
+        "CASE WHEN max_children <= 1 THEN '1:1' ELSE 'N:1' END AS cardinality",
+    )
+
+
+def junction_cardinality(source: Source, tables: Sequence[str]) -> DataFrame:
+    """Cardinality of junction tables from their rows: the widest fan-out seen from each end.
+
+    Each end is counted per value before the shuffle; only the two maxima meet.
+    """
+
+    def widest(table: str, column: str, end: str) -> DataFrame:
+        counts = source[table].where(f"{quoted(column)} IS NOT NULL").groupBy(column).count()
+        return counts.selectExpr(f"{literal(table)} AS table_name", f"'{end}' AS side", "coalesce(max(count), 0) AS n")
+
+    ends = union_all(
+        widest(t, fk.column, end) for t in tables for fk, end in zip(source.fks_of(t), ("from", "to"))
+    )
+    return source.spark.sql(
+        """
+        SELECT table_name, from_fan_out, to_fan_out,
+               CASE WHEN from_fan_out > 1 AND to_fan_out > 1 THEN 'N:M' WHEN from_fan_out > 1 THEN '1:N'
+                    WHEN to_fan_out > 1 THEN 'N:1' ELSE '1:1' END AS cardinality
+        FROM (SELECT table_name, max(n) FILTER (WHERE side = 'from') AS from_fan_out,
+                     max(n) FILTER (WHERE side = 'to') AS to_fan_out
+              FROM {ends} GROUP BY table_name)
+        """,
+        ends=ends,
     )
 
 
 def participation(evidence: DataFrame) -> DataFrame:
     """Whether each end must take part, from the rows of both ends."""
-    return evidence.select(
+    return evidence.selectExpr(
         "fk_name",
         "child_rows",
-        (F.col("child_rows") - F.col("null_rows") - F.col("orphan_rows")).alias("children_with_parent"),
-        ((F.col("null_rows") + F.col("orphan_rows")) == 0).alias("is_mandatory_source"),
+        "child_rows - null_rows - orphan_rows AS children_with_parent",
+        "null_rows + orphan_rows = 0 AS is_mandatory_source",
         "parent_rows",
         "parents_with_child",
-        (F.col("parents_with_child") == F.col("parent_rows")).alias("is_mandatory_target"),
+        "parents_with_child = parent_rows AS is_mandatory_target",
     )
 
 
 # -- optional evidence by name ----------------------------------------------------------------
 
 # Name endings that suggest containment and membership.
-_CONTAINED = r"(?i)_(detail|line|item)s?$"
-_MEMBER = r"(?i)_(member|assignment)s?$"
+_CONTAINED = "(?i)_(detail|line|item)s?$"
+_MEMBER = "(?i)_(member|assignment)s?$"
 
 
-def semantics_by_name(table: Column | str) -> Column:
-    """COMPOSITION or AGGREGATION suggested by the ending of a table name, else null."""
-    t = F.col(table) if isinstance(table, str) else table
-    return F.when(t.rlike(_CONTAINED), "COMPOSITION").when(t.rlike(_MEMBER), "AGGREGATION")
+def semantics_by_name(table: str) -> str:
+    """COMPOSITION or AGGREGATION suggested by the ending of a table name, else null (SQL text)."""
+    return f"CASE WHEN {table} rlike '{_CONTAINED}' THEN 'COMPOSITION' WHEN {table} rlike '{_MEMBER}' THEN 'AGGREGATION' END"
 
 
 def name_evidence(source: Source) -> DataFrame:
@@ -375,22 +340,17 @@ def name_evidence(source: Source) -> DataFrame:
 
     Evidence to stand beside the key rules, never a rule of its own.
     """
-    columns = source.cat_columns().groupBy("table_name").agg(F.collect_set(N.name_stem("column_name")).alias("stems"))
-    parent = columns.select(F.col("table_name").alias("ref_table"), F.col("stems").alias("ref_stems"))
-    child, ref = F.lower("table_name"), F.lower("ref_table")
-    stem = F.regexp_replace(ref, "s$", "")
-    return (
-        source.cat_fks()
-        .join(columns, "table_name")
-        .join(parent, "ref_table")
-        .select(
-            "fk_name",
-            "table_name",
-            "ref_table",
-            F.levenshtein(child, ref).alias("name_distance"),
-            child.contains(stem).alias("shares_name_stem"),
-            F.size(F.array_intersect("stems", "ref_stems")).alias("shared_columns"),
-        )
+    return source.spark.sql(
+        f"""
+        WITH stems AS (SELECT table_name, collect_set({N.name_stem("column_name")}) AS stems FROM {{columns}} GROUP BY table_name)
+        SELECT f.fk_name, f.table_name, f.ref_table,
+               levenshtein(lower(f.table_name), lower(f.ref_table)) AS name_distance,
+               contains(lower(f.table_name), regexp_replace(lower(f.ref_table), 's$', '')) AS shares_name_stem,
+               size(array_intersect(c.stems, p.stems)) AS shared_columns
+        FROM {{fks}} f JOIN stems c ON c.table_name = f.table_name JOIN stems p ON p.table_name = f.ref_table
+        """,
+        columns=source.cat_columns(),
+        fks=source.cat_fks(),
     )
 
 
@@ -400,41 +360,44 @@ def discriminators(source: Source, *, max_values: int = 50) -> DataFrame:
     Only columns with at most ``max_values`` values (estimated in one pass) are expanded, so the
     histogram stays small.
     """
-    named = source.cat_columns().where(F.col("column_name").rlike("(?i)(_|^)(type|category)$")).collect()
+    named = source.cat_columns().where("column_name rlike '(?i)(_|^)(type|category)$'").collect()
     wanted: dict[str, list[str]] = {}
     for r in named:
         wanted.setdefault(r.table_name, []).append(r.column_name)
     if not wanted:
         raise ValueError("no column is named like a discriminator")
     few = column_stats({t: source[t].select(*c) for t, c in wanted.items()}).where(f"approx_ndv <= {max_values}").collect()
+    if not few:
+        raise ValueError("no discriminator column has few enough values")
     return union_all(
         source[r.table_name]
-        .where(_q(r.column_name).isNotNull())
-        .groupBy(_q(r.column_name).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("row_count"))
-        .select(
-            F.lit(r.table_name).alias("table_name"),
-            F.lit(r.column_name).alias("column_name"),
-            "value",
-            N.node_label("value").alias("subclass_label"),
-            "row_count",
+        .where(f"{quoted(r.column_name)} IS NOT NULL")
+        .groupBy(r.column_name)
+        .count()
+        .selectExpr(
+            f"{literal(r.table_name)} AS table_name",
+            f"{literal(r.column_name)} AS column_name",
+            f"CAST({quoted(r.column_name)} AS STRING) AS value",
+            f"{N.node_label(f'CAST({quoted(r.column_name)} AS STRING)')} AS subclass_label",
+            "count AS row_count",
         )
         for r in few
     )
 
 
-def dictionary_names(fks: DataFrame, pairs: dict[tuple[str, str], str]) -> DataFrame:
-    """Foreign keys with ``final_name``: the user's name for the table pair wins, then the
-    enriched name, then a name by cardinality."""
+def dictionary_names(fks: DataFrame, pairs: Mapping[tuple[str, str], str], *, by_cardinality: bool = False) -> DataFrame:
+    """Foreign keys with ``final_name``: the user's name for the table pair wins, then the verb.
+
+    With ``by_cardinality`` a name without a verb (``PART_OF_X``, ``HAS_X``) gives way to the name
+    of its cardinality.
+    """
     spark = fks.sparkSession
     table = local_frame(
         spark,
         [("table_name", pa.string()), ("ref_table", pa.string()), ("user_name", pa.string())],
         [(a, b, v) for (a, b), v in pairs.items()],
     )
-    by_cardinality = F.try_element_at(
-        F.create_map(*[F.lit(x) for kv in N.CARDINALITY_VERBS.items() for x in kv]), F.col("cardinality")
-    )
-    return fks.join(table, ["table_name", "ref_table"], "left").withColumn(
-        "final_name", F.coalesce("user_name", "relationship_name", by_cardinality)
-    )
+    plain = f"try_element_at({N.text_map(N.CARDINALITY_VERBS)}, cardinality)"
+    fallback = f"CASE WHEN semantics <> 'INHERITANCE' AND {N.verb_for('column_name', 'ref_table')} IS NULL THEN {plain} END"
+    choice = ["user_name", *([fallback] if by_cardinality else []), "relationship_name"]
+    return fks.join(table, ["table_name", "ref_table"], "left").selectExpr("*", f"coalesce({', '.join(choice)}) AS final_name")

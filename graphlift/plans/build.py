@@ -115,27 +115,24 @@ def _orphaned(source: Source, evidence: DataFrame | None, assume_complete: bool)
 def _plan_edges(source, mode, rule, mapping, evidence, labels, entities, junctions) -> list[E.EdgeType]:
     """Names and ends of all edge types; catalog-sized, so it is resolved on the driver."""
     fks = {fk.name: fk for fk in source.foreign_keys if fk.table in source.tables}
+    plain = N.relationship_type("table_name", "ref_table")
     if mode == "direct":
-        rows = source.cat_fks().select(
-            "fk_name", N.relationship_type("table_name", "ref_table").alias("name"),
-            F.lit(None).cast("string").alias("cardinality"), F.lit(None).cast("string").alias("semantics"),
-        )
-    else:
-        rows = S.enriched_fks(source, rule=rule, evidence=evidence).select(
-            "fk_name", F.col("relationship_name").alias("name"), "cardinality", "semantics"
+        rows = source.cat_fks().selectExpr(
+            "fk_name", f"{plain} AS name", "CAST(NULL AS STRING) AS cardinality", "CAST(NULL AS STRING) AS semantics"
         )
+    else:
+        name, semantics, cardinality = "relationship_name", "semantics", "cardinality"
         if not mapping.preserve_inheritance:
-            flat = source.cat_fks().select("fk_name", N.relationship_name("column_name", "ref_table", F.lit(False), F.lit(False)).alias("flat"))
-            rows = (
-                rows.join(flat, "fk_name")
-                .withColumn("name", F.when(F.col("semantics") == "INHERITANCE", F.col("flat")).otherwise(F.col("name")))
-                .withColumn("semantics", F.when(F.col("semantics") == "INHERITANCE", "ASSOCIATION").otherwise(F.col("semantics")))
-            )
+            flat = N.relationship_name("column_name", "ref_table", "false", "not_null")
+            name = f"CASE WHEN is_inheritance THEN {flat} ELSE relationship_name END"
+            semantics = "CASE WHEN is_inheritance THEN 'ASSOCIATION' ELSE semantics END"
         if not mapping.generate_semantic_names:
-            plain = source.cat_fks().select("fk_name", N.relationship_type("table_name", "ref_table").alias("plain"))
-            rows = rows.join(plain, "fk_name").withColumn("name", F.col("plain"))
+            name = plain
         if not mapping.infer_cardinality:
-            rows = rows.withColumn("cardinality", F.lit(None).cast("string"))
+            cardinality = "CAST(NULL AS STRING)"
+        rows = S.enriched_fks(source, rule=rule, evidence=evidence).selectExpr(
+            "fk_name", f"{name} AS name", f"{cardinality} AS cardinality", f"{semantics} AS semantics"
+        )
     named = {r.fk_name: r for r in rows.collect()}
     planned: list[E.EdgeType] = []
     for name, fk in fks.items():
@@ -148,7 +145,7 @@ def _plan_edges(source, mode, rule, mapping, evidence, labels, entities, junctio
     if mapping.junction_tables_as_relationships and junctions:
         types = {
             r.table_name: r.name
-            for r in source.cat_tables().select("table_name", N.junction_type("table_name").alias("name")).collect()
+            for r in source.cat_tables().selectExpr("table_name", f"{N.junction_type('table_name')} AS name").collect()
         }
         for t in junctions:
             a, b = source.fks_of(t)

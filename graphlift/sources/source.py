@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,9 +86,10 @@ class Source:
         """The source with some tables replaced or added."""
         return replace(self, tables={**self.tables, **tables})
 
-    # -- catalog tables -----------------------------------------------------------------
+    # -- catalog tables, made once per source ---------------------------------------------
 
-    def cat_tables(self) -> DataFrame:
+    @cached_property
+    def _cat_tables(self) -> DataFrame:
         rows = [
             (t, i, len(df.columns), list(self.primary_key(t)), [fk.column for fk in self.fks_of(t)])
             for i, (t, df) in enumerate(self.tables.items(), 1)
@@ -101,7 +103,8 @@ class Source:
         ]
         return local_frame(self.spark, fields, rows)
 
-    def cat_columns(self) -> DataFrame:
+    @cached_property
+    def _cat_columns(self) -> DataFrame:
         rows = [
             (t, c, i, self.sql_type(t, c), not self.is_not_null(t, c))
             for t, df in self.tables.items()
@@ -116,7 +119,8 @@ class Source:
         ]
         return local_frame(self.spark, fields, rows)
 
-    def cat_keys(self) -> DataFrame:
+    @cached_property
+    def _cat_keys(self) -> DataFrame:
         rows = [(t, list(k), True, True) for t, k in self.primary_keys.items() if k and t in self.tables]
         rows += [
             (t, list(k), False, True) for t, keys in self.unique_keys.items() if t in self.tables for k in keys
@@ -129,8 +133,8 @@ class Source:
         ]
         return local_frame(self.spark, fields, rows)
 
-    def cat_fks(self) -> DataFrame:
-        """Foreign keys; ``fk_ordinal`` counts within a table, in declaration order."""
+    @cached_property
+    def _cat_fks(self) -> DataFrame:
         seen: dict[str, int] = {}
         rows = []
         for fk in self.foreign_keys:
@@ -153,12 +157,25 @@ class Source:
         ]
         return local_frame(self.spark, fields, rows)
 
+    def cat_tables(self) -> DataFrame:
+        return self._cat_tables
+
+    def cat_columns(self) -> DataFrame:
+        return self._cat_columns
+
+    def cat_keys(self) -> DataFrame:
+        return self._cat_keys
+
+    def cat_fks(self) -> DataFrame:
+        """Foreign keys; ``fk_ordinal`` counts within a table, in declaration order."""
+        return self._cat_fks
+
     # -- reading ------------------------------------------------------------------------
 
     def row_counts(self) -> DataFrame:
         """``(table_name, row_count)``, one row per table, empty tables included."""
         return union_all(
-            df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
+            df.groupBy().agg(F.expr("count(1)").alias("row_count")).selectExpr(f"'{t}' AS table_name", "row_count")
             for t, df in self.tables.items()
         )
 
