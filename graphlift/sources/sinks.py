@@ -8,10 +8,14 @@ rerun would write again, which makes loads idempotent.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graph import Graph
+from ..operators.edges import EDGE_COLUMNS
+
 
 def shared_folder(spark: SparkSession, *parts: str) -> str:
     """Folder on storage that every executor sees: below ``spark.checkpoint.dir``."""
@@ -94,3 +98,20 @@ def write_json(catalog: dict[str, DataFrame], path: str) -> None:
     """Model tables (catalog, conceptual model, graph model) as JSON lines, one folder each."""
     for name, df in catalog.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def read_graph(spark: SparkSession, path: str, model: Graph) -> Graph:
+    """A written graph (``<path>/nodes``, ``<path>/edges``) under the model it was built from.
+
+    Types are partition folders, so a pattern reads only the types it names.
+    """
+    edges = read_edges(spark, f"{path}/edges")
+    tables = {e.fk.table for e in model.edge_types}
+    sets = {
+        t: edges.where(F.col("rel_type").isin([e.rel_type for e in model.edge_types if e.fk.table == t]))
+        .where(F.col("fk_name").isin([e.fk.name for e in model.edge_types if e.fk.table == t]))
+        .select(*EDGE_COLUMNS)
+        for t in tables
+    }
+    nodes = {label: read_nodes(spark, f"{path}/nodes", label) for label in model.nodes}
+    return replace(model, nodes=nodes, edge_sets=sets, carriers={})
