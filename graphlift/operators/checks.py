@@ -12,6 +12,7 @@ from ..graph import Graph
 from ..sources.source import ForeignKey, Source, union_all
 from .edges import missing_endpoints
 from .match import edge_counts, node_counts
+from .profile import orphan_values
 from .semantics import junction_flags
 
 def _n() -> Column:
@@ -171,19 +172,13 @@ def instance_counts(source: Source, graph: Graph) -> DataFrame:
 
 
 def orphan_rows(source: Source, fks: Iterable[ForeignKey] | None = None) -> DataFrame:
-    """Source rows whose parent is missing, with the distinct values concerned, per foreign key.
-
-    Values are counted first, so the anti join sees each value once however often it occurs.
-    """
-    frames = []
-    for fk in source.foreign_keys if fks is None else fks:
-        values = source[fk.table].where(F.col(f"`{fk.column}`").isNotNull()).groupBy(F.col(f"`{fk.column}`").alias("k")).agg(_n())
-        lost = values.join(source[fk.ref_table].select(F.col(f"`{fk.ref_column}`").alias("k")), "k", "left_anti")
-        frames.append(
-            lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"), F.count(F.lit(1)).alias("orphan_values"))
-            .select(F.lit(fk.name).alias("fk_name"), "orphan_rows", "orphan_values")
-        )
-    return union_all(frames)
+    """Source rows whose parent is missing, with the distinct values concerned, per foreign key."""
+    return union_all(
+        orphan_values(source, fk).selectExpr(
+            f"'{fk.name}' AS fk_name", "coalesce(sum(n), 0) AS orphan_rows", "count(1) AS orphan_values"
+        )
+        for fk in (source.foreign_keys if fks is None else fks)
+    )
 
 
 # -- summary ----------------------------------------------------------------------------------

@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions.values import graph_value, literal, node_key, quoted
 from ..sources.source import ForeignKey, Source
+from .profile import orphan_values
 
 EDGE_COLUMNS = ("fk_name", "rel_type", "from_label", "from_key", "to_label", "to_key", "cardinality", "props")
 
 # A key with this many rows is spread over several tasks in `hub_join`.
 HOT_ROWS = 2_000_000
 
+# Rough bytes per key in a broadcast table.
+_ROW_BYTES = 64
+
 
 @dataclass(frozen=True)
 class EdgeType:
@@ -42,22 +46,32 @@ def with_existing_parents(
     df: DataFrame,
     fks: Sequence[ForeignKey],
     *,
-    hot_rows: int = HOT_ROWS,
+    orphans: Mapping[str, int] | None = None,
     row_counts: Mapping[str, int] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``df`` with foreign keys nulled whose parent row does not exist.
 
-    One left join per key on the typed column. A parent known to be too big to broadcast is
-    joined with its hot keys spread; the others are left to Spark's own size check.
+    ``orphans`` gives the number of parentless values per key, as the profile counted them. Where
+    they fit a broadcast, only they are sent to the rows and the rows are not shuffled. Otherwise
+    the rows are joined with the parent keys: with the hot keys spread where ``row_counts`` says
+    the parent is too big to broadcast, else as Spark's own size check decides.
     """
+    limit = broadcast_limit(source)
     for i, fk in enumerate(fks):
-        parent = source[fk.ref_table].select(_q(fk.ref_column).alias(f"_parent{i}"))
-        on = (fk.column, f"_parent{i}")
-        if (row_counts or {}).get(fk.ref_table, 0) * 16 > broadcast_limit(source):
-            df = hub_join(df, parent, *on, how="left", hot_rows=hot_rows)
+        mark = f"_end{i}"
+        if fk.name in (orphans or {}) and orphans[fk.name] * _ROW_BYTES <= limit:
+            lost = orphan_values(source, fk).select(F.col("k").alias(mark))
+            df = df.join(F.broadcast(lost), _q(fk.column) == F.col(mark), "left")
+            keep = F.col(mark).isNull()
         else:
-            df = df.join(parent, _q(on[0]) == F.col(on[1]), "left")
-        df = df.withColumn(fk.column, F.when(F.col(f"_parent{i}").isNotNull(), _q(fk.column))).drop(f"_parent{i}")
+            parent = source[fk.ref_table].select(_q(fk.ref_column).alias(mark))
+            if (row_counts or {}).get(fk.ref_table, 0) * _ROW_BYTES > limit:
+                df = hub_join(df, parent, fk.column, mark, how="left", hot_rows=hot_rows)
+            else:
+                df = df.join(parent, _q(fk.column) == F.col(mark), "left")
+            keep = F.col(mark).isNotNull()
+        df = df.withColumn(fk.column, F.when(keep, _q(fk.column))).drop(mark)
     return df
 
 
@@ -75,6 +89,7 @@ def fk_edges(
     edge_types: Sequence[EdgeType],
     *,
     check: Sequence[ForeignKey] = (),
+    orphans: Mapping[str, int] | None = None,
     row_counts: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """All foreign-key edges of one table from a single scan of its key columns.
@@ -88,7 +103,7 @@ def fk_edges(
     # The node's own key is taken before missing parents are blanked out.
     df = df.selectExpr(f"{node_key(df.schema, key)} AS from_key", *[quoted(c) for c in needed])
     if check:
-        df = with_existing_parents(source, df, check, row_counts=row_counts)
+        df = with_existing_parents(source, df, check, orphans=orphans, row_counts=row_counts)
     columns = [_edge(e, "from_key", quoted(e.fk.column)) for e in edge_types]
     if len(columns) == 1:
         return df.where(f"{quoted(edge_types[0].fk.column)} IS NOT NULL").selectExpr(*columns[0])
@@ -116,7 +131,8 @@ def junction_edges(
     names: Mapping[tuple[str, str], str],
     *,
     flat: bool = False,
-    check: bool = False,
+    check: Sequence[ForeignKey] = (),
+    orphans: Mapping[str, int] | None = None,
     row_counts: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Rows of a junction table as edges; its other columns become edge properties.
@@ -127,7 +143,7 @@ def junction_edges(
     a, b = source.fks_of(table)
     df = source[table]
     if check:
-        df = with_existing_parents(source, df, (a, b), row_counts=row_counts)
+        df = with_existing_parents(source, df, check, orphans=orphans, row_counts=row_counts)
     others = [f for f in df.schema.fields if f.name not in (a.column, b.column)]
     values = [
         f"{graph_value(quoted(f.name), f.dataType, is_json=source.is_json(table, f.name))} AS {quoted(names[table, f.name])}"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,40 +121,71 @@ def column_profile(source: Source) -> DataFrame:
 # -- keys -------------------------------------------------------------------------------------
 
 
+# A candidate is first tried on one part in sixteen of its values. Rows with equal keys fall into
+# the same part, so a duplicate there settles the matter; a key is only accepted on all rows.
+_REFUTE_PARTS = 16
+
+
+def _has_duplicates(df: DataFrame, key: Sequence[str]) -> bool:
+    return not df.groupBy(*[_q(c) for c in key]).agg(F.expr("count(1) AS n")).where("n > 1").isEmpty()
+
+
 def _unique(df: DataFrame, key: Sequence[str]) -> bool:
-    """Exact test that stops at the first duplicate found after the count."""
-    return df.groupBy(*[_q(c) for c in key]).agg(F.expr("count(1) AS n")).where("n > 1").isEmpty()
+    part = df.where(f"pmod(xxhash64({quoted(key[0])}), {_REFUTE_PARTS}) = 0")
+    return not _has_duplicates(part, key) and not _has_duplicates(df, key)
 
 
 def discover_primary_key(df: DataFrame, *, max_arity: int = 3) -> tuple[str, ...]:
     """Smallest set of columns without nulls that is unique, first in column order; else ``()``.
 
-    All candidates of one arity are estimated by sketches in a single pass without a shuffle.
-    Only those whose estimate comes close to the row count are counted exactly, in order, until
-    the first holds.
+    Distinct counts are estimated by sketches, all candidates of one arity in a single pass
+    without a shuffle. A set whose parts have too few values to tell the rows apart is not
+    sketched at all. Candidates whose estimate comes close to the row count are tested exactly,
+    in order, until one holds.
     """
     usable = [f.name for f in df.schema.fields if isinstance(f.dataType, _KEY_TYPES)]
     if not usable:
         return ()
-    head = df.selectExpr("count(1)", *[f"count({quoted(c)})" for c in usable]).first()
-    rows = head[0]
-    complete = [c for c, n in zip(usable, head[1:]) if n == rows]
+    head = df.selectExpr(
+        "count(1)", *[f"count({quoted(c)})" for c in usable], *[_approx_distinct([c]) for c in usable]
+    ).first()
+    rows, k = head[0], len(usable)
     if rows == 0:
         return ()
+    complete = [c for c, n in zip(usable, head[1 : k + 1]) if n == rows]
+    estimates = {(c,): e for c, e in zip(usable, head[k + 1 :]) if c in complete}
     for arity in range(1, max_arity + 1):
-        candidates = list(combinations(complete, arity))
-        if not candidates:
-            return ()
-        estimates = df.selectExpr(*[_approx_distinct(c) for c in candidates]).first()
-        for candidate, estimate in zip(candidates, estimates):
-            if estimate >= _MARGIN * rows and _unique(df, candidate):
+        if arity > 1:
+            candidates = [c for c in combinations(complete, arity) if _could_be_unique(c, estimates, rows)]
+            if candidates:
+                estimates.update(zip(candidates, df.selectExpr(*[_approx_distinct(c) for c in candidates]).first()))
+        for candidate in combinations(complete, arity):
+            if estimates.get(candidate, 0) >= _MARGIN * rows and _unique(df, candidate):
                 return candidate
     return ()
 
 
-def discover_primary_keys(source: Source, *, max_arity: int = 3) -> dict[str, tuple[str, ...]]:
-    """Key per table; a declared key wins over a discovered one."""
-    return {t: source.primary_key(t) or discover_primary_key(df, max_arity=max_arity) for t, df in source.tables.items()}
+def _could_be_unique(candidate: tuple[str, ...], estimates: Mapping[tuple[str, ...], int], rows: int) -> bool:
+    """Whether the value combinations suffice: distinct(A and B) is at most distinct(A) * distinct(B)."""
+    for c in candidate:
+        rest = tuple(x for x in candidate if x != c)
+        if rest not in estimates or estimates[(c,)] * estimates[rest] < rows * _MARGIN**2:
+            return False
+    return True
+
+
+def discover_primary_keys(source: Source, *, max_arity: int = 3, parallel: int = 4) -> dict[str, tuple[str, ...]]:
+    """Key per table; a declared key wins over a discovered one.
+
+    Tables are independent, so the jobs of ``parallel`` of them overlap.
+    """
+
+    @inheritable_thread_target(source.spark)
+    def find(table: str) -> tuple[str, ...]:
+        return source.primary_key(table) or discover_primary_key(source[table], max_arity=max_arity)
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return dict(zip(source.tables, pool.map(find, source.tables)))
 
 
 def primary_key_table(source: Source, keys: Mapping[str, tuple[str, ...]]) -> DataFrame:
@@ -274,6 +307,7 @@ def _one_fk(source: Source, fk: ForeignKey) -> DataFrame:
         "coalesce(sum(n_child) FILTER (WHERE k IS NOT NULL), 0) AS non_null_rows",
         "coalesce(sum(n_child) FILTER (WHERE k IS NULL), 0) AS null_rows",
         "coalesce(sum(n_child) FILTER (WHERE k IS NOT NULL AND n_parent IS NULL), 0) AS orphan_rows",
+        "count(n_child) FILTER (WHERE k IS NOT NULL AND n_parent IS NULL) AS orphan_values",
         "count(n_child) FILTER (WHERE k IS NOT NULL) AS distinct_values",
         "coalesce(max(n_child) FILTER (WHERE k IS NOT NULL), 0) AS max_children",
         "coalesce(sum(n_parent), 0) AS parent_rows",
@@ -282,6 +316,15 @@ def _one_fk(source: Source, fk: ForeignKey) -> DataFrame:
     )
 
 
+def orphan_values(source: Source, fk: ForeignKey) -> DataFrame:
+    """``(k, n)``: foreign-key values without a parent and their rows.
+
+    Values are counted first, so the anti join sees each value once however often it occurs.
+    """
+    values = source[fk.table].where(_q(fk.column).isNotNull()).groupBy(_q(fk.column).alias("k")).agg(F.expr("count(1) AS n"))
+    return values.join(source[fk.ref_table].select(_q(fk.ref_column).alias("k")), "k", "left_anti")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """A catalog-sized result (one row per column, key or foreign key) as a local relation.
 

@@ -51,9 +51,10 @@ def build_graph(
     """Nodes and edges of a source, lazily.
 
     ``mode='direct'`` names relationships after the tables; ``'enriched'`` uses the conceptual
-    model. An edge exists only if both its nodes do, so parents are looked up unless
-    ``evidence`` (``profile.fk_profile``) shows a foreign key without orphans, or
-    ``assume_complete`` says so for all.
+    model. An edge exists only if both its nodes do, so parents are looked up. With ``evidence``
+    (a materialized ``profile.fk_profile``) keys without orphans need no join, and the few orphans
+    of the others are broadcast; ``assume_complete`` skips the lookup for all. ``row_counts`` lets
+    a lookup in a big parent spread its hot keys.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
@@ -65,7 +66,8 @@ def build_graph(
     if mapping.tables_as_nodes is not None:
         entities = [t for t in entities if t in mapping.tables_as_nodes]
     planned = _plan_edges(source, mode, rule, mapping, evidence, labels, entities, junctions)
-    orphaned = _orphaned(source, evidence, assume_complete)
+    unproven, orphans = _unproven(source, evidence, assume_complete)
+    sizes = {"orphans": orphans, "row_counts": row_counts}
 
     enriched = mode == "enriched"
     nodes, carriers, edge_sets = {}, {}, {}
@@ -77,12 +79,11 @@ def build_graph(
         by_table.setdefault(e.fk.table, []).append(e)
     for t, types in by_table.items():
         if t in junctions:
-            edge_sets[t] = E.junction_edges(
-                source, t, types[0], names, check=any(fk.name in orphaned for fk in source.fks_of(t)), row_counts=row_counts
-            )
+            check = [fk for fk in source.fks_of(t) if fk.name in unproven]
+            edge_sets[t] = E.junction_edges(source, t, types[0], names, check=check, **sizes)
         else:
-            check = [e.fk for e in types if e.fk.name in orphaned]
-            edge_sets[t] = E.fk_edges(source, t, types, check=check, row_counts=row_counts)
+            check = [e.fk for e in types if e.fk.name in unproven]
+            edge_sets[t] = E.fk_edges(source, t, types, check=check, **sizes)
             carrier = _carrier(source, t, labels[t], names, enriched, [e.fk for e in types])
             carriers[labels[t]] = _with_derived(carrier, (derived or {}).get(t))
     model_labels = ND.label_table(source, entities, keep_foreign_keys=enriched)
@@ -103,13 +104,15 @@ def _carrier(source: Source, table: str, label: str, names, keep_fks: bool, fks:
     return ND.table_nodes(extended, table, label=label, names=all_names, keep_foreign_keys=keep_fks)
 
 
-def _orphaned(source: Source, evidence: DataFrame | None, assume_complete: bool) -> set[str]:
+def _unproven(source: Source, evidence: DataFrame | None, assume_complete: bool) -> tuple[set[str], dict[str, int]]:
+    """Foreign keys whose parents must be looked up, and the orphan values known of each."""
     if assume_complete:
-        return set()
+        return set(), {}
     names = {fk.name for fk in source.foreign_keys}
-    if evidence is not None:
-        names -= {r.fk_name for r in evidence.where("orphan_rows = 0").select("fk_name").collect()}
-    return names
+    if evidence is None:
+        return names, {}
+    known = {r.fk_name: r.orphan_values for r in evidence.select("fk_name", "orphan_values").collect()}
+    return {n for n in names if known.get(n) != 0}, known
 
 
 def _plan_edges(source, mode, rule, mapping, evidence, labels, entities, junctions) -> list[E.EdgeType]:

@@ -9,9 +9,9 @@ from ..operators import checks as CK
 from ..operators import edges as E
 from ..operators import match as M
 from ..operators import nodes as ND
-from ..operators import semantics as S
+from ..operators import profile as P
 from ..sources import sinks
-from ..sources.source import Source, union_all
+from ..sources.source import Source
 from .build import GraphMapping, build_graph
 from .q_semantics import IN_TRADE, MEANING, rel
 from .sample import TRADE, sample_source
@@ -89,7 +89,7 @@ def junction_edges(spark: SparkSession, d: str) -> DataFrame:
     s = sample_source(spark, d, ["supplier", "part", "supplier_part"])
     g = build_graph(s)
     edge = next(e for e in g.edge_types if e.fk.table == "supplier_part")
-    return E.junction_edges(s, "supplier_part", edge, g.names, flat=True, check=True).drop("fk_name")
+    return E.junction_edges(s, "supplier_part", edge, g.names, flat=True, check=s.fks_of("supplier_part")).drop("fk_name")
 
 
 def matched_endpoints(spark: SparkSession, d: str) -> DataFrame:
@@ -118,13 +118,19 @@ def complete_edges(spark: SparkSession, d: str) -> DataFrame:
     return build_graph(s).edges.select("rel_type", "from_key", "to_key")
 
 
+def profiled_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The same through the profile: proven keys are not joined, orphans are broadcast."""
+    s = sample_source(spark, d, ["nation", "customer", "orders", "events"])
+    s = s.with_tables(customer=s["customer"].where(f"c_mktsegment = '{SEGMENT}'"))
+    g = build_graph(s, evidence=P.materialize(P.fk_profile(s)))
+    return g.edges.where("to_label = 'Customer'").select("rel_type", "from_key", "to_key")
+
+
 def nary_table(spark: SparkSession, d: str) -> DataFrame:
     """A table with three foreign keys stays a node and gives three edges per row."""
     g = _graph(spark, d)
     edges = g.edge_sets["lineitem"].groupBy("rel_type").count().selectExpr("rel_type AS name", "count AS n")
-    return g.nodes["Lineitem"].selectExpr("'Lineitem' AS name", "count(1) OVER () AS n").limit(0).unionByName(edges).unionByName(
-        M.node_counts(g, "Lineitem").selectExpr("label AS name", "n")
-    )
+    return M.node_counts(g, "Lineitem").selectExpr("label AS name", "n").unionByName(edges)
 
 
 def user_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -306,6 +312,7 @@ QUERIES = {
     "d6_spread_endpoints": spread_endpoints,
     "d6_dropped_edges": dropped_edges,
     "d6_complete_edges": complete_edges,
+    "d6_profiled_edges": profiled_edges,
     "d7_merged_nodes": merged_nodes,
     "d8_nary_table": nary_table,
     "d9_derived_property": derived_property,
@@ -389,6 +396,8 @@ ORACLES = {
     "d6_dropped_edges": f"{_ORDER_EDGE} WHERE o_custkey NOT IN {_SEGMENT_KEYS}",
     "d6_complete_edges": f"""{_ORDER_EDGE} WHERE o_custkey IN {_SEGMENT_KEYS}
         UNION ALL SELECT 'USED_BY', CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR) FROM events WHERE user_id IN {_SEGMENT_KEYS}""",
+    "d6_profiled_edges": f"""{_ORDER_EDGE} WHERE o_custkey IN {_SEGMENT_KEYS}
+        UNION ALL SELECT 'USED_BY', CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR) FROM events WHERE user_id IN {_SEGMENT_KEYS}""",
     "d7_merged_nodes": """
         SELECT doc_id AS "docId", 'Documents' || CASE WHEN labels.doc_id IS NULL THEN '' ELSE ':Labels' END
                || CASE WHEN toxic = 1 THEN ':FlaggedDocument' ELSE '' END AS labels, lang, n_chars AS "nChars", quality, toxic
