@@ -32,7 +32,7 @@ def _q(name: str) -> Column:
 def _approx_distinct(columns: Sequence[str]) -> str:
     """Estimated distinct count. One binary buffer per estimate, so many fit one aggregate."""
     names = ", ".join(quoted(c) for c in columns)
-    known = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns)
+    known = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns)  # a hash of null is a value
     return f"hll_sketch_estimate(hll_sketch_agg(CASE WHEN {known} THEN xxhash64({names}) END, {_SKETCH_SIZE}))"
 
 
@@ -237,26 +237,31 @@ def _family(data_type: T.DataType) -> str:
 def discover_foreign_keys(source: Source) -> list[ForeignKey]:
     """Foreign keys found in the data: same name stem, value range inside, every value contained.
 
-    Dense numbers are contained in each other by chance, so a shared key name is required;
-    anything else has to be declared. The range test uses one statistics pass, and only what
+    Dense numbers are contained in each other by chance, so a shared key name is required
+    (``o_custkey`` -> ``c_custkey``, ``user_id`` -> ``users.id``); anything else has to be declared. The range test uses one statistics pass, and only what
     passes it is compared value by value.
     """
     parents = {t: k[0] for t, k in source.primary_keys.items() if len(k) == 1 and t in source.tables}
     wanted = {t: [k] for t, k in parents.items()}
     columns = source.cat_columns().selectExpr("table_name", "column_name", f"{name_stem('column_name')} AS stem").collect()
-    stems: dict[str, list[tuple[str, str]]] = {}
+    by_name: dict[str, list[tuple[str, str]]] = {}
+    stem_of = {}
     for r in columns:
-        stems.setdefault(r.stem, []).append((r.table_name, r.column_name))
+        stem_of[r.table_name, r.column_name] = r.stem
+        for name in {r.stem, r.column_name.lower()}:
+            by_name.setdefault(name, []).append((r.table_name, r.column_name))
     pairs = []
-    for members in stems.values():
-        for parent in [m for m in members if parents.get(m[0]) == m[1]]:
-            for child in members:
-                kinds = {_family(source[t].schema[c].dataType) for t, c in (parent, child)}
-                if child[0] != parent[0] and len(kinds) == 1:
-                    pairs.append((child, parent))
-                    wanted.setdefault(child[0], [])
-                    if child[1] not in wanted[child[0]]:
-                        wanted[child[0]].append(child[1])
+    for table, key in parents.items():
+        stem = stem_of[table, key]
+        # A bare `id` says nothing, so the child has to name the table: `user_id` -> `users.id`.
+        names = {stem} if stem != "id" else {f"{table.lower()}_id", f"{table.lower().removesuffix('s')}_id"}
+        for child in dict.fromkeys(c for n in sorted(names) for c in by_name.get(n, [])):
+            kinds = {_family(source[t].schema[c].dataType) for t, c in ((table, key), child)}
+            if child[0] != table and len(kinds) == 1:
+                pairs.append((child, (table, key)))
+                wanted.setdefault(child[0], [])
+                if child[1] not in wanted[child[0]]:
+                    wanted[child[0]].append(child[1])
     if not pairs:
         return []
     stats = {
