@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import node_label
+from ..functions.values import literal
 from ..graph import Graph
 from ..sources.source import ForeignKey, Source, union_all
 from .edges import missing_endpoints
@@ -109,17 +110,27 @@ def relationship_counts(graph: Graph) -> DataFrame:
 
 
 def missing_nodes(graph: Graph) -> DataFrame:
-    """Edges whose source or target node is missing: ``(rel_type, from_label, to_label, missing, n)``."""
-    def lost(edges: DataFrame, label: str, end: str) -> DataFrame:
-        found = missing_endpoints(edges, graph.nodes[label], end)
-        return found.select("rel_type", "from_label", "to_label", F.lit(end).alias("missing"))
+    """Edges whose source or target node is missing: ``(rel_type, from_label, to_label, missing, n)``.
 
+    The targets of a type are counted per key before they are looked up, so a hub costs one row
+    per task and the lookup reuses the shuffle of the count.
+    """
+    keys = ["rel_type", "from_label", "to_label"]
     found = []
-    for edges, from_label in {e.fk.table: (graph.edge_sets[e.fk.table], e.from_label) for e in graph.edge_types}.values():
-        found.append(lost(edges, from_label, "from"))  # all types of a table start at the same nodes
+    for table, label in {e.fk.table: e.from_label for e in graph.edge_types}.items():
+        # All types of a table start at the same nodes.
+        lost = missing_endpoints(graph.edge_sets[table], graph.nodes[label], "from")
+        found.append(lost.groupBy(*keys).agg(_n()).withColumn("missing", F.lit("from")))
     for e in graph.edge_types:
-        found.append(lost(graph.edge_sets[e.fk.table].where(F.col("fk_name") == e.fk.name), e.to_label, "to"))
-    return union_all(found).groupBy("rel_type", "from_label", "to_label", "missing").agg(_n())
+        edges = graph.edge_sets[e.fk.table].where(F.col("fk_name") == e.fk.name)
+        lost = missing_endpoints(edges.groupBy("to_key").agg(_n()), graph.nodes[e.to_label], "to")
+        found.append(
+            lost.selectExpr(
+                f"{literal(e.rel_type)} AS rel_type", f"{literal(e.from_label)} AS from_label",
+                f"{literal(e.to_label)} AS to_label", "n", "'to' AS missing",
+            )
+        )
+    return union_all(found).groupBy(*keys, "missing").agg(F.sum("n").alias("n"))
 
 
 def duplicate_keys(nodes: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:

@@ -9,6 +9,7 @@ Each step takes what the one before it found, so nothing is profiled twice:
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ from ..sources import sinks
 from ..sources.source import Source
 from .build import GraphMapping, build_graph
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Analysis:
@@ -31,18 +34,32 @@ class Analysis:
     evidence: DataFrame
 
 
+def readable(source: Source) -> tuple[Source, dict[str, int]]:
+    """The tables that can be read, with their row counts; the others are logged and left out."""
+    try:
+        return source, {r.table_name: r.row_count for r in source.row_counts().collect()}
+    except Exception:  # one bad table fails the common job; find out which
+        counts = {}
+        for name, df in source.tables.items():
+            try:
+                counts[name] = df.count()
+            except Exception as error:
+                log.error("table %s cannot be read and is skipped: %s", name, error)
+        return source.only(counts), counts
+
+
 def analyze(source: Source, *, discover: bool = False, max_arity: int = 3) -> Analysis:
-    """Count the tables and profile the foreign keys.
+    """Count the tables and profile the foreign keys; a table that fails is logged and skipped.
 
     ``discover`` looks for primary and foreign keys where none are declared. What is kept on the
     driver is one row per table and per foreign key.
     """
+    source, counts = readable(source)
     if discover:
         source = replace(source, primary_keys=P.discover_primary_keys(source, max_arity=max_arity))
         declared = {(fk.table, fk.column) for fk in source.foreign_keys}
         found = [fk for fk in P.discover_foreign_keys(source) if (fk.table, fk.column) not in declared]
         source = replace(source, foreign_keys=(*source.foreign_keys, *found))
-    counts = {r.table_name: r.row_count for r in source.row_counts().collect()}
     usable = [fk for fk in source.foreign_keys if fk.table in source.tables and fk.ref_table in source.tables]
     if not usable:
         raise ValueError("no foreign keys are declared or found")

@@ -78,7 +78,7 @@ def batches(df: DataFrame, key: Sequence[str], batch_size: int = 1000, **options
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
     numbered = with_row_number(df, key, **options)
-    return numbered.withColumn("batch_id", F.floor(F.col("row_number") / batch_size)).drop("row_number")
+    return numbered.withColumn("batch_id", F.expr(f"row_number div {int(batch_size)}")).drop("row_number")
 
 
 def page(

@@ -8,8 +8,11 @@ rerun would write again, which makes loads idempotent.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,20 +32,35 @@ def scratch_folder(spark: SparkSession) -> str:
     return shared_folder(spark, uuid.uuid4().hex)
 
 
-def write_nodes(nodes: dict[str, DataFrame], path: str, *, clear: bool = False, sort_by: dict | None = None) -> None:
+def write_nodes(
+    nodes: Mapping[str, DataFrame],
+    path: str,
+    *,
+    clear: bool = False,
+    sort_by: Mapping[str, Sequence[str]] | None = None,
+    parallel: int = 4,
+) -> None:
     """One Parquet dataset per label, laid out as a partition directory ``label=<Label>``.
 
-    Appends by default; ``clear`` replaces the label. ``sort_by`` maps a label to the properties
+    Appends by default; ``clear`` replaces the label. Labels do not depend on each other, so
+    ``parallel`` of them are written at a time. ``sort_by`` maps a label to the properties
     that lookups use: rows are range-partitioned and sorted on them, so a lookup skips files and
     row groups by their min/max. The node key breaks ties, so a value that fills a third of the
     rows still spreads over many files.
     """
-    for label, df in nodes.items():
-        by = (sort_by or {}).get(label)
+    if not nodes:
+        return
+
+    @inheritable_thread_target(next(iter(nodes.values())).sparkSession)
+    def write(label: str) -> None:
+        df, by = nodes[label], (sort_by or {}).get(label)
         if by:
             df = df.repartitionByRange(*by, "node_key").sortWithinPartitions(*by, "node_key")
         df.write.mode("overwrite" if clear else "append").parquet(f"{path}/label={label}")
 
+    with ThreadPoolExecutor(parallel) as pool:
+        list(pool.map(write, nodes))
+
 
 def write_edges(edges: DataFrame, path: str, *, clear: bool = False) -> None:
     """Edges partitioned by type; ``clear`` replaces only the types that are written."""

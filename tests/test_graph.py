@@ -183,3 +183,19 @@ def test_analyze_discovers_and_migrates(blog):
     assert found.row_counts == {"users": 3, "posts": 3, "tags": 2, "post_tags": 3}
     g = migrate(found)
     assert {e.rel_type for e in g.edge_types} == {"USED_BY", "POST_TAGS"} and len(edges(g)) == 6
+
+
+def test_a_broken_table_is_skipped(blog, spark, tmp_path, caplog):
+    spark.range(5).write.parquet(str(tmp_path / "gone"))
+    gone = spark.read.parquet(str(tmp_path / "gone"))
+    for f in (tmp_path / "gone").glob("part-*"):
+        f.write_bytes(b"no parquet")
+    found = analyze(blog.with_tables(gone=gone))
+    assert "gone" not in found.source.tables and found.row_counts["users"] == 3
+    assert "gone" in caplog.text
+
+
+def test_loose_rule_builds(blog, people):
+    g = build_graph(people, rule="as_coded")
+    assert {e.fk.name: e.rel_type for e in g.edge_types}["item_order"] == "IS_A_ORDER"
+    assert {e.rel_type for e in build_graph(blog, rule="as_coded").edge_types} == {"USED_BY", "POST_TAGS"}
