@@ -67,7 +67,8 @@ def with_existing_parents(
         else:
             parent = source[fk.ref_table].select(_q(fk.ref_column).alias(mark))
             if (row_counts or {}).get(fk.ref_table, 0) * _ROW_BYTES > limit:
-                df = hub_join(df, parent, fk.column, mark, how="left", hot_rows=hot_rows)
+                hot = hot_keys(source[fk.table], fk.column, hot_rows)
+                df = hub_join(df, parent, fk.column, mark, how="left", hot=hot)
             else:
                 df = df.join(parent, _q(fk.column) == F.col(mark), "left")
             keep = F.col(mark).isNotNull()
@@ -158,6 +159,15 @@ def junction_edges(
 # -- joining edges to nodes -------------------------------------------------------------------
 
 
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(_hot, _parts)``: keys with at least ``hot_rows`` rows and the parts they are cut into.
+
+    Counted on the map side; there are at most ``rows / hot_rows`` such keys.
+    """
+    counts = df.where(_q(key).isNotNull()).groupBy(_q(key).alias("_hot")).agg(F.expr("count(1) AS _n"))
+    return counts.where(F.col("_n") >= hot_rows).select("_hot", F.expr(f"CAST(ceil(_n / {hot_rows}) AS INT) AS _parts"))
+
+
 def hub_join(
     big: DataFrame,
     small: DataFrame,
@@ -166,37 +176,31 @@ def hub_join(
     *,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that spreads the hot keys of ``big``; same result as a plain join.
 
-    The two sides must not share column names.
-
-    Keys with at least ``hot_rows`` rows are counted (map-side combined). There are at most
-    ``rows / hot_rows`` of them, so that list may be broadcast. Each hot key is cut into
+    The two sides must not share column names. The list of hot keys has at most
+    ``rows / hot_rows`` entries, so it may be broadcast. Each hot key is cut into
     ``ceil(rows of the key / hot_rows)`` parts by a hash of the row; ``small`` repeats its hot
     rows once per part, which adds at most ``2 * rows / hot_rows`` copies of each. Everything
     else is joined as it is. The salt is a hash, not a random number, so a task that runs again
     gives the same rows.
+
+    ``hot`` (from ``hot_keys``) saves finding the hot keys in ``big`` when that is itself the
+    result of joins; any list gives the right result.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"hub_join does not support {how}")
-    hot = (
-        big.where(_q(big_key).isNotNull())
-        .groupBy(_q(big_key).alias("_hot"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= hot_rows)
-        .select("_hot", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
-    )
-    row_hash = F.xxhash64(*[_q(c) for c in big.columns if c != big_key] or [_q(big_key)])
-    left = (
-        big.join(F.broadcast(hot), _q(big_key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(row_hash, F.col("_parts"))).cast("int"))
-        .drop("_hot", "_parts")
+    if hot is None:
+        hot = hot_keys(big, big_key, hot_rows)
+    others = [quoted(c) for c in big.columns if c != big_key] or [quoted(big_key)]
+    salt = f"CAST(CASE WHEN _parts IS NULL THEN 0 ELSE pmod(xxhash64({', '.join(others)}), _parts) END AS INT) AS _salt"
+    left = big.join(F.broadcast(hot), _q(big_key) == F.col("_hot"), "left").selectExpr(
+        *[quoted(c) for c in big.columns], salt
     )
-    right = (
-        small.join(F.broadcast(hot), _q(small_key) == F.col("_hot"), "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0)))))
-        .drop("_hot", "_parts")
+    right = small.join(F.broadcast(hot), _q(small_key) == F.col("_hot"), "left").selectExpr(
+        *[quoted(c) for c in small.columns], "explode(sequence(0, coalesce(_parts, 1) - 1)) AS _part"
     )
     same = (_q(big_key) == _q(small_key)) & (F.col("_salt") == F.col("_part"))
     return left.join(right, same, how).drop("_salt", "_part")
@@ -214,7 +218,8 @@ def match_endpoints(
     b = to_nodes.select(F.col("node_key").alias("_to"))
     if spread:
         half = hub_join(edges, a, "from_key", "_from", hot_rows=hot_rows)
-        return hub_join(half, b, "to_key", "_to", hot_rows=hot_rows).drop("_from", "_to")
+        hubs = hot_keys(edges, "to_key", hot_rows)
+        return hub_join(half, b, "to_key", "_to", hot=hubs).drop("_from", "_to")
     return (
         edges.join(a, edges["from_key"] == a["_from"])
         .join(b, edges["to_key"] == b["_to"])
