@@ -2,7 +2,7 @@
 
 from .graph import Graph
 from .operators.match import collect_over_hub, match, node, step
-from .plans.build import GraphMapping, build_graph
+from .plans.build import GraphMapping, build_graph, merge_inheritance
 from .plans.pipeline import Analysis, analyze, enrich, migrate, validate
 from .sources.source import ForeignKey, Source
 
@@ -17,6 +17,7 @@ __all__ = [
     "collect_over_hub",
     "enrich",
     "match",
+    "merge_inheritance",
     "migrate",
     "node",
     "step",

@@ -64,15 +64,23 @@ def property_count(df: DataFrame) -> Column:
 
 
 def merge_subclass(
-    parent: DataFrame, child: DataFrame, *, parent_key: str, child_key: str, child_label: str
+    parent: DataFrame,
+    child: DataFrame,
+    *,
+    parent_key: str,
+    child_key: str,
+    child_label: str,
+    keep_orphans: bool = True,
 ) -> DataFrame:
     """Superclass and subclass rows as one node with both labels.
 
-    ``labels`` grows by the subclass label where a row takes part. A subclass property whose
-    name the superclass already has gets the subclass label as prefix. Both keys are unique, so
-    the join keeps one row per superclass row whatever the skew.
+    ``labels`` grows by the subclass label where a row takes part. A subclass property whose name
+    the superclass already has gets the subclass label as prefix. A subclass row without its
+    superclass row stays a node of its own; where there is none (a foreign key without orphans),
+    ``keep_orphans=False`` allows the cheaper left join. Keys are unique on both sides, so no row
+    can have many partners.
     """
-    labels = F.col("labels") if "labels" in parent.columns else F.array("label")
+    old = "labels" if "labels" in parent.columns else "CASE WHEN label IS NOT NULL THEN array(label) END"
     taken = set(parent.columns)
     extra = []
     for c in child.columns:
@@ -80,11 +88,17 @@ def merge_subclass(
             continue
         name = f"{child_label[:1].lower()}{child_label[1:]}{c[:1].upper()}{c[1:]}" if c in taken else c
         extra.append((c, name))
-    sub = child.select(F.col(child_key).alias("_sub_key"), *[F.col(c).alias(f"_sub_{n}") for c, n in extra])
-    joined = parent.join(sub, parent[parent_key] == sub["_sub_key"], "left")
-    kept = [c for c in parent.columns if c not in ("label", "labels")]
-    merged = F.array_compact(F.concat(labels, F.array(F.when(F.col("_sub_key").isNotNull(), F.lit(child_label)))))
-    return joined.select(*kept, merged.alias("labels"), *[F.col(f"_sub_{n}").alias(n) for _, n in extra])
+    sub = child.selectExpr(
+        f"{quoted(child_key)} AS _sub_key", "node_key AS _sub_node_key", *[f"{quoted(c)} AS `_sub_{n}`" for c, n in extra]
+    )
+    how = "full_outer" if keep_orphans else "left"
+    joined = parent.join(sub, F.col(f"`{parent_key}`") == F.col("_sub_key"), how)
+    whole = {"node_key": "coalesce(node_key, _sub_node_key)", parent_key: f"coalesce({quoted(parent_key)}, _sub_key)"}
+    kept = [f"{whole.get(c, quoted(c))} AS {quoted(c)}" for c in parent.columns if c not in ("label", "labels")]
+    added = f"CASE WHEN _sub_key IS NOT NULL THEN array({literal(child_label)}) ELSE array() END"
+    return joined.selectExpr(
+        *kept, f"concat(coalesce({old}, array()), {added}) AS labels", *[f"`_sub_{n}` AS {quoted(n)}" for _, n in extra]
+    )
 
 
 def derive_property(df: DataFrame, name: str, value: Column | str) -> DataFrame:

@@ -59,10 +59,12 @@ def _table_stats(table: str, df: DataFrame, distinct: bool) -> DataFrame:
         if isinstance(f.dataType, T.StringType):
             aggs.append(f"max(length({c})) AS len{i}")
             length = f"len{i}"
+        precision, scale = (f.dataType.precision, f.dataType.scale) if isinstance(f.dataType, T.DecimalType) else ("NULL", "NULL")
         rows.append(
             f"struct({literal(f.name)} AS column_name, {i + 1} AS ordinal, {literal(f.dataType.simpleString())} AS sql_type, "
             f"n AS row_count, n - c{i} AS null_count, CAST({ndv} AS BIGINT) AS approx_ndv, "
-            f"CAST({lo} AS STRING) AS min_value, CAST({hi} AS STRING) AS max_value, CAST({length} AS BIGINT) AS max_length)"
+            f"CAST({lo} AS STRING) AS min_value, CAST({hi} AS STRING) AS max_value, CAST({length} AS BIGINT) AS max_length, "
+            f"CAST({precision} AS INT) AS precision, CAST({scale} AS INT) AS scale)"
         )
     return df.selectExpr(*aggs).selectExpr(f"{literal(table)} AS table_name", f"inline(array({', '.join(rows)}))")
 

@@ -227,6 +227,14 @@ def hierarchies(model: ConceptualModel) -> DataFrame:
     )
 
 
+def hierarchy_groups(model: ConceptualModel) -> DataFrame:
+    """``(root, members)``: all tables below a root, the root first, then by depth and name."""
+    return model.source.spark.sql(
+        "SELECT root, array_sort(collect_set(struct(depth, member))).member AS members FROM {chains} GROUP BY root",
+        chains=hierarchies(model),
+    )
+
+
 def weak_groups(model: ConceptualModel) -> DataFrame:
     """``(owner, weak_tables)``: every owner of every weak entity, names sorted."""
     return model.source.spark.sql(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import naming as N
+from ..functions.values import literal
 from ..graph import Graph
 from ..operators import edges as E
 from ..operators import nodes as ND
@@ -159,3 +160,65 @@ def _plan_edges(source, mode, rule, mapping, evidence, labels, entities, junctio
                 semantics = "ASSOCIATION" if mode == "enriched" else None
                 planned.append(E.EdgeType(edge, rel, labels[a.ref_table], labels[b.ref_table], many, semantics))
     return planned
+
+
+def merge_inheritance(graph: Graph, *, evidence: DataFrame | None = None) -> Graph:
+    """The graph with every subclass folded into its root: one node, several labels.
+
+    IS-A edges disappear, all others now start and end at the root's label. A subclass shares the
+    key of its superclass, so node keys stay what they were.
+    """
+    isa: dict[str, E.EdgeType] = {}
+    for e in graph.edge_types:
+        if e.semantics == "INHERITANCE":
+            isa.setdefault(e.from_label, e)
+    complete = set()
+    if evidence is not None:
+        complete = {r.fk_name for r in evidence.where("orphan_values = 0").select("fk_name").collect()}
+
+    def root_of(label: str) -> str:
+        seen = set()
+        while label in isa and label not in seen:
+            seen.add(label)
+            label = isa[label].to_label
+        return label
+
+    def depth_of(label: str) -> int:
+        depth, seen = 0, set()
+        while label in isa and label not in seen:
+            seen.add(label)
+            label, depth = isa[label].to_label, depth + 1
+        return depth
+
+    roots = {label: root_of(label) for label in graph.nodes}
+    subs = sorted((label for label in graph.nodes if roots[label] != label and roots[label] not in isa), key=depth_of)
+    nodes, key_of = dict(graph.nodes), {}
+    for sub in subs:
+        e, root = isa[sub], roots[sub]
+        key_of.setdefault(root, graph.names[e.fk.ref_table, e.fk.ref_column])
+        nodes[root] = ND.merge_subclass(
+            nodes[root],
+            nodes.pop(sub),
+            parent_key=key_of[root],
+            child_key=graph.names[e.fk.table, e.fk.column],
+            child_label=sub,
+            keep_orphans=e.fk.name not in complete,
+        )
+    gone = {isa[sub].fk.name for sub in subs}
+    moved = {sub: roots[sub] for sub in subs}
+    types = tuple(
+        replace(e, from_label=moved.get(e.from_label, e.from_label), to_label=moved.get(e.to_label, e.to_label))
+        for e in graph.edge_types
+        if e.fk.name not in gone
+    )
+    edge_sets = {t: _relabel(df, moved, gone) for t, df in graph.edge_sets.items()} if moved else dict(graph.edge_sets)
+    touched = {*moved, *moved.values()}
+    carriers = {label: df for label, df in graph.carriers.items() if label not in touched}
+    return replace(graph, nodes=nodes, edge_sets=edge_sets, edge_types=types, carriers=carriers)
+
+
+def _relabel(edges: DataFrame, moved: Mapping[str, str], gone: set[str]) -> DataFrame:
+    new = N.text_map(dict(moved))
+    return edges.where(f"fk_name IS NULL OR fk_name NOT IN ({', '.join(literal(n) for n in gone)})").withColumns(
+        {c: F.expr(f"coalesce(try_element_at({new}, {c}), {c})") for c in ("from_label", "to_label")}
+    )

@@ -12,7 +12,7 @@ from ..operators import nodes as ND
 from ..operators import profile as P
 from ..sources import sinks
 from ..sources.source import Source
-from .build import GraphMapping, build_graph
+from .build import GraphMapping, build_graph, merge_inheritance
 from .q_semantics import IN_TRADE, MEANING, rel
 from .sample import TRADE, sample_source
 
@@ -69,6 +69,13 @@ def merged_nodes(spark: SparkSession, d: str) -> DataFrame:
     return merged.selectExpr("docId", "array_join(labels, ':') AS labels", "lang", "nChars", "quality", "toxic")
 
 
+def merged_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a whole graph: label sets and edge types that are left."""
+    g = merge_inheritance(_graph(spark, d, ["documents", "labels", "flagged_document", "conversation", "conversations"]))
+    nodes = g.nodes["Documents"].selectExpr("array_join(labels, ':') AS name").groupBy("name").count()
+    return nodes.unionByName(g.edges.selectExpr("rel_type AS name").groupBy("name").count()).withColumnRenamed("count", "n")
+
+
 def derived_property(spark: SparkSession, d: str) -> DataFrame:
     g = _graph(spark, d, ["customer"], derived={"customer": {"fullName": "concat(cName, ' of ', cMktsegment)"}})
     return g.nodes["Customer"].select("node_key", "fullName")
@@ -314,6 +321,7 @@ QUERIES = {
     "d6_complete_edges": complete_edges,
     "d6_profiled_edges": profiled_edges,
     "d7_merged_nodes": merged_nodes,
+    "d7_merged_graph": merged_graph,
     "d8_nary_table": nary_table,
     "d9_derived_property": derived_property,
     "d10_user_edges": user_edges,
@@ -402,6 +410,11 @@ ORACLES = {
         SELECT doc_id AS "docId", 'Documents' || CASE WHEN labels.doc_id IS NULL THEN '' ELSE ':Labels' END
                || CASE WHEN toxic = 1 THEN ':FlaggedDocument' ELSE '' END AS labels, lang, n_chars AS "nChars", quality, toxic
         FROM documents LEFT JOIN labels USING (doc_id)""",
+    "d7_merged_graph": """
+        SELECT 'Documents' || CASE WHEN labels.doc_id IS NULL THEN '' ELSE ':Labels' END
+               || CASE WHEN toxic = 1 THEN ':FlaggedDocument' ELSE '' END AS name, count(*) AS n
+        FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1
+        UNION ALL SELECT 'PART_OF_CONVERSATION', count(*) FROM conversations""",
     "d8_nary_table": _union(
         f"SELECT '{n}' AS name, count(*) AS n FROM lineitem" for n in ("Lineitem", "PART_OF_ORDERS", "PART_OF_PART", "PART_OF_SUPPLIER")
     ),

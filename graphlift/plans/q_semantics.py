@@ -56,6 +56,13 @@ def hierarchies(spark: SparkSession, d: str) -> DataFrame:
     return chains.join(counts, "member").selectExpr("root", "member", "CAST(depth AS BIGINT) AS depth", "path", "row_count")
 
 
+def hierarchy_groups(spark: SparkSession, d: str) -> DataFrame:
+    s = sample_source(spark, d, EVERYTHING)
+    counts = s.row_counts().withColumnRenamed("table_name", "root").withColumnRenamed("row_count", "root_rows")
+    groups = S.hierarchy_groups(S.enrich(s)).join(counts, "root")
+    return groups.selectExpr("root", "array_join(members, ',') AS members", "root_rows")
+
+
 def weak_entities(spark: SparkSession, d: str) -> DataFrame:
     """Every owner of every weak entity with the members that the rows show per owner."""
     s = sample_source(spark, d, EVERYTHING)
@@ -221,6 +228,7 @@ QUERIES = {
     "c1_inheritance": _inheritance("shared_key"),
     "c1_inheritance_loose": _inheritance("as_coded"),
     "c2_hierarchies": hierarchies,
+    "c2_hierarchy_groups": hierarchy_groups,
     "c3_weak_entities": weak_entities,
     "c3_weak_groups": weak_groups,
     "c4_aggregation": aggregation,
@@ -340,6 +348,8 @@ ORACLES = {
              ("flagged_document", "documents > labels > flagged_document"))
         )
     ),
+    "c2_hierarchy_groups": """
+        SELECT 'documents' AS root, 'documents,labels,flagged_document' AS members, count(*) AS root_rows FROM documents""",
     "c3_weak_entities": _union(
         f"SELECT '{t}' AS weak_table, '{rt}' AS owner, {'true' if rt in ('orders', 'conversation') else 'false'} AS is_primary_owner, "
         f"{_big(f'SELECT count(*) FROM {rel(t)}')} AS child_rows, max(n) AS max_children, count(*) AS owners_in_use "

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphlift import GraphMapping, analyze, build_graph, migrate
+from graphlift import GraphMapping, analyze, build_graph, match, merge_inheritance, migrate, node, step
 from graphlift.operators import edges as E
 from graphlift.operators import nodes as ND
 from graphlift.operators import profile as P
@@ -115,6 +115,27 @@ def test_merge_three_levels(people):
     }
 
 
+@pytest.mark.parametrize("with_evidence", [False, True])
+def test_merge_inheritance(people, with_evidence):
+    lonely = people["customer"].unionByName(people.spark.range(1).selectExpr("99L AS person_id", "1L AS points"))
+    s = people.with_tables(customer=lonely)
+    evidence = P.materialize(P.fk_profile(s)) if with_evidence else None
+    g = merge_inheritance(build_graph(s, evidence=evidence), evidence=evidence)
+    assert set(g.nodes) == {"Person", "UserProfile", "Order", "OrderItem"}
+    got = {r.node_key: (sorted(r.labels), r.personId, r.points) for r in g.nodes["Person"].collect()}
+    assert got == {
+        "1": (["Employee", "Manager", "Person"], 1, None),
+        "2": (["Employee", "Person"], 2, None),
+        "3": (["Customer", "Person"], 3, 9),
+        "99": (["Customer"], 99, 1),
+    }
+    assert {(e.rel_type, e.from_label, e.to_label) for e in g.edge_types} == {
+        ("USED_BY", "UserProfile", "Person"), ("PURCHASED_BY", "Order", "Person"), ("PART_OF_ORDER", "OrderItem", "Order"),
+    }
+    found = match(g, [node("o", "Order"), step("PURCHASED_BY"), node("p", "Person")], returns={"o": "o.orderId", "n": "p.name"})
+    assert sorted(map(tuple, found.collect())) == [(1, "C"), (2, "C")]
+
+
 def test_property_map_strips_nulls(blog):
     df = build_graph(blog).nodes["Posts"]
     maps = {r.node_key: r.properties for r in ND.property_map(df).collect()}

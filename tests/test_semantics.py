@@ -74,6 +74,7 @@ def test_inheritance_and_weak(people):
     chains = {(r.root, r.member, r.depth) for r in S.hierarchies(m).collect()}
     assert chains == {("person", "person", 0), ("person", "employee", 1), ("person", "customer", 1), ("person", "manager", 2)}
     assert [(r.owner, r.weak_tables) for r in S.weak_groups(m).collect()] == [("order", ["order_item"])]
+    assert [tuple(r) for r in S.hierarchy_groups(m).collect()] == [("person", ["person", "customer", "employee", "manager"])]
 
 
 def test_as_coded_turns_weak_into_subclass(people):
