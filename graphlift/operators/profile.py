@@ -273,7 +273,7 @@ def discover_foreign_keys(source: Source) -> list[ForeignKey]:
         ).collect()
     }
     fks = [
-        ForeignKey(f"fk_{c[0]}_{c[1]}", c[0], c[1], p[0], p[1])
+        ForeignKey(f"{c[0]}_{c[1]}_{p[0]}", c[0], c[1], p[0], p[1])
         for c, p in pairs
         if _inside(stats[c], stats[p], source[c[0]].schema[c[1]].dataType)
     ]
@@ -281,7 +281,19 @@ def discover_foreign_keys(source: Source) -> list[ForeignKey]:
         return []
     orphans = fk_profile(source, fks).where("orphan_rows = 0 AND non_null_rows > 0").select("fk_name").collect()
     names = {r.fk_name for r in orphans}
-    return [fk for fk in fks if fk.name in names]
+    return _direct_only([fk for fk in fks if fk.name in names])
+
+
+def _direct_only(fks: list[ForeignKey]) -> list[ForeignKey]:
+    """Without the keys that two others imply: a -> c goes if a -> b and b -> c hold on the same columns."""
+    kept = {(fk.table, fk.column, fk.ref_table, fk.ref_column): fk for fk in fks}
+    for a in fks:
+        for b in fks:
+            first = (a.table, a.column, b.table, b.column)
+            second = (b.table, b.column, a.ref_table, a.ref_column)
+            if len({a.table, b.table, a.ref_table}) == 3 and first in kept and second in kept:
+                kept.pop((a.table, a.column, a.ref_table, a.ref_column), None)
+    return list(kept.values())
 
 
 def _inside(child, parent, data_type: T.DataType) -> bool:

@@ -107,23 +107,17 @@ def csv_staging(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clear_target(spark: SparkSession, d: str) -> DataFrame:
-    """Loads twice without and once with clearing: counts after each."""
+    """Two loads into each of two targets: one appends, the other is cleared first."""
     g, path = _written(spark, d)
-    seen = []
-    for i, clear in enumerate((False, False, True)):
-        target = f"{path}/{'append' if i < 2 else 'replace'}"
-        sinks.write_nodes({"Customer": g.nodes["Customer"]}, f"{target}/nodes", clear=clear)
-        sinks.write_edges(g.edges, f"{target}/edges", clear=clear)
-    sinks.write_nodes({"Customer": g.nodes["Customer"]}, f"{path}/replace/nodes", clear=True)
-    sinks.write_edges(g.edges, f"{path}/replace/edges", clear=True)
-    for name in ("append", "replace"):
-        nodes = sinks.read_nodes(spark, f"{path}/{name}/nodes", "Customer").agg(F.count(F.lit(1)).alias("nodes"))
-        edges = sinks.read_edges(spark, f"{path}/{name}/edges").agg(F.count(F.lit(1)).alias("edges"))
-        seen.append(
-            nodes.select(F.lit(name).alias("target"), F.lit("nodes").alias("what"), F.col("nodes").alias("n"))
-            .unionByName(edges.select(F.lit(name).alias("target"), F.lit("edges").alias("what"), F.col("edges").alias("n")))
-        )
-    return union_all(seen)
+    found = []
+    for name, clear in (("append", False), ("replace", True)):
+        nodes, edges = f"{path}/{name}/nodes", f"{path}/{name}/edges"
+        for _ in range(2):
+            sinks.write_nodes({"Customer": g.nodes["Customer"]}, nodes, clear=clear)
+            sinks.write_edges(g.edges, edges, clear=clear)
+        for what, df in (("nodes", sinks.read_nodes(spark, nodes, "Customer")), ("edges", sinks.read_edges(spark, edges))):
+            found.append(df.selectExpr("count(1) AS n").selectExpr(f"'{name}' AS target", f"'{what}' AS what", "n"))
+    return union_all(found)
 
 
 def json_export(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ rerun would write again, which makes loads idempotent.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -21,10 +22,15 @@ from ..operators.edges import EDGE_COLUMNS
 
 
 def shared_folder(spark: SparkSession, *parts: str) -> str:
-    """Folder on storage that every executor sees: below ``spark.checkpoint.dir``."""
+    """Folder on storage that every executor sees: below ``spark.checkpoint.dir``.
+
+    Only a session whose executors are threads of this machine may go without that setting.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
     return "/".join([base.rstrip("/"), "graphlift", *parts])
 
 

@@ -73,6 +73,17 @@ def test_foreign_keys_need_name_and_containment(spark):
     assert [(fk.table, fk.column, fk.ref_table) for fk in P.discover_foreign_keys(s)] == [("b", "b_key", "a")]
 
 
+def test_only_direct_foreign_keys_are_kept(people, spark):
+    """manager -> employee -> person on the same column: manager -> person is implied."""
+    names = ["person", "employee", "manager"]
+    s = Source(spark, {t: people[t] for t in names}, primary_keys={t: ("person_id",) for t in names})
+    found = {(fk.table, fk.ref_table) for fk in P.discover_foreign_keys(s)}
+    assert found == {("employee", "person"), ("manager", "employee")}
+    same = {t: people["person"].select("person_id") for t in names}
+    left = P.discover_foreign_keys(Source(spark, same, primary_keys={t: ("person_id",) for t in names}))
+    assert {fk.table for fk in left} == set(names)  # equal tables: a ring is left, not nothing
+
+
 def test_foreign_keys_of_blog(blog):
     s = Source(blog.spark, blog.tables, primary_keys=blog.primary_keys)
     found = {(fk.table, fk.column, fk.ref_table) for fk in P.discover_foreign_keys(s)}

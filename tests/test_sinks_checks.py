@@ -2,7 +2,7 @@ from dataclasses import replace
 
 import pytest
 
-from graphlift import ForeignKey, analyze, build_graph, match, migrate, node, step, validate
+from graphlift import ForeignKey, Source, analyze, build_graph, match, migrate, node, step, validate
 from graphlift.operators import checks as CK
 from graphlift.operators import semantics as S
 from graphlift.sources import sinks
@@ -103,3 +103,33 @@ def test_source_summary(blog):
     r = CK.source_summary(blog).first()
     assert (r.total_tables, r.entity_tables, r.junction_tables, r.total_columns) == (4, 3, 1, 14)
     assert (r.total_foreign_keys, r.total_indexes, r.total_rows, r.tables_with_data) == (3, 2, 11, 4)
+
+
+def test_json_columns_survive_the_sinks(spark, folder):
+    """A JSON column is a value on the node, in Parquet and in CSV."""
+    df = spark.createDataFrame([(1, '{"k": 5}'), (2, "plain"), (3, None)], "id long, doc string")
+    s = Source(spark, {"t": df}, primary_keys={"t": ("id",)}, sql_types={("t", "doc"): "json"})
+    g = build_graph(s)
+    sinks.write_nodes(g.nodes, folder, clear=True)
+    back = sinks.read_nodes(spark, folder, "T").selectExpr("id", "try_variant_get(doc, '$.k', 'int') AS k", "to_json(doc) AS doc")
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == [(1, 5, '{"k":5}'), (2, None, '"plain"'), (3, None, None)]
+    sinks.write_csv(sinks.bulk_nodes(g.nodes["T"], "T"), f"{folder}/csv")
+    rows = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/csv").orderBy(":ID(T)").collect()
+    assert [r["doc"] for r in rows] == ['{"k":5}', '"plain"', None]
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://somewhere"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        sinks.shared_folder(Session())
+    Context.master = "local[2]"
+    assert sinks.shared_folder(Session(), "x").endswith("/graphlift/x")
