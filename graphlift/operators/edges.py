@@ -194,18 +194,34 @@ def hub_join(
         raise ValueError(f"hub_join does not support {how}")
     if hot is None:
         hot = hot_keys(big, big_key, hot_rows)
-    others = [quoted(c) for c in big.columns if c != big_key] or [quoted(big_key)]
-    salt = f"CAST(CASE WHEN _parts IS NULL THEN 0 ELSE pmod(xxhash64({', '.join(others)}), _parts) END AS INT) AS _salt"
-    left = big.join(F.broadcast(hot), _q(big_key) == F.col("_hot"), "left").selectExpr(
-        *[quoted(c) for c in big.columns], salt
-    )
-    right = small.join(F.broadcast(hot), _q(small_key) == F.col("_hot"), "left").selectExpr(
-        *[quoted(c) for c in small.columns], "explode(sequence(0, coalesce(_parts, 1) - 1)) AS _part"
-    )
+    left, right = with_salt(big, big_key, hot, "_salt"), with_parts(small, small_key, hot, "_part")
     same = (_q(big_key) == _q(small_key)) & (F.col("_salt") == F.col("_part"))
     return left.join(right, same, how).drop("_salt", "_part")
 
 
+def with_salt(big: DataFrame, key: str, hot: DataFrame, name: str, *, by: Sequence[str] | None = None) -> DataFrame:
+    """``big`` plus the part of its key that a row belongs to; 0 for keys that are not hot.
+
+    The part is a hash of the columns ``by``, which should differ between the rows of a key; by
+    default all that can be hashed.
+    """
+    if by is None:
+        plain = [f.name for f in big.schema.fields if not any(t in f.dataType.simpleString() for t in ("variant", "map<"))]
+        by = [c for c in plain if c != key] or [key]
+    part = f"pmod(xxhash64({', '.join(map(quoted, by))}), _parts)"
+    salt = f"CAST(CASE WHEN _parts IS NULL THEN 0 ELSE {part} END AS INT) AS {name}"
+    joined = big.join(F.broadcast(hot), _q(key) == F.col("_hot"), "left")
+    return joined.selectExpr(*[quoted(c) for c in big.columns], salt)
+
+
+def with_parts(small: DataFrame, key: str, hot: DataFrame, name: str) -> DataFrame:
+    """``small`` with a row per part of its key, numbered from 0."""
+    joined = small.join(F.broadcast(hot), _q(key) == F.col("_hot"), "left")
+    return joined.selectExpr(
+        *[quoted(c) for c in small.columns], f"explode(sequence(0, coalesce(_parts, 1) - 1)) AS {name}"
+    )
+
+
 def match_endpoints(
     edges: DataFrame, from_nodes: DataFrame, to_nodes: DataFrame, *, spread: bool = False, hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..graph import Graph
 from ..sources.source import union_all
+from .edges import HOT_ROWS, hot_keys, with_parts, with_salt
 
 
 @dataclass(frozen=True)
@@ -54,44 +55,65 @@ def match(
     returns: Mapping[str, str] | None = None,
     order_by: Sequence[str] = (),
     limit: int | None = None,
+    spread: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows of a path pattern.
 
     A step along a foreign key is joined through the key that the child node carries, typed and
     without touching an edge table. A named step, or one along a junction or user-defined type,
     goes through its edges. An edge is not used twice within a pattern, as paths require.
+
+    ``spread`` cuts the hubs of every step (nodes with at least ``hot_rows`` edges) into parts, for
+    node sets too big to broadcast whose hubs hold a large share of the edges. The result is the
+    same; without it Spark decides between broadcast, sort-merge and its own skew handling.
     """
     nodes, steps = list(pattern[0::2]), list(pattern[1::2])
     if len(nodes) != len(steps) + 1 or not all(isinstance(n, Node) for n in nodes):
         raise ValueError("a pattern alternates nodes and steps, nodes at both ends")
     carried = [_carried(graph, a, s, b) for a, s, b in zip(nodes, steps, nodes[1:])]
-    needs: dict[str, bool] = {n.var: False for n in nodes}
-    for way, (a, s, b) in zip(carried, zip(nodes, steps, nodes[1:])):
-        if way is not None:
-            needs[(a if s.direction == "out" else b).var] = True
+    carries = {(a if s.direction == "out" else b).var for a, s, b, way in zip(nodes, steps, nodes[1:], carried) if way}
+    frames = {n.var: (graph.carriers if n.var in carries else graph.nodes)[n.label] for n in nodes}
 
-    def frame(n: Node) -> DataFrame:
-        return (graph.carriers if needs[n.var] else graph.nodes)[n.label].alias(n.var)
-
-    df, used = frame(nodes[0]), []
+    joins, used, tests = [], [], []
     for i, (a, s, b, way) in enumerate(zip(nodes, steps, nodes[1:], carried)):
         child, parent = (a, b) if s.direction == "out" else (b, a)
         if way is not None:
-            fk_name, prop = way
-            df = df.join(frame(b), F.col(f"{child.var}.`_fk:{fk_name}`") == F.col(f"{parent.var}.{prop}"))
-            edge = (F.lit(fk_name), F.col(f"{child.var}.node_key"), F.col(f"{parent.var}.node_key"))
+            fk = f"_fk:{way[0]}"
+            on = F.col(f"{child.var}.`{fk}`") == F.col(f"{parent.var}.{way[1]}")
+            if spread:
+                hot = hot_keys(graph.carriers[child.label], fk, hot_rows)
+                frames[child.var] = with_salt(frames[child.var], fk, hot, f"_salt{i}", by=["node_key"])
+                frames[parent.var] = with_parts(frames[parent.var], way[1], hot, f"_part{i}")
+                on = on & (F.col(f"{child.var}._salt{i}") == F.col(f"{parent.var}._part{i}"))
+            joins.append((b.var, on))
+            edge = (F.lit(way[0]), F.col(f"{child.var}.node_key"), F.col(f"{parent.var}.node_key"))
         else:
             var = s.var or f"_r{i}"
+            edges = _edges(graph, child, s, parent)
             near, far = ("from_key", "to_key") if s.direction == "out" else ("to_key", "from_key")
-            df = df.join(
-                _edges(graph, child, s, parent).alias(var), F.col(f"{a.var}.node_key") == F.col(f"{var}.{near}")
-            )
-            df = df.join(frame(b), F.col(f"{var}.{far}") == F.col(f"{b.var}.node_key"))
+            frames[var] = edges
+            ends = []
+            for end, key in ((a, near), (b, far)):
+                on = F.col(f"{end.var}.node_key") == F.col(f"{var}.{key}")
+                if spread:
+                    hot = hot_keys(edges, key, hot_rows)
+                    frames[var] = with_salt(frames[var], key, hot, f"_salt_{key}", by=["from_key", "to_key"])
+                    frames[end.var] = with_parts(frames[end.var], "node_key", hot, f"_part{i}_{key}")
+                    on = on & (F.col(f"{var}._salt_{key}") == F.col(f"{end.var}._part{i}_{key}"))
+                ends.append(on)
+            joins += [(var, ends[0]), (b.var, ends[1])]
             edge = tuple(F.col(f"{var}.{c}") for c in ("fk_name", "from_key", "to_key"))
         for other, rel_type, labels in used:
             if labels == (child.label, parent.label) and (None in (rel_type, s.rel_type) or rel_type == s.rel_type):
-                df = df.where(~(other[0].eqNullSafe(edge[0]) & (other[1] == edge[1]) & (other[2] == edge[2])))
+                tests.append(~(other[0].eqNullSafe(edge[0]) & (other[1] == edge[1]) & (other[2] == edge[2])))
         used.append((edge, s.rel_type, (child.label, parent.label)))
+
+    df = frames[nodes[0].var].alias(nodes[0].var)
+    for var, on in joins:
+        df = df.join(frames[var].alias(var), on)
+    for test in tests:
+        df = df.where(test)
     if where:
         df = df.where(where)
     if returns:

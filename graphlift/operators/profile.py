@@ -200,32 +200,46 @@ def primary_key_table(source: Source, keys: Mapping[str, tuple[str, ...]]) -> Da
     return found.join(source.row_counts(), "table_name")
 
 
+def _confirmed_unique(source: Source, candidates: DataFrame, columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The candidates that exact counts confirm; only their columns are shuffled."""
+    wanted: dict[str, list[str]] = {}
+    for r in candidates.select("table_name", "column_name").collect():
+        if r.column_name in columns[r.table_name]:
+            wanted.setdefault(r.table_name, []).append(r.column_name)
+    if not wanted:
+        return candidates.limit(0).selectExpr("table_name", "column_name", "0L AS ndv")
+    return value_multiplicity(source.tables, wanted).where("max_count = 1").select("table_name", "column_name", "ndv")
+
+
 def unique_columns(source: Source) -> DataFrame:
-    """Columns without nulls and duplicates that are not the primary key."""
-    candidates = {t: [f.name for f in df.schema.fields if isinstance(f.dataType, _KEY_TYPES)] for t, df in source.tables.items()}
-    candidates = {
-        t: [c for c in cols if (c,) != source.primary_key(t)] for t, cols in candidates.items()
+    """Columns without nulls and duplicates that are not the primary key.
+
+    One sketch pass per table without a shuffle names the candidates.
+    """
+    columns = {
+        t: [f.name for f in df.schema.fields if isinstance(f.dataType, _KEY_TYPES) and (f.name,) != source.primary_key(t)]
+        for t, df in source.tables.items()
     }
-    exact = value_multiplicity(source.tables, candidates)
-    return exact.join(source.row_counts(), "table_name").where("max_count = 1 AND ndv = row_count").select(
-        "table_name", "column_name", "ndv"
-    )
+    stats = column_stats({t: source[t].select(*map(_q, c)) for t, c in columns.items() if c})
+    candidates = stats.where(f"null_count = 0 AND row_count > 0 AND approx_ndv >= {_MARGIN} * row_count")
+    return _confirmed_unique(source, candidates, columns)
 
 
 def auto_increment_columns(source: Source) -> DataFrame:
-    """Integer columns, unique and without gaps: ``max - min + 1 = count``."""
-    whole = {
+    """Integer columns, unique and without gaps: ``max - min + 1 = count``.
+
+    The range test needs one pass without a shuffle; uniqueness is counted only where it holds.
+    """
+    columns = {
         t: [f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)]
         for t, df in source.tables.items()
     }
-    ranges = column_stats({t: df.select(*whole[t]) for t, df in source.tables.items() if whole[t]}, distinct=False)
-    return (
-        ranges.where("null_count = 0 AND CAST(max_value AS BIGINT) - CAST(min_value AS BIGINT) + 1 = row_count")
-        .join(value_multiplicity(source.tables, whole), ["table_name", "column_name"])
-        .where("max_count = 1")
-        .selectExpr(
-            "table_name", "column_name", "CAST(min_value AS BIGINT) AS first_value", "CAST(max_value AS BIGINT) AS last_value"
-        )
+    ranges = materialize(
+        column_stats({t: source[t].select(*map(_q, c)) for t, c in columns.items() if c}, distinct=False)
+        .where("null_count = 0 AND CAST(max_value AS DECIMAL(38, 0)) - CAST(min_value AS DECIMAL(38, 0)) + 1 = row_count")
+    )
+    return ranges.join(_confirmed_unique(source, ranges, columns), ["table_name", "column_name"]).selectExpr(
+        "table_name", "column_name", "CAST(min_value AS BIGINT) AS first_value", "CAST(max_value AS BIGINT) AS last_value"
     )
 
 

@@ -244,16 +244,22 @@ def one_hop(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def two_hops(spark: SparkSession, d: str) -> DataFrame:
+def two_hops(spark: SparkSession, d: str, **options) -> DataFrame:
     g = _graph(spark, d)
     return M.match(
         g,
         [M.node("l", "Lineitem"), M.step("PART_OF_ORDERS"), M.node("o", "Orders"), M.step("PURCHASED_BY"), M.node("c", "Customer")],
         where=f"c.cMktsegment = '{SEGMENT}' AND o.oOrderpriority = '1-URGENT'",
         returns={"customer": "c.cName", "order_id": "o.oOrderkey", "line": "l.lLinenumber", "part_id": "l.lPartkey"},
+        **options,
     )
 
 
+def two_hops_spread(spark: SparkSession, d: str) -> DataFrame:
+    """The same with customers of many orders, and orders of many lines, cut into parts."""
+    return two_hops(spark, d, spread=True, hot_rows=12)
+
+
 def two_hops_inward(spark: SparkSession, d: str) -> DataFrame:
     """The chain from its far end: region <- nation <- customer."""
     g = _graph(spark, d)
@@ -337,6 +343,7 @@ QUERIES = {
     "f3_histogram": histogram,
     "f4_one_hop": one_hop,
     "f5_two_hops": two_hops,
+    "f5_two_hops_spread": two_hops_spread,
     "f5_two_hops_inward": two_hops_inward,
     "f6_collected": collected,
     "f7_graph_sample": graph_sample,
@@ -472,10 +479,10 @@ ORACLES = {
     "f4_one_hop": """
         SELECT o_orderkey AS order_id, c_name AS customer, 'N:1' AS cardinality FROM orders JOIN customer ON o_custkey = c_custkey
         WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 10""",
-    "f5_two_hops": f"""
+    **dict.fromkeys(("f5_two_hops", "f5_two_hops_spread"), f"""
         SELECT c_name AS customer, o_orderkey AS order_id, l_linenumber AS line, l_partkey AS part_id
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        WHERE c_mktsegment = '{SEGMENT}' AND o_orderpriority = '1-URGENT'""",
+        WHERE c_mktsegment = '{SEGMENT}' AND o_orderpriority = '1-URGENT'"""),
     "f5_two_hops_inward": """
         SELECT r_name AS region, n_name AS nation, c_name AS customer
         FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE r_name = 'ASIA'""",

@@ -184,6 +184,12 @@ def test_hub_join_spreads_the_hub(spark, skewed):
     assert "hashpartitioning(k" in plan and "_salt" in plan
 
 
+def test_hub_join_with_values_that_cannot_be_hashed(spark):
+    big = spark.range(20).selectExpr("id", "1L AS k", "parse_json(CAST(id AS STRING)) AS v", "map('a', id) AS m")
+    got = E.hub_join(big, spark.range(3).selectExpr("id AS sk"), "k", "sk", hot_rows=5)
+    assert sorted(r.id for r in got.collect()) == list(range(20))
+
+
 def test_match_endpoints_multiplies_duplicates(blog):
     g = build_graph(blog, assume_complete=True)
     used = g.edges.where("rel_type = 'USED_BY'")

@@ -60,6 +60,22 @@ def test_carried_and_stored_edges_agree(uni):
     assert plan.count("Join Inner") + plan.count("HashJoin") == 1 or plan.count("Join") <= 2
 
 
+@pytest.mark.parametrize("hot_rows", [1, 2, 100])
+def test_spreading_changes_nothing(uni, hot_rows):
+    patterns = [
+        [node("c", "Courses"), step("WORKS_IN"), node("d", "Departments")],
+        [node("d", "Departments"), step("WORKS_IN", "in"), node("c", "Courses"), step("ENROLLMENTS", "in"), node("s", "Students")],
+        [node("a", "Students"), step("ENROLLMENTS"), node("c", "Courses"), step("ENROLLMENTS", "in"), node("b", "Students")],
+        [node("a", "Courses"), step("WORKS_IN"), node("d", "Departments"), step("WORKS_IN", "in", var="r"), node("b", "Courses")],
+    ]
+    for pattern in patterns:
+        returns = {n.var: f"{n.var}.node_key" for n in pattern[0::2]}
+        want = match(uni, pattern, returns=returns)
+        got = match(uni, pattern, returns=returns, spread=True, hot_rows=hot_rows)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert want.count() > 0
+
+
 def test_filter_reaches_the_scan(spark, tmp_path):
     spark.range(100).selectExpr("id AS k", "id % 7 AS g", "'x' AS wide").write.parquet(str(tmp_path / "t"))
     g = build_graph(Source(spark, {"t": spark.read.parquet(str(tmp_path / "t"))}, primary_keys={"t": ("k",)}))
