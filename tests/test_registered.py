@@ -6,12 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from graphlift.plans import registry
 from graphlift.plans.sample import FILES
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -38,5 +39,5 @@ def test_entry(spark):
     }
 
 
-def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+def test_every_query_of_the_library_has_sql():
+    assert set(registry.ORACLES) == set(registry.QUERIES)
