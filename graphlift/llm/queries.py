@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, tokens
+from . import jaccard, packing, secrets, tokens
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -15,6 +15,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=1024)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), size=1024))
 
@@ -23,5 +27,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op8_packing, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op6_ngram_jaccard_join, op8_packing, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
