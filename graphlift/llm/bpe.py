@@ -17,25 +17,23 @@ from heapq import heapify, heappop, heappush
 
 #: The split of byte-level BPE before any merge. Fixed value: it must equal the library's.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words remembered per worker, in two generations of half as many.
-REMEMBERED = 700_000
+#: Words, and pieces of words, remembered per worker.
+REMEMBERED = 300_000
 
 _TOGETHER = re.compile(r"[\s\x1c-\x1f\x85][\s\x1c-\x1f\x85]")
 
 
 class Remembered(dict):
-    """A bounded memo: looking up a missing key computes it. The last ``limit / 2`` keys and more are kept."""
+    """A bounded memo: looking up a missing key computes it. The first ``limit`` keys stay, which are the frequent ones."""
 
     def __init__(self, compute: Callable, limit: int = REMEMBERED):
         super().__init__()
-        self.compute, self.limit, self.older = compute, limit, {}
+        self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit // 2:
-            self.older = dict(self)
-            self.clear()
-        value = self.older.get(key)
-        self[key] = value = self.compute(key) if value is None else value
+        value = self.compute(key)
+        if len(self) < self.limit:
+            self[key] = value
         return value
 
 
@@ -140,9 +138,13 @@ class TokenCounter(_ByWord):
 
 
 class TokenIds(_ByWord):
-    """Ids by the tokenizers library, as unsigned integers of ``width`` bytes (2 or 4) in the machine's order."""
+    """Ids by the tokenizers library, as unsigned integers of ``width`` bytes (2 or 4) in the machine's order.
+
+    Words are split here and their pieces go to the library's model; other texts go to the library whole.
+    """
 
     def __init__(self, path: str, width: int = 2):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -150,7 +152,14 @@ class TokenIds(_ByWord):
         if self.tokenizer.get_vocab_size() > 256**width:
             raise ValueError(f"{width} bytes are too few for this vocabulary")
         self.kind = {2: "H", 4: "I"}[width]
-        self.word = Remembered(lambda w: self.whole(" " + w))
+        self.shown = {b: ord(c) for b, c in byte_symbols().items()}
+        self.split = regex.compile(SPLIT).findall
+        self.piece = Remembered(self.by_model)
+        self.word = Remembered(lambda w: b"".join(map(self.piece.__getitem__, self.split(" " + w))))
+
+    def by_model(self, piece: str) -> bytes:
+        symbols = piece.encode().decode("latin-1").translate(self.shown)
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

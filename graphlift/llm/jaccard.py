@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Remembered
 from .common import require_columns, stored
 from .components import components
 
@@ -36,14 +35,12 @@ COMMON = 65_536
 #: Rare shingles that one task compares at a time.
 BUCKET = 1_000_000
 
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-@lru_cache(maxsize=1)
-def word_hashes() -> Remembered:
-    import xxhash
+#: Bytes of texts hashed at a time; one text may be longer.
+AT_ONCE = 1 << 21
+#: Bits of the table by which tasks pass over documents that no pair needs.
+BITS = 1 << 25
 
-    return Remembered(xxhash.xxh3_64_intdigest)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,20 +50,80 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text: A-Z lower-cased, words between ASCII white space.
+@lru_cache(maxsize=1)
+def byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte, A-Z as a-z, and whether it is white space (the space and 9 to 13)."""
+    code = np.arange(256, dtype=np.uint64)
+    code[65:91] = code[97:123]
+    space = np.zeros(256, bool)
+    space[[32, *range(9, 14)]] = True
+    return mixed(code + np.uint64(1)), space
+
 
-    Fewer words than a shingle has are one shingle; no words are none.
+@lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    inverse = np.uint64(pow(int(_FACTOR), -1, 2**64))
+    raised = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x)]), dtype=np.uint64)
+    return raised(_FACTOR), raised(inverse)
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """Per text, the sorted hashes of its distinct shingles: A-Z lower-cased, words between ASCII white space.
+
+    Fewer words than a shingle has are one shingle; no words, or a null text, are none. A word's hash is a
+    difference of running sums over the bytes of many texts at a time; a text is taken whole, however long.
     """
-    found = text.encode().lower().split() if text else ()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(word_hashes().__getitem__, found), np.uint64, len(found))
-    k = min(words, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = out * _FACTOR + h[i : len(h) - k + 1 + i]
-    return np.unique(mixed(out))
+    at = 0
+    while at < len(texts):
+        part = texts.slice(at, 1000)
+        ends = np.frombuffer(part.buffers()[1], np.int32, len(part) + 1, part.offset * 4)
+        take = max(1, int(np.searchsorted(ends, ends[0] + AT_ONCE, "right")) - 1)
+        yield from _some_sets(part.slice(0, take), words)
+        at += take
+
+
+def _some_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    valid = texts.is_valid().to_numpy(zero_copy_only=False)
+    n = int(offsets[-1] - offsets[0])
+    if not n:
+        yield from (np.empty(0, np.uint64) for _ in range(len(texts)))
+        return
+    data = np.frombuffer(texts.buffers()[2], np.uint8, n, int(offsets[0]))
+    offsets -= offsets[0]
+    number, space = byte_tables()
+    word = ~space[data]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    edge = offsets[(offsets > 0) & (offsets < n)]
+    begins[edge] |= word[edge]
+    ends[edge - 1] |= word[edge - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    up, down = powers(max(AT_ONCE, n))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(number[data] * up[:n], dtype=np.uint64)])
+    h = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    bounds = np.searchsorted(start, offsets)
+    count = len(h) - words + 1
+    rolled = np.full(max(count, 0), words, np.uint64)
+    for i in range(words):
+        rolled = rolled * _FACTOR + h[i : i + len(rolled)]
+    rolled = mixed(rolled)
+    for i in range(len(texts)):
+        a, b = bounds[i], bounds[i + 1]
+        if not valid[i] or a == b:
+            yield np.empty(0, np.uint64)
+        elif b - a < words:
+            x = np.uint64([b - a])
+            for j in range(a, b):
+                x = x * _FACTOR + h[j : j + 1]
+            yield mixed(x)
+        else:
+            found = np.sort(rolled[a : b - words + 1])
+            new = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            yield found[new]
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -88,9 +145,9 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
         size = 0
         for b in batches:
-            for t in b.column("text").to_pylist():
-                held.append(shingles(t, words))
-                size += len(held[-1])
+            for found in shingle_sets(b.column("text"), words):
+                held.append(found)
+                size += len(found)
                 if size >= BLOCK:
                     size = 0
                     yield flush()
@@ -118,7 +175,13 @@ class Order:
         return hit, np.where(hit, self.counts[at], 0)
 
     def first(self, h: np.ndarray, k: int) -> np.ndarray:
-        return h[np.lexsort((h, self.known(h)[1]))[:k]]
+        """The first k of sorted shingles: those that aren't common by hash, then the common by count."""
+        hit, count = self.known(h)
+        rare = h[~hit][:k]
+        if len(rare) == k:
+            return rare
+        common = h[hit]
+        return np.concatenate([rare, common[np.lexsort((common, count[hit]))[: k - len(rare)]]])
 
 
 def similar(overlap: Column, n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
@@ -129,11 +192,19 @@ def _length_fits(n_a: str, n_b: str, percent: int) -> Column:
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    """Distinct unordered pairs (a, b, n_a, n_b), a < b, of columns x, y, n_x, n_y."""
+def _pairs(found: DataFrame, percent: int) -> DataFrame:
+    """Unordered pairs (a, b, n_a, n_b), a < b, of columns x, y, n_x, n_y with a row for each shared rare shingle.
+
+    Of two sets, let A be the one whose first shingles end first. A shared shingle that isn't among both
+    sets' first ones lies behind A's, of which there are ``ceil(t * n) - 1``. So similar sets share as
+    many first shingles as the least overlap is above that.
+    """
     low = F.col("x") < F.col("y")
     either = lambda p, q: F.when(low, F.col(p)).otherwise(F.col(q))
-    return found.select(either("x", "y").alias("a"), either("y", "x").alias("b"), either("n_x", "n_y").alias("n_a"), either("n_y", "n_x").alias("n_b")).distinct()
+    named = found.select(either("x", "y").alias("a"), either("y", "x").alias("b"), either("n_x", "n_y").alias("n_a"), either("n_y", "n_x").alias("n_b"))
+    behind = F.ceil(F.greatest("n_a", "n_b") * percent / 100) - 1
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    return named.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least - behind).drop("shared")
 
 
 class Join:
@@ -157,7 +228,7 @@ class Join:
             for whole in batches:
                 for k in range(0, whole.num_rows, 1000):
                     b = whole.slice(k, 1000)
-                    sets = [shingles(t, words) for t in b.column("text").to_pylist()]
+                    sets = list(shingle_sets(b.column("text"), words))
                     used = [len(s) > 0 and i.is_valid for s, i in zip(sets, b.column("doc_id"), strict=True)]
                     nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if u else None for s, u in zip(sets, used, strict=True)]
                     rare = [order.value.first(s, prefix_size(len(s), percent)).view(np.int64) if u else None for s, u in zip(sets, used, strict=True)]
@@ -217,16 +288,19 @@ class Join:
         return stored(rare.unionByName(used.mapInArrow(common, "h long, node long, n long").distinct()), "rare-shingle-lists")
 
     def first_pairs(self, lists: DataFrame) -> DataFrame:
-        """One member of each list, picked by a hash, against the others."""
+        """One member of each list, picked by a hash, against the others.
+
+        Pairs that share too little in the lists they meet in are left to other_pairs.
+        """
         lead = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("node").alias("by"), F.col("node").alias("y"), F.col("n").alias("n_y"))).alias("lead")).select("h", "lead.y", "lead.n_y")
         met = lists.withColumnsRenamed({"node": "x", "n": "n_x"}).join(lead, "h")
-        return _pairs(met.where((F.col("x") != F.col("y")) & _length_fits("n_x", "n_y", self.percent)))
+        return _pairs(met.where((F.col("x") != F.col("y")) & _length_fits("n_x", "n_y", self.percent)), self.percent)
 
     def other_pairs(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
         """All pairs of a list whose members are in different components.
 
         One of the two is outside the list's largest component, so those outside meet all, and the
-        members of one component never meet each other.
+        members of one component never meet each other. Such a pair meets in every list it shares.
         """
         at = stored(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "lists-with-roots")
         each = at.groupBy("h", "root").agg(F.count("*").alias("k"))
@@ -235,31 +309,42 @@ class Join:
         outside = split.where("root <> top").select("h", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
         members = split.select("h", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"), "top")
         meet = (F.col("root_x") != F.col("root_y")) & _length_fits("n_x", "n_y", self.percent) & ((F.col("root_y") == F.col("top")) | (F.col("x") < F.col("y")))
-        return _pairs(outside.join(members, "h").where(meet))
+        return _pairs(outside.join(members, "h").where(meet), self.percent)
 
     def segments(self, nodes: DataFrame) -> DataFrame:
         """Rows (node, fragment, segment) of the whole sets of these nodes, made anew from one text of each."""
         words = self.words
-        texts = self.docs.join(nodes.select("doc_id").distinct(), "doc_id")
+        bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+        held = nodes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+        size = len(held[0].bits) if held else 1
+        bits = np.zeros((BITS // (size * 8) + 2, size), np.uint8)
+        for r in held:
+            bits[r.k] = np.frombuffer(r.bits, np.uint8)
+        bits = self.spark.sparkContext.broadcast(bits)
+        numbered = self.docs.where("doc_id is not null").select("text", F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at"))
         share = np.uint64(2**64 // FRAGMENTS)
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
             for whole in batches:
-                for k in range(0, whole.num_rows, 500):
-                    sets = [shingles(t, words) for t in whole.slice(k, 500).column("text").to_pylist()]
+                k, at = whole.column("k").to_numpy(), whole.column("at").to_numpy()
+                wanted = np.flatnonzero(bits.value[k, at // 8] >> (at % 8).astype(np.uint8) & 1)
+                for i in range(0, len(wanted), 500):
                     node, fragment, segment = [], [], []
-                    for s in filter(len, sets):
+                    for s in filter(len, shingle_sets(whole.column("text").take(pa.array(wanted[i : i + 500])), words)):
                         of = np.minimum(s // share, np.uint64(FRAGMENTS - 1))
-                        for f, at, end in zip(*(x.tolist() for x in (np.unique(of), np.searchsorted(of, np.unique(of)), np.searchsorted(of, np.unique(of), "right"))), strict=True):
-                            node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63)
-                            fragment.append(f)
-                            segment.append(s[at:end].view(np.int64))
+                        name = xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
+                        for f in range(FRAGMENTS):
+                            a, b = np.searchsorted(of, f), np.searchsorted(of, f, "right")
+                            if a < b:
+                                node.append(name)
+                                fragment.append(f)
+                                segment.append(s[a:b].view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(segment, pa.list_(pa.int64()))], ["node", "fragment", "segment"])
 
-        made = texts.select("text").mapInArrow(make, "node long, fragment int, segment array<long>")
-        return made.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "fragment"])
+        made = numbered.mapInArrow(make, "node long, fragment int, segment array<long>")
+        return made.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node", "fragment"])
 
     def links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs that are similar enough: overlaps per fragment, summed per pair."""
