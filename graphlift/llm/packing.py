@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import TokenIds
+from .bpe import TokenIds, merged_by_concatenation
 from .common import require_columns, stored
 
 ROUND = 1024
@@ -147,8 +147,8 @@ class Cutter:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> TokenIds:
-    return TokenIds(path)
+def encoder(path: str, by_ranks: bool) -> TokenIds:
+    return TokenIds(path, by_ranks=by_ranks)
 
 
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -156,8 +156,10 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    by_ranks = merged_by_concatenation(vocabulary)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, chunk = encoder(vocabulary), TaskContext.get().partitionId()
+        ids_of, chunk = encoder(vocabulary, by_ranks), TaskContext.get().partitionId()
         end, so_far = np.array([end_id], np.uint16).tobytes(), {}
         for b in batches:
             ids = [(ids_of(t) if t else b"") + end for t in b.column("text").to_pylist()]
