@@ -29,14 +29,14 @@ from .components import components
 WORDS, PERCENT = 5, 75
 FRAGMENTS = 4
 #: A block of shingles in which occurrences are counted; a count below LEAST in a block isn't passed on.
-BLOCK, LEAST = 2_000_000, 4
+BLOCK, LEAST = 500_000, 3
 #: The most common shingles that the global order knows by their count: a table of fixed size for all tasks.
 COMMON = 65_536
 #: Rare shingles that one task compares at a time.
-BUCKET = 1_000_000
+BUCKET = 250_000
 
 #: Bytes of texts hashed at a time; one text may be longer.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 #: Bits of the table by which tasks pass over documents that no pair needs.
 BITS = 1 << 25
 
