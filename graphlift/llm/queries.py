@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, packing, secrets, tokens
-from .common import table
+from . import jaccard, packing, secrets, tokens, toxicity
+from .common import crc_of, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -23,9 +24,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), size=1024))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> toxicity.Model:
+    """Learned from labelled rows whose crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    return toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(crc_of(F.col("doc_id")) % 5 != 0))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_of(F.col("doc_id")) % 5 == 0, F.lit(False))
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op6_ngram_jaccard_join, op8_packing, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op6_ngram_jaccard_join, op8_packing, op9_toxicity, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
