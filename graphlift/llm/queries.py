@@ -6,12 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, secrets, tokens, toxicity
+from . import jaccard, language, packing, secrets, tokens, toxicity
 from .common import crc_of, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_of(F.col("doc_id")) % 4 == 2, F.lit(False))
+    model = language.train(docs.select("doc_id", "text", "lang").where(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=1024)
 
@@ -40,5 +47,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op6_ngram_jaccard_join, op8_packing, op9_toxicity, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_token_counts, op6_ngram_jaccard_join, op8_packing, op9_toxicity, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
