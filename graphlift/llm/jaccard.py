@@ -1,12 +1,12 @@
 """N-gram Jaccard join by vertical partitioning of the shingle sets.
 
-All shingles have one global order: by how common they are, then by hash. It is cut into fragments. A
+All shingles have one global order: by how crowded they are, then by hash. It is cut into fragments. A
 document's set falls into one segment per fragment; overlaps of two documents are counted fragment by
 fragment and summed per pair. Two sets that are similar enough share a shingle among the first
 ``n - ceil(t * n) + 1`` of each in that order, so only those rare shingles propose pairs.
 
 A group of many near copies would propose all its pairs. Instead each list of documents that share a rare
-shingle first proposes one member against the others; then components are formed, and only pairs whose
+shingle first proposes its leader against the others; then components are formed, and only pairs whose
 members still are in different components are counted, which can't miss a link between components.
 Documents with equal sets are one node from the start.
 
@@ -28,12 +28,14 @@ from .components import components
 
 WORDS, PERCENT = 5, 75
 FRAGMENTS = 4
-#: A block of shingles in which occurrences are counted; a count below LEAST in a block isn't passed on.
-BLOCK, LEAST = 500_000, 3
-#: The most common shingles that the global order knows by their count: a table of fixed size for all tasks.
-COMMON = 65_536
+#: A task counts shingles in blocks of so many and passes on what occurs more than once in one; a shingle
+#: with so many occurrences is crowded. The global order puts the most crowded last, by their counts, as
+#: far as they fit a table of this fixed size; others go by hash. Any order gives the same result.
+BLOCK, CROWDED, KNOWN = 2_000_000, 8, 1 << 19
 #: Rare shingles that one task compares at a time.
 BUCKET = 250_000
+#: Lists with one leader and up to so many nodes meet in joins; larger ones in blocks of these sizes.
+SMALL, OUTSIDE, INSIDE = 16, 256, 4096
 
 #: Bytes of texts hashed at a time; one text may be longer.
 AT_ONCE = 1 << 19
@@ -131,31 +133,57 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the most common shingles of all documents."""
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of hashes, of so many, that each hash is in."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _parts(buckets: int, h: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket: its number, and the bytes of its hashes and of what goes with them."""
+    bucket = _bucket(h, buckets)
+    by = np.argsort(bucket, kind="stable")
+    which, at = np.unique(bucket[by], return_index=True)
+    cut = [slice(i, j) for i, j in zip(at, [*at[1:], len(h)], strict=True)]
+    blobs = [pa.array([x[by][c].tobytes() for c in cut], pa.binary()) for x in (h, *more)]
+    return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), *blobs], ["bucket", "h", "x", "y"][: 2 + len(more)])
+
+
+def _joined(found: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found.column(column)])
+
+
+def crowded_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the most crowded shingles of all documents.
+
+    A task sends one number for a shingle and block, so a shingle that a third of all documents have is no
+    large group. Counts leave out occurrences that are alone in their block.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
+            h = np.sort(np.concatenate(held))
             held.clear()
-            often = n >= LEAST
-            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often], pa.int64())], ["h", "n"])
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            n = np.diff(np.append(at, len(h)))
+            return pa.RecordBatch.from_arrays([pa.array(h[at][n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
         size = 0
         for b in batches:
             for found in shingle_sets(b.column("text"), words):
-                held.append(found)
-                size += len(found)
+                if len(found):
+                    held.append(found)
+                    size += len(found)
                 if size >= BLOCK:
                     size = 0
                     yield flush()
         if held:
             yield flush()
 
-    rows = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    counts = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWDED)
+    most = counts.orderBy(F.desc("n"), "h").limit(KNOWN).toArrow()
+    h, n = most.column("h").to_numpy().view(np.uint64), most.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -167,7 +195,7 @@ class Order:
         self.hashes, self.counts = hashes, counts
 
     def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each shingle is one of the common ones, and its count if so."""
+        """Whether each shingle is one of the crowded ones, and its count if so."""
         if not len(self.hashes):
             return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -175,7 +203,7 @@ class Order:
         return hit, np.where(hit, self.counts[at], 0)
 
     def first(self, h: np.ndarray, k: int) -> np.ndarray:
-        """The first k of sorted shingles: those that aren't common by hash, then the common by count."""
+        """The first k of sorted shingles: those that aren't crowded by hash, then the crowded by count."""
         hit, count = self.known(h)
         rare = h[~hit][:k]
         if len(rare) == k:
@@ -215,7 +243,7 @@ class Join:
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         self.id_type = self.docs.schema["doc_id"].dataType.simpleString()
-        self.order = self.spark.sparkContext.broadcast(Order(*common_shingles(self.docs.where("doc_id is not null").select("text"), words)))
+        self.order = self.spark.sparkContext.broadcast(Order(*crowded_shingles(self.docs.where("doc_id is not null").select("text"), words)))
         self.sets = self._sets()
 
     def _sets(self) -> DataFrame:
@@ -242,7 +270,7 @@ class Join:
     def lists(self) -> DataFrame:
         """Rows (h, node, n) of rare shingles that more than one node has.
 
-        Common shingles are rows from the start. The others meet in buckets, ranges of their hash whose
+        Crowded shingles are rows from the start. The others meet in buckets, ranges of their hash whose
         number grows with the input, as blocks of numbers.
         """
         used = self.sets.where("node is not null").select("node", "n", "rare")
@@ -257,19 +285,11 @@ class Join:
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                h, node, n, common = entries_of(batch)
-                h, node, n = h[~common], node[~common], n[~common]
-                bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                by = np.argsort(bucket, kind="stable")
-                h, node, n = h[by], node[by], n[by]
-                which, at = np.unique(bucket[by], return_index=True)
-                cut = [slice(i, j) for i, j in zip(at, [*at[1:], len(h)], strict=True)]
-                block = lambda x, kind: pa.array([x[s].astype(kind).tobytes() for s in cut], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), block(h, "<u8"), block(node, "<i8"), block(n, "<u4")], ["bucket", "h", "node", "n"])
+                h, node, n, crowded = entries_of(batch)
+                yield _parts(buckets, h[~crowded], node[~crowded], n[~crowded].astype("<u4"))
 
         def meet(found: pa.Table) -> pa.Table:
-            whole = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found.column(c)])
-            h, node, n = whole("h", "<u8"), whole("node", "<i8"), whole("n", "<u4")
+            h, node, n = _joined(found, "h", "<u8"), _joined(found, "x", "<i8"), _joined(found, "y", "<u4")
             by = np.lexsort((node, h))
             h, node, n = h[by], node[by], n[by]
             new = np.ones(len(h), bool)
@@ -284,32 +304,86 @@ class Join:
                 h, node, n, hit = entries_of(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(node[hit]), pa.array(n[hit])], ["h", "node", "n"])
 
-        rare = used.mapInArrow(blocks, "bucket long, h binary, node binary, n binary").groupBy("bucket").applyInArrow(meet, "h long, node long, n long")
+        rare = used.mapInArrow(blocks, "bucket long, h binary, x binary, y binary").groupBy("bucket").applyInArrow(meet, "h long, node long, n long")
         return stored(rare.unionByName(used.mapInArrow(common, "h long, node long, n long").distinct()), "rare-shingle-lists")
 
-    def first_pairs(self, lists: DataFrame) -> DataFrame:
-        """One member of each list, picked by a hash, against the others.
+    def first_pairs(self, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The leader of each list against the others, and (node, leader): the leader a node meets most.
 
+        A list is led by the node that is in most lists: of near copies, one with few changes of its own.
         Pairs that share too little in the lists they meet in are left to other_pairs.
         """
-        lead = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("node").alias("by"), F.col("node").alias("y"), F.col("n").alias("n_y"))).alias("lead")).select("h", "lead.y", "lead.n_y")
-        met = lists.withColumnsRenamed({"node": "x", "n": "n_x"}).join(lead, "h")
-        return _pairs(met.where((F.col("x") != F.col("y")) & _length_fits("n_x", "n_y", self.percent)), self.percent)
-
-    def other_pairs(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
-        """All pairs of a list whose members are in different components.
-
-        One of the two is outside the list's largest component, so those outside meet all, and the
-        members of one component never meet each other. Such a pair meets in every list it shares.
+        each = lists.groupBy("node").agg(F.count("*").alias("k"))
+        lead = F.max(F.struct("k", F.xxhash64("node").alias("by"), F.col("node").alias("y"), F.col("n").alias("n_y")))
+        leads = lists.join(each, "node").groupBy("h").agg(lead.alias("lead")).select("h", "lead.y", "lead.n_y")
+        met = stored(lists.withColumnsRenamed({"node": "x", "n": "n_x"}).join(leads, "h"), "lists-with-leaders")
+        most = met.groupBy("x", "y").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("leader"))
+        pairs = _pairs(met.where((F.col("x") != F.col("y")) & _length_fits("n_x", "n_y", self.percent)), self.percent)
+        return pairs, most.select(F.col("x").alias("node"), "leader")
+
+    def other_pairs(self, lists: DataFrame, roots: DataFrame, leaders: DataFrame) -> DataFrame:
+        """All pairs that share enough rare shingles and whose members are in different components.
+
+        Nodes with one leader are a group; where a group is large, its pairs are found in blocks. Other
+        pairs meet in the lists: one of the two is outside the list's largest component, so those outside
+        meet all. The members of one component never meet each other.
         """
-        at = stored(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "lists-with-roots")
+        nodes = lists.select("node", "n").distinct().join(leaders, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        count = nodes.groupBy("leader", "root").agg(F.count("*").alias("k"))
+        groups = count.groupBy("leader").agg(F.sum("k").alias("size"), F.max_by("root", F.struct("k", "root")).alias("top"), F.count("*").alias("roots"), F.max("k").alias("most"))
+        known = stored(nodes.join(groups, "leader"), "nodes-in-groups")
+
+        at = lists.join(known.select("node", "root", F.when(F.col("size") > SMALL, F.col("leader")).alias("large")), "node")
         each = at.groupBy("h", "root").agg(F.count("*").alias("k"))
-        largest = each.groupBy("h").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("h", F.col("top.root").alias("top"))
+        largest = each.groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("h", "top")
         split = at.join(largest, "h")
-        outside = split.where("root <> top").select("h", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
-        members = split.select("h", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"), "top")
+        outside = split.where("root <> top").select("h", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.col("large").alias("large_x"))
+        members = split.select("h", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"), F.col("large").alias("large_y"), "top")
         meet = (F.col("root_x") != F.col("root_y")) & _length_fits("n_x", "n_y", self.percent) & ((F.col("root_y") == F.col("top")) | (F.col("x") < F.col("y")))
-        return _pairs(outside.join(members, "h").where(meet), self.percent)
+        apart = F.coalesce(F.col("large_x") != F.col("large_y"), F.lit(True))
+        return _pairs(outside.join(members, "h").where(meet & apart), self.percent).unionByName(self.group_pairs(known))
+
+    def group_pairs(self, known: DataFrame) -> DataFrame:
+        """The pairs of large groups, by blocks of nodes outside the largest component against blocks of all."""
+        percent = self.percent
+        rare = self.sets.where("node is not null").groupBy("node").agg(F.first("rare").alias("rare"))
+        held = stored(known.where((F.col("size") > SMALL) & (F.col("roots") > 1)).join(rare, "node"), "large-groups")
+        dealt = F.xxhash64("node")
+        rows, columns = F.ceil((F.col("size") - F.col("most")) / OUTSIDE).cast("int"), F.ceil(F.col("size") / INSIDE).cast("int")
+        blocks = held.select("leader", "node", "n", "root", "top", "rare", rows.alias("rows"), columns.alias("columns"), dealt.alias("deal"))
+        outside = blocks.where("root <> top").select("*", F.pmod("deal", "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
+        inside = blocks.select("*", F.pmod("deal", "columns").cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
+        kept = [F.col(c).alias(c) for c in ("leader", "i", "j", "node", "n", "root", "top", "rare")]
+
+        def find(left: pa.Table, right: pa.Table) -> pa.Table:
+            empty = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n_a", "n_b")})
+            if not left.num_rows or not right.num_rows:
+                return empty
+            flat = lambda t: (t.column("rare").combine_chunks().flatten().to_numpy(), np.repeat(np.arange(t.num_rows), t.column("rare").combine_chunks().value_lengths().to_numpy()))
+            (h, x), (g, y) = flat(left), flat(right)
+            by = np.argsort(g, kind="stable")
+            g, y = g[by], y[by]
+            a, b = np.searchsorted(g, h), np.searchsorted(g, h, "right")
+            shared = np.zeros(left.num_rows * right.num_rows, np.int32)
+            for i in range(left.num_rows):  # one row of counts at a time
+                mine = x == i
+                found = [y[s:e] for s, e in zip(a[mine].tolist(), b[mine].tolist(), strict=True) if e > s]
+                if found:
+                    shared[i * right.num_rows : (i + 1) * right.num_rows] = np.bincount(np.concatenate(found), minlength=right.num_rows)
+            i, j = np.divmod(np.flatnonzero(shared), right.num_rows)
+            c = shared[shared > 0]
+            col = lambda t, name: t.column(name).to_numpy()
+            p, q, n_p, n_q = col(left, "node")[i], col(right, "node")[j], col(left, "n")[i], col(right, "n")[j]
+            r_p, r_q, top = col(left, "root")[i], col(right, "root")[j], col(right, "top")[j]
+            low, high = np.minimum(n_p, n_q), np.maximum(n_p, n_q)
+            enough = c >= -(-(n_p + n_q) * percent // (100 + percent)) - (-(-high * percent // 100) - 1)
+            ok = (r_p != r_q) & (low * 100 >= high * percent) & enough & ((r_q == top) | (p < q))
+            p, q, n_p, n_q = p[ok], q[ok], n_p[ok], n_q[ok]
+            swap = p > q
+            return pa.table({"a": np.where(swap, q, p), "b": np.where(swap, p, q), "n_a": np.where(swap, n_q, n_p), "n_b": np.where(swap, n_p, n_q)})
+
+        keys = ["leader", "i", "j"]
+        return outside.select(*kept).groupBy(*keys).cogroup(inside.select(*kept).groupBy(*keys)).applyInArrow(find, "a long, b long, n_a long, n_b long")
 
     def segments(self, nodes: DataFrame) -> DataFrame:
         """Rows (node, fragment, segment) of the whole sets of these nodes, made anew from one text of each."""
@@ -359,9 +433,9 @@ class Join:
     def run(self) -> DataFrame:
         nodes = stored(self.sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
         lists = self.lists()
-        first = self.links(self.first_pairs(lists), nodes)
-        roots = stored(components(first), "roots")
-        more = self.links(self.other_pairs(lists, roots), nodes)
+        pairs, leaders = self.first_pairs(lists)
+        roots = stored(components(self.links(pairs, nodes)), "roots")
+        more = self.links(self.other_pairs(lists, roots, leaders), nodes)
         spokes = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         final = stored(components(spokes.unionByName(more)), "components")
         named = nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
