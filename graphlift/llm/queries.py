@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, licenses, packing, secrets, tokens, topk, toxicity
+from . import decontaminate, jaccard, language, licenses, packing, secrets, tokens, topk, toxicity, urls
 from .common import crc_of, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -71,5 +75,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scans, op3_language_id, op4_token_counts, op5_exact_topk_search, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_packing, op9_toxicity, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_language_id, op4_token_counts, op5_exact_topk_search, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_packing, op9_toxicity, op10_secret_scans)}
 ORACLES: dict[str, str] = {"op5_exact_topk_search": OP5_SQL}
