@@ -465,8 +465,10 @@ def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Of rows that repeat this id, one stays; rows with a null id all stay.
     """
     require_columns(docs, id_col, text_col)
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    rest = named.join(kept, named[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])
-    return rest.unionByName(docs.where(F.col(id_col).isNull()))
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options).where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("stands"))
+    odd = stored(ids.where("rows > 1 or not stands").withColumnRenamed("doc_id", "__id"), "rows-to-drop")
+    same = docs[id_col] == F.col("__id")
+    single = docs.join(odd.select("__id"), same, "left_anti")
+    repeated = docs.join(odd.where("stands").select("__id"), same, "left_semi").dropDuplicates([id_col])
+    return single.unionByName(repeated)
