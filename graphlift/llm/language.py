@@ -9,13 +9,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Remembered
 from .common import require_columns
 
-#: Most documents of a language that a model is fitted on: those with the least hash of their id.
+#: Documents of a language that a model is fitted on, about: those whose id has a small enough hash; all, if fewer.
 SAMPLE = 3000
 #: Most words, and most n-grams of each length, that a model keeps: the most frequent over all languages.
 WORDS, GRAMS = 100_000, 30_000
@@ -72,13 +72,14 @@ def _log_table(rows: list, languages: tuple[str, ...], totals: list[float]) -> d
 
 
 def train(docs: DataFrame, *, sample: int = SAMPLE) -> Model:
-    """docs (doc_id, text, lang): at most ``sample`` documents of a language; nulls in any of the three are passed over.
+    """docs (doc_id, text, lang): about ``sample`` documents of a language; nulls in any of the three are passed over.
 
     Frequencies are taken on Spark; the model holds at most WORDS words and GRAMS n-grams of each length.
     """
     known = docs.where("doc_id is not null and text is not null and lang is not null")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("k", F.row_number().over(by)).where(F.col("k") <= sample).select("doc_id").distinct()
+    counts = known.groupBy("lang").agg(F.count("*").alias("docs"))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("docs") < F.lit(sample << 30)
+    picked = known.select("doc_id", "lang").join(counts, "lang").where(drawn).select("doc_id").distinct()
     ids = picked.count()
     picked = F.broadcast(picked) if ids <= 100_000 else picked
     words = (
