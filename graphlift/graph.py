@@ -32,7 +32,10 @@ class Graph:
 
     @property
     def edges(self) -> DataFrame:
-        return union_all(self.edge_sets.values())
+        return union_all(self.edge_sets.values()) if self.edge_sets else self._no_edges()
+
+    def _no_edges(self) -> DataFrame:
+        return local_frame(self.source.spark, [(c, pa.string()) for c in EDGE_COLUMNS], [])
 
     @property
     def all_nodes(self) -> DataFrame:
@@ -52,6 +55,6 @@ class Graph:
 
     def with_edges(self, name: str, df: DataFrame) -> Graph:
         """The graph plus user-defined edges; columns they lack are null."""
-        some = next(iter(self.edge_sets.values()))
+        some = next(iter(self.edge_sets.values()), None) or self._no_edges()
         df = some.limit(0).unionByName(df, allowMissingColumns=True).select(*EDGE_COLUMNS)
         return replace(self, edge_sets={**self.edge_sets, name: df})

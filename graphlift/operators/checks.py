@@ -130,6 +130,16 @@ def missing_nodes(graph: Graph) -> DataFrame:
                 f"{literal(e.to_label)} AS to_label", "n", "'to' AS missing",
             )
         )
+    for name in set(graph.edge_sets) - {e.fk.table for e in graph.edge_types}:
+        edges = graph.edge_sets[name]
+        for end in ("from", "to"):
+            # One row per label that the user's edges begin or end at.
+            for r in edges.select(F.col(f"{end}_label").alias("label")).distinct().collect():
+                at = edges.where(F.col(f"{end}_label").eqNullSafe(F.lit(r.label)))
+                lost = missing_endpoints(at, graph.nodes[r.label], end) if r.label in graph.nodes else at
+                found.append(lost.groupBy(*keys).agg(_n()).withColumn("missing", F.lit(end)))
+    if not found:
+        return graph.edges.select(*keys, F.lit("from").alias("missing"), F.lit(0).cast("bigint").alias("n"))
     return union_all(found).groupBy(*keys, "missing").agg(F.sum("n").alias("n"))
 
 
@@ -186,7 +196,7 @@ def orphan_rows(source: Source, fks: Iterable[ForeignKey] | None = None) -> Data
     """Source rows whose parent is missing, with the distinct values concerned, per foreign key."""
     return union_all(
         orphan_values(source, fk).selectExpr(
-            f"'{fk.name}' AS fk_name", "coalesce(sum(n), 0) AS orphan_rows", "count(1) AS orphan_values"
+            f"{literal(fk.name)} AS fk_name", "coalesce(sum(n), 0) AS orphan_rows", "count(1) AS orphan_values"
         )
         for fk in (source.foreign_keys if fks is None else fks)
     )

@@ -137,13 +137,19 @@ def _unique(df: DataFrame, key: Sequence[str]) -> bool:
     return not _has_duplicates(part, key) and not _has_duplicates(df, key)
 
 
-def discover_primary_key(df: DataFrame, *, max_arity: int = 3) -> tuple[str, ...]:
+# Sets of one size that are sketched at most, and sketches of one pass.
+_MOST_CANDIDATES, _SKETCHES = 2000, 200
+
+
+def discover_primary_key(df: DataFrame, *, max_arity: int | None = None) -> tuple[str, ...]:
     """Smallest set of columns without nulls that is unique, first in column order; else ``()``.
 
-    Distinct counts are estimated by sketches, all candidates of one arity in a single pass
-    without a shuffle. A set whose parts have too few values to tell the rows apart is not
-    sketched at all. Candidates whose estimate comes close to the row count are tested exactly,
-    in order, until one holds.
+    Distinct counts are estimated by sketches, the candidates of one size together and without a
+    shuffle. A set is passed over only if what is known bounds its distinct count below the row
+    count: the product of its columns' counts, or of two parts that were sketched. Candidates whose
+    estimate comes close to the row count are tested exactly, in order, until one holds. Where a
+    size has very many candidates, columns are taken away from the whole set for as long as it stays
+    unique instead; that key can't be made smaller, but need not be the smallest.
     """
     usable = [f.name for f in df.schema.fields if isinstance(f.dataType, _KEY_TYPES)]
     if not usable:
@@ -156,11 +162,17 @@ def discover_primary_key(df: DataFrame, *, max_arity: int = 3) -> tuple[str, ...
         return ()
     complete = [c for c, n in zip(usable, head[1 : k + 1]) if n == rows]
     estimates = {(c,): e for c, e in zip(usable, head[k + 1 :]) if c in complete}
-    for arity in range(1, max_arity + 1):
+    if complete and not any(e >= _MARGIN * rows for e in estimates.values()):
+        if df.selectExpr(_approx_distinct(complete)).first()[0] < _MARGIN * rows:
+            return ()
+    for arity in range(1, min(max_arity or len(complete), len(complete)) + 1):
         if arity > 1:
             candidates = [c for c in combinations(complete, arity) if _could_be_unique(c, estimates, rows)]
-            if candidates:
-                estimates.update(zip(candidates, df.selectExpr(*[_approx_distinct(c) for c in candidates]).first()))
+            if len(candidates) > _MOST_CANDIDATES:
+                return _shrunk(df, complete)
+            for i in range(0, len(candidates), _SKETCHES):
+                some = candidates[i : i + _SKETCHES]
+                estimates.update(zip(some, df.selectExpr(*[_approx_distinct(c) for c in some]).first()))
         for candidate in combinations(complete, arity):
             if estimates.get(candidate, 0) >= _MARGIN * rows and _unique(df, candidate):
                 return candidate
@@ -169,14 +181,28 @@ def discover_primary_key(df: DataFrame, *, max_arity: int = 3) -> tuple[str, ...
 
 def _could_be_unique(candidate: tuple[str, ...], estimates: Mapping[tuple[str, ...], int], rows: int) -> bool:
     """Whether the value combinations suffice: distinct(A and B) is at most distinct(A) * distinct(B)."""
+    bound = 1.0
+    for c in candidate:
+        bound *= max(1, estimates[(c,)])
     for c in candidate:
         rest = tuple(x for x in candidate if x != c)
-        if rest not in estimates or estimates[(c,)] * estimates[rest] < rows * _MARGIN**2:
-            return False
-    return True
+        bound = min(bound, estimates[(c,)] * estimates.get(rest, float("inf")))
+    return bound >= rows * _MARGIN**2
 
 
-def discover_primary_keys(source: Source, *, max_arity: int = 3, parallel: int = 4) -> dict[str, tuple[str, ...]]:
+def _shrunk(df: DataFrame, columns: Sequence[str]) -> tuple[str, ...]:
+    """The columns without those, from the last, that uniqueness does not need; ``()`` if all together repeat."""
+    key = tuple(columns)
+    if not _unique(df, key):
+        return ()
+    for c in reversed(columns):
+        rest = tuple(x for x in key if x != c)
+        if rest and _unique(df, rest):
+            key = rest
+    return key
+
+
+def discover_primary_keys(source: Source, *, max_arity: int | None = None, parallel: int = 4) -> dict[str, tuple[str, ...]]:
     """Key per table; a declared key wins over a discovered one.
 
     Tables are independent, so the jobs of ``parallel`` of them overlap.
@@ -325,9 +351,18 @@ def fk_profile(source: Source, fks: Sequence[ForeignKey] | None = None) -> DataF
     task; only those counts meet the parent keys.
     """
     fks = list(source.foreign_keys if fks is None else fks)
+    if not fks:
+        return local_frame(source.spark, [(c, pa.string()) for c in _FK_NAMES] + [(c, pa.int64()) for c in _FK_COUNTS], [])
     return union_all(_one_fk(source, fk) for fk in fks)
 
 
+_FK_NAMES = ("fk_name", "table_name", "column_name", "ref_table")
+_FK_COUNTS = (
+    "child_rows", "non_null_rows", "null_rows", "orphan_rows", "orphan_values", "distinct_values",
+    "max_children", "parent_rows", "parents_with_child", "max_parents",
+)
+
+
 def _one_fk(source: Source, fk: ForeignKey) -> DataFrame:
     child = source[fk.table].groupBy(_q(fk.column).alias("k")).agg(F.expr("count(1) AS n_child"))
     parent = source[fk.ref_table].groupBy(_q(fk.ref_column).alias("k")).agg(F.expr("count(1) AS n_parent"))

@@ -362,25 +362,26 @@ def name_evidence(source: Source) -> DataFrame:
     )
 
 
-def discriminators(source: Source, *, max_values: int = 50) -> DataFrame:
+def discriminators(source: Source, *, max_values: int | None = None) -> DataFrame:
     """Single-table inheritance: one subclass per value of a ``*type`` / ``*category`` column.
 
-    Only columns with at most ``max_values`` values (estimated in one pass) are expanded, so the
-    histogram stays small.
+    Every column of such a name gives its histogram, counted on the map side. ``max_values`` leaves out
+    columns with more values than that, by an estimate. Without such columns the result is empty.
     """
     named = source.cat_columns().where("column_name rlike '(?i)(_|^)(type|category)$'").collect()
     wanted: dict[str, list[str]] = {}
     for r in named:
         wanted.setdefault(r.table_name, []).append(r.column_name)
-    if not wanted:
-        raise ValueError("no column is named like a discriminator")
-    few = column_stats({t: source[t].select(*c) for t, c in wanted.items()}).where(f"approx_ndv <= {max_values}").collect()
+    few = [r for r in named if r.table_name in wanted]
+    if few and max_values is not None:
+        few = column_stats({t: source[t].select(*map(quoted, c)) for t, c in wanted.items()}).where(f"approx_ndv <= {max_values}").collect()
     if not few:
-        raise ValueError("no discriminator column has few enough values")
+        text = [(c, pa.string()) for c in ("table_name", "column_name", "value", "subclass_label")]
+        return local_frame(source.spark, [*text, ("row_count", pa.int64())], [])
     return union_all(
         source[r.table_name]
         .where(f"{quoted(r.column_name)} IS NOT NULL")
-        .groupBy(r.column_name)
+        .groupBy(quoted(r.column_name))
         .count()
         .selectExpr(
             f"{literal(r.table_name)} AS table_name",

@@ -48,7 +48,7 @@ def readable(source: Source) -> tuple[Source, dict[str, int]]:
         return source.only(counts), counts
 
 
-def analyze(source: Source, *, discover: bool = False, max_arity: int = 3) -> Analysis:
+def analyze(source: Source, *, discover: bool = False, max_arity: int | None = None) -> Analysis:
     """Count the tables and profile the foreign keys; a table that fails is logged and skipped.
 
     ``discover`` looks for primary and foreign keys where none are declared. What is kept on the
@@ -61,8 +61,6 @@ def analyze(source: Source, *, discover: bool = False, max_arity: int = 3) -> An
         found = [fk for fk in P.discover_foreign_keys(source) if (fk.table, fk.column) not in declared]
         source = replace(source, foreign_keys=(*source.foreign_keys, *found))
     usable = [fk for fk in source.foreign_keys if fk.table in source.tables and fk.ref_table in source.tables]
-    if not usable:
-        raise ValueError("no foreign keys are declared or found")
     return Analysis(source, counts, P.materialize(P.fk_profile(source, usable)))
 
 
@@ -81,15 +79,20 @@ def migrate(
     clear: bool = True,
     sort_by: dict[str, list[str]] | None = None,
 ) -> Graph:
-    """Build the graph and write it below ``path``; without a path nothing runs (dry run)."""
+    """Build the graph and write it below ``path``; what is returned is then the graph as it is stored there.
+
+    ``clear`` removes the graph that was there before. Without a path nothing runs (dry run).
+    """
     graph = build_graph(
         found.source, mode, rule=rule, mapping=mapping, evidence=found.evidence, row_counts=found.row_counts
     )
-    if path is not None:
-        sinks.write_nodes(graph.nodes, f"{path}/nodes", clear=clear, sort_by=sort_by)
-        if graph.edge_sets:
-            sinks.write_edges(graph.edges, f"{path}/edges", clear=clear)
-    return graph
+    if path is None:
+        return graph
+    if clear:
+        sinks.clear_graph(found.source.spark, path)
+    sinks.write_nodes(graph.nodes, f"{path}/nodes", clear=clear, sort_by=sort_by)
+    sinks.write_edges(graph.edges, f"{path}/edges", clear=clear)
+    return sinks.read_graph(found.source.spark, path, graph)
 
 
 def validate(source: Source, graph: Graph, *, rule: str = "shared_key") -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from ..functions import types as TY
 from ..operators import checks as CK
 from ..operators import profile as P
 from ..operators import semantics as S
+from ..sources.source import Source
 from .sample import FILES, TRADE, sample_source
 
 WITH_JUNCTION = (*TRADE, "supplier_part")
@@ -33,6 +34,19 @@ def primary_keys(spark: SparkSession, d: str) -> DataFrame:
     return P.primary_key_table(s, P.discover_primary_keys(s))
 
 
+#: Tables of all different values of a few columns of the line items: a key needs all columns.
+_WIDE = {
+    "wide3": "SELECT DISTINCT l_orderkey % 8 AS a, l_partkey % 8 AS b, l_suppkey % 8 AS c FROM {lineitem}",
+    "wide4": "SELECT DISTINCT l_orderkey % 5 AS a, l_partkey % 5 AS b, l_suppkey % 5 AS c, l_linenumber % 3 AS e FROM {lineitem}",
+}
+
+
+def wide_keys(spark: SparkSession, d: str) -> DataFrame:
+    lines = sample_source(spark, d)["lineitem"]
+    s = Source(spark, {name: spark.sql(text, lineitem=lines) for name, text in _WIDE.items()})
+    return P.primary_key_table(s, P.discover_primary_keys(s))
+
+
 def foreign_keys(spark: SparkSession, d: str) -> DataFrame:
     s = replace(sample_source(spark, d, FILES), foreign_keys=())
     found = P.discover_foreign_keys(s)
@@ -144,6 +158,7 @@ def identifiers(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "b1_column_profile": column_profile,
     "b2_primary_keys": primary_keys,
+    "b2_wide_keys": wide_keys,
     "b3_foreign_keys": foreign_keys,
     "b4_unique_columns": unique_columns,
     "b5_auto_increment": auto_increment,
@@ -200,13 +215,12 @@ def _each(template: str, kinds: str = "ildsta") -> str:
     return " UNION ALL ".join(parts)
 
 
-def _key_sql() -> str:
-    """Every set of one to three key columns tested exactly; smallest, then first in column order."""
+def _key_sql(usable_of: dict[str, list[str]], also: str = "") -> str:
+    """Every set of key columns tested exactly; smallest, then first in column order."""
     parts = []
-    for t, columns in COLUMNS.items():
-        usable = [c for c, k in columns if k in "ilst"]
+    for t, usable in usable_of.items():
         rank = 0
-        for arity in (1, 2, 3):
+        for arity in range(1, len(usable) + 1):
             for combo in combinations(usable, arity):
                 rank += 1
                 full = " AND ".join(f"count({c}) = count(*)" for c in combo)
@@ -215,9 +229,9 @@ def _key_sql() -> str:
                     f"SELECT '{t}' AS t, '{','.join(combo)}' AS k, {arity} AS a, {rank} AS r, "
                     f"({full} AND count(DISTINCT {key}) = count(*)) AS ok FROM {t}"
                 )
-    counts = " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in COLUMNS)
+    counts = " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in usable_of)
     return f"""
-        WITH tested AS ({" UNION ALL ".join(parts)}),
+        WITH {also} tested AS ({" UNION ALL ".join(parts)}),
              best AS (SELECT t, min(r) AS r FROM tested WHERE ok GROUP BY t), c AS ({counts})
         SELECT c.t AS table_name, tested.k AS key_columns, CAST(coalesce(tested.a, 0) AS BIGINT) AS arity, c.n AS row_count
         FROM c LEFT JOIN best ON best.t = c.t LEFT JOIN tested ON tested.t = best.t AND tested.r = best.r"""
@@ -251,7 +265,11 @@ ORACLES = {
         "count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS ndv, "
         "count(DISTINCT {c}) = count(*) AS is_unique, {lo} AS min_value, {hi} AS max_value, CAST({len} AS BIGINT) AS max_length FROM {t}"
     ),
-    "b2_primary_keys": _key_sql(),
+    "b2_primary_keys": _key_sql({t: [c for c, k in columns if k in "ilst"] for t, columns in COLUMNS.items()}),
+    "b2_wide_keys": _key_sql(
+        {"wide3": ["a", "b", "c"], "wide4": ["a", "b", "c", "e"]},
+        "".join(f"{t} AS ({text.format(lineitem='lineitem')}), " for t, text in _WIDE.items()),
+    ),
     "b3_foreign_keys": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{rt}' AS ref_table, '{rc}' AS ref_column, "
         f"count({c}) AS non_null_rows, count(DISTINCT {c}) AS distinct_values, CAST(0 AS BIGINT) AS orphan_rows FROM {t} "

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import checks as CK
 from ..operators import semantics as S
 from ..sources import paging, sinks
 from ..sources.source import union_all
 from .build import build_graph
+from .pipeline import analyze, migrate
 from .sample import FILES, TRADE, sample_source
 
 BATCH = 1000
@@ -120,6 +122,45 @@ def clear_target(spark: SparkSession, d: str) -> DataFrame:
     return union_all(found)
 
 
+def second_load(spark: SparkSession, d: str) -> DataFrame:
+    """A load of four tables and then one of two to the same place: what is left of labels and edges."""
+    path = sinks.scratch_folder(spark)
+    for names in (["region", "nation", "customer", "orders"], ["region", "nation"]):
+        migrate(analyze(sample_source(spark, d, names)), path)
+    nodes = spark.read.parquet(f"{path}/nodes").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    edges = spark.read.parquet(f"{path}/edges").groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.select(F.lit("nodes").alias("what"), F.col("label").alias("name"), "n").unionByName(
+        edges.select(F.lit("edges").alias("what"), F.concat_ws(">", "from_label", "to_label").alias("name"), "n")
+    )
+
+
+def user_edges_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the user, written, read back and checked: those to customers that do not exist are found."""
+    source = sample_source(spark, d, ["region", "nation", "customer"])
+    known = source["customer"].selectExpr(
+        "'KNOWS' AS rel_type", "'Customer' AS from_label", "CAST(c_custkey AS STRING) AS from_key",
+        "'Customer' AS to_label", "CAST(c_custkey + 3 AS STRING) AS to_key",
+    )
+    g, path = build_graph(source, "enriched").with_edges("knows", known), sinks.scratch_folder(spark)
+    sinks.write_nodes(g.nodes, f"{path}/nodes")
+    sinks.write_edges(g.edges, f"{path}/edges")
+    stored = sinks.read_graph(spark, path, g)
+    count = stored.edges.where("rel_type = 'KNOWS'").selectExpr("'KNOWS' AS rel_type", "'edges' AS found").groupBy("rel_type", "found")
+    lost = CK.missing_nodes(stored).select("rel_type", F.col("missing").alias("found"), "n")
+    return count.agg(F.count(F.lit(1)).alias("n")).unionByName(lost)
+
+
+def pages_with_null_key(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of orders one of which has a null key, as a top-k and by row number."""
+    orders = sample_source(spark, d, ["orders"])["orders"]
+    first = orders.agg(F.min("o_orderkey").alias("first"))
+    df = orders.join(first, orders["o_orderkey"] == first["first"], "left").selectExpr("CASE WHEN first IS NULL THEN o_orderkey END AS k")
+    return union_all(
+        paging.page(df, ["k"], 0, 20, **how).withColumn("path", F.lit(name))
+        for name, how in (("top", {}), ("numbered", {"top_rows": 0, "rows_per_range": 500}))
+    )
+
+
 def json_export(spark: SparkSession, d: str) -> DataFrame:
     """Catalog, conceptual and graph model as JSON, read back as (model, name, n)."""
     s = sample_source(spark, d)
@@ -153,6 +194,9 @@ QUERIES = {
     "a10_edge_sink": edge_sink,
     "a11_csv_staging": csv_staging,
     "a12_clear_target": clear_target,
+    "a12_second_load": second_load,
+    "a10_user_edges": user_edges_read_back,
+    "a4_null_key": pages_with_null_key,
     "a13_json_export": json_export,
 }
 
@@ -195,6 +239,18 @@ ORACLES = {
         UNION ALL SELECT 'replace', 'nodes', count(*) FROM customer
         UNION ALL SELECT 'append', 'edges', 2 * count(*) FROM ({_EDGES})
         UNION ALL SELECT 'replace', 'edges', count(*) FROM ({_EDGES})""",
+    "a12_second_load": """
+        SELECT 'nodes' AS what, 'Region' AS name, count(*) AS n FROM region
+        UNION ALL SELECT 'nodes', 'Nation', count(*) FROM nation
+        UNION ALL SELECT 'edges', 'Nation>Region', count(*) FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)""",
+    "a10_user_edges": """
+        SELECT 'KNOWS' AS rel_type, 'edges' AS found, count(*) AS n FROM customer
+        UNION ALL SELECT 'KNOWS', 'to', count(*) FROM customer WHERE c_custkey + 3 NOT IN (SELECT c_custkey FROM customer)""",
+    "a4_null_key": """
+        WITH one AS (SELECT min(o_orderkey) AS k FROM orders),
+             t AS (SELECT nullif(o_orderkey, one.k) AS k FROM orders, one),
+             p AS (SELECT k FROM t ORDER BY k NULLS FIRST LIMIT 20)
+        SELECT k, 'top' AS path FROM p UNION ALL SELECT k, 'numbered' FROM p""",
     "a13_json_export": " UNION ALL ".join(
         [f"SELECT 'schema' AS model, '{t}' AS name, count(*) AS n FROM {t}" for t in TRADE]
         + [

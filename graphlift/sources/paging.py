@@ -62,14 +62,14 @@ def with_row_number(df: DataFrame, key: Sequence[str], *, rows_per_range: int =
     offsets = (
         ranged.groupBy("_range")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_offset"))
+        .select(F.col("_range").alias("_at"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_offset"))
     )
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*key)) - 1
     return (
         ranged.withColumn("_inside", inside)
-        .join(offsets, "_range")
+        .join(offsets, ranged["_range"].eqNullSafe(offsets["_at"]))
         .withColumn("row_number", F.col("_offset") + F.col("_inside"))
-        .drop("_range", "_offset", "_inside")
+        .drop("_range", "_at", "_offset", "_inside")
     )
 
 

@@ -78,6 +78,14 @@ def write_edges(edges: DataFrame, path: str, *, clear: bool = False) -> None:
     writer.parquet(path)
 
 
+def clear_graph(spark: SparkSession, path: str) -> None:
+    """Removes a written graph (``<path>/nodes``, ``<path>/edges``), labels and types of earlier loads included."""
+    jvm = spark.sparkContext._jvm
+    for part in ("nodes", "edges"):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_nodes(spark: SparkSession, path: str, label: str) -> DataFrame:
     return spark.read.parquet(f"{path}/label={label}")
 
@@ -127,9 +135,10 @@ def write_json(catalog: dict[str, DataFrame], path: str) -> None:
 def read_graph(spark: SparkSession, path: str, model: Graph) -> Graph:
     """A written graph (``<path>/nodes``, ``<path>/edges``) under the model it was built from.
 
-    Types are partition folders, so a pattern reads only the types it names.
+    Types are partition folders, so a pattern reads only the types it names. Edges that no foreign key of
+    the model gave, such as the user's, are the set ``user``.
     """
-    edges = read_edges(spark, f"{path}/edges")
+    edges = spark.read.schema(model.edges.schema).parquet(f"{path}/edges")
     tables = {e.fk.table for e in model.edge_types}
     sets = {
         t: edges.where(F.col("rel_type").isin([e.rel_type for e in model.edge_types if e.fk.table == t]))
@@ -137,5 +146,8 @@ def read_graph(spark: SparkSession, path: str, model: Graph) -> Graph:
         .select(*EDGE_COLUMNS)
         for t in tables
     }
+    own = F.col("fk_name").isNull() | ~F.col("fk_name").isin([e.fk.name for e in model.edge_types])
+    if set(model.edge_sets) - tables:
+        sets["user"] = edges.where(own).select(*EDGE_COLUMNS)
     nodes = {label: read_nodes(spark, f"{path}/nodes", label) for label in model.nodes}
     return replace(model, nodes=nodes, edge_sets=sets, carriers={})

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import literal
+
 _TEXTS = pa.list_(pa.string())
 
 
@@ -175,7 +177,7 @@ class Source:
     def row_counts(self) -> DataFrame:
         """``(table_name, row_count)``, one row per table, empty tables included."""
         return union_all(
-            df.groupBy().agg(F.expr("count(1)").alias("row_count")).selectExpr(f"'{t}' AS table_name", "row_count")
+            df.groupBy().agg(F.expr("count(1)").alias("row_count")).selectExpr(f"{literal(t)} AS table_name", "row_count")
             for t, df in self.tables.items()
         )
 

@@ -10,9 +10,9 @@ from graphlift import ForeignKey, Source
 from graphlift.operators import profile as P
 
 
-def brute_key(pdf: pd.DataFrame, arity: int = 3) -> tuple[str, ...]:
+def brute_key(pdf: pd.DataFrame) -> tuple[str, ...]:
     complete = [c for c in pdf.columns if pdf[c].notna().all()]
-    for n in range(1, arity + 1):
+    for n in range(1, len(complete) + 1):
         for combo in combinations(complete, n):
             if not pdf.duplicated(list(combo)).any():
                 return combo
@@ -113,3 +113,22 @@ def test_discover_all(blog, parallel):
     assert P.discover_primary_keys(s, parallel=parallel) == {
         "users": ("id",), "posts": ("id",), "tags": ("id",), "post_tags": ("post_id", "tag_id"),
     }
+
+
+@pytest.mark.parametrize("sizes", [(10, 10, 10), (20, 20, 20), (3, 4, 5, 7)])
+def test_keys_of_any_width(spark, sizes):
+    from itertools import product
+
+    names = [f"c{i}" for i in range(len(sizes))]
+    df = spark.createDataFrame(list(product(*[range(n) for n in sizes])), ", ".join(f"{n} int" for n in names))
+    assert P.discover_primary_key(df) == tuple(names)
+    assert P.discover_primary_key(df.unionByName(df.limit(1))) == ()
+
+
+def test_wide_tables_shrink_the_whole_set(spark, monkeypatch):
+    from itertools import product
+
+    monkeypatch.setattr(P, "_MOST_CANDIDATES", 0)
+    df = spark.createDataFrame([(a, b, 0, c) for a, b, c in product(range(6), range(6), range(6))], "a int, b int, x int, c int")
+    assert P.discover_primary_key(df) == ("a", "b", "c")
+    assert P.discover_primary_key(df.unionByName(df)) == ()

@@ -131,8 +131,11 @@ def test_names_by_dictionary(university):
 
 def test_discriminators(spark):
     df = spark.range(100).selectExpr("id", "IF(id < 60, 'full_time', 'temp') AS employee_type", "id AS other_category")
-    got = {(r.column_name, r.value, r.subclass_label, r.row_count) for r in S.discriminators(Source(spark, {"t": df})).collect()}
-    assert got == {("employee_type", "full_time", "FullTime", 60), ("employee_type", "temp", "Temp", 40)}
+    few = {("employee_type", "full_time", "FullTime", 60), ("employee_type", "temp", "Temp", 40)}
+    rows = lambda **k: {(r.column_name, r.value, r.subclass_label, r.row_count) for r in S.discriminators(Source(spark, {"t": df}), **k).collect()}
+    assert rows(max_values=50) == few
+    assert rows() == few | {("other_category", str(i), f"N{i}", 1) for i in range(100)}
+    assert S.discriminators(Source(spark, {"t": df.select("id")})).count() == 0
 
 
 def test_name_rules(spark):

@@ -25,6 +25,30 @@ def test_migrate_is_idempotent_and_readable(spark, university, folder):
     assert sorted(r.c for r in got.collect()) == [10, 11, 12]
 
 
+def test_a_second_load_leaves_nothing_of_the_first(spark, university, folder):
+    migrate(analyze(university), folder)
+    g = migrate(analyze(university.only(["courses", "departments"])), folder)
+    assert {r.label for r in spark.read.parquet(f"{folder}/nodes").select("label").distinct().collect()} == {"Courses", "Departments"}
+    assert {r.from_label for r in g.edges.collect()} == {"Courses"}
+
+
+def test_validation_looks_at_what_was_written(university, folder):
+    g = migrate(analyze(university), folder)
+    assert validate(university, g)["findings"].count() == 0
+    one = build_graph(university).nodes["Departments"].where("departmentId = 1")
+    sinks.write_nodes({"Departments": one}, f"{folder}/nodes", clear=True)
+    again = sinks.read_graph(university.spark, folder, g)
+    assert validate(university, again)["findings"].count() > 0
+
+
+def test_source_without_foreign_keys(spark, folder):
+    s = Source(spark, {"t": spark.createDataFrame([(1, "a")], "id int, name string")}, primary_keys={"t": ("id",)})
+    g = migrate(analyze(s), folder)
+    assert g.nodes["T"].count() == 1 and g.edges.count() == 0
+    assert {r.statistic: r.value for r in CK.target_totals(g).collect()}["total_relationships"] == 0
+    assert CK.missing_nodes(g).count() == 0
+
+
 def test_append_duplicates(spark, blog, folder):
     g = build_graph(blog)
     for _ in range(2):
