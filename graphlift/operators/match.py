@@ -187,6 +187,37 @@ def collect_over_hub(
     return starts.join(values, "_hub").drop("_hub")
 
 
+def collect_groups(
+    graph: Graph,
+    start: Node,
+    hub: Node,
+    end: Node,
+    *,
+    start_step: str,
+    end_step: str,
+    value: str,
+    returns: Mapping[str, str],
+    alias: str,
+    distinct: bool = False,
+    where: str | None = None,
+) -> DataFrame:
+    """``(start)-[..]->(hub)<-[..]-(end)`` with ``collect(end.value)`` per group of returned columns.
+
+    A value comes once for every match, or once with ``distinct``; the array is sorted. Start nodes and
+    values are counted per hub and only the counts are multiplied, so no start-end pairs are formed.
+    """
+    key = F.col(f"{hub.var}.node_key").alias("_hub")
+    values = match(graph, [hub, step(end_step, "in"), end], where=where).select(key, F.expr(value).alias("_value"))
+    values = values.where(F.col("_value").isNotNull()).groupBy("_hub", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    starts = match(graph, [start, step(start_step), hub]).select(key, *[F.expr(text).alias(name) for name, text in returns.items()])
+    names = [f"`{n}`" for n in returns]
+    starts = starts.groupBy("_hub", *names).agg(F.count(F.lit(1)).alias("_m"))
+    held = starts.join(values, "_hub").groupBy(*names, "_value").agg(F.sum(F.col("_m") * F.col("_n")).alias("_k"))
+    times = F.lit(1) if distinct else F.col("_k").cast("int")
+    pairs = F.array_sort(F.collect_list(F.struct("_value", times.alias("_k"))))
+    return held.groupBy(*names).agg(F.flatten(F.transform(pairs, lambda x: F.array_repeat(x["_value"], x["_k"]))).alias(alias))
+
+
 # -- counts -----------------------------------------------------------------------------------
 
 

@@ -283,6 +283,21 @@ def collected(spark: SparkSession, d: str) -> DataFrame:
     return found.selectExpr("supplier", "array_join(segments, ',') AS segments")
 
 
+def collected_groups(distinct: bool):
+    """Segments of the customers in a supplier's nation, per nation of the suppliers."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = M.collect_groups(
+            _graph(spark, d),
+            M.node("s", "Supplier"), M.node("n", "Nation"), M.node("c", "Customer"),
+            start_step="PART_OF_NATION", end_step="PART_OF_NATION", distinct=distinct,
+            value="c.cMktsegment", alias="segments", returns={"nation": "s.sNationkey"}, where="c.cAcctbal > 9500",
+        )
+        return found.selectExpr("nation", "array_join(segments, ',') AS segments")
+
+    return run
+
+
 def graph_sample(spark: SparkSession, d: str) -> DataFrame:
     return M.graph_sample(_graph(spark, d), 50)
 
@@ -346,6 +361,8 @@ QUERIES = {
     "f5_two_hops_spread": two_hops_spread,
     "f5_two_hops_inward": two_hops_inward,
     "f6_collected": collected,
+    "f6_collected_groups": collected_groups(False),
+    "f6_collected_distinct_groups": collected_groups(True),
     "f7_graph_sample": graph_sample,
     "f8_junction_pattern": junction_pattern,
     "f8_written_pattern": written_pattern,
@@ -486,6 +503,12 @@ ORACLES = {
     "f5_two_hops_inward": """
         SELECT r_name AS region, n_name AS nation, c_name AS customer
         FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE r_name = 'ASIA'""",
+    **{
+        f"f6_collected_{name}groups": f"""
+        SELECT s_nationkey AS nation, string_agg({distinct} c_mktsegment, ',' ORDER BY c_mktsegment) AS segments
+        FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 9500 GROUP BY s_nationkey"""
+        for name, distinct in (("", ""), ("distinct_", "DISTINCT"))
+    },
     "f6_collected": """
         SELECT s_name AS supplier, segments FROM supplier JOIN (
             SELECT c_nationkey, string_agg(s, ',' ORDER BY s) AS segments
