@@ -18,7 +18,9 @@ from graphlift.operators import checks as CK
 from graphlift.operators import profile as P
 from graphlift.plans import registry
 from graphlift.plans.build import build_graph
+from graphlift.plans.pipeline import analyze, migrate, validate
 from graphlift.plans.sample import FILES, sample_source
+from graphlift.sources import sinks
 
 
 def noop(df: DataFrame) -> None:
@@ -48,6 +50,11 @@ def reconcile(spark: SparkSession, d: str) -> None:
     noop(CK.findings(s, build_graph(s, assume_complete=True)))
 
 
+def migrate_and_validate(spark: SparkSession, d: str) -> None:
+    found = analyze(sample_source(spark, d))
+    noop(validate(found.source, migrate(found, sinks.scratch_folder(spark)))["findings"])
+
+
 def query(name: str):
     return lambda spark, d: noop(registry.QUERIES[name](spark, d))
 
@@ -58,6 +65,7 @@ STAGES = {
     "build_direct": build("direct"),
     "build_enriched": build("enriched"),
     "reconcile": reconcile,
+    "migrate_and_validate": migrate_and_validate,
     **{
         n: query(n)
         for n in (
