@@ -268,7 +268,8 @@ class Join:
         return stored(self.docs.mapInArrow(make, f"doc_id {self.id_type}, n long, node long, rare array<long>"), "shingle-sets")
 
     def lists(self) -> DataFrame:
-        """Rows (h, node, n) of rare shingles that more than one node has.
+        """Rows (h, node, n) of rare shingles that more than one node has; h is half a hash, as a list of two
+        shingles can only propose more pairs.
 
         Crowded shingles are rows from the start. The others meet in buckets, ranges of their hash whose
         number grows with the input, as blocks of numbers.
@@ -297,15 +298,16 @@ class Join:
             h, node, n = h[new], node[new], n[new]
             same = h[1:] == h[:-1]
             shared = np.append(same, False) | np.append(False, same)
-            return pa.table({"h": h[shared].view(np.int64), "node": node[shared], "n": n[shared].astype(np.int64)})
+            return pa.table({"h": (h[shared] >> np.uint64(32)).astype(np.uint32).view(np.int32), "node": node[shared], "n": n[shared].astype(np.int64)})
 
         def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 h, node, n, hit = entries_of(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(node[hit]), pa.array(n[hit])], ["h", "node", "n"])
+                short = (h[hit] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(short), pa.array(node[hit]), pa.array(n[hit])], ["h", "node", "n"])
 
-        rare = used.mapInArrow(blocks, "bucket long, h binary, x binary, y binary").groupBy("bucket").applyInArrow(meet, "h long, node long, n long")
-        return stored(rare.unionByName(used.mapInArrow(common, "h long, node long, n long").distinct()), "rare-shingle-lists")
+        rare = used.mapInArrow(blocks, "bucket long, h binary, x binary, y binary").groupBy("bucket").applyInArrow(meet, "h int, node long, n long")
+        return stored(rare.unionByName(used.mapInArrow(common, "h int, node long, n long").distinct()), "rare-shingle-lists")
 
     def first_pairs(self, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The leader of each list against the others, and (node, leader): the leader a node meets most.
@@ -346,8 +348,9 @@ class Join:
     def group_pairs(self, known: DataFrame) -> DataFrame:
         """The pairs of large groups, by blocks of nodes outside the largest component against blocks of all."""
         percent = self.percent
-        rare = self.sets.where("node is not null").groupBy("node").agg(F.first("rare").alias("rare"))
-        held = stored(known.where((F.col("size") > SMALL) & (F.col("roots") > 1)).join(rare, "node"), "large-groups")
+        mixed_groups = stored(known.where((F.col("size") > SMALL) & (F.col("roots") > 1)), "large-groups")
+        rare = self.sets.select("node", "rare").join(mixed_groups.select("node"), "node", "left_semi").groupBy("node").agg(F.first("rare").alias("rare"))
+        held = stored(mixed_groups.join(rare, "node"), "large-groups-with-sets")
         dealt = F.xxhash64("node")
         rows, columns = F.ceil((F.col("size") - F.col("most")) / OUTSIDE).cast("int"), F.ceil(F.col("size") / INSIDE).cast("int")
         blocks = held.select("leader", "node", "n", "root", "top", "rare", rows.alias("rows"), columns.alias("columns"), dealt.alias("deal"))
