@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,8 @@ from .common import require_columns
 
 #: Bytes of a window, and of the one before that it repeats.
 WINDOW, OVERLAP = 128, 12
+#: Rows whose texts a task holds as Python strings at a time.
+AT_ONCE = 500
 LEVEL = 9
 #: Words of the ordinary dictionary; most words of the toxic one; least likelihood ratio of these.
 COMMON, TOXIC, RATIO = 3000, 2000, 20.0
@@ -64,9 +65,11 @@ def _features(rows: DataFrame, model: Model) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordinary, toxic = model.compressors()
-        for b in batches:
-            found = np.array([saved(t, ordinary, toxic) for t in b.column("text").to_pylist()]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(found[:, 0]), pa.array(found[:, 1])], [*[f.name for f in kept], "per_window", "most"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(k, AT_ONCE)
+                found = np.array([saved(t, ordinary, toxic) for t in b.column("text").to_pylist()]).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(found[:, 0]), pa.array(found[:, 1])], [*[f.name for f in kept], "per_window", "most"])
 
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
     return rows.mapInArrow(measure, f"{names}, per_window double, most double")
@@ -146,10 +149,12 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
     """The rows of docs, with all columns, that are not predicted toxic. Null and empty texts are judged as empty."""
     require_columns(docs, text_col)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordinary, toxic = model.compressors()
-        for texts in batches:
-            yield pd.Series(model.score(np.array([saved(t, ordinary, toxic) for t in texts]).reshape(-1, 2)))
+        for whole in batches:
+            for k in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(k, AT_ONCE)
+                found = np.array([saved(t, ordinary, toxic) for t in b.column(text_col).to_pylist()]).reshape(-1, 2)
+                yield b.filter(pa.array(model.score(found) < 0.5))
 
-    return docs.where(F.coalesce(score(F.col(text_col)), F.lit(0.0)) < 0.5)
+    return docs.mapInArrow(keep, docs.schema)
