@@ -1,9 +1,10 @@
 """Licence scans by a positional index of rare licence words, in DataFrame functions only.
 
-Base phrases are found word by word. The method then looks up each text's rarest licence words (by inverse
-document frequency over all documents) in the postings of licence templates; words that stand as far apart
-as in a template agree on where it would begin. A template whose words agree well enough and whose key
-phrases all stand in the text gives its label.
+Base phrases are found word by word. For each template whose key phrases all stand in a text, the method then
+looks up the rarest words that text and template share (by inverse document frequency over all documents) in
+the template's postings; words that stand as far apart as in the template agree on where it would begin. A
+template whose words agree well enough gives its label. Templates don't compete: other licences in the text
+change nothing.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ TEMPLATES = {
 
 #: One of these is in every text in which a base phrase or all key phrases of a template can stand.
 CUES = ("license", "cc", "redistribution", "hereby granted", "unencumbered")
-#: Distinct licence words looked up per text, and the share of their weight in a template that must agree.
+#: Distinct words looked up per text and template, and the share of their weight in the template that must agree.
 LOOKED_UP, AGREEING = 12, 0.6
 
 
@@ -70,12 +71,16 @@ def idf(rows: DataFrame) -> dict[str, float]:
     return {w: math.log((total + 1) / (seen.get(w, 0) + 0.5)) for w in vocabulary}
 
 
+def _rarest_first(text: str, weight: dict[str, float]) -> list[str]:
+    return sorted(set(text.split()), key=lambda w: (-weight[w], w))
+
+
 def _postings(spark: SparkSession, weight: dict[str, float]) -> DataFrame:
-    """(word, idf, template, at, share): share is the word's part of the weight that the template's rarest words have."""
+    """(word, template, at, share): share is the word's part of the weight that the template's rarest words have."""
     rows = []
     for label, (text, _) in TEMPLATES.items():
         words = text.split()
-        rarest = sorted(set(words), key=lambda w: (-weight[w], w))[:LOOKED_UP]
+        rarest = _rarest_first(text, weight)[:LOOKED_UP]
         whole = sum(weight[w] for w in words if w in rarest)
         rows += [(w, label, at, weight[w] / whole) for at, w in enumerate(words)]
     return spark.createDataFrame(rows, "word string, template string, at int, share double")
@@ -83,15 +88,18 @@ def _postings(spark: SparkSession, weight: dict[str, float]) -> DataFrame:
 
 def template_labels(texts: DataFrame, weight: dict[str, float]) -> DataFrame:
     """texts (k1, k2, words), keys unique: (k1, k2, found, score) of those that a template fits."""
-    rated = F.create_map(*[F.lit(x) for kv in sorted(weight.items()) for x in kv])
-    by_weight = F.transform(F.array_intersect("words", F.lit(sorted(weight))), lambda w: F.struct((-F.element_at(rated, w)).alias("by"), w.alias("word")))
-    rare = F.transform(F.slice(F.sort_array(by_weight), 1, LOOKED_UP), lambda x: x["word"])
     line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    stand = F.array(*[F.when(F.lit(True) if not keys else _all(line.contains(f" {k} ") for k in keys), F.lit(label)) for label, (_, keys) in TEMPLATES.items()])
-    looked = texts.select("k1", "k2", "words", rare.alias("rare"), F.array_compact(stand).alias("stand")).where(F.size("stand") > 0)
-    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains("rare", x["word"]))
-    hits = looked.select("k1", "k2", "stand", F.explode(places).alias("hit")).select("k1", "k2", "stand", "hit.word", "hit.pos")
-    met = hits.join(_postings(texts.sparkSession, weight), "word").where(F.array_contains("stand", F.col("template")))
+    stand = [
+        F.when(
+            _all(line.contains(f" {k} ") for k in keys),
+            F.struct(F.lit(label).alias("template"), F.slice(F.array_intersect(F.lit(_rarest_first(text, weight)), "words"), 1, LOOKED_UP).alias("rare")),
+        )
+        for label, (text, keys) in TEMPLATES.items()
+    ]
+    looked = texts.select("k1", "k2", "words", F.explode(F.array_compact(F.array(*stand))).alias("stand"))
+    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains("stand.rare", x["word"]))
+    hits = looked.select("k1", "k2", "stand.template", F.explode(places).alias("hit")).select("k1", "k2", "template", "hit.word", "hit.pos")
+    met = hits.join(_postings(texts.sparkSession, weight), ["template", "word"])
     agree = met.groupBy("k1", "k2", "template", (F.col("pos") - F.col("at")).alias("begin")).agg(F.least(F.sum("share"), F.lit(1.0)).alias("share"))
     best = agree.groupBy("k1", "k2", "template").agg(F.max("share").alias("share")).where(F.col("share") >= AGREEING)
     return best.groupBy("k1", "k2").agg(F.collect_set("template").alias("found"), F.round(F.max("share"), 6).alias("score"))

@@ -104,6 +104,15 @@ def test_op2_whole_table(spark):
     assert got == {i: base_licenses(t) for i, t in zip(table("documents").doc_id, table("documents").text, strict=True)}
 
 
+def test_licences_of_one_text_do_not_compete(spark):
+    texts = [text for text, _ in licenses.TEMPLATES.values()]
+    mit, bsd = licenses.TEMPLATES["mit-text"][0], licenses.TEMPLATES["bsd"][0]
+    got = licenses.scan(docs(spark, [(1, ".\n".join(texts)), (2, ".\n".join(reversed(texts))), (3, f"{mit}\n\n{bsd}"), (4, mit), (5, bsd)])).collect()
+    labels = {r.doc_id: set(r.labels.split(",")) for r in got}
+    assert labels[1] == labels[2] == {*licenses.TEMPLATES, *licenses.BASE.values()}
+    assert labels[3] == labels[4] | labels[5] == {"mit-text", "bsd"} and all(r.score == 1 for r in got)
+
+
 def test_every_cue_covers_its_phrases():
     for phrase in [*licenses.BASE, *(k for _, keys in licenses.TEMPLATES.values() for k in keys[:1])]:
         words = phrase.split()
