@@ -44,8 +44,8 @@ TEMPLATES = {
     "unlicense": ("this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 }
 
-#: One of these is in every text in which a base phrase or all key phrases of a template can stand.
-CUES = ("license", "cc", "redistribution", "hereby granted", "unencumbered")
+#: One of these, each within one word, is in every text in which a base phrase or all key phrases of a template can stand.
+CUES = ("license", "cc", "redistribution", "hereby", "unencumbered")
 #: Distinct words looked up per text and template, and the share of their weight in the template that must agree.
 LOOKED_UP, AGREEING = 12, 0.6
 

@@ -113,6 +113,13 @@ def test_licences_of_one_text_do_not_compete(spark):
     assert labels[3] == labels[4] | labels[5] == {"mit-text", "bsd"} and all(r.score == 1 for r in got)
 
 
+@pytest.mark.parametrize("gap", ["\n# ", "  ", "\n * ", "\r\n// ", "\t", "\n\n"])
+def test_wrapped_and_commented_licences_keep_their_labels(spark, gap):
+    rows = [(i, gap.join(text.split())) for i, (text, _) in enumerate(licenses.TEMPLATES.values())]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert all(label in got[i] for i, label in enumerate(licenses.TEMPLATES))
+
+
 def test_every_cue_covers_its_phrases():
     for phrase in [*licenses.BASE, *(k for _, keys in licenses.TEMPLATES.values() for k in keys[:1])]:
         words = phrase.split()
