@@ -5,6 +5,7 @@ documents and benchmark items are joined by their hash. A window is only made in
 *anchor*, the longest word it has in the benchmark; no window of an item can occur without it. Windows that
 lie alike in document and item are counted together, and their slots are checked: each value of the item
 must stand for one value in the document, so a question asked anew with other numbers and names is found.
+Windows also agree where names are taken as words, so a copy is found in any letter case and any sentence.
 """
 
 from __future__ import annotations
@@ -56,24 +57,58 @@ def _hash(template: Column) -> Column:
     return F.xxhash64(F.array_join(template, " "), F.size(template))
 
 
-def _slots(start: Column, length: Column) -> Column:
-    """Values of the placeholders of a window, in order."""
-    at = F.filter(F.sequence(start, start + length - 1), lambda i: F.get("kinds", i) != F.get("low", i))
+def _slots(start: Column, length: Column, names: bool = True) -> Column:
+    """Values of the placeholders of a window, in order; without names, of its numbers and units."""
+    at = F.filter(F.sequence(start, start + length - 1), lambda i: (F.get("kinds", i) != F.get("low", i)) & (F.lit(names) | (F.get("kinds", i) != NAME)))
     return F.transform(at, lambda i: F.get("low", i))
 
 
+def _named(start: Column, length: Column) -> Column:
+    return F.array_contains(F.slice("kinds", start + 1, length), NAME)
+
+
+def _template(start: Column, length: Column) -> list[Column]:
+    """Hash and slots of the template of a window."""
+    return [_hash(F.slice("kinds", start + 1, length)).alias("h"), _slots(start, length).alias("slots")]
+
+
+def _spelt(start: Column, length: Column) -> list[Column]:
+    """The same with names as words: what is a name depends on letter case and on the sentence around it."""
+    words = F.transform(F.sequence(start, start + length - 1), lambda i: F.when(F.get("kinds", i) == NAME, F.get("low", i)).otherwise(F.get("kinds", i)))
+    return [_hash(words).alias("h"), _slots(start, length, names=False).alias("slots")]
+
+
+def _verbatim(start: Column, length: Column) -> list[Column]:
+    """The same with all words as they are."""
+    return [_hash(F.slice("low", start + 1, length)).alias("h"), F.array().cast("array<string>").alias("slots")]
+
+
+def _plain(start: Column, length: Column) -> Column:
+    return F.filter(F.slice("kinds", start + 1, length), lambda w: ~w.isin(NUMBER, NAME, UNIT))
+
+
+def _lettered(start: Column, length: Column) -> Column:
+    return F.filter(F.slice("low", start + 1, length), lambda w: ~w.rlike(r"^\p{N}"))
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Every window of every item: item_id, windows (of the item), s (start), length, h, item_slots, anchor."""
+    """Windows of items: item_id, windows (of the item), s (start), length, verbatim, h, item_slots, anchor.
+
+    A window with names has a second row in which they are words. An item without a usable template has
+    verbatim windows instead: all with a word that is not a number.
+    """
     texts = benchmark.where("item_id is not null").select("item_id", lower_words(F.col("text")).alias("low"), marked_words(F.col("text")).alias("marked"))
     made = texts.where("size(low) > 0").select("item_id", "low", _kinds("low", "marked").alias("kinds"), F.least(F.size("low"), F.lit(WINDOW)).alias("length"))
-    starts = made.select("*", F.explode(F.sequence(F.lit(0), F.size("low") - F.col("length"))).alias("s"))
-    cut = starts.select(
-        "item_id", "length", "s", F.slice("kinds", F.col("s") + 1, F.col("length")).alias("template"), _slots(F.col("s"), F.col("length")).alias("item_slots")
-    )
-    cut = cut.withColumn("plain", F.filter("template", lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    usable = cut.where(F.size(F.array_distinct("plain")) >= F.least(F.lit(PLAIN), F.col("length")))
-    longest = F.array_max(F.transform("plain", lambda w: F.struct(F.length(w).alias("k"), w.alias("w"))))["w"]
-    found = usable.select("item_id", "s", "length", _hash(F.col("template")).alias("h"), "item_slots", longest.alias("anchor")).distinct()
+    every, s, length = F.sequence(F.lit(0), F.size("low") - F.col("length")), F.col("s"), F.col("length")
+    made = made.withColumn("usable", F.filter(every, lambda i: F.size(F.array_distinct(_plain(i, length))) >= F.least(F.lit(PLAIN), length)))
+    made = made.withColumn("verbatim", F.size("usable") == 0)
+    starts = made.select("*", F.explode(F.when(F.col("verbatim"), F.filter(every, lambda i: F.size(_lettered(i, length)) > 0)).otherwise(F.col("usable"))).alias("s"))
+    template, spelt, verbatim = (F.struct(*f(s, length)) for f in (_template, _spelt, _verbatim))
+    variants = F.when(F.col("verbatim"), F.array(verbatim)).when(_named(s, length), F.array(template, spelt)).otherwise(F.array(template))
+    words = F.when(F.col("verbatim"), _lettered(s, length)).otherwise(_plain(s, length))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("k"), w.alias("w"))))["w"]
+    cut = starts.select("item_id", "s", "length", "verbatim", longest.alias("anchor"), F.explode(variants).alias("v"))
+    found = cut.select("item_id", "s", "length", "verbatim", "v.h", F.col("v.slots").alias("item_slots"), "anchor").distinct()
     count = found.groupBy("item_id").agg(F.count_distinct("s").alias("windows"))
     return stored(found.join(count, "item_id"), "benchmark-windows")
 
@@ -85,16 +120,18 @@ def _starts(length: int) -> Column:
     return F.when(last >= 0, F.array_distinct(F.flatten(around))).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(length: int) -> Column:
-    return F.transform(
-        _starts(length),
-        lambda s: F.struct(s.alias("begin"), _hash(F.slice("kinds", s + 1, length)).alias("h"), _slots(s, F.lit(length)).alias("doc_slots")),
-    )
+def _windows(length: int, verbatim: bool) -> Column:
+    """Windows of this length: verbatim ones, or templates and, of those with names, also the spelt ones."""
+    n = F.lit(length)
+    made = lambda starts, f: F.transform(starts, lambda s: F.struct(s.alias("begin"), *f(s, n)))
+    if verbatim:
+        return made(_starts(length), _verbatim)
+    return F.concat(made(_starts(length), _template), made(F.filter(_starts(length), lambda s: _named(s, n)), _spelt))
 
 
 def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Windows of documents (doc_id, text) that may be an item's: doc_id, k (hash of the text), begin, h, doc_slots."""
-    lengths = sorted(r.length for r in windows.select("length").distinct().collect())
+    lengths = sorted((r.length, r.verbatim) for r in windows.select("length", "verbatim").distinct().collect())
     anchors = [r.anchor for r in windows.select("anchor").distinct().limit(MOST_ANCHORS + 1).collect()]
     everywhere = len(anchors) > MOST_ANCHORS
     rows = docs.where("doc_id is not null").select("doc_id", "text", lower_words(F.col("text")).alias("low"))
@@ -105,7 +142,8 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     held = held.select("doc_id", F.xxhash64("text").alias("k"), "low", _kinds("low", "marked").alias("kinds"), hits.alias("hits"))
     if not lengths:
         return held.select("doc_id", "k", F.lit(0).alias("begin"), F.lit(0).cast("long").alias("h"), F.array().cast("array<string>").alias("doc_slots")).limit(0)
-    return held.select("doc_id", "k", F.inline(F.flatten(F.array(*[_windows(n) for n in lengths]))))
+    made = held.select("doc_id", "k", F.inline(F.flatten(F.array(*[_windows(*n) for n in lengths]))))
+    return made.withColumnRenamed("slots", "doc_slots")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -115,7 +153,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
     ``windows`` agree there, ``n_slots`` its distinct numbers, names and units in these and ``n_changed``
     those with other values in the document. Clean documents have no row. Null or empty texts match
     nothing; rows with a null id, of either table, take no part. Repeated rows give one row. Items without
-    PLAIN different plain words in any window can't be looked for. Other columns are not looked at.
+    PLAIN different plain words in any window are found word for word only, and those of numbers alone not
+    at all. Other columns are not looked at.
     """
     require_columns(docs, id_col, text_col)
     require_columns(benchmark, item_col, item_text_col)

@@ -33,6 +33,21 @@ def test_verbatim_and_asked_anew(spark):
     assert got[1, 1].n_changed == 0 and got[2, 1].n_changed >= 3 and got[9, 1].begin == 20_000
 
 
+@pytest.mark.parametrize("n", range(3, 13))
+def test_short_items_in_any_case_and_sentence(spark, n):
+    short = " ".join("Carla Jones asked Boris how many Roman coins were found near Paris today".split()[:n])
+    sums = " ".join("What is 12 times 7 plus 3 days and 4 hours less 5".split()[:n])
+    copies = [f(t) for t in (short, sums) for f in (str, str.lower, str.upper, str.title)]
+    texts = [(i, f"and so,{gap}{t} (then more)") for i, (t, gap) in enumerate((t, g) for t in copies for g in (" ", "\n", ' "'))]
+    got = found(spark, texts, [(1, short), (2, sums)])
+    assert set(got) == {(i, 1 if i < 12 else 2) for i in range(24)} and all(r.begin == 2 and r.n_windows == r.windows for r in got.values())
+
+
+def test_long_item_in_any_case_with_other_numbers(spark):
+    anew = ITEM.replace("12", "40").replace("30", "99")
+    assert set(found(spark, [(i, f"so, {f(t)}") for i, (t, f) in enumerate((t, f) for t in (ITEM, anew) for f in (str.lower, str.upper, str.title))])) == {(i, 1) for i in range(6)}
+
+
 def test_odd_benchmarks(spark):
     texts = [(1, "alpha beta gamma"), (2, ITEM), (3, "1 2 3 4 5 6 7 8 9 10 11 12")]
     assert set(found(spark, texts, [(1, "Alpha beta, gamma!"), (2, None), (3, ""), (None, ITEM), (4, "1 2 3 4 5 6 7 8 9 10 11 12")])) == {(1, 1)}
