@@ -5,6 +5,7 @@ documents and benchmark items are joined by their hash. A window is only made in
 *anchor*, the longest word it has in the benchmark; no window of an item can occur without it. Windows that
 lie alike in document and item are counted together, and their slots are checked: each value of the item
 must stand for one value in the document, so a question asked anew with other numbers and names is found.
+Windows that contradict this are dropped; the others must be enough.
 Windows also agree where names are taken as words, so a copy is found in any letter case and any sentence.
 """
 
@@ -151,7 +152,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
 
     ``begin`` is the word of the document where the item would begin, ``n_windows`` how many of the item's
     ``windows`` agree there, ``n_slots`` its distinct numbers, names and units in these and ``n_changed``
-    those with other values in the document. Clean documents have no row. Null or empty texts match
+    those with other values in the document. Where a value of the item stands for several, only windows in
+    which it stands for itself count; if it never does, AGREEING windows without it must follow each other.
+    Clean documents have no row. Null or empty texts match
     nothing; rows with a null id, of either table, take no part. Repeated rows give one row. Items without
     PLAIN different plain words in any window are found word for word only, and those of numbers alone not
     at all. Other columns are not looked at.
@@ -161,14 +164,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
     items = item_windows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")))
     found = document_windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items)
     met = found.join(items.select("item_id", "windows", "s", "h", "item_slots"), "h").withColumn("begin", F.col("begin") - F.col("s"))
-    windows = met.groupBy("doc_id", "k", "item_id", "windows", "begin").agg(
-        F.count_distinct("s").alias("n_windows"), F.collect_set(F.struct("s", "item_slots", "doc_slots")).alias("held")
-    )
-    pairs = F.array_distinct(F.flatten(F.transform("held", lambda x: F.arrays_zip(x["item_slots"].alias("item"), x["doc_slots"].alias("doc")))))
-    judged = windows.select("doc_id", "item_id", "begin", "n_windows", "windows", pairs.alias("pairs"))
-    fits = judged.where(
-        (F.col("n_windows") >= F.least(F.lit(AGREEING), F.col("windows"))) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs"))
-    )
+    pair = F.arrays_zip(F.col("item_slots").alias("item"), F.col("doc_slots").alias("doc"))
+    windows = met.groupBy("doc_id", "k", "item_id", "windows", "begin").agg(F.collect_set(F.struct("s", pair.alias("pairs"))).alias("held"))
+    every = F.array_distinct(F.flatten(F.transform("held", lambda x: x["pairs"])))
+    several = F.array_distinct(F.transform(F.filter("every", lambda p: F.exists("every", lambda q: (q["item"] == p["item"]) & (q["doc"] != p["doc"]))), lambda p: p["item"]))
+    fitting = F.filter("held", lambda x: F.forall(x["pairs"], lambda p: ~F.array_contains("several", p["item"]) | (p["item"] == p["doc"])))
+    kept_at = F.array_distinct(F.transform("kept", lambda x: x["s"]))
+    pairs = F.array_distinct(F.flatten(F.transform("kept", lambda x: x["pairs"])))
+    judged = windows.withColumn("every", every).withColumn("several", several).withColumn("kept", fitting)
+    judged = judged.select("*", kept_at.alias("at"), pairs.alias("pairs")).withColumn("n_windows", F.size("at").cast("long"))
+    # Of a value with several others none of which is its own, no window counts; then AGREEING windows must follow each other.
+    unkept = F.exists("several", lambda v: ~F.exists("every", lambda p: (p["item"] == v) & (p["doc"] == v)))
+    in_a_row = F.exists("at", lambda i: F.forall(F.sequence(i, i + AGREEING - 1), lambda j: F.array_contains("at", j)))
+    fits = judged.where((F.col("n_windows") >= F.least(F.lit(AGREEING), F.col("windows"))) & (~unkept | in_a_row))
     best = F.max_by(F.struct("begin", "n_windows", "windows", F.size("pairs").cast("long").alias("n_slots"), F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).cast("long").alias("n_changed")), F.struct("n_windows", -F.col("begin")))
     return fits.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 

@@ -48,6 +48,21 @@ def test_long_item_in_any_case_with_other_numbers(spark):
     assert set(found(spark, [(i, f"so, {f(t)}") for i, (t, f) in enumerate((t, f) for t in (ITEM, anew) for f in (str.lower, str.upper, str.title))])) == {(i, 1) for i in range(6)}
 
 
+def test_long_item_with_one_of_two_equal_values_changed(spark):
+    words = [f"w{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(100)]
+    words[20] = words[70] = "12"
+    words[40] = words[85] = "Boris"
+    item = " ".join(words)
+    put = lambda changes: " ".join(changes.get(i, w) for i, w in enumerate(words))
+    texts = [put({20: "13"}), put({70: "13"}), put({40: "Karla"}), put({85: "Karla", 20: "7"}), put({20: "13", 70: "14"}), put({20: "13", 70: "13"})]
+    got = found(spark, list(enumerate(texts)), [(1, item)])
+    assert set(got) == {(i, 1) for i in range(6)}
+    assert all(got[i, 1].n_windows == 85 and got[i, 1].n_changed == 0 for i in (0, 1, 2)) and got[3, 1].n_windows == 77
+    assert got[5, 1].n_windows == got[5, 1].windows and got[5, 1].n_changed == 1
+    roles = "Pack 2 boxes of the red apples into one large basket and carry it home within 2 days of the harvest"
+    assert set(found(spark, [(1, roles.replace("2 boxes", "3 boxes")), (2, roles.replace("2 days", "3 days"))], [(1, roles)])) == {(1, 1), (2, 1)}
+
+
 def test_odd_benchmarks(spark):
     texts = [(1, "alpha beta gamma"), (2, ITEM), (3, "1 2 3 4 5 6 7 8 9 10 11 12")]
     assert set(found(spark, texts, [(1, "Alpha beta, gamma!"), (2, None), (3, ""), (None, ITEM), (4, "1 2 3 4 5 6 7 8 9 10 11 12")])) == {(1, 1)}
