@@ -29,8 +29,10 @@ from .bpe import TokenIds, merged_by_concatenation
 from .common import require_columns, stored
 
 ROUND = 1024
-#: More sources than this share queues by a hash of their name; no row is left out.
+#: Up to so many sources are numbered in the query itself, more by a join; the numbers are the same.
 MAX_QUEUES = 256
+#: Rounds that a task keeps worked out; each has at most an entry per token.
+KEPT_ROUNDS = 16
 
 
 @dataclass(frozen=True)
@@ -86,16 +88,11 @@ def phases(totals: Sequence[int], size: int, weights: Sequence[float] | None = N
     return out
 
 
-@lru_cache(maxsize=64)
-def round_plan(quota: tuple[int, ...], length: int, size: int) -> np.ndarray:
-    """Tokens of each queue served before each sequence of a round, by deficit round-robin: length + 1 rows."""
+def dealt(quota: Sequence[int], length: int, size: int) -> Iterator[np.ndarray]:
+    """Tokens that each queue gets in each sequence of a round, by deficit round-robin."""
     q = np.array(quota, np.int64)
-    served = np.zeros((length + 1, len(q)), np.int64)
-    for i in range(length):
-        done = served[i]
-        if i == length - 1:
-            served[i + 1] = q
-            break
+    done = np.zeros(len(q), np.int64)
+    for i in range(length - 1):
         owed = q * (i + 1) - done * length
         give = np.minimum(np.maximum(owed // length, 0), q - done)
         short = size - int(give.sum())
@@ -105,8 +102,29 @@ def round_plan(quota: tuple[int, ...], length: int, size: int) -> np.ndarray:
             order = able[np.argsort(-step * (owed - give * length)[able], kind="stable")][: abs(short)]
             give[order] += step
             short -= step * len(order)
-        served[i + 1] = done + give
-    return served
+        yield give
+        done = done + give
+    yield q - done
+
+
+def round_plan(quota: tuple[int, ...], length: int, size: int) -> np.ndarray:
+    """Tokens of each queue served before each sequence of a round: length + 1 rows."""
+    return np.cumsum([np.zeros(len(quota), np.int64), *dealt(quota, length, size)], axis=0)
+
+
+@lru_cache(maxsize=KEPT_ROUNDS)
+def round_slots(quota: tuple[int, ...], length: int, size: int) -> tuple[np.ndarray, ...]:
+    """The queues' parts of the sequences of a round, by queue: where each queue's parts begin in the arrays, and of
+    each part its sequence, the tokens of the queue before it and its offset in the sequence."""
+    done, parts = np.zeros(len(quota), np.int64), []
+    for i, give in enumerate(dealt(quota, length, size)):
+        queue = np.flatnonzero(give)
+        n = give[queue]
+        parts.append(np.stack([queue, np.full(len(queue), i), done[queue], np.cumsum(n) - n]).astype(np.int32))
+        done += give
+    queue, inside, begins, offset = np.concatenate(parts, axis=1)
+    order = np.argsort(queue, kind="stable")
+    return np.searchsorted(queue[order], np.arange(len(quota) + 1)), inside[order], begins[order], offset[order]
 
 
 class Cutter:
@@ -115,19 +133,19 @@ class Cutter:
     def __init__(self, plan: Sequence[Phase]):
         self.plan = plan
         self.at = np.array([p.at for p in plan], np.int64).reshape(len(plan), -1)
-        self.known: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+        self.known: dict[int, tuple[np.ndarray, ...]] = {}
 
     def slots(self, phase: int, queue: int) -> tuple[np.ndarray, ...]:
         """Of the sequences of a round that the queue is in: their numbers, where each begins in the queue's
         share of the round (and its end), and the queue's offset there."""
-        if (key := (phase, queue)) not in self.known:
-            p = self.plan[phase]
-            served = round_plan(p.quota, p.length, p.size)
-            each = np.diff(served, axis=0)
-            inside = np.flatnonzero(each[:, queue])
-            offset = each[:, :queue].sum(axis=1)[inside]
-            self.known[key] = inside, np.append(served[inside, queue], p.quota[queue]), offset
-        return self.known[key]
+        p = self.plan[phase]
+        if phase not in self.known:
+            if len(self.known) == KEPT_ROUNDS:
+                self.known.clear()
+            self.known[phase] = round_slots(p.quota, p.length, p.size)
+        first, inside, begins, offset = self.known[phase]
+        own = slice(first[queue], first[queue + 1])
+        return inside[own], np.append(begins[own], p.quota[queue]), offset[own]
 
     def __call__(self, queue: int, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lengths, sequence numbers and offsets of the pieces of [start, start + n) of the queue, in order."""
@@ -198,23 +216,17 @@ def pack(
     rows = tokenised(docs, vocabulary, end_id, id_col, text_col, source_col)
     counts = rows.groupBy("chunk", "source").agg(F.sum("n").alias("n"))
     sources = counts.groupBy("source").agg(F.sum("n").alias("n"))
-    shared = sources.count() > MAX_QUEUES
-    queue = F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("int").cast("string") if shared else F.col("source")
-    totals = sorted(sources.groupBy(queue.alias("queue")).agg(F.sum("n").alias("n")).collect(), key=lambda r: (r.queue is not None, r.queue or ""))
-    names = [r.queue for r in totals]
-    shares = None
-    if weights is not None:
-        given = sources.select("source", queue.alias("queue")).where(F.col("source").isin([s for s in weights if s is not None]) | F.col("source").isNull())
-        of = {r.source: r.queue for r in given.collect()}
-        shares = [sum(w for s, w in weights.items() if s in of and of[s] == q) for q in names]
-    plan = phases([r.n for r in totals], size, shares)
-    number = F.coalesce(*[F.when(F.col("queue").eqNullSafe(F.lit(q)), F.lit(i)) for i, q in enumerate(names)], F.lit(0)) if names else F.lit(0)
-    earlier = Window.partitionBy("queue").orderBy("chunk", "source").rowsBetween(Window.unboundedPreceding, -1)
-    places = stored(
-        counts.withColumn("queue", queue)
-        .select("chunk", "source", number.alias("queue_no"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")),
-        "queue-places",
-    )
+    totals = sorted(sources.collect(), key=lambda r: (r.source is not None, r.source or ""))
+    names = [r.source for r in totals]
+    plan = phases([r.n for r in totals], size, None if weights is None else [weights.get(s, 0) for s in names])
+    if len(names) > MAX_QUEUES:
+        numbers = docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(names)], "name string, queue_no int")
+        numbered = counts.join(numbers, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    else:
+        number = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(i)) for i, s in enumerate(names)], F.lit(0)) if names else F.lit(0)
+        numbered = counts.withColumn("queue_no", number)
+    earlier = Window.partitionBy("queue_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    places = stored(numbered.select("chunk", "source", "queue_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "queue-places")
     p = places.alias("p")
     placed = rows.join(p, (rows["chunk"] == F.col("p.chunk")) & rows["source"].eqNullSafe(F.col("p.source"))).select(
         "doc_id", rows["source"], "n", "ids", F.col("p.queue_no").alias("queue"), (F.col("p.base") + F.col("before")).alias("at")

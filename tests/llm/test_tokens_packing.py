@@ -126,3 +126,35 @@ def test_packing_to_given_proportions(spark):
 def test_more_sources_than_queues(spark, library):
     rows = [(i, "a b c", None, f"s{i}") for i in range(packing.MAX_QUEUES + 40)]
     check_pieces(packing.piece_digest(packing.pack(docs(spark, rows), PATH)).collect(), ids_of(library, [r[:2] for r in rows]))
+
+
+def served(pieces, upto):
+    out = {}
+    for r in pieces:
+        if r.sequence_id < upto:
+            out.setdefault(r.source, {}).setdefault(r.sequence_id, []).append(r.length)
+    return {s: [sum(x.get(i, [0])) for i in range(upto)] for s, x in out.items()}
+
+
+def test_every_source_is_in_every_sequence_and_keeps_its_own_weight(spark):
+    rows = [(i, "x y " * 200, None, f"s{i}" if i else None) for i in range(320)]
+    shares = served(packing.pack(docs(spark, rows), PATH).collect(), 90)
+    assert len(shares) == 320 and all(max(x) - min(x) <= 2 and min(x) >= 1 for x in shares.values())
+    got = served(packing.pack(docs(spark, rows), PATH, size=64, weights={"s5": 3, None: 1}).collect(), 5)
+    assert got == {"s5": [48] * 5, None: [16] * 5}
+
+
+def test_sources_below_a_token_a_sequence_take_turns():
+    totals = [500 + i % 7 for i in range(3000)]
+    plan = packing.phases(totals, 1024)
+    cutter, filled, first = packing.Cutter(plan), {}, []
+    for q, n in enumerate(totals):
+        length, sequence, offset = cutter(q, 0, n)
+        assert length.sum() == n and (np.diff(sequence) > 0).all()
+        first.append(sequence[0])
+        for s, o, k in zip(sequence.tolist(), offset.tolist(), length.tolist(), strict=True):
+            filled.setdefault(s, []).append((o, k))
+    assert max(first) <= 6
+    for s, parts in filled.items():
+        ends = [o + k for o, k in sorted(parts)]
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] == (1024 if s < len(filled) - 1 else sum(totals) % 1024 or 1024)
