@@ -55,7 +55,8 @@ def with_existing_parents(
     ``orphans`` gives the number of parentless values per key, as the profile counted them. Where
     they fit a broadcast, only they are sent to the rows and the rows are not shuffled. Otherwise
     the rows are joined with the parent keys: with the hot keys spread where ``row_counts`` says
-    the parent is too big to broadcast, else as Spark's own size check decides.
+    the parent is too big to broadcast, else as Spark's own size check decides. A row stays one
+    row in every case, also where its parent value occurs several times.
     """
     limit = broadcast_limit(source)
     for i, fk in enumerate(fks):
@@ -65,7 +66,7 @@ def with_existing_parents(
             df = df.join(F.broadcast(lost), _q(fk.column) == F.col(mark), "left")
             keep = F.col(mark).isNull()
         else:
-            parent = source[fk.ref_table].select(_q(fk.ref_column).alias(mark))
+            parent = source[fk.ref_table].select(_q(fk.ref_column).alias(mark)).distinct()
             if (row_counts or {}).get(fk.ref_table, 0) * _ROW_BYTES > limit:
                 hot = hot_keys(source[fk.table], fk.column, hot_rows)
                 df = hub_join(df, parent, fk.column, mark, how="left", hot=hot)

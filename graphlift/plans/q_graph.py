@@ -133,6 +133,16 @@ def profiled_edges(spark: SparkSession, d: str) -> DataFrame:
     return g.edges.where("to_label = 'Customer'").select("rel_type", "from_key", "to_key")
 
 
+def duplicated_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of one segment, each twice, looked up by a join and by a broadcast of orphans: an order stays one edge."""
+    s = sample_source(spark, d, ["customer", "orders"])
+    one = s["customer"].where(f"c_mktsegment = '{SEGMENT}'")
+    s = s.with_tables(customer=one.unionByName(one))
+    paths = {"joined": build_graph(s), "profiled": build_graph(s, evidence=P.materialize(P.fk_profile(s)))}
+    joined, profiled = (g.edges.selectExpr(f"'{p}' AS path", "rel_type", "from_key", "to_key") for p, g in paths.items())
+    return joined.unionByName(profiled)
+
+
 def nary_table(spark: SparkSession, d: str) -> DataFrame:
     """A table with three foreign keys stays a node and gives three edges per row."""
     g = _graph(spark, d)
@@ -335,6 +345,7 @@ QUERIES = {
     "d3_converted_values": converted_values,
     "d4_fk_edges": fk_edges,
     "d4_fk_edges_direct": fk_edges_direct,
+    "d4_duplicated_parents": duplicated_parents,
     "d5_junction_edges": junction_edges,
     "d6_matched_endpoints": matched_endpoints,
     "d6_spread_endpoints": spread_endpoints,
@@ -417,6 +428,8 @@ ORACLES = {
         f"SELECT '{m[6]}' AS rel_type, '{LABEL[m[1]]}' AS from_label, '{LABEL[m[3]]}' AS to_label, count(*) AS n FROM {m[1]}"
         for m in IN_TRADE
     ),
+    "d4_duplicated_parents": f"""
+        SELECT path, e.* FROM (VALUES ('joined'), ('profiled')) AS p(path), ({_ORDER_EDGE} WHERE o_custkey IN {_SEGMENT_KEYS}) AS e""",
     "d5_junction_edges": f"""
         SELECT 'SUPPLIER_PART' AS rel_type, 'Supplier' AS from_label, CAST(suppkey AS VARCHAR) AS from_key, 'Part' AS to_label,
                CAST(partkey AS VARCHAR) AS to_key, 'N:M' AS cardinality, qty FROM {rel("supplier_part")}""",

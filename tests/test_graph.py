@@ -56,6 +56,16 @@ def test_missing_parent_drops_the_edge(blog, how):
     assert len([e for e in got if e[0] == "POST_TAGS"]) == 3
 
 
+@pytest.mark.parametrize("how", ["joined", "profiled", "spread"])
+def test_duplicated_parents_leave_edges_single(blog, how):
+    users = blog["users"].where("id <> 2")
+    s = blog.with_tables(users=users.unionByName(users))
+    options = {"joined": {}, "profiled": {"evidence": P.materialize(P.fk_profile(s))}, "spread": {"row_counts": {"users": 10**12}}}[how]
+    got = edges(build_graph(s, **options))
+    assert sorted(e for e in got if e[0] == "USED_BY") == [("USED_BY", "1", "1"), ("USED_BY", "2", "1")]
+    assert len(got) == 2 + 3
+
+
 def test_evidence_without_orphans_needs_no_join(blog):
     g = build_graph(blog, evidence=P.materialize(P.fk_profile(blog)))
     plan = g.edges._jdf.queryExecution().executedPlan().toString()
