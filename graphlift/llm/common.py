@@ -25,14 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    The table is removed when the session's JVM ends.
+    ``options`` are the writer's. The table is removed when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphlift-llm/{uuid.uuid4().hex}-{what}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)

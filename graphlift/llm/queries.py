@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, licenses, packing, secrets, tokens, topk, toxicity, urls
+from . import centroids, decontaminate, jaccard, language, licenses, packing, secrets, tokens, topk, toxicity, urls
 from .common import crc_of, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -75,5 +75,38 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_language_id, op4_token_counts, op5_exact_topk_search, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_packing, op9_toxicity, op10_secret_scans)}
-ORACLES: dict[str, str] = {"op5_exact_topk_search": OP5_SQL}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_digest(centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed="2"))
+
+
+def _op11_sql(rounds: int) -> str:
+    """Each round assigns the vectors (a<r>) and moves the centroids (c<r + 1>)."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.rid, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r} c) GROUP BY rid
+)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS (
+  SELECT old.c, coalesce(new.v, old.v) AS v FROM c{r} old LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM (
+      SELECT a.c, e.j, sum(e.x) AS s, count(*) AS n FROM a{r} a JOIN e USING (rid) GROUP BY a.c, e.j) GROUP BY c
+  ) new ON new.c = old.c
+)""")
+    return f"""
+WITH k AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(x, lambda y: floor(256 * y)::BIGINT) AS v FROM k),
+e AS (SELECT rid, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM v),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM v QUALIFY c < 40),
+{", ".join(steps)}
+SELECT v.vec_id, a.c::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.c = a.c
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_language_id, op4_token_counts, op5_exact_topk_search, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_packing, op9_toxicity, op10_secret_scans, op11_centroid_clustering)}
+ORACLES: dict[str, str] = {"op5_exact_topk_search": OP5_SQL, "op11_centroid_clustering": _op11_sql(5)}
