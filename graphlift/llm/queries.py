@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, jaccard, language, licenses, packing, secrets, tokens, topk, toxicity, urls
+from . import centroids, decontaminate, encoding, jaccard, language, licenses, packing, secrets, tokens, topk, toxicity, urls
 from .common import crc_of, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -108,5 +108,9 @@ FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.c = a.c
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_language_id, op4_token_counts, op5_exact_topk_search, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_packing, op9_toxicity, op10_secret_scans, op11_centroid_clustering)}
+def op13_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encoding_digest(encoding.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_language_id, op4_token_counts, op5_exact_topk_search, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_packing, op9_toxicity, op10_secret_scans, op11_centroid_clustering, op13_bpe_encoding_and_decoding)}
 ORACLES: dict[str, str] = {"op5_exact_topk_search": OP5_SQL, "op11_centroid_clustering": _op11_sql(5)}
