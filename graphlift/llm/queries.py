@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, encoding, jaccard, language, licenses, packing, secrets, tokens, topk, toxicity, urls
-from .common import crc_of, table
+from . import centroids, decontaminate, encoding, jaccard, language, licenses, packing, secrets, tokens, topk, toxicity, trie, urls
+from .common import crc_of, stored, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -108,9 +108,47 @@ FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.c = a.c
 """
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(trie.ordered_turns(table(spark, sf_dir, "conversations")), "ordered")
+    return trie.prefix_trie(trie.rebuilt(turns, group=5, heads=9))
+
+
+#: crc32 of a text's bytes: each byte is put in, then eight single steps.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length({x}) + 1), lambda i:
+  [ascii(substr({x}, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+OP12_SQL = f"""
+WITH ids AS (SELECT c, {_CRC32.format(x="c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)),
+t AS (
+  SELECT conv_id AS c, md5(md5(coalesce(text, '')) || coalesce(role, '')) AS x, strlen(coalesce(text, '')) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), r AS (
+  SELECT ids.c, 0 AS part, pos, x, bytes FROM ids JOIN t ON t.c = ids.c - ids.c % 5 AND t.pos < ids.h
+  UNION ALL SELECT ids.c, 1, pos, x, bytes FROM ids JOIN t ON t.c = ids.c AND t.pos >= ids.h
+), m AS (
+  SELECT c, row_number() OVER w AS d, md5(string_agg(x, '') OVER (w ROWS UNBOUNDED PRECEDING)) AS p, bytes FROM r WINDOW w AS (PARTITION BY c ORDER BY part, pos)
+  UNION ALL SELECT c, 0, '', 0 FROM ids
+), l AS (SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS up, lead(p) OVER (PARTITION BY c ORDER BY d) IS NULL AS ends FROM m),
+n AS (
+  SELECT p, d, min(c) AS c, min(up) AS up, count(*) AS n_convs, max(bytes) AS bytes,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM l GROUP BY p, d
+), k AS (SELECT up AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+o AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (p)),
+s AS (
+  SELECT m.p, count(*) FILTER (WHERE o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.bytes) AS saved
+  FROM o JOIN m ON m.c = o.c AND m.d <= o.d GROUP BY m.p
+)
+SELECT o.c AS conv_id, o.d AS depth, par.c AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, o.ends_sha256
+FROM o JOIN s USING (p) LEFT JOIN o par ON par.p = o.up
+"""
+
+
 def op13_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encoding_digest(encoding.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_language_id, op4_token_counts, op5_exact_topk_search, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_packing, op9_toxicity, op10_secret_scans, op11_centroid_clustering, op13_bpe_encoding_and_decoding)}
-ORACLES: dict[str, str] = {"op5_exact_topk_search": OP5_SQL, "op11_centroid_clustering": _op11_sql(5)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_language_id, op4_token_counts, op5_exact_topk_search, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_packing, op9_toxicity, op10_secret_scans, op11_centroid_clustering, op12_conversation_prefix_trie, op13_bpe_encoding_and_decoding)}
+ORACLES: dict[str, str] = {"op5_exact_topk_search": OP5_SQL, "op11_centroid_clustering": _op11_sql(5), "op12_conversation_prefix_trie": OP12_SQL}
