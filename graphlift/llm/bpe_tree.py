@@ -2,8 +2,8 @@
 
 A text is cut at white space and at the file's special strings, and the library's own normaliser and
 split make pieces of each word, so that what counts as a letter or as lower case is always the
-library's answer. A piece is merged by rank here. A long one is a tree: its halves are encoded on their
-own and joined, and only a window around the join is encoded again.
+library's answer. A short piece is the library's as well. A long one is a tree: its halves are encoded
+on their own, by rank, and joined, and only a window around the join is encoded again.
 
 Why the join is exact: a run of merges by lowest rank, leftmost first, acts inside a token as it would
 on that token alone, as long as nothing merges across the token's ends. So a sequence of tokens is the
@@ -17,18 +17,28 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 from typing import NamedTuple
 
 #: Pieces of more symbols than this are encoded by halves.
 LEAF = 1024
-#: Longest word whose answer is remembered, and the bytes that all answers of a worker may take.
-LONGEST_WORD, MEMORY = 64, 48 * 2**20
+#: A whole piece of up to this many symbols is merged by the library's model; up to as many, the lowest rank is
+#: looked for in a list, beyond in a heap.
+_SHORT = 48
+#: Longest word or piece whose answer is remembered, and the bytes that all answers of a worker may take.
+LONGEST_WORD, MEMORY = 64, 96 * 2**20
 
 #: White space that the file's split always removes, whatever stands beside it.
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: A word with anything beside printable ASCII. For the rest normalising only lower-cases, and bytes are their own symbols.
+_ODD_WORD = re.compile(r"(?<![^ \t\n\r\x0b\x0c])([!-~]*+[^ -~\t\n\r\x0b\x0c][^ \t\n\r\x0b\x0c]*+)")
+#: The split of the file for which the split of plain texts is known. Fixed value: it must equal the file's.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
+_NO_MERGE = 1 << 60
 
 
 class Encoded(NamedTuple):
@@ -38,6 +48,29 @@ class Encoded(NamedTuple):
     text: str
 
 
+class Remembered(dict):
+    """A memo of texts' answers: looking up a missing key computes it. It is kept while there is room, in bytes, which several memos may share."""
+
+    def __init__(self, compute: Callable, room: list[int], size: Callable[..., int]):
+        super().__init__()
+        self.compute, self.room, self.size = compute, room, size
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        n = len(key) if isinstance(key, str) else 1
+        if n <= LONGEST_WORD and (cost := 200 + 4 * n + self.size(value)) <= self.room[0]:
+            self.room[0] -= cost
+            self[key] = value
+        return value
+
+
+def _known_split(spec: dict) -> bool:
+    """Whether a file normalises and splits plain texts as ``_PLAIN_SPLIT`` does."""
+    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return normal == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": SPLIT}
+
+
 class WordBpe:
     """The model of a tokenizers .json file: BPE with a mark at the end of each word, without a decoder."""
 
@@ -56,46 +89,68 @@ class WordBpe:
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.inside = {t: i for t, i in vocab.items() if len(t) == 1}
         self.last = {t: vocab[t + end] for t in self.inside if t + end in vocab}
-        #: (left, right) -> (rank, merged id)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        #: left << 32 | right -> rank, and the merged id of each rank
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
         self.symbols: dict[int, tuple[int, ...]] = {i: (i,) for i in [*self.inside.values(), *self.last.values()]}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            key, made = (vocab[a], vocab[b]), vocab[a + b]
-            self.merge.setdefault(key, (rank, made))
-            self.symbols.setdefault(made, self.symbols[key[0]] + self.symbols[key[1]])
+            left, right, made = vocab[a], vocab[b], vocab[a + b]
+            self.rank.setdefault(left << 32 | right, rank)
+            self.made.append(made)
+            self.symbols.setdefault(made, self.symbols[left] + self.symbols[right])
         self._library = Tokenizer.from_file(path)
+        self._model = self._library.model
         self._library.no_truncation()
         self._library.no_padding()
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         blank = " \t\n\r\x0b\x0c"
         if any(_SPACE.search(t) for t in self.special) or self._split(f"a{blank}b") != ["a", "b"]:
             raise ValueError("white space does not separate the pieces of this file")
-        self._known: dict[str, Encoded] = {}
-        self._free = MEMORY
+        self._plain = _known_split(spec)
+        room = [MEMORY]
+        self._known = Remembered(self._ids, room, len)
+        self._split_words = Remembered(lambda word: list(self.pieces(word)), room, lambda pieces: 60 + 8 * len(pieces))
 
     # -- pieces -------------------------------------------------------------------------------
 
     def merged(self, symbols: Iterable[int]) -> list[int]:
-        """The ids of a run of symbols: always the pair of lowest rank, the leftmost of equal ones. O(n log n)."""
-        ids, merge = list(symbols), self.merge
-        n = len(ids)
+        """The ids of a run of symbols: always the pair of lowest rank, the leftmost of equal ones."""
+        ids = list(symbols)
+        return self._merged_short(ids) if len(ids) <= _SHORT else self._merged_long(ids)
+
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        rank, made = self.rank.get, self.made
+        ranks = [rank(a << 32 | b, _NO_MERGE) for a, b in pairwise(ids)]
+        while ranks and (low := min(ranks)) < _NO_MERGE:
+            i = ranks.index(low)
+            ids[i] = new = made[low]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | new, _NO_MERGE)
+            if i < len(ranks):
+                ranks[i] = rank(new << 32 | ids[i + 1], _NO_MERGE)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """With a heap of rank and place as one number, and links between the symbols that are left: O(n log n)."""
+        rank, made, n = self.rank.get, self.made, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, m[1]) for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
+        heap = [r * n + i for i, (a, b) in enumerate(pairwise(ids)) if (r := rank(a << 32 | b)) is not None]
         heapify(heap)
         while heap:
-            rank, i, made = heappop(heap)
+            r, i = divmod(heappop(heap), n)
             j = after[i]
-            if ids[i] < 0 or j >= n or (m := merge.get((ids[i], ids[j]))) is None or m[0] != rank:
+            if ids[i] < 0 or j >= n or rank(ids[i] << 32 | ids[j]) != r:
                 continue  # one of the two has changed meanwhile
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = (new := made[r]), -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merge.get((made, ids[k])):
-                    heappush(heap, (m[0], i, m[1]))
-            if (h := before[i]) >= 0 and (m := merge.get((ids[h], made))):
-                heappush(heap, (m[0], h, m[1]))
+                if (r := rank(new << 32 | ids[k])) is not None:
+                    heappush(heap, r * n + i)
+            if (h := before[i]) >= 0 and (r := rank(ids[h] << 32 | new)) is not None:
+                heappush(heap, r * n + h)
         return [x for x in ids if x >= 0]
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
@@ -114,6 +169,8 @@ class WordBpe:
 
     def piece(self, text: str, whole: bool = True) -> list[int]:
         """The ids of one piece of the split. ``whole=False``: a stretch that does not reach the end of its word."""
+        if whole and len(text) <= min(_SHORT, self.leaf):
+            return [t.id for t in self._model.tokenize(text)]
         symbols = [self.inside[c] for c in text]
         if whole and symbols:
             symbols[-1] = self.last[text[-1]]
@@ -179,26 +236,22 @@ class WordBpe:
         """As the library decodes without a decoder: the tokens with a space between them."""
         return " ".join(map(self.token.__getitem__, ids))
 
-    def _encoded(self, pieces: Iterable[str | int]) -> Encoded:
-        ids = array("I")
-        for p in pieces:
-            ids.extend(self.piece(p) if isinstance(p, str) else (p,))
-        return Encoded(ids.tobytes(), self.decoded(ids))
-
-    def _word(self, word: str) -> Encoded:
-        found = self._known.get(word)
-        if found is None:
-            found = self._encoded(self.pieces(word))
-            cost = 400 + 4 * len(word) + len(found.ids) + 4 * len(found.text)
-            if len(word) <= LONGEST_WORD and cost <= self._free:
-                self._free -= cost
-                self._known[word] = found
-        return found
+    def _ids(self, piece: str | int) -> bytes:
+        return array("I", self.piece(piece) if isinstance(piece, str) else (piece,)).tobytes()
 
     def encode(self, text: str) -> Encoded:
-        """Ids and decoded text. Words of up to ``LONGEST_WORD`` characters are remembered, within ``MEMORY`` bytes."""
-        words = [self._word(w) for w in _SPACE.split(text) if w]
-        return Encoded(b"".join([w.ids for w in words]), " ".join([w.text for w in words if w.ids]))
+        """Ids and decoded text. Words and pieces of up to ``LONGEST_WORD`` characters are remembered, within ``MEMORY`` bytes."""
+        pieces: list[str | int] = []
+        if self._plain and not (self._cut and self._cut.search(text)):
+            plain = True
+            for part in _ODD_WORD.split(text):  # plain stretches and odd words take turns
+                pieces += _PLAIN_SPLIT.findall(part.lower()) if plain else self._split_words[part]
+                plain = not plain
+        else:
+            for word in _SPACE.split(text):
+                pieces += self._split_words[word]
+        ids = b"".join(map(self._known.__getitem__, pieces))
+        return Encoded(ids, self.decoded(array("I", ids)))
 
 
 @lru_cache(maxsize=2)

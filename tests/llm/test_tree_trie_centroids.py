@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from array import array
 
@@ -251,7 +252,15 @@ def test_memory_of_words_is_bounded_in_bytes(monkeypatch):
     model = bpe_tree.WordBpe(WORDS)
     for i in range(500):
         model.encode(f"word{i} {'x' * 100}{i}")
-    assert 5 < len(model._known) < 60 and model._free >= 0 and max(map(len, model._known)) <= bpe_tree.LONGEST_WORD
+    assert 5 < len(model._known) < 60 and model._known.room[0] >= 0 and max(map(len, model._known)) <= bpe_tree.LONGEST_WORD
+
+
+def test_a_long_word_is_split_in_linear_time(library):
+    model = bpe_tree.WordBpe(WORDS)
+    start = time.time()
+    text = "x1" * 200_000 + " é" + "y" * 50_000
+    got = model.encode(text)
+    assert time.time() - start < 60 and (array("I", got.ids).tolist(), got.text) == library(text)
 
 
 @pytest.mark.parametrize("long", [2**18, 50])
