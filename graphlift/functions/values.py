@@ -47,6 +47,14 @@ def _key_text(name: str, data_type: T.DataType) -> str:
     return rf"regexp_replace({quoted(name)}, r'([\\|])', r'\\$1')"
 
 
+def fk_value(columns: Sequence[str]) -> str:
+    """What a row's foreign key or a parent's referred columns hold: one value, or a struct that is null where a part is."""
+    if len(columns) == 1:
+        return quoted(columns[0])
+    known = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns)
+    return f"CASE WHEN {known} THEN struct({', '.join(f'{quoted(c)} AS k{i}' for i, c in enumerate(columns))}) END"
+
+
 def node_key(schema: T.StructType, key: Sequence[str]) -> str:
     """Node identity as text.
 

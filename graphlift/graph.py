@@ -7,9 +7,10 @@ from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .operators.edges import EDGE_COLUMNS, EdgeType
-from .sources.source import Source, local_frame, union_all
+from .sources.source import Source, local_frame, no_rows, union_all
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,8 @@ class Graph:
     edge_types: tuple[EdgeType, ...]
     carriers: Mapping[str, DataFrame] = field(default_factory=dict)
     labels: DataFrame | None = None
+    #: Source table -> (key in ``nodes`` its rows are under, label they carry there).
+    tables: Mapping[str, tuple[str, str]] = field(default_factory=dict)
     names: Mapping[tuple[str, str], str] = field(default_factory=dict)
 
     @property
@@ -40,7 +43,8 @@ class Graph:
     @property
     def all_nodes(self) -> DataFrame:
         """``(label, node_key)`` of every node."""
-        return union_all(df.select("label", "node_key") for df in self.nodes.values())
+        one = (df.select(F.lit(name).alias("label") if "label" not in df.columns else "label", "node_key") for name, df in self.nodes.items())
+        return union_all(one, empty=no_rows(self.source.spark, label=pa.string(), node_key=pa.string()))
 
     def rel_types(self) -> DataFrame:
         """Relationship types as a catalog table."""

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.naming import node_label
-from ..functions.values import literal
+from ..functions.values import fk_value, literal
 from ..graph import Graph
-from ..sources.source import ForeignKey, Source, union_all
+from ..sources.source import ForeignKey, Source, local_frame, no_rows, union_all
 from .edges import missing_endpoints
 from .match import edge_counts, node_counts
 from .profile import orphan_values
@@ -63,15 +63,32 @@ def source_statistics(source: Source, *, rule: str = "shared_key") -> DataFrame:
 # -- after the build --------------------------------------------------------------------------
 
 
-def reconcile_counts(source: Source, graph: Graph, *, rule: str = "shared_key") -> DataFrame:
-    """Rows of every entity table against nodes of its label; ``difference`` is target - source."""
-    entities = junction_flags(source, rule=rule).where("NOT is_junction").select("table_name")
-    rows = (
-        source.row_counts()
-        .join(entities, "table_name", "left_semi")
-        .select("table_name", F.expr(node_label("table_name")).alias("label"), F.col("row_count").alias("source_count"))
+def label_counts(graph: Graph) -> DataFrame:
+    """``(label, n)``: nodes that carry a label, where a node of a merged hierarchy carries several."""
+    frames = []
+    for name, df in graph.nodes.items():
+        if "labels" in df.columns:
+            frames.append(df.select(F.explode("labels").alias("label")).groupBy("label").agg(_n()))
+        else:
+            frames.append(df.agg(_n()).select(F.lit(name).alias("label"), "n"))
+    return union_all(frames, empty=no_rows(graph.source.spark, label=pa.string(), n=pa.int64())).groupBy("label").agg(F.sum("n").alias("n"))
+
+
+def reconcile_counts(source: Source, graph: Graph) -> DataFrame:
+    """Rows of the tables that became nodes against nodes with their label; ``difference`` is target - source.
+
+    The graph's own plan says which tables these are and where their rows went: under a root after
+    ``merge_inheritance``, together where tables share a label (their names are then joined by
+    commas), nowhere for tables that were not chosen. A label that no table accounts for has no source.
+    """
+    placed = local_frame(
+        source.spark, [("table_name", pa.string()), ("label", pa.string())], [(t, label) for t, (_, label) in graph.tables.items()]
     )
-    target = node_counts(graph).withColumnRenamed("n", "target_count")
+    rows = (
+        source.only(graph.tables).row_counts().join(placed, "table_name").groupBy("label")
+        .agg(F.array_join(F.array_sort(F.collect_list("table_name")), ",").alias("table_name"), F.sum("row_count").alias("source_count"))
+    )
+    target = label_counts(graph).withColumnRenamed("n", "target_count")
     zero = F.lit(0).cast("bigint")
     return (
         rows.join(target, "label", "full_outer")
@@ -79,6 +96,7 @@ def reconcile_counts(source: Source, graph: Graph, *, rule: str = "shared_key")
         .withColumn("target_count", F.coalesce("target_count", zero))
         .withColumn("difference", F.col("target_count") - F.col("source_count"))
         .withColumn("is_match", F.col("difference") == 0)
+        .select("label", "table_name", "source_count", "target_count", "difference", "is_match")
     )
 
 
@@ -170,7 +188,7 @@ def required_properties(source: Source) -> DataFrame:
         frames.append(
             nulls.unpivot([], columns, "column_name", "null_count").select(F.lit(t).alias("table_name"), "column_name", "null_count")
         )
-    return union_all(frames)
+    return union_all(frames, empty=no_rows(source.spark, table_name=pa.string(), column_name=pa.string(), null_count=pa.int64()))
 
 
 def instance_counts(source: Source, graph: Graph) -> DataFrame:
@@ -181,25 +199,33 @@ def instance_counts(source: Source, graph: Graph) -> DataFrame:
         by_table.setdefault(fk.table, []).append(fk)
     frames = []
     for t, fks in by_table.items():
-        counts = source[t].agg(*[F.count(F.col(f"`{fk.column}`")).alias(fk.name) for fk in fks])
+        counts = source[t].agg(*[_references(source, fk).alias(fk.name) for fk in fks])
         frames.append(counts.unpivot([], [fk.name for fk in fks], "fk_name", "instances"))
     edges = graph.edges.groupBy("fk_name").agg(F.count(F.lit(1)).alias("edges"))
     return (
-        union_all(frames)
+        union_all(frames, empty=no_rows(source.spark, fk_name=pa.string(), instances=pa.int64()))
         .join(edges, "fk_name", "left")
         .withColumn("edges", F.coalesce("edges", F.lit(0).cast("bigint")))
         .withColumn("is_match", F.col("instances") == F.col("edges"))
     )
 
 
+def _references(source: Source, fk: ForeignKey) -> Column:
+    """Number of rows that refer to something; rows of a junction table need both ends."""
+    ends = [fk] if fk in source.foreign_keys else source.fks_of(fk.table)
+    known = " AND ".join(f"{fk_value(e.columns)} IS NOT NULL" for e in ends)
+    return F.expr(f"count(CASE WHEN {known} THEN 1 END)")
+
+
 def orphan_rows(source: Source, fks: Iterable[ForeignKey] | None = None) -> DataFrame:
     """Source rows whose parent is missing, with the distinct values concerned, per foreign key."""
-    return union_all(
+    frames = (
         orphan_values(source, fk).selectExpr(
             f"{literal(fk.name)} AS fk_name", "coalesce(sum(n), 0) AS orphan_rows", "count(1) AS orphan_values"
         )
         for fk in (source.foreign_keys if fks is None else fks)
     )
+    return union_all(frames, empty=no_rows(source.spark, fk_name=pa.string(), orphan_rows=pa.int64(), orphan_values=pa.int64()))
 
 
 # -- summary ----------------------------------------------------------------------------------
@@ -223,7 +249,7 @@ def findings(source: Source, graph: Graph, *, rule: str = "shared_key") -> DataF
             rows(tables_without_key(source, rule=rule), "pre", "warning", "no_primary_key", col("table_name"), one),
             rows(dangling_foreign_keys(source), "pre", "error", "dangling_foreign_key", col("fk_name"), one),
             rows(
-                reconcile_counts(source, graph, rule=rule).where("NOT is_match"),
+                reconcile_counts(source, graph).where("NOT is_match"),
                 "post", "error", "row_count_mismatch", col("label"), F.abs("difference"),
             ),
             rows(relationship_counts(graph).where("is_empty"), "post", "warning", "empty_type", col("rel_type"), one),

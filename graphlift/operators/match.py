@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..graph import Graph
-from ..sources.source import union_all
+from ..sources.source import no_rows, union_all
 from .edges import HOT_ROWS, hot_keys, with_parts, with_salt
 
 
@@ -132,8 +133,8 @@ def _carried(graph: Graph, a: Node, s: Step, b: Node) -> tuple[str, str] | None:
     if len(hits) != 1 or f"_fk:{hits[0].fk.name}" not in graph.carriers[child.label].columns:
         return None
     fk = hits[0].fk
-    prop = graph.names.get((fk.ref_table, fk.ref_column))
-    types = [graph.source[t].schema[c].dataType for t, c in ((fk.table, fk.column), (fk.ref_table, fk.ref_column))]
+    prop = graph.names.get((fk.ref_table, fk.ref_columns[0]))
+    types = [graph.source[t].schema[c].dataType for t, c in ((fk.table, fk.columns[0]), (fk.ref_table, fk.ref_columns[0]))]
     if prop not in graph.nodes[parent.label].columns or any(isinstance(t, T.DatetimeType) for t in types):
         return None
     return fk.name, prop
@@ -224,9 +225,8 @@ def collect_groups(
 def node_counts(graph: Graph, label: str | None = None) -> DataFrame:
     """``(label, n)`` per label; labels without nodes count 0."""
     nodes = graph.nodes if label is None else {label: graph.nodes[label]}
-    return union_all(
-        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("label"), "n") for name, df in nodes.items()
-    )
+    counts = (df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("label"), "n") for name, df in nodes.items())
+    return union_all(counts, empty=no_rows(graph.source.spark, label=pa.string(), n=pa.int64()))
 
 
 def edge_counts(graph: Graph, rel_type: str | None = None) -> DataFrame:

@@ -42,7 +42,7 @@ def table_nodes(
     """
     df = source[table]
     key = source.primary_key(table)
-    dropped = set() if keep_foreign_keys else {fk.column for fk in source.fks_of(table)} - set(key)
+    dropped = set() if keep_foreign_keys else {c for fk in source.fks_of(table) for c in fk.columns} - set(key)
     properties = [
         f"{graph_value(quoted(f.name), f.dataType, is_json=source.is_json(table, f.name))} AS {quoted(names[table, f.name])}"
         for f in df.schema.fields
@@ -51,6 +51,19 @@ def table_nodes(
     return df.selectExpr(f"{node_key(df.schema, key)} AS node_key", f"{literal(label)} AS label", *properties)
 
 
+def union_nodes(frames: Sequence[DataFrame]) -> DataFrame:
+    """Nodes of several tables under one label. A property that some of them lack is null; of different types, it is text."""
+    kinds: dict[str, set[str]] = {}
+    for df in frames:
+        for f in df.schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+    mixed = {c for c, k in kinds.items() if len(k) > 1}
+    first, *rest = [df.withColumns({c: F.col(quoted(c)).cast("string") for c in df.columns if c in mixed}) for df in frames]
+    for df in rest:
+        first = first.unionByName(df, allowMissingColumns=True)
+    return first
+
+
 def property_map(df: DataFrame) -> DataFrame:
     """Nodes as ``(node_key, label, properties)``: one JSON text per node, nulls stripped."""
     names = [c for c in df.columns if c not in ("node_key", "label")]
@@ -123,7 +136,7 @@ def label_table(
         columns = columns.join(names, ["table_name", "column_name"], "left_semi")
     elif not keep_foreign_keys:
         pk = source.cat_tables().select("table_name", F.explode("pk_columns").alias("column_name"))
-        dropped = source.cat_fks().select("table_name", "column_name").join(pk, ["table_name", "column_name"], "left_anti")
+        dropped = source.cat_fks().select("table_name", F.explode("columns").alias("column_name")).join(pk, ["table_name", "column_name"], "left_anti")
         columns = columns.join(dropped, ["table_name", "column_name"], "left_anti")
     return columns.selectExpr(
         f"{N.node_label('table_name')} AS label",

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.naming import name_stem
-from ..functions.values import literal, quoted
+from ..functions.values import fk_value, literal, quoted
 from ..sources.source import ForeignKey, Source, local_frame, union_all
+from .inclusion import discover_foreign_keys as discover_foreign_keys
 
 # Distinct-count sketches of 2^12 registers: a standard error of 1.6 %. A key candidate whose
 # estimate lies more than five of those below the row count is dropped without an exact check.
@@ -272,77 +272,6 @@ def auto_increment_columns(source: Source) -> DataFrame:
 # -- foreign keys -----------------------------------------------------------------------------
 
 
-def _family(data_type: T.DataType) -> str:
-    return "integer" if isinstance(data_type, T.IntegralType) else data_type.simpleString()
-
-
-def discover_foreign_keys(source: Source) -> list[ForeignKey]:
-    """Foreign keys found in the data: same name stem, value range inside, every value contained.
-
-    Dense numbers are contained in each other by chance, so a shared key name is required
-    (``o_custkey`` -> ``c_custkey``, ``user_id`` -> ``users.id``); anything else has to be declared. The range test uses one statistics pass, and only what
-    passes it is compared value by value.
-    """
-    parents = {t: k[0] for t, k in source.primary_keys.items() if len(k) == 1 and t in source.tables}
-    wanted = {t: [k] for t, k in parents.items()}
-    columns = source.cat_columns().selectExpr("table_name", "column_name", f"{name_stem('column_name')} AS stem").collect()
-    by_name: dict[str, list[tuple[str, str]]] = {}
-    stem_of = {}
-    for r in columns:
-        stem_of[r.table_name, r.column_name] = r.stem
-        for name in {r.stem, r.column_name.lower()}:
-            by_name.setdefault(name, []).append((r.table_name, r.column_name))
-    pairs = []
-    for table, key in parents.items():
-        stem = stem_of[table, key]
-        # A bare `id` says nothing, so the child has to name the table: `user_id` -> `users.id`.
-        names = {stem} if stem != "id" else {f"{table.lower()}_id", f"{table.lower().removesuffix('s')}_id"}
-        for child in dict.fromkeys(c for n in sorted(names) for c in by_name.get(n, [])):
-            kinds = {_family(source[t].schema[c].dataType) for t, c in ((table, key), child)}
-            if child[0] != table and len(kinds) == 1:
-                pairs.append((child, (table, key)))
-                wanted.setdefault(child[0], [])
-                if child[1] not in wanted[child[0]]:
-                    wanted[child[0]].append(child[1])
-    if not pairs:
-        return []
-    stats = {
-        (r.table_name, r.column_name): r
-        for r in column_stats(
-            {t: source[t].select(*cols) for t, cols in wanted.items() if cols}, distinct=False
-        ).collect()
-    }
-    fks = [
-        ForeignKey(f"{c[0]}_{c[1]}_{p[0]}", c[0], c[1], p[0], p[1])
-        for c, p in pairs
-        if _inside(stats[c], stats[p], source[c[0]].schema[c[1]].dataType)
-    ]
-    if not fks:
-        return []
-    orphans = fk_profile(source, fks).where("orphan_rows = 0 AND non_null_rows > 0").select("fk_name").collect()
-    names = {r.fk_name for r in orphans}
-    return _direct_only([fk for fk in fks if fk.name in names])
-
-
-def _direct_only(fks: list[ForeignKey]) -> list[ForeignKey]:
-    """Without the keys that two others imply: a -> c goes if a -> b and b -> c hold on the same columns."""
-    kept = {(fk.table, fk.column, fk.ref_table, fk.ref_column): fk for fk in fks}
-    for a in fks:
-        for b in fks:
-            first = (a.table, a.column, b.table, b.column)
-            second = (b.table, b.column, a.ref_table, a.ref_column)
-            if len({a.table, b.table, a.ref_table}) == 3 and first in kept and second in kept:
-                kept.pop((a.table, a.column, a.ref_table, a.ref_column), None)
-    return list(kept.values())
-
-
-def _inside(child, parent, data_type: T.DataType) -> bool:
-    if child.min_value is None or parent.min_value is None:
-        return False
-    as_value = int if isinstance(data_type, T.IntegralType) else str
-    return as_value(parent.min_value) <= as_value(child.min_value) and as_value(child.max_value) <= as_value(parent.max_value)
-
-
 def fk_profile(source: Source, fks: Sequence[ForeignKey] | None = None) -> DataFrame:
     """Evidence behind each foreign key, one row per key.
 
@@ -364,12 +293,12 @@ _FK_COUNTS = (
 
 
 def _one_fk(source: Source, fk: ForeignKey) -> DataFrame:
-    child = source[fk.table].groupBy(_q(fk.column).alias("k")).agg(F.expr("count(1) AS n_child"))
-    parent = source[fk.ref_table].groupBy(_q(fk.ref_column).alias("k")).agg(F.expr("count(1) AS n_parent"))
+    child = source[fk.table].groupBy(F.expr(fk_value(fk.columns)).alias("k")).agg(F.expr("count(1) AS n_child"))
+    parent = source[fk.ref_table].groupBy(F.expr(fk_value(fk.ref_columns)).alias("k")).agg(F.expr("count(1) AS n_parent"))
     return child.join(parent, "k", "full_outer").selectExpr(
         f"{literal(fk.name)} AS fk_name",
         f"{literal(fk.table)} AS table_name",
-        f"{literal(fk.column)} AS column_name",
+        f"{literal(','.join(fk.columns))} AS column_name",
         f"{literal(fk.ref_table)} AS ref_table",
         "coalesce(sum(n_child), 0) AS child_rows",
         "coalesce(sum(n_child) FILTER (WHERE k IS NOT NULL), 0) AS non_null_rows",
@@ -389,8 +318,8 @@ def orphan_values(source: Source, fk: ForeignKey) -> DataFrame:
 
     Values are counted first, so the anti join sees each value once however often it occurs.
     """
-    values = source[fk.table].where(_q(fk.column).isNotNull()).groupBy(_q(fk.column).alias("k")).agg(F.expr("count(1) AS n"))
-    return values.join(source[fk.ref_table].select(_q(fk.ref_column).alias("k")), "k", "left_anti")
+    values = source[fk.table].select(F.expr(fk_value(fk.columns)).alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.expr("count(1) AS n"))
+    return values.join(source[fk.ref_table].select(F.expr(fk_value(fk.ref_columns)).alias("k")), "k", "left_anti")
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import naming as N
-from ..functions.values import literal, quoted
+from ..functions.values import fk_value, literal, quoted
 from ..sources.source import Source, local_frame, union_all
 from .profile import column_stats
 
@@ -42,11 +42,14 @@ def _loose(rule: str) -> bool:
 
 
 def junction_flags(source: Source, *, rule: str = "shared_key") -> DataFrame:
-    """Catalog tables plus ``is_junction``: two foreign keys and a primary key made of them.
+    """Catalog tables plus ``is_junction``: two foreign keys on different columns and a primary key made of them.
 
-    ``as_coded`` is content with a primary key that is a part of the two columns.
+    ``as_coded`` is content with a primary key that is a part of their columns.
     """
-    test = "size(fk_columns) = 2 AND size(pk_columns) > 0 AND size(array_except(pk_columns, fk_columns)) = 0"
+    test = (
+        "n_fks = 2 AND size(array_distinct(fk_columns)) = size(fk_columns) AND size(pk_columns) > 0 "
+        "AND size(array_except(pk_columns, fk_columns)) = 0"
+    )
     if not _loose(rule):
         test += " AND size(array_except(fk_columns, pk_columns)) = 0"
     return source.cat_tables().selectExpr("*", f"{test} AS is_junction")
@@ -62,11 +65,12 @@ def enriched_fks(source: Source, *, rule: str = "shared_key", evidence: DataFram
     """
     loose = _loose(rule)
     if loose:
-        inherits = "array_contains(c.pk_columns, f.column_name) AND coalesce(array_contains(p.pk_columns, f.ref_column), false)"
+        inherits = "size(array_except(f.columns, c.pk_columns)) = 0 AND coalesce(size(array_except(f.ref_columns, p.pk_columns)) = 0, false)"
         closed = "false"
     else:
         inherits = (
-            "c.pk_columns = array(f.column_name) AND coalesce(p.pk_columns = array(f.ref_column), false) AND NOT c.is_junction"
+            "array_sort(c.pk_columns) = array_sort(f.columns) AND coalesce(array_sort(p.pk_columns) = array_sort(f.ref_columns), false) "
+            "AND NOT c.is_junction"
         )
         closed = "is_junction"
     if evidence is None:
@@ -79,18 +83,17 @@ def enriched_fks(source: Source, *, rule: str = "shared_key", evidence: DataFram
         WITH facts AS (
             SELECT f.*, c.table_ordinal, c.is_junction,
                    f.declared_not_null OR coalesce(e.complete, false) AS not_null,
-                   array_contains(c.pk_columns, f.column_name) AS in_pk,
-                   array_position(c.pk_columns, f.column_name) AS pk_position,
-                   c.pk_columns = array(f.column_name) AS is_whole_pk,
-                   u.column_name IS NOT NULL AS is_unique,
+                   size(array_except(f.columns, c.pk_columns)) = 0 AS in_pk,
+                   array_position(c.pk_columns, f.columns[0]) AS pk_position,
+                   array_sort(c.pk_columns) = array_sort(f.columns) AS is_whole_pk,
+                   u.columns IS NOT NULL AS is_unique,
                    {inherits} AS is_inheritance,
                    coalesce(contains(upper(f.on_delete), 'CASCADE'), false) AS is_cascade
             FROM {{fks}} f
             JOIN {{tables}} c ON c.table_name = f.table_name
             LEFT JOIN {{tables}} p ON p.table_name = f.ref_table
-            LEFT JOIN (SELECT DISTINCT table_name, columns[0] AS column_name FROM {{keys}}
-                       WHERE NOT is_primary AND is_unique AND size(columns) = 1) u
-              ON u.table_name = f.table_name AND u.column_name = f.column_name
+            LEFT JOIN (SELECT DISTINCT table_name, array_sort(columns) AS columns FROM {{keys}} WHERE NOT is_primary AND is_unique) u
+              ON u.table_name = f.table_name AND u.columns = array_sort(f.columns)
             LEFT JOIN {{seen}} e ON e.fk_name = f.fk_name
         ), open AS (
             SELECT facts.*, s.table_name IS NULL AND NOT {closed} AS is_open
@@ -102,7 +105,7 @@ def enriched_fks(source: Source, *, rule: str = "shared_key", evidence: DataFram
                    CASE WHEN is_inheritance OR is_unique OR is_whole_pk THEN '1:1' ELSE 'N:1' END AS cardinality
             FROM open
         )
-        SELECT fk_name, table_name, table_ordinal, column_name, fk_ordinal, ref_table, ref_column, on_delete, not_null,
+        SELECT fk_name, table_name, table_ordinal, column_name, columns, fk_ordinal, ref_table, ref_column, ref_columns, on_delete, not_null,
                in_pk, pk_position, is_junction, is_inheritance, is_weak, is_aggregation, cardinality,
                {name} AS relationship_name,
                CASE WHEN is_inheritance THEN 'INHERITANCE' WHEN is_aggregation AND is_cascade THEN 'COMPOSITION'
@@ -136,7 +139,7 @@ def conceptual_entities(source: Source, fks: DataFrame, *, rule: str = "shared_k
                  FROM supers GROUP BY superclass),
         attributes AS (
             SELECT table_name, array_sort(collect_list(struct(ordinal, column_name))).column_name AS attributes
-            FROM {{columns}} c LEFT ANTI JOIN (SELECT * FROM {{fks}} WHERE NOT is_inheritance) f
+            FROM {{columns}} c LEFT ANTI JOIN (SELECT table_name, explode(columns) AS column_name FROM {{fks}} WHERE NOT is_inheritance) f
               USING (table_name, column_name)
             GROUP BY table_name)
         SELECT table_name, CASE WHEN owner IS NULL THEN 'STRONG' ELSE 'WEAK' END AS entity_type,
@@ -159,7 +162,8 @@ def junction_relationships(source: Source, *, rule: str = "shared_key") -> DataF
         WITH j AS (SELECT table_name FROM {{tables}} WHERE is_junction),
         attributes AS (
             SELECT table_name, array_sort(collect_list(struct(ordinal, column_name))).column_name AS attributes
-            FROM {{columns}} LEFT ANTI JOIN {{fks}} USING (table_name, column_name) GROUP BY table_name)
+            FROM {{columns}} LEFT ANTI JOIN (SELECT table_name, explode(columns) AS column_name FROM {{fks}}) f USING (table_name, column_name)
+            GROUP BY table_name)
         SELECT {N.junction_type("j.table_name")} AS name, a.ref_table AS source_entity, b.ref_table AS target_entity,
                'N:M' AS cardinality, 'ASSOCIATION' AS semantics, CAST(NULL AS STRING) AS fk_name,
                j.table_name AS junction_table, coalesce(t.attributes, array()) AS attributes, false AS is_mandatory_source
@@ -298,12 +302,12 @@ def junction_cardinality(source: Source, tables: Sequence[str]) -> DataFrame:
     Each end is counted per value before the shuffle; only the two maxima meet.
     """
 
-    def widest(table: str, column: str, end: str) -> DataFrame:
-        counts = source[table].where(f"{quoted(column)} IS NOT NULL").groupBy(column).count()
+    def widest(table: str, columns: Sequence[str], end: str) -> DataFrame:
+        counts = source[table].selectExpr(f"{fk_value(columns)} AS k").where("k IS NOT NULL").groupBy("k").count()
         return counts.selectExpr(f"{literal(table)} AS table_name", f"'{end}' AS side", "coalesce(max(count), 0) AS n")
 
     ends = union_all(
-        widest(t, fk.column, end) for t in tables for fk, end in zip(source.fks_of(t), ("from", "to"))
+        widest(t, fk.columns, end) for t in tables for fk, end in zip(source.fks_of(t), ("from", "to"))
     )
     return source.spark.sql(
         """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
@@ -18,6 +19,8 @@ from ..sources.source import ForeignKey, Source
 
 MODES = ("direct", "enriched")
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class GraphMapping:
@@ -72,9 +75,15 @@ def build_graph(
 
     enriched = mode == "enriched"
     nodes, carriers, edge_sets = {}, {}, {}
+    of_label: dict[str, list[str]] = {}
     for t in entities:
-        df = ND.table_nodes(source, t, label=labels[t], names=names, keep_foreign_keys=enriched)
-        nodes[labels[t]] = _with_derived(df, (derived or {}).get(t))
+        of_label.setdefault(labels[t], []).append(t)
+    for label, tables in of_label.items():
+        frames = [ND.table_nodes(source, t, label=label, names=names, keep_foreign_keys=enriched) for t in tables]
+        frames = [_with_derived(df, (derived or {}).get(t)) for t, df in zip(tables, frames)]
+        if len(tables) > 1:
+            log.warning("tables %s share the label %s; their nodes are put together", ", ".join(tables), label)
+        nodes[label] = ND.union_nodes(frames) if len(frames) > 1 else frames[0]
     by_table: dict[str, list[E.EdgeType]] = {}
     for e in planned:
         by_table.setdefault(e.fk.table, []).append(e)
@@ -85,10 +94,12 @@ def build_graph(
         else:
             check = [e.fk for e in types if e.fk.name in unproven]
             edge_sets[t] = E.fk_edges(source, t, types, check=check, **sizes)
-            carrier = _carrier(source, t, labels[t], names, enriched, [e.fk for e in types])
-            carriers[labels[t]] = _with_derived(carrier, (derived or {}).get(t))
+            if len(of_label[labels[t]]) == 1:
+                carrier = _carrier(source, t, labels[t], names, enriched, [e.fk for e in types])
+                carriers[labels[t]] = _with_derived(carrier, (derived or {}).get(t))
     model_labels = ND.label_table(source, entities, keep_foreign_keys=enriched)
-    return Graph(source, mode, nodes, edge_sets, tuple(planned), carriers, model_labels, names)
+    placed = {t: (labels[t], labels[t]) for t in entities}
+    return Graph(source, mode, nodes, edge_sets, tuple(planned), carriers, model_labels, placed, names)
 
 
 def _with_derived(df: DataFrame, derived: Mapping[str, str] | None) -> DataFrame:
@@ -100,7 +111,8 @@ def _with_derived(df: DataFrame, derived: Mapping[str, str] | None) -> DataFrame
 def _carrier(source: Source, table: str, label: str, names, keep_fks: bool, fks: list[ForeignKey]) -> DataFrame:
     """Node rows plus their raw foreign keys, from the same projection of the table."""
     df = source[table]
-    extended = replace(source, tables={**source.tables, table: df.withColumns({f"_fk:{fk.name}": F.col(f"`{fk.column}`") for fk in fks})})
+    fks = [fk for fk in fks if len(fk.columns) == 1]
+    extended = replace(source, tables={**source.tables, table: df.withColumns({f"_fk:{fk.name}": F.col(f"`{fk.columns[0]}`") for fk in fks})})
     all_names = {**names, **{(table, f"_fk:{fk.name}"): f"_fk:{fk.name}" for fk in fks}}
     return ND.table_nodes(extended, table, label=label, names=all_names, keep_foreign_keys=keep_fks)
 
@@ -156,7 +168,7 @@ def _plan_edges(source, mode, rule, mapping, evidence, labels, entities, junctio
             if a.ref_table in entities and b.ref_table in entities:
                 rel = mapping.custom_relationships.get(t, types[t])
                 many = "N:M" if mode == "enriched" and mapping.infer_cardinality else None
-                edge = ForeignKey(t, t, a.column, b.ref_table, b.ref_column)
+                edge = ForeignKey(t, t, b.column, b.ref_table, b.ref_column)
                 semantics = "ASSOCIATION" if mode == "enriched" else None
                 planned.append(E.EdgeType(edge, rel, labels[a.ref_table], labels[b.ref_table], many, semantics))
     return planned
@@ -214,7 +226,8 @@ def merge_inheritance(graph: Graph, *, evidence: DataFrame | None = None) -> Gra
     edge_sets = {t: _relabel(df, moved, gone) for t, df in graph.edge_sets.items()} if moved else dict(graph.edge_sets)
     touched = {*moved, *moved.values()}
     carriers = {label: df for label, df in graph.carriers.items() if label not in touched}
-    return replace(graph, nodes=nodes, edge_sets=edge_sets, edge_types=types, carriers=carriers)
+    placed = {t: (moved.get(at, at), label) for t, (at, label) in graph.tables.items()}
+    return replace(graph, nodes=nodes, edge_sets=edge_sets, edge_types=types, carriers=carriers, tables=placed)
 
 
 def _relabel(edges: DataFrame, moved: Mapping[str, str], gone: set[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from ..graph import Graph
 from ..operators import checks as CK
+from ..operators import inclusion as I
 from ..operators import profile as P
 from ..operators import semantics as S
 from ..sources import sinks
@@ -57,8 +58,9 @@ def analyze(source: Source, *, discover: bool = False, max_arity: int | None = N
     source, counts = readable(source)
     if discover:
         source = replace(source, primary_keys=P.discover_primary_keys(source, max_arity=max_arity))
-        declared = {(fk.table, fk.column) for fk in source.foreign_keys}
-        found = [fk for fk in P.discover_foreign_keys(source) if (fk.table, fk.column) not in declared]
+        declared = {(fk.table, fk.columns) for fk in source.foreign_keys}
+        found = [*I.discover_foreign_keys(source), *I.discover_composite_foreign_keys(source)]
+        found = [fk for fk in found if (fk.table, fk.columns) not in declared]
         source = replace(source, foreign_keys=(*source.foreign_keys, *found))
     usable = [fk for fk in source.foreign_keys if fk.table in source.tables and fk.ref_table in source.tables]
     return Analysis(source, counts, P.materialize(P.fk_profile(source, usable)))
@@ -79,20 +81,19 @@ def migrate(
     clear: bool = True,
     sort_by: dict[str, list[str]] | None = None,
 ) -> Graph:
-    """Build the graph and write it below ``path``; what is returned is then the graph as it is stored there.
+    """Build the graph and store it below ``path``; what is returned is then the graph as it is stored there.
 
-    ``clear`` removes the graph that was there before. Without a path nothing runs (dry run).
+    A load is a version of its own that is switched to when it is complete, so one that fails leaves
+    the graph before it readable. ``clear`` replaces that graph; without it, nodes and edges of the
+    same key are replaced and the others stay. Without a path nothing runs (dry run).
     """
     graph = build_graph(
         found.source, mode, rule=rule, mapping=mapping, evidence=found.evidence, row_counts=found.row_counts
     )
     if path is None:
         return graph
-    if clear:
-        sinks.clear_graph(found.source.spark, path)
-    sinks.write_nodes(graph.nodes, f"{path}/nodes", clear=clear, sort_by=sort_by)
-    sinks.write_edges(graph.edges, f"{path}/edges", clear=clear)
-    return sinks.read_graph(found.source.spark, path, graph)
+    spark = found.source.spark
+    return sinks.read_graph(spark, sinks.store_graph(spark, graph, path, clear=clear, sort_by=sort_by), graph)
 
 
 def validate(source: Source, graph: Graph, *, rule: str = "shared_key") -> dict[str, DataFrame]:
@@ -101,7 +102,7 @@ def validate(source: Source, graph: Graph, *, rule: str = "shared_key") -> dict[
     return {
         "summary": CK.validation_summary(found),
         "findings": found,
-        "counts": CK.reconcile_counts(source, graph, rule=rule),
+        "counts": CK.reconcile_counts(source, graph),
         "totals": CK.target_totals(graph),
         "relationships": CK.relationship_counts(graph),
         "instances": CK.instance_counts(source, graph),

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming as N
 from ..functions import types as TY
 from ..operators import checks as CK
+from ..operators import inclusion as I
 from ..operators import profile as P
 from ..operators import semantics as S
-from ..sources.source import Source
+from ..sources.source import Source, local_frame
 from .sample import FILES, TRADE, sample_source
 
 WITH_JUNCTION = (*TRADE, "supplier_part")
@@ -55,6 +58,34 @@ def foreign_keys(spark: SparkSession, d: str) -> DataFrame:
     ).select("table_name", "column_name", "ref_table", "ref_column", "non_null_rows", "distinct_values", "orphan_rows")
 
 
+def inclusions(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of columns of one kind, of all tables, whose values are contained, keys or not."""
+    return I.inclusion_dependencies(sample_source(spark, d, FILES))
+
+
+def self_references(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with a referrer: a reference of a table to itself that no name gives away, among the inclusions in keys."""
+    s = sample_source(spark, d, ["customer", "orders"])
+    referred = s["customer"].selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN (c_custkey + 1) DIV 2 END AS sent_by", "c_name")
+    return I.inclusion_dependencies(Source(spark, {"customer": referred, "orders": s["orders"]}, primary_keys={"customer": ("c_custkey",)}), to_keys=True)
+
+
+def composite_source(spark: SparkSession, d: str) -> Source:
+    """Line items beside the pairs of supplier and part, whose key has two columns."""
+    s = sample_source(spark, d, ["lineitem", "supplier_part", "part", "supplier"])
+    return replace(s, primary_keys={t: k for t, k in s.primary_keys.items() if t != "lineitem"}, foreign_keys=())
+
+
+def composite_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Tuples of columns contained in the two-column key, whatever their names."""
+    s = composite_source(spark, d)
+    named = {(fk.table, fk.columns) for fk in I.discover_composite_foreign_keys(s)}
+    rows = [(t, ",".join(c), rt, ",".join(rc), (t, c) in named) for (t, c), (rt, rc) in I.composite_inclusions(s)]
+    fields = [(n, pa.string()) for n in ("table_name", "columns", "ref_table", "ref_columns")] + [("shares_names", pa.bool_())]
+    found = local_frame(spark, fields, rows)
+    return found.join(s.row_counts(), "table_name")
+
+
 def unique_columns(spark: SparkSession, d: str) -> DataFrame:
     return P.unique_columns(sample_source(spark, d, FILES))
 
@@ -160,6 +191,9 @@ QUERIES = {
     "b2_primary_keys": primary_keys,
     "b2_wide_keys": wide_keys,
     "b3_foreign_keys": foreign_keys,
+    "b3_inclusions": inclusions,
+    "b3_self_references": self_references,
+    "b3_composite_keys": composite_keys,
     "b4_unique_columns": unique_columns,
     "b5_auto_increment": auto_increment,
     "b6_schema_summary": schema_summary,
@@ -250,6 +284,31 @@ _FK_CANDIDATES = (
     ("documents", "doc_id", "labels", "doc_id"),
 )
 
+def _shares_name(child: tuple[str, str], parent: tuple[str, str]) -> bool:
+    """The stem is what follows a one-letter prefix; no key here is a bare ``id``."""
+    stem = [re.sub("^[a-z]_", "", c.lower()) for _, c in (child, parent)]
+    return stem[0] == stem[1] or child[1].lower() == stem[1]
+
+
+def _inclusion_sql(columns: list[tuple[str, str, str, str]], named, also: str = "", refs: set[tuple[str, str]] | None = None) -> str:
+    """Pairs of (table, column, kind, relation), decided by counting the values that both hold."""
+    kind = {"i": "n", "l": "n", "s": "s", "t": "t"}
+    values = " UNION ALL ".join(
+        f"SELECT DISTINCT {i} AS i, '{kind[k]}' AS kind, CAST({c} AS VARCHAR) AS v FROM {x} WHERE {c} IS NOT NULL" for i, (t, c, k, x) in enumerate(columns)
+    )
+    facts = " UNION ALL ".join(
+        f"SELECT {i} AS i, '{t}' AS t, '{c}' AS c, count(DISTINCT {c}) AS n, count(DISTINCT {c}) = count(*) AS u FROM {x}" for i, (t, c, k, x) in enumerate(columns)
+    )
+    same = [(i, j) for i, a in enumerate(columns) for j, b in enumerate(columns) if i != j and named(a[:2], b[:2])]
+    allowed = "" if refs is None else f"AND b.i IN ({', '.join(str(i) for i, c in enumerate(columns) if c[:2] in refs)})"
+    return f"""
+        WITH {also} vals AS ({values}), facts AS ({facts}),
+             common AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM vals x JOIN vals y ON x.kind = y.kind AND x.v = y.v AND x.i <> y.i GROUP BY ALL)
+        SELECT a.t AS table_name, a.c AS column_name, b.t AS ref_table, b.c AS ref_column, a.n AS distinct_values, b.n AS ref_values,
+               (a.i, b.i) IN ({', '.join(map(str, same))}) AS shares_name, b.u AS is_unique
+        FROM common JOIN facts a ON a.i = common.a AND a.n = common.n JOIN facts b ON b.i = common.b {allowed}"""
+
+
 SUPPLIER_PART = "(SELECT l_suppkey AS suppkey, l_partkey AS partkey, sum(l_quantity) AS qty FROM lineitem GROUP BY l_suppkey, l_partkey)"
 _ALL_ROWS = " + ".join(f"(SELECT count(*) FROM {t})" for t in TRADE) + f" + (SELECT count(*) FROM {SUPPLIER_PART})"
 _PASCAL = "array_to_string(list_transform(string_split({x}, '_'), lambda w: upper(w[1:1]) || lower(w[2:])), '')"
@@ -276,6 +335,28 @@ ORACLES = {
         f"HAVING count({c}) > 0 AND count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {rc} FROM {rt})) = 0"
         for t, c, rt, rc in _FK_CANDIDATES
     ),
+    "b3_inclusions": _inclusion_sql(
+        [(t, c, k, t) for t, columns in COLUMNS.items() for c, k in columns if k in "ilst"], _shares_name
+    ),
+    "b3_self_references": _inclusion_sql(
+        [("customer", "c_custkey", "l", "referred"), ("customer", "sent_by", "l", "referred"), ("customer", "c_name", "s", "referred"),
+         *[("orders", c, k, "orders") for c, k in COLUMNS["orders"] if k in "ilst"]],
+        _shares_name,
+        "referred AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey + 1) // 2 END AS sent_by, c_name FROM customer), ",
+        {("customer", "c_custkey")},
+    ),
+    "b3_composite_keys": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{a},{b}' AS columns, 'supplier_part' AS ref_table, 'suppkey,partkey' AS ref_columns, "
+        f"{'true' if (a, b) == ('l_suppkey', 'l_partkey') else 'false'} AS shares_names, (SELECT count(*) FROM {x}) AS row_count "
+        f"WHERE EXISTS (SELECT 1 FROM {x} WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AND NOT EXISTS "
+        f"(SELECT {a}, {b} FROM {x} WHERE {a} IS NOT NULL AND {b} IS NOT NULL EXCEPT SELECT suppkey, partkey FROM {SUPPLIER_PART})"
+        for t, x, columns in (
+            ("lineitem", "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]),
+            ("supplier_part", SUPPLIER_PART, ["suppkey", "partkey"]),
+            ("part", "part", ["p_partkey", "p_size"]),
+        )
+        for a in columns for b in columns if a != b and (t, a) != ("supplier_part", "suppkey")
+    ),
     "b4_unique_columns": "SELECT table_name, column_name, ndv FROM ("
     + _each(
         "SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS ndv, count(*) AS n FROM {t}", "ilst"

@@ -9,12 +9,13 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators import checks as CK
-from ..sources.source import ForeignKey, Source
-from .build import build_graph
-from .q_graph import LABEL, SEGMENT
+from ..sources.source import ForeignKey, Source, union_all
+from .build import GraphMapping, build_graph, merge_inheritance
+from .q_graph import LABEL, SEGMENT, composite_source, translated_source
 from .q_semantics import IN_TRADE, rel
 from .sample import TRADE, sample_source
 
@@ -52,6 +53,26 @@ def count_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return CK.reconcile_counts(*_without_customers(spark, d))
 
 
+def merged_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, labels and flagged ones as one node each, and then only some tables chosen: nothing is amiss, so all match."""
+    s = sample_source(spark, d, ["documents", "labels", "flagged_document", "conversation", "conversations"])
+    merged = CK.reconcile_counts(s, merge_inheritance(build_graph(s)))
+    chosen = CK.reconcile_counts(s, build_graph(s, mapping=GraphMapping(tables_as_nodes=("documents", "conversation"))))
+    return merged.selectExpr("'merged' AS graph", "*").unionByName(chosen.selectExpr("'chosen' AS graph", "*"))
+
+
+def no_foreign_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Every check of a source that declares nothing but two keys."""
+    s = sample_source(spark, d, ["region", "nation"], declare_not_null=False)
+    s = replace(s, foreign_keys=())
+    g = build_graph(s)
+    counts = [
+        ("instances", CK.instance_counts(s, g)), ("orphans", CK.orphan_rows(s)), ("required", CK.required_properties(s)),
+        ("missing", CK.missing_nodes(g)), ("findings", CK.findings(s, g)), ("nodes", g.all_nodes),
+    ]
+    return union_all(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n") for name, df in counts)
+
+
 def target_totals(spark: SparkSession, d: str) -> DataFrame:
     return CK.target_totals(build_graph(sample_source(spark, d, WITH_JUNCTION)))
 
@@ -69,6 +90,19 @@ def missing_nodes(spark: SparkSession, d: str) -> DataFrame:
     return CK.missing_nodes(g)
 
 
+def missing_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of two columns and keys that are translated: nothing is missing as built, and what is taken away is found."""
+    frames = []
+    for name, s, label, test in (
+        ("composite", composite_source(spark, d), "SupplierPart", "suppkey % 2 = 0"),
+        ("translated", translated_source(spark, d), "Customer", "cCustkey % 2 = 0"),
+    ):
+        g = build_graph(s)
+        for case, graph in (("as built", g), ("half", g.with_nodes(label, g.nodes[label].where(test)))):
+            frames.append(CK.missing_nodes(graph).selectExpr(f"'{name} {case}' AS graph", "*"))
+    return union_all(frames)
+
+
 def validation_summary(spark: SparkSession, d: str) -> DataFrame:
     s, g = _without_customers(spark, d)
     extra = ForeignKey("orders_clerk", "orders", "o_orderpriority", "clerk", "k_name")
@@ -100,12 +134,15 @@ QUERIES = {
     "e2_dangling_foreign_keys": dangling_foreign_keys,
     "e3_source_statistics": source_statistics,
     "e4_count_reconciliation": count_reconciliation,
+    "e4_merged_counts": merged_counts,
     "e5_target_totals": target_totals,
     "e6_relationship_counts": relationship_counts,
     "e7_missing_nodes": missing_nodes,
+    "e7_missing_by_key": missing_by_key,
     "e8_validation_summary": validation_summary,
     "e8_findings": findings,
     "e9_instance_counts": instance_counts,
+    "e9_no_foreign_keys": no_foreign_keys,
     "e10_orphan_rows": orphan_rows,
 }
 
@@ -136,6 +173,18 @@ ORACLES = {
         f"count(*) - {lost} AS target_count, -{lost} AS difference, {lost} = 0 AS is_match FROM {t}"
         for t, lost in ((t, _LOST_CUSTOMERS if t == "customer" else "CAST(0 AS BIGINT)") for t in TRADE)
     ),
+    "e4_merged_counts": _union(
+        f"SELECT '{g}' AS graph, '{label}' AS label, '{t}' AS table_name, n AS source_count, n AS target_count, CAST(0 AS BIGINT) AS difference, "
+        f"true AS is_match FROM (SELECT count({what}) AS n FROM {x})"
+        for g, label, t, what, x in (
+            ("merged", "Documents", "documents", "*", "documents"), ("merged", "Labels", "labels", "*", "labels"),
+            ("merged", "FlaggedDocument", "flagged_document", "*", "labels WHERE toxic = 1"),
+            ("merged", "Conversation", "conversation", "DISTINCT conv_id", "conversations"),
+            ("merged", "Conversations", "conversations", "*", "conversations"),
+            ("chosen", "Documents", "documents", "*", "documents"),
+            ("chosen", "Conversation", "conversation", "DISTINCT conv_id", "conversations"),
+        )
+    ),
     "e5_target_totals": f"""
         SELECT 'total_nodes' AS statistic, CAST({" + ".join(_count(t) for t in TRADE)} AS BIGINT) AS value
         UNION ALL SELECT 'total_relationships', CAST({_EDGES} + {_count(rel("supplier_part"))} AS BIGINT)
@@ -151,6 +200,13 @@ ORACLES = {
         UNION ALL SELECT 'PART_OF_ORDERS', 'Lineitem', 'Orders', 'to', count(*)
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'
         UNION ALL SELECT 'PART_OF_NATION', 'Customer', 'Nation', 'from', count(*) FROM customer WHERE c_mktsegment <> '{SEGMENT}'""",
+    "e7_missing_by_key": f"""
+        SELECT 'composite half' AS graph, 'PART_OF_SUPPLIERPART' AS rel_type, 'Lineitem' AS from_label, 'SupplierPart' AS to_label, 'to' AS missing, count(*) AS n
+        FROM lineitem JOIN {rel("supplier_part")} ON suppkey = l_suppkey AND partkey = l_partkey WHERE qty > 20 AND suppkey % 2 = 1 HAVING count(*) > 0
+        UNION ALL SELECT 'translated half', 'PURCHASED_BY', 'Orders', 'Customer', 'to', count(*) FROM orders JOIN customer ON o_custkey = c_custkey
+        WHERE c_mktsegment = '{SEGMENT}' AND c_name <> 'Customer#5' AND c_custkey % 2 = 1 HAVING count(*) > 0
+        UNION ALL SELECT 'translated half', 'PART_OF_NATION', 'Customer', 'Nation', 'from', count(*) FROM customer
+        WHERE c_mktsegment = '{SEGMENT}' AND c_custkey % 2 = 1 HAVING count(*) > 0""",
     "e8_validation_summary": f"""
         SELECT 'pre' AS phase, 'FAILED' AS status, CAST(1 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings
         UNION ALL SELECT 'post', 'FAILED',
@@ -166,6 +222,10 @@ ORACLES = {
             (m, f"(SELECT * FROM customer WHERE c_mktsegment = '{SEGMENT}')" if m[1] == "customer" else m[1]) for m in IN_TRADE
         )
     ),
+    "e9_no_foreign_keys": """
+        SELECT 'instances' AS what, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'orphans', 0 UNION ALL SELECT 'required', 0
+        UNION ALL SELECT 'missing', 0 UNION ALL SELECT 'findings', 0
+        UNION ALL SELECT 'nodes', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation)""",
     "e10_orphan_rows": _union(
         f"SELECT '{k}' AS fk_name, count(*) AS orphan_rows, count(DISTINCT {c}) AS orphan_values FROM {t} WHERE {c} NOT IN ({p})"
         for k, t, c, p in (

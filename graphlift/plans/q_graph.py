@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators import checks as CK
@@ -11,7 +14,7 @@ from ..operators import match as M
 from ..operators import nodes as ND
 from ..operators import profile as P
 from ..sources import sinks
-from ..sources.source import Source
+from ..sources.source import ForeignKey, Source
 from .build import GraphMapping, build_graph, merge_inheritance
 from .q_semantics import IN_TRADE, MEANING, rel
 from .sample import TRADE, sample_source
@@ -49,6 +52,19 @@ def node_property_maps(spark: SparkSession, d: str) -> DataFrame:
     return ND.property_map(nodes)
 
 
+def shared_label(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in two tables whose names give one label; a column that only one has, and one of two types."""
+    c = sample_source(spark, d, ["customer"])["customer"]
+    tables = {
+        "big_customer": c.where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_nationkey"),
+        "big-_customer": c.where("c_custkey % 2 = 1").selectExpr("c_custkey", "c_mktsegment", "concat('n', c_nationkey) AS c_nationkey"),
+    }
+    s = Source(spark, tables, primary_keys={t: ("c_custkey",) for t in tables})
+    g = build_graph(s)
+    counts = CK.reconcile_counts(s, g).select("label", "is_match")
+    return g.nodes["BigCustomer"].join(counts, "label").select("node_key", "label", "cName", "cNationkey", "cMktsegment", "is_match")
+
+
 def converted_values(spark: SparkSession, d: str) -> DataFrame:
     """Timestamps as text, JSON text as values, and text that is no JSON kept as text."""
     s = sample_source(spark, d, ["events"])
@@ -92,6 +108,39 @@ def fk_edges_direct(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d, mode="direct").edges.groupBy("rel_type", "from_label", "to_label").count().withColumnRenamed("count", "n")
 
 
+def composite_source(spark: SparkSession, d: str) -> Source:
+    """Line items that refer to pairs of supplier and part, some of which are missing, by a foreign key of two columns."""
+    s = sample_source(spark, d, ["lineitem", "supplier_part"])
+    fk = ForeignKey("lineitem_pair", "lineitem", ("l_partkey", "l_suppkey"), "supplier_part", ("partkey", "suppkey"))
+    return replace(s, foreign_keys=(fk,)).with_tables(supplier_part=s["supplier_part"].where("qty > 20"))
+
+
+def composite_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Once with the parents looked up, once from the profile of the discovered and declared keys."""
+    s = composite_source(spark, d)
+    profiled = build_graph(s, evidence=P.materialize(P.fk_profile(s)), row_counts={"supplier_part": 10**9})
+    both = build_graph(s).edges.selectExpr("'joined' AS path", "*").unionByName(profiled.edges.selectExpr("'profiled' AS path", "*"))
+    return both.groupBy("path", "rel_type", "from_label", "to_label", "to_key", "cardinality").count().withColumnRenamed("count", "n")
+
+
+def translated_source(spark: SparkSession, d: str) -> Source:
+    """Orders that name their customer by its name, which is unique but not the key, and customers their nation so."""
+    s = sample_source(spark, d, ["orders", "customer", "nation"])
+    named = s["customer"].select("c_custkey", "c_name")
+    orders = s["orders"].join(named, F.col("o_custkey") == F.col("c_custkey")).selectExpr("o_orderkey", "nullif(c_name, 'Customer#5') AS buyer")
+    fks = (
+        ForeignKey("orders_buyer", "orders", "buyer", "customer", "c_name"),
+        ForeignKey("customer_nation", "customer", "c_nationkey", "nation", "n_nationkey"),
+    )
+    kept = s["customer"].where(f"c_mktsegment = '{SEGMENT}'")
+    return replace(s, foreign_keys=fks, unique_keys={"customer": (("c_name",),)}).with_tables(orders=orders, customer=kept)
+
+
+def translated_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges end at the nodes' keys, whatever column the foreign key refers to."""
+    return build_graph(translated_source(spark, d)).edges.select("fk_name", "rel_type", "from_key", "to_label", "to_key")
+
+
 def junction_edges(spark: SparkSession, d: str) -> DataFrame:
     s = sample_source(spark, d, ["supplier", "part", "supplier_part"])
     g = build_graph(s)
@@ -340,12 +389,15 @@ def written_pattern(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "d1_nodes_direct": nodes_direct,
+    "d1_shared_label": shared_label,
     "d2_nodes_enriched": nodes_enriched,
     "d2_property_maps": node_property_maps,
     "d3_converted_values": converted_values,
     "d4_fk_edges": fk_edges,
     "d4_fk_edges_direct": fk_edges_direct,
     "d4_duplicated_parents": duplicated_parents,
+    "d4_composite_edges": composite_edges,
+    "d4_translated_edges": translated_edges,
     "d5_junction_edges": junction_edges,
     "d6_matched_endpoints": matched_endpoints,
     "d6_spread_endpoints": spread_endpoints,
@@ -411,6 +463,10 @@ ORACLES = {
         SELECT CAST(o_orderkey AS VARCHAR) AS node_key, 'Orders' AS label, o_orderkey AS "oOrderkey", o_orderstatus AS "oOrderstatus",
                o_totalprice AS "oTotalprice", strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "oOrderdate",
                o_orderpriority AS "oOrderpriority" FROM orders""",
+    "d1_shared_label": """
+        SELECT CAST(c_custkey AS VARCHAR) AS node_key, 'BigCustomer' AS label, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS "cName",
+               CASE WHEN c_custkey % 2 = 1 THEN 'n' ELSE '' END || c_nationkey AS "cNationkey",
+               CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS "cMktsegment", true AS is_match FROM customer""",
     "d2_nodes_enriched": """
         SELECT concat_ws('|', conv_id, turn) AS node_key, 'Conversations' AS label, conv_id AS "convId", turn, role, text,
                CAST((conv_id IS NOT NULL)::INT + (turn IS NOT NULL)::INT + (role IS NOT NULL)::INT + (text IS NOT NULL)::INT AS INTEGER)
@@ -430,6 +486,17 @@ ORACLES = {
     ),
     "d4_duplicated_parents": f"""
         SELECT path, e.* FROM (VALUES ('joined'), ('profiled')) AS p(path), ({_ORDER_EDGE} WHERE o_custkey IN {_SEGMENT_KEYS}) AS e""",
+    "d4_composite_edges": f"""
+        SELECT path, 'PART_OF_SUPPLIERPART' AS rel_type, 'Lineitem' AS from_label, 'SupplierPart' AS to_label,
+               concat_ws('|', l_suppkey, l_partkey) AS to_key, 'N:1' AS cardinality, count(*) AS n
+        FROM (VALUES ('joined'), ('profiled')) AS p(path), lineitem JOIN {rel("supplier_part")} ON suppkey = l_suppkey AND partkey = l_partkey
+        WHERE qty > 20 GROUP BY path, l_suppkey, l_partkey""",
+    "d4_translated_edges": f"""
+        SELECT 'orders_buyer' AS fk_name, 'PURCHASED_BY' AS rel_type, CAST(o_orderkey AS VARCHAR) AS from_key, 'Customer' AS to_label,
+               CAST(c_custkey AS VARCHAR) AS to_key FROM orders JOIN customer ON o_custkey = c_custkey
+        WHERE c_mktsegment = '{SEGMENT}' AND c_name <> 'Customer#5'
+        UNION ALL SELECT 'customer_nation', 'PART_OF_NATION', CAST(c_custkey AS VARCHAR), 'Nation', CAST(c_nationkey AS VARCHAR)
+        FROM customer WHERE c_mktsegment = '{SEGMENT}'""",
     "d5_junction_edges": f"""
         SELECT 'SUPPLIER_PART' AS rel_type, 'Supplier' AS from_label, CAST(suppkey AS VARCHAR) AS from_key, 'Part' AS to_label,
                CAST(partkey AS VARCHAR) AS to_key, 'N:M' AS cardinality, qty FROM {rel("supplier_part")}""",

@@ -127,6 +127,7 @@ def second_load(spark: SparkSession, d: str) -> DataFrame:
     path = sinks.scratch_folder(spark)
     for names in (["region", "nation", "customer", "orders"], ["region", "nation"]):
         migrate(analyze(sample_source(spark, d, names)), path)
+    path = sinks.current_version(spark, path)
     nodes = spark.read.parquet(f"{path}/nodes").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     edges = spark.read.parquet(f"{path}/edges").groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
     return nodes.select(F.lit("nodes").alias("what"), F.col("label").alias("name"), "n").unionByName(
@@ -134,6 +135,31 @@ def second_load(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def repeated_load(spark: SparkSession, d: str) -> DataFrame:
+    """Three loads that add: all customers, the same again, then those of one segment renamed, beside the nations."""
+    path = sinks.scratch_folder(spark)
+    s = sample_source(spark, d, ["nation", "customer"])
+    some = s["customer"].where("c_mktsegment = 'BUILDING'").withColumn("c_name", F.lit("renamed"))
+    for source in (s, s, s.with_tables(customer=some)):
+        g = migrate(analyze(source), path, clear=False)
+    nodes = g.nodes["Customer"].groupBy("cName").agg(F.count(F.lit(1)).alias("n"))
+    names = nodes.groupBy((F.col("cName") == "renamed").alias("renamed")).agg(F.sum("n").alias("n"))
+    edges = g.edges.groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
+    return names.select(F.when(F.col("renamed"), "renamed").otherwise("first name").alias("what"), "n").unionByName(
+        edges.select(F.col("rel_type").alias("what"), "n")
+    )
+
+
+def many_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of orders by a text key, from many more ranges than the first level of split points has."""
+    orders = sample_source(spark, d, ["orders"])["orders"]
+    keyed = orders.selectExpr("concat_ws('-', o_orderpriority, lpad(o_orderkey, 12, '0')) AS `the.key`", "o_custkey")
+    batches = paging.batches(keyed, ["the.key"], 100, rows_per_range=1)
+    return batches.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("`the.key`").alias("first_key"), F.max("`the.key`").alias("last_key"), F.sum("o_custkey").alias("customers")
+    )
+
+
 def user_edges_read_back(spark: SparkSession, d: str) -> DataFrame:
     """Edges of the user, written, read back and checked: those to customers that do not exist are found."""
     source = sample_source(spark, d, ["region", "nation", "customer"])
@@ -184,6 +210,7 @@ QUERIES = {
     "a1_table_scan": table_scan,
     "a3_ordered_batches": ordered_batches,
     "a3_composite_batches": composite_batches,
+    "a3_many_ranges": many_ranges,
     "a4_single_page": single_page,
     "a4_deep_page": deep_page,
     "a5_key_range": key_range,
@@ -195,6 +222,7 @@ QUERIES = {
     "a11_csv_staging": csv_staging,
     "a12_clear_target": clear_target,
     "a12_second_load": second_load,
+    "a12_repeated_load": repeated_load,
     "a10_user_edges": user_edges_read_back,
     "a4_null_key": pages_with_null_key,
     "a13_json_export": json_export,
@@ -215,6 +243,10 @@ ORACLES = {
         FROM (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // {BATCH} AS b FROM orders) GROUP BY b""",
     "a3_composite_batches": """
         SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 100 AS batch_id FROM conversations""",
+    "a3_many_ranges": """
+        SELECT b AS batch_id, count(*) AS n, min(k) AS first_key, max(k) AS last_key, CAST(sum(o_custkey) AS BIGINT) AS customers
+        FROM (SELECT *, (row_number() OVER (ORDER BY k) - 1) // 100 AS b
+              FROM (SELECT o_orderpriority || '-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS k, o_custkey FROM orders)) GROUP BY b""",
     "a4_single_page": f"SELECT * FROM orders ORDER BY o_orderkey LIMIT {BATCH} OFFSET {2 * BATCH}",
     "a4_deep_page": f"SELECT * FROM orders ORDER BY o_orderkey LIMIT {BATCH} OFFSET {2 * BATCH}",
     "a5_key_range": "SELECT * FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1100",
@@ -243,6 +275,9 @@ ORACLES = {
         SELECT 'nodes' AS what, 'Region' AS name, count(*) AS n FROM region
         UNION ALL SELECT 'nodes', 'Nation', count(*) FROM nation
         UNION ALL SELECT 'edges', 'Nation>Region', count(*) FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)""",
+    "a12_repeated_load": """
+        SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'renamed' ELSE 'first name' END AS what, count(*) AS n FROM customer GROUP BY 1
+        UNION ALL SELECT 'PART_OF_NATION', count(*) FROM customer""",
     "a10_user_edges": """
         SELECT 'KNOWS' AS rel_type, 'edges' AS found, count(*) AS n FROM customer
         UNION ALL SELECT 'KNOWS', 'to', count(*) FROM customer WHERE c_custkey + 3 NOT IN (SELECT c_custkey FROM customer)""",

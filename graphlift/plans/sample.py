@@ -79,7 +79,7 @@ def sample_source(spark: SparkSession, directory: str, names: Iterable[str] = TR
         tables[n] = df
     keys = {t: k for t, k in PRIMARY_KEYS.items() if t in tables}
     fks = tuple(fk for fk in FOREIGN_KEYS if fk.table in tables and fk.ref_table in tables)
-    required = {t: tuple(dict.fromkeys((*k, *(fk.column for fk in fks if fk.table == t)))) for t, k in keys.items()}
+    required = {t: tuple(dict.fromkeys((*k, *(c for fk in fks if fk.table == t for c in fk.columns)))) for t, k in keys.items()}
     return Source(
         spark,
         tables,

@@ -3,6 +3,10 @@
 Batches need every row's global position. No global sort with an unpartitioned window is used:
 rows are put into ranges of the key, the ranges are counted (map-side combined), a running total
 over the ranges gives each range its offset, and rows are numbered inside their range only.
+
+Ranges come from two levels of split points, so that there can be as many as the rows need: some
+hundred coarse ones from a sample of fixed size, and in each of them as many as it has room for from a
+sample that the executors sort.
 """
 
 from __future__ import annotations
@@ -13,8 +17,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.values import quoted
+from .scratch import scratch_table
+
 _SAMPLES_PER_RANGE = 64
-_MAX_SAMPLED_RANGES = 1024
+#: Ranges of the first level; more are made by splitting these.
+_COARSE_RANGES = 256
+
+
+def _q(name: str) -> Column:
+    return F.col(quoted(name))
 
 
 def _integer_range(df: DataFrame, key: str, rows_per_range: int) -> Column | None:
@@ -22,10 +34,10 @@ def _integer_range(df: DataFrame, key: str, rows_per_range: int) -> Column | Non
 
     Keys are unique, so a range of that width cannot hold more than ``2 * rows_per_range`` rows.
     """
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    lo, hi, n = df.agg(F.min(_q(key)), F.max(_q(key)), F.count(F.lit(1))).first()
     if lo is None or (hi - lo) > 16 * n + 1000 * rows_per_range:
         return None
-    return F.expr(f"`{key}` div {rows_per_range}")
+    return F.expr(f"{quoted(key)} div {rows_per_range}")
 
 
 def _split(key: Column, bounds: list, lo: int, hi: int) -> Column:
@@ -36,35 +48,58 @@ def _split(key: Column, bounds: list, lo: int, hi: int) -> Column:
     return F.when(key < bounds[mid], _split(key, bounds, lo, mid)).otherwise(_split(key, bounds, mid + 1, hi))
 
 
-def _sampled_range(df: DataFrame, key: Sequence[str], rows_per_range: int) -> Column:
-    """Range number from split points of a bounded sample of the keys."""
-    n = df.count()
-    ranges = min(max(1, -(-n // rows_per_range)), _MAX_SAMPLED_RANGES)
-    if ranges == 1:
+def _point(df: DataFrame, key: Sequence[str]) -> Column:
+    return F.struct(*[_q(c).alias(f"k{i}") for i, c in enumerate(key)])
+
+
+def _coarse_range(df: DataFrame, key: Sequence[str], ranges: int, n: int) -> Column:
+    """Range number from split points of a sample of the keys, whose size is set by the number of ranges."""
+    if ranges <= 1:
         return F.lit(0).cast("bigint")
-    wanted = ranges * _SAMPLES_PER_RANGE
-    keys = df.select(*key)
-    sample = sorted(tuple(r) for r in keys.sample(min(1.0, 1.2 * wanted / n), seed=7).limit(4 * wanted).collect())
-    cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+    sample = df.select(*map(_q, key)).sample(min(1.0, 1.2 * ranges * _SAMPLES_PER_RANGE / n), seed=7)
+    rows = sorted(tuple(r) for r in sample.collect() if None not in tuple(r))
+    cuts = sorted({rows[i * len(rows) // ranges] for i in range(1, ranges)}) if rows else []
     types = [df.schema[c].dataType for c in key]
-    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, types, key)]) for cut in cuts]
-    return _split(F.struct(*key), bounds, 0, len(bounds))
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(cut, types))]) for cut in cuts]
+    return _split(_point(df, key), bounds, 0, len(bounds))
+
+
+def _with_range(df: DataFrame, key: Sequence[str], rows_per_range: int) -> DataFrame:
+    """``df`` plus ``_range``, ascending with the key; about ``rows_per_range`` rows each, however many that makes."""
+    n = df.count()
+    ranges = max(1, -(-n // rows_per_range))
+    coarse = min(ranges, _COARSE_RANGES)
+    ranged = df.withColumn("_range", _coarse_range(df, key, coarse, n))
+    if ranges == coarse:
+        return ranged
+    # Each coarse range is split on its own: its part of the sample is sorted where it is collected, and every
+    # _SAMPLES_PER_RANGE-th key is a split point. The table has a row per coarse range.
+    sample = ranged.select("_range", _point(df, key).alias("_key")).sample(min(1.0, ranges * _SAMPLES_PER_RANGE / n), seed=11)
+    every = F.expr(f"filter(_all, (x, i) -> i % {_SAMPLES_PER_RANGE} = {_SAMPLES_PER_RANGE - 1})")
+    cuts = scratch_table(
+        sample.groupBy("_range").agg(F.array_sort(F.collect_list("_key")).alias("_all")).select(F.col("_range").alias("_coarse"), every.alias("_cuts"))
+    )
+    widest = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 0
+    steps = widest.bit_length()
+    ranged = ranged.join(cuts, ranged["_range"].eqNullSafe(cuts["_coarse"]), "left").withColumn("_key", _point(df, key)).withColumn("_fine", F.lit(0))
+    for step in (1 << i for i in reversed(range(steps))):
+        # A binary search, one halving at a time: _fine counts the split points that are not above the key.
+        ranged = ranged.withColumn("_fine", F.expr(f"CASE WHEN _fine + {step} <= size(_cuts) AND _cuts[_fine + {step} - 1] <= _key THEN _fine + {step} ELSE _fine END"))
+    return ranged.withColumn("_range", F.col("_range") * (widest + 1) + F.col("_fine")).drop("_coarse", "_cuts", "_key", "_fine")
 
 
 def with_row_number(df: DataFrame, key: Sequence[str], *, rows_per_range: int = 1_000_000) -> DataFrame:
     """``df`` plus ``row_number``, the 0-based position in key order. ``key`` must be unique."""
     single_integer = len(key) == 1 and isinstance(df.schema[key[0]].dataType, T.IntegralType)
     part = _integer_range(df, key[0], rows_per_range) if single_integer else None
-    if part is None:
-        part = _sampled_range(df, key, rows_per_range)
-    ranged = df.withColumn("_range", part)
+    ranged = _with_range(df, key, rows_per_range) if part is None else df.withColumn("_range", part)
     # One row per range: about rows / rows_per_range of them.
     offsets = (
         ranged.groupBy("_range")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(F.col("_range").alias("_at"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_offset"))
     )
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*key)) - 1
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*map(_q, key))) - 1
     return (
         ranged.withColumn("_inside", inside)
         .join(offsets, ranged["_range"].eqNullSafe(offsets["_at"]))
@@ -90,14 +125,14 @@ def page(
     are never sorted into one task.
     """
     if offset + limit <= top_rows:
-        return df.orderBy(*key).offset(offset).limit(limit)
+        return df.orderBy(*map(_q, key)).offset(offset).limit(limit)
     numbered = with_row_number(df, key, **options)
-    return numbered.where(F.col("row_number").between(offset, offset + limit - 1)).drop("row_number").orderBy(*key)
+    return numbered.where(F.col("row_number").between(offset, offset + limit - 1)).drop("row_number").orderBy(*map(_q, key))
 
 
 def key_range(df: DataFrame, key: Sequence[str], start, end) -> DataFrame:
     """Rows with ``start <= key < end``, in key order; the filter reaches the scan."""
     if len(key) != 1:
         raise ValueError("a key range needs a single-column primary key")
-    c = F.col(key[0])
+    c = _q(key[0])
     return df.where((c >= F.lit(start)) & (c < F.lit(end))).orderBy(c)

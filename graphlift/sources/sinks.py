@@ -7,8 +7,7 @@ rerun would write again, which makes loads idempotent.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
@@ -19,23 +18,8 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators.edges import EDGE_COLUMNS
-
-
-def shared_folder(spark: SparkSession, *parts: str) -> str:
-    """Folder on storage that every executor sees: below ``spark.checkpoint.dir``.
-
-    Only a session whose executors are threads of this machine may go without that setting.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.gettempdir()
-    return "/".join([base.rstrip("/"), "graphlift", *parts])
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    return shared_folder(spark, uuid.uuid4().hex)
+from .scratch import scratch_folder as scratch_folder
+from .scratch import shared_folder as shared_folder
 
 
 def write_nodes(
@@ -86,6 +70,102 @@ def clear_graph(spark: SparkSession, path: str) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+# -- versions of a stored graph -----------------------------------------------------------------
+
+
+def _filesystem(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return hadoop, hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that were completed, ascending."""
+    hadoop, fs = _filesystem(spark, path)
+    folder = hadoop.Path(f"{path}/manifests")
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the stored graph (``nodes``, ``edges`` below it); None if no load has been completed."""
+    done = versions(spark, path)
+    return f"{path}/version={done[-1]}" if done else None
+
+
+def new_version(spark: SparkSession, path: str) -> tuple[int, str]:
+    """Number and folder for the next load. What a load that failed left there is removed."""
+    number = (versions(spark, path) or [0])[-1] + 1
+    hadoop, fs = _filesystem(spark, path)
+    fs.delete(hadoop.Path(f"{path}/version={number}"), True)
+    return number, f"{path}/version={number}"
+
+
+def commit_version(spark: SparkSession, path: str, number: int, facts: Mapping | None = None, *, keep: int = 2) -> None:
+    """Makes a version the current one by renaming its manifest into place, then removes all but the last ``keep``.
+
+    A reader sees the old graph or the new one, never a part. Of two loads at once the later one to
+    get here fails, because the manifest's name is taken. ``keep`` leaves readers of the version
+    before time to end.
+    """
+    hadoop, fs = _filesystem(spark, path)
+    folder = hadoop.Path(f"{path}/manifests")
+    fs.mkdirs(folder)
+    written, final = hadoop.Path(folder, f"_{number}.tmp"), hadoop.Path(folder, f"{number}.json")
+    out = fs.create(written, True)
+    out.write(bytearray(json.dumps({"version": number, **(facts or {})}).encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(written, final):
+        raise RuntimeError(f"version {number} of {path} was written by another load")
+    for old in versions(spark, path)[:-keep]:
+        fs.delete(hadoop.Path(f"{path}/version={old}"), True)
+        fs.delete(hadoop.Path(folder, f"{old}.json"), False)
+
+
+#: What makes an edge the same edge in a later load.
+EDGE_KEY = ("rel_type", "fk_name", "from_label", "from_key", "to_label", "to_key")
+
+
+def upsert_nodes(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The new nodes, and the old ones whose key none of them has."""
+    if old is None:
+        return new
+    return new.unionByName(old.join(new.select("node_key"), "node_key", "left_anti"), allowMissingColumns=True)
+
+
+def upsert_edges(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The new edges, and the old ones that no new one repeats."""
+    if old is None:
+        return new
+    a, b = old.alias("a"), new.select(*EDGE_KEY).alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in EDGE_KEY]
+    return new.unionByName(a.join(b, same, "left_anti").select(*new.columns))
+
+
+def store_graph(spark: SparkSession, graph: Graph, path: str, *, clear: bool = True, sort_by: Mapping[str, Sequence[str]] | None = None) -> str:
+    """Writes a graph as the next version below ``path`` and switches to it; returns the version's folder.
+
+    ``clear`` replaces the graph that is there. Without it nodes replace those of the same label and
+    key, and edges those of the same type, foreign key and ends, so the same load twice gives the same
+    graph; everything else of the old graph is carried over. A load that fails leaves the old graph
+    as it was.
+    """
+    before = None if clear else current_version(spark, path)
+    number, folder = new_version(spark, path)
+    nodes, edges, labels = dict(graph.nodes), graph.edges, []
+    if before is not None:
+        hadoop, fs = _filesystem(spark, path)
+        at = hadoop.Path(f"{before}/nodes")
+        labels = [f.getPath().getName().removeprefix("label=") for f in fs.listStatus(at)] if fs.exists(at) else []
+        stored = {label: read_nodes(spark, f"{before}/nodes", label) for label in labels if not label.startswith(("_", "."))}
+        nodes = {**stored, **{label: upsert_nodes(stored.get(label), df) for label, df in nodes.items()}}
+        if fs.exists(hadoop.Path(f"{before}/edges")):
+            edges = upsert_edges(spark.read.schema(edges.schema).parquet(f"{before}/edges"), edges)
+    write_nodes(nodes, f"{folder}/nodes", clear=True, sort_by=sort_by)
+    write_edges(edges, f"{folder}/edges", clear=True)
+    commit_version(spark, path, number, {"labels": sorted(nodes)})
+    return folder
+
+
 def read_nodes(spark: SparkSession, path: str, label: str) -> DataFrame:
     return spark.read.parquet(f"{path}/label={label}")
 
@@ -133,11 +213,12 @@ def write_json(catalog: dict[str, DataFrame], path: str) -> None:
 
 
 def read_graph(spark: SparkSession, path: str, model: Graph) -> Graph:
-    """A written graph (``<path>/nodes``, ``<path>/edges``) under the model it was built from.
+    """A written graph under the model it was built from: the current version, or else ``<path>/nodes`` and ``<path>/edges``.
 
     Types are partition folders, so a pattern reads only the types it names. Edges that no foreign key of
     the model gave, such as the user's, are the set ``user``.
     """
+    path = current_version(spark, path) or path
     edges = spark.read.schema(model.edges.schema).parquet(f"{path}/edges")
     tables = {e.fk.table for e in model.edge_types}
     sets = {

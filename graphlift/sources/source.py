@@ -21,16 +21,32 @@ _TEXTS = pa.list_(pa.string())
 
 @dataclass(frozen=True)
 class ForeignKey:
-    """Single-column foreign key ``table.column -> ref_table.ref_column``."""
+    """Foreign key ``table.column -> ref_table.ref_column``; tuples of names where it has several columns.
+
+    A row refers to a parent only if all its columns are there. The columns referred to need not be
+    the parent's primary key.
+    """
 
     name: str
     table: str
-    column: str
+    column: str | tuple[str, ...]
     ref_table: str
-    ref_column: str
+    ref_column: str | tuple[str, ...]
     on_delete: str | None = None
     on_update: str | None = None
 
+    def __post_init__(self):
+        if len(self.columns) != len(self.ref_columns):
+            raise ValueError(f"foreign key {self.name}: {self.columns} and {self.ref_columns} differ in length")
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return (self.column,) if isinstance(self.column, str) else tuple(self.column)
+
+    @property
+    def ref_columns(self) -> tuple[str, ...]:
+        return (self.ref_column,) if isinstance(self.ref_column, str) else tuple(self.ref_column)
+
 
 def local_frame(spark: SparkSession, fields: Sequence[tuple[str, pa.DataType]], rows: Iterable[tuple]) -> DataFrame:
     """Small DataFrame of driver-side metadata, one tuple per row."""
@@ -93,7 +109,7 @@ class Source:
     @cached_property
     def _cat_tables(self) -> DataFrame:
         rows = [
-            (t, i, len(df.columns), list(self.primary_key(t)), [fk.column for fk in self.fks_of(t)])
+            (t, i, len(df.columns), list(self.primary_key(t)), [c for fk in self.fks_of(t) for c in fk.columns], len(self.fks_of(t)))
             for i, (t, df) in enumerate(self.tables.items(), 1)
         ]
         fields = [
@@ -102,6 +118,7 @@ class Source:
             ("n_columns", pa.int64()),
             ("pk_columns", _TEXTS),
             ("fk_columns", _TEXTS),
+            ("n_fks", pa.int32()),
         ]
         return local_frame(self.spark, fields, rows)
 
@@ -143,10 +160,12 @@ class Source:
             if fk.table not in self.tables:
                 continue
             seen[fk.table] = seen.get(fk.table, 0) + 1
-            not_null = self.is_not_null(fk.table, fk.column)
+            not_null = all(self.is_not_null(fk.table, c) for c in fk.columns)
+            names = (",".join(fk.columns), ",".join(fk.ref_columns))
             rows.append(
-                (fk.name, fk.table, fk.column, seen[fk.table], fk.ref_table, fk.ref_column, fk.on_delete, not_null)
-            )
+                (fk.name, fk.table, names[0], seen[fk.table], fk.ref_table, names[1], fk.on_delete, not_null,
+                 list(fk.columns), list(fk.ref_columns))
+            )
         fields = [
             ("fk_name", pa.string()),
             ("table_name", pa.string()),
@@ -156,6 +175,8 @@ class Source:
             ("ref_column", pa.string()),
             ("on_delete", pa.string()),
             ("declared_not_null", pa.bool_()),
+            ("columns", _TEXTS),
+            ("ref_columns", _TEXTS),
         ]
         return local_frame(self.spark, fields, rows)
 
@@ -169,17 +190,22 @@ class Source:
         return self._cat_keys
 
     def cat_fks(self) -> DataFrame:
-        """Foreign keys; ``fk_ordinal`` counts within a table, in declaration order."""
+        """Foreign keys; ``fk_ordinal`` counts within a table, in declaration order.
+
+        ``column_name`` and ``ref_column`` join the names of several columns by commas; ``columns``
+        and ``ref_columns`` are the lists.
+        """
         return self._cat_fks
 
     # -- reading ------------------------------------------------------------------------
 
     def row_counts(self) -> DataFrame:
         """``(table_name, row_count)``, one row per table, empty tables included."""
-        return union_all(
+        frames = (
             df.groupBy().agg(F.expr("count(1)").alias("row_count")).selectExpr(f"{literal(t)} AS table_name", "row_count")
             for t, df in self.tables.items()
         )
+        return union_all(frames, empty=no_rows(self.spark, table_name=pa.string(), row_count=pa.int64()))
 
     def sql(self, text: str, args: Mapping | Sequence | None = None) -> DataFrame:
         """Ad-hoc SQL over the tables, named in braces: ``SELECT * FROM {orders} WHERE ...``.
@@ -190,9 +216,17 @@ class Source:
         return self.spark.sql(text, args=args, **used)
 
 
-def union_all(frames: Iterable[DataFrame]) -> DataFrame:
-    """Union of frames with the same columns."""
-    first, *rest = list(frames)
+def no_rows(spark: SparkSession, **fields: pa.DataType) -> DataFrame:
+    """An empty frame with these columns."""
+    return local_frame(spark, list(fields.items()), [])
+
+
+def union_all(frames: Iterable[DataFrame], *, empty: DataFrame | None = None) -> DataFrame:
+    """Union of frames with the same columns; ``empty`` is the answer where there are none."""
+    frames = list(frames)
+    if not frames and empty is not None:
+        return empty
+    first, *rest = frames
     for df in rest:
         first = first.unionByName(df)
     return first

@@ -28,6 +28,7 @@ def test_migrate_is_idempotent_and_readable(spark, university, folder):
 def test_a_second_load_leaves_nothing_of_the_first(spark, university, folder):
     migrate(analyze(university), folder)
     g = migrate(analyze(university.only(["courses", "departments"])), folder)
+    folder = sinks.current_version(spark, folder)
     assert {r.label for r in spark.read.parquet(f"{folder}/nodes").select("label").distinct().collect()} == {"Courses", "Departments"}
     assert {r.from_label for r in g.edges.collect()} == {"Courses"}
 
@@ -36,7 +37,7 @@ def test_validation_looks_at_what_was_written(university, folder):
     g = migrate(analyze(university), folder)
     assert validate(university, g)["findings"].count() == 0
     one = build_graph(university).nodes["Departments"].where("departmentId = 1")
-    sinks.write_nodes({"Departments": one}, f"{folder}/nodes", clear=True)
+    sinks.write_nodes({"Departments": one}, f"{sinks.current_version(university.spark, folder)}/nodes", clear=True)
     again = sinks.read_graph(university.spark, folder, g)
     assert validate(university, again)["findings"].count() > 0
 
