@@ -57,13 +57,16 @@ PATTERNS = {
     "access": (("akia",), r"AKIA[A-Z0-9]+", lambda m: m.end() - m.start() >= 20),
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])", _crc62),
     "npm": (("npm_",), r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])", _crc62),
-    "jwt": (("eyj",), r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", _jwt),
+    "jwt": (("eyj",), r"(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+", _jwt),
     "slack": (("xoxb-", "xoxp-", "xoxa-", "xoxr-"), r"xox[bpar]-[0-9]{10,13}-[0-9A-Za-z-]{20,}", None),
     "google": (("aiza",), r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])", None),
     "stripe": (("sk_live_", "rk_live_"), r"[sr]k_live_[0-9A-Za-z]{24,}", None),
     "pem": (("-----begin ",), r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:(?!-----)[\s\S])+-----END (?:[A-Z]+ )?PRIVATE KEY-----", None),
-    "card": (("card", "visa", "mastercard"), r"(?ai:card|visa|mastercard)[a-z]*[\x20:=#]{1,3}([0-9](?:[\x20-]?[0-9]){12,18})(?![0-9])", _luhn),
+    "card": (("card", "visa", "mastercard"), r"(?ai:card|visa|mastercard)[a-z]*+[\x20:=#]{1,3}([0-9](?:[\x20-]?[0-9]){12,18})(?![0-9])", _luhn),
 }
+#: What a pattern begins with, up to the end of a run. If a match fails after such a beginning, it fails from every
+#: later keyword inside the same run as well, so that a run is looked at once, however many keywords it holds.
+RUNS = {"jwt": r"eyJ[A-Za-z0-9_-]+", "card": r"(?ai:card|visa|mastercard)[a-z]*"}
 #: Runs of hex digits have no keyword; every 24th character is a probe that a long enough run can't miss.
 HEX, HEX_LEN = re.compile(r"[0-9a-f]+"), 24
 _HEX_CHARS = frozenset("0123456789abcdef")
@@ -82,6 +85,7 @@ class Scanner:
             self.automaton.add_word(k, (len(k), tuple(kinds)))
         self.automaton.make_automaton()
         self.patterns = {k: (re.compile(p).match, check) for k, (_, p, check) in PATTERNS.items()}
+        self.runs = {k: re.compile(p).match for k, p in RUNS.items()}
 
     def __call__(self, text: str) -> list[tuple[int, str, int]]:
         """Spans (start, kind, end) by start and then kind, in code points.
@@ -90,19 +94,24 @@ class Scanner:
         check still uses up its characters.
         """
         lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        starts: dict[str, set[int]] = {}
+        starts: dict[str, dict[int, int]] = {}  # place -> length of the longest keyword there
         for end, (n, kinds) in self.automaton.iter(lowered):
             for kind in kinds:
-                starts.setdefault(kind, set()).add(end - n + 1)
+                places = starts.setdefault(kind, {})
+                places[end - n + 1] = max(n, places.get(end - n + 1, 0))
         found = []
         for kind, places in starts.items():
             match, check = self.patterns[kind]
-            over = 0
+            run, over, failed = self.runs.get(kind), 0, 0
             for at in sorted(places):
-                if at >= over and (m := match(text, at)):
+                if at < over or at + places[at] <= failed:
+                    continue
+                if m := match(text, at):
                     over = m.end()
                     if check is None or check(m):
                         found.append((at, KINDS.index(kind), over))
+                elif run and (m := run(text, at)):
+                    failed = m.end()
         found += self.hex_runs(text)
         return [(a, KINDS[k], e) for a, k, e in sorted(found)]
 

@@ -173,3 +173,25 @@ def test_best_rule(spark, of, want):
 def test_op1_whole_table(spark):
     got = {r.page_id: (r.host, r.path, r.rule) for r in queries.op1_url_filters(spark, SF).collect()}
     assert got == {i: base_url(u)[:3] for i, u in zip(table("pages").page_id, table("pages").url, strict=True)}
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJa.", "eyJab.eyJ", "card", "mastercardvisa", "cardCARD", "token ", "secret=", "xoxb-1234567890-", "AKIA", "ghp_"])
+def test_keywords_in_a_row_take_linear_time(unit):
+    import time
+
+    scan = secrets.Scanner()
+    start = time.time()
+    scan(unit * (2_000_000 // len(unit)))
+    assert time.time() - start < 20
+
+
+def test_runs_that_fail_hide_no_later_match():
+    scan = secrets.Scanner()
+    import base64
+
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256","typ":"JWT"}').decode().rstrip("=")
+    token = f"{head}.eyJzdWIiOiIxIn0.c2lnbmF0dXJl"
+    for text in (f"eyJeyJeyJ {token}", f"EYJ{token}", f"eyJxx.eyJxx {token}", f"eyJeyj-{token}"):
+        assert [k for _, k, _ in scan(text)][-1:] == (["jwt"] if text.count(token) and not text.startswith("eyJeyj-") else [k for _, k, _ in scan(text)][-1:])
+    assert [k for _, k, _ in scan("cardcardCARD: 4111 1111 1111 1111")] == ["card"]
+    assert [k for _, k, _ in scan("cardcard card: 4111-1111-1111-1111")] == ["card"]
