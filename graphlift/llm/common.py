@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, one for a session on this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.gettempdir()
     return base.rstrip("/")
@@ -36,7 +37,22 @@ def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing will read again, and lets Spark remove what was shuffled to make later ones.
+
+    Spark keeps the shuffle files of a plan until the driver's JVM finds that nobody holds the plan any more.
+    """
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _nearest(large)
         small = large.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(near.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), "stars")
+        before, edges = edges, stored(small.unionByName(near.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), "stars")
+        del both, large, near, small
+        discard(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")).first()
         if now == mark:
             break

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require_columns, stored
+from .common import discard, require_columns, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -309,8 +309,8 @@ class Join:
         rare = used.mapInArrow(blocks, "bucket long, h binary, x binary, y binary").groupBy("bucket").applyInArrow(meet, "h int, node long, n long")
         return stored(rare.unionByName(used.mapInArrow(common, "h int, node long, n long").distinct()), "rare-shingle-lists")
 
-    def first_pairs(self, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The leader of each list against the others, and (node, leader): the leader a node meets most.
+    def first_pairs(self, lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The leader of each list against the others, (node, leader): the leader a node meets most, and the table the pairs are read from.
 
         A list is led by the node that is in most lists: of near copies, one with few changes of its own.
         Pairs that share too little in the lists they meet in are left to other_pairs.
@@ -321,14 +321,15 @@ class Join:
         met = stored(lists.withColumnsRenamed({"node": "x", "n": "n_x"}).join(leads, "h"), "lists-with-leaders")
         most = met.groupBy("x", "y").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("leader"))
         pairs = _pairs(met.where((F.col("x") != F.col("y")) & _length_fits("n_x", "n_y", self.percent)), self.percent)
-        return pairs, most.select(F.col("x").alias("node"), "leader")
+        return pairs, stored(most.select(F.col("x").alias("node"), "leader"), "leaders"), met
 
-    def other_pairs(self, lists: DataFrame, roots: DataFrame, leaders: DataFrame) -> DataFrame:
+    def other_pairs(self, lists: DataFrame, roots: DataFrame, leaders: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """All pairs that share enough rare shingles and whose members are in different components.
 
         Nodes with one leader are a group; where a group is large, its pairs are found in blocks. Other
         pairs meet in the lists: one of the two is outside the list's largest component, so those outside
-        meet all. The members of one component never meet each other.
+        meet all. The members of one component never meet each other. With the pairs come the tables they
+        are read from.
         """
         nodes = lists.select("node", "n").distinct().join(leaders, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         count = nodes.groupBy("leader", "root").agg(F.count("*").alias("k"))
@@ -343,9 +344,10 @@ class Join:
         members = split.select("h", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"), F.col("large").alias("large_y"), "top")
         meet = (F.col("root_x") != F.col("root_y")) & _length_fits("n_x", "n_y", self.percent) & ((F.col("root_y") == F.col("top")) | (F.col("x") < F.col("y")))
         apart = F.coalesce(F.col("large_x") != F.col("large_y"), F.lit(True))
-        return _pairs(outside.join(members, "h").where(meet & apart), self.percent).unionByName(self.group_pairs(known))
+        of_groups, tables = self.group_pairs(known)
+        return _pairs(outside.join(members, "h").where(meet & apart), self.percent).unionByName(of_groups), [known, *tables]
 
-    def group_pairs(self, known: DataFrame) -> DataFrame:
+    def group_pairs(self, known: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """The pairs of large groups, by blocks of nodes outside the largest component against blocks of all."""
         percent = self.percent
         mixed_groups = stored(known.where((F.col("size") > SMALL) & (F.col("roots") > 1)), "large-groups")
@@ -386,7 +388,8 @@ class Join:
             return pa.table({"a": np.where(swap, q, p), "b": np.where(swap, p, q), "n_a": np.where(swap, n_q, n_p), "n_b": np.where(swap, n_p, n_q)})
 
         keys = ["leader", "i", "j"]
-        return outside.select(*kept).groupBy(*keys).cogroup(inside.select(*kept).groupBy(*keys)).applyInArrow(find, "a long, b long, n_a long, n_b long")
+        found = outside.select(*kept).groupBy(*keys).cogroup(inside.select(*kept).groupBy(*keys)).applyInArrow(find, "a long, b long, n_a long, n_b long")
+        return found, [mixed_groups, held]
 
     def segments(self, nodes: DataFrame) -> DataFrame:
         """Rows (node, fragment, segment) of the whole sets of these nodes, made anew from one text of each."""
@@ -431,23 +434,52 @@ class Join:
         side = lambda end, name: segments.select(F.col("node").alias(end), "fragment", F.col("segment").alias(name))
         partial = pairs.join(side("a", "s_a"), "a").join(side("b", "s_b"), ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("k"))
         overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
-        return stored(overlap.where(similar(F.col("k"), F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b"), "links")
+        links = stored(overlap.where(similar(F.col("k"), F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b"), "links")
+        del ends, partial, overlap
+        discard(pairs, segments)
+        return links
 
-    def run(self) -> DataFrame:
+    def components(self) -> DataFrame:
+        """(node, root): the component of every node. Tables go as soon as the next ones stand."""
         nodes = stored(self.sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
         lists = self.lists()
-        pairs, leaders = self.first_pairs(lists)
-        roots = stored(components(self.links(pairs, nodes)), "roots")
-        more = self.links(self.other_pairs(lists, roots, leaders), nodes)
+        pairs, leaders, met = self.first_pairs(lists)
+        first = self.links(pairs, nodes)
+        del pairs
+        discard(met)
+        roots = stored(components(first), "roots")
+        pairs, tables = self.other_pairs(lists, roots, leaders)
+        more = self.links(pairs, nodes)
+        del pairs
+        discard(lists, leaders, first, self.sets, *tables)
         spokes = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         final = stored(components(spokes.unionByName(more)), "components")
-        named = nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        every = stored(nodes.join(final, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "rooted")
+        discard(roots, more, final, nodes)
+        return every
+
+    def run(self) -> DataFrame:
+        rows = stored(self.sets.select("doc_id", "n", "node"), "rows")
+        named = self.components()
         least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         of_node = named.join(least, "root").select("node", "component_id")
-        with_node = self.sets.where("node is not null").select("doc_id", "n", "node").join(of_node, "node")
-        alone = self.sets.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        with_node = rows.where("node is not null").select("doc_id", "n", "node").join(of_node, "node")
+        alone = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return with_node.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
+    def surplus(self) -> DataFrame:
+        """(doc_id, node, stands, all): sets that don't stand for their component, and all sets under an id that has several rows.
+
+        A component is stood for by the least of its (doc_id, node); ``all`` counts the id's rows.
+        """
+        rows = stored(self.sets.where("doc_id is not null").groupBy("doc_id", "node").agg(F.count("*").alias("rows")), "rows")
+        named = self.components()
+        roots = rows.join(named.select("node", "root"), "node")
+        first = roots.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+        judged = roots.join(first, "root").select("doc_id", "node", (F.struct("doc_id", "node") == F.col("first")).alias("stands"))
+        every = rows.groupBy("doc_id").agg(F.sum("rows").alias("all"))
+        return judged.join(every, "doc_id").where("all > 1 or not stands")
+
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable by links, its own included).
@@ -462,16 +494,40 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return Join(docs, id_col, text_col, words, percent).run()
 
 
-def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all columns, that stand for their component: those with its least id.
+def keep_one_per_group(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """The rows of docs, with all columns, but one for each component: the row with the least id (then the least hash of its set).
 
-    Of rows that repeat this id, one stays; rows with a null id all stay.
+    What an id says of a row is decided by the row's own text: two texts under one id go or stay each on
+    its own. Of rows that repeat both, one stays. Rows with a null id or without words link with nothing
+    and all stay.
     """
     require_columns(docs, id_col, text_col)
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options).where("doc_id is not null")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("stands"))
-    odd = stored(ids.where("rows > 1 or not stands").withColumnRenamed("doc_id", "__id"), "rows-to-drop")
+    found = stored(Join(docs, id_col, text_col, words, percent).surplus(), "surplus")
+    # An id with one row is decided by the id alone. The texts of other ids are hashed once more.
+    drop = found.where("all = 1 and not stands").select(F.col("doc_id").alias("__id"))
+    several = found.where("all > 1").select(F.col("doc_id").alias("__id")).distinct()
     same = docs[id_col] == F.col("__id")
-    single = docs.join(odd.select("__id"), same, "left_anti")
-    repeated = docs.join(odd.where("stands").select("__id"), same, "left_semi").dropDuplicates([id_col])
-    return single.unionByName(repeated)
+    single = docs.join(drop.unionByName(several), same, "left_anti")
+    number = F.monotonically_increasing_id()
+    repeated = stored(docs.join(several, same, "left_semi").withColumn("__row", number), "repeated-ids")
+    marked = stored(_with_node(repeated, text_col, words), "repeated-ids-with-sets")
+    stands = found.where("all > 1 and stands").select(F.col("doc_id").alias("__id"), F.col("node").alias("__set"))
+    mine = (marked[id_col] == F.col("__id")) & (marked["__node"] == F.col("__set"))
+    one = marked.join(stands, mine, "left_semi").groupBy(id_col, "__node").agg(F.min("__row").alias("__first")).select("__first")
+    kept = marked.join(one, marked["__row"] == F.col("__first"), "left_semi").unionByName(marked.where("__node is null"))
+    return single.unionByName(kept.select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _with_node(rows: DataFrame, text_col: str, words: int) -> DataFrame:
+    """rows plus __node, the hash of the set of each text; null for an empty one."""
+
+    @F.arrow_udf("long")
+    def node(texts: pa.Array) -> pa.Array:
+        import xxhash
+
+        sets = (s for k in range(0, len(texts), 1000) for s in shingle_sets(texts.slice(k, 1000), words))
+        return pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets], pa.int64())
+
+    return rows.withColumn("__node", node(F.col(text_col)))

@@ -81,6 +81,38 @@ def test_one_stays_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "5", "6", "7", "None"]
 
 
+def test_texts_under_one_id_stay_or_go_on_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    kept = lambda rows: sorted((r.doc_id, r.text) for r in jaccard.keep_one_per_group(docs(spark, rows)).collect())
+    assert kept([(1, a), (1, b), (2, c)]) == sorted([(1, a), (1, b), (2, c)])
+    assert kept([(1, a), (2, a), (2, b)]) == [(1, a), (2, b)]
+    got = kept([(1, a), (1, a), (1, a + " more"), (2, b), (2, b), (3, ""), (3, ""), (3, b)])
+    assert got in ([(1, a), (2, b), (3, ""), (3, "")], [(1, a + " more"), (2, b), (3, ""), (3, "")])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_one_row_of_each_component_stays(spark, seed):
+    r = random.Random(seed)
+    base = [[f"{g}w{i}" for i in range(50)] for g in "abcdef"]
+    rows = []
+    for _ in range(60):
+        w = list(r.choice(base))
+        w[r.randrange(50)] = "x"
+        rows.append((r.randrange(25), " ".join(w)))
+    sets = [words5(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    least = {c: min(rows[i][0] for i in range(len(rows)) if root[i] == c) for c in set(root)}
+    got = [(x.doc_id, x.text) for x in jaccard.keep_one_per_group(docs(spark, rows)).collect()]
+    assert sorted(i for i, _ in got) == sorted(least.values()) and set(got) <= set(rows)
+    assert len({root[rows.index(x)] for x in got}) == len(least)
+
+
 def test_shingle_sets_of_sliced_arrays():
     import pyarrow as pa
 
