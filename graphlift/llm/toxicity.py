@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import require_columns
@@ -90,6 +90,19 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return tuple(float(v) for v in w)
 
 
+def _least(rows: DataFrame, by: Column, k: int, n: int) -> DataFrame:
+    """The k of n rows with the least hash: those below a bound that some more than k are expected to pass, cut to k.
+
+    So no more than those travel, however many tasks there are.
+    """
+    share = (k + 10 * k**0.5 + 100) / n
+    if share < 1:
+        below = rows.where(by < F.lit(int(share * 2**64) - 2**63))
+        if below.count() >= k:
+            rows = below
+    return rows.orderBy(by, "doc_id").limit(k)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic 0/1): at most ``sample`` labelled rows of each class are used.
 
@@ -102,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     if not counts.get(1) or not counts.get(0):
         return Model(b"", b"", (30.0 if counts.get(1) else -30.0, 0.0, 0.0))
     by = F.xxhash64("doc_id")
-    chosen = [r for c in (0, 1) for r in known.where(F.col("toxic") == c).orderBy(by, "doc_id").limit(sample).withColumn("part", F.pmod(by, F.lit(3))).collect()]
+    chosen = [r for c in (0, 1) for r in _least(known.where(F.col("toxic") == c), by, sample, counts[c]).withColumn("part", F.pmod(by, F.lit(3))).collect()]
     picked = F.broadcast(spark.createDataFrame(chosen, known.withColumn("part", F.pmod(by, F.lit(3))).schema))
     rows = docs.where("text is not null").join(picked, "doc_id").select("toxic", "part", "text").cache()
     words = rows.where("part <> 0").select("toxic", F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "").alias("w"))
@@ -149,12 +162,10 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
     """The rows of docs, with all columns, that are not predicted toxic. Null and empty texts are judged as empty."""
     require_columns(docs, text_col)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def harmless(texts: pa.Array) -> pa.Array:
         ordinary, toxic = model.compressors()
-        for whole in batches:
-            for k in range(0, whole.num_rows, AT_ONCE):
-                b = whole.slice(k, AT_ONCE)
-                found = np.array([saved(t, ordinary, toxic) for t in b.column(text_col).to_pylist()]).reshape(-1, 2)
-                yield b.filter(pa.array(model.score(found) < 0.5))
+        parts = [[saved(t.as_py(), ordinary, toxic) for t in texts.slice(k, AT_ONCE)] for k in range(0, len(texts), AT_ONCE)]
+        return pa.array(model.score(np.array([x for p in parts for x in p]).reshape(-1, 2)) < 0.5)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(harmless(F.col(text_col)))  # only texts go to Python; the rows stay where they are

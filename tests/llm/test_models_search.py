@@ -151,3 +151,11 @@ def test_op5_whole_table(spark):
     e = table("embeddings")
     rows = [(i, v.tolist()) for i, v in zip(e.vec_id, e.embedding, strict=True)]
     assert sorted(tuple(x) for x in queries.op5_exact_topk_search(spark, SF).collect()) == brute(rows, 10, lambda i: i % 100 == 0)
+
+
+def test_least_rows_are_the_same_with_and_without_the_bound(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "1 AS toxic")
+    by = F.xxhash64("doc_id")
+    want = [r.doc_id for r in rows.orderBy(by, "doc_id").limit(500).collect()]
+    assert [r.doc_id for r in toxicity._least(rows, by, 500, 20_000).collect()] == want
+    assert [r.doc_id for r in toxicity._least(rows, by, 500, 10**9).collect()] == want  # a wrong count bounds too low: all rows are looked at
