@@ -19,22 +19,26 @@ from itertools import pairwise
 
 #: The split of byte-level BPE before any merge. Fixed value: it must equal the library's.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words, and pieces of words, remembered per worker.
-REMEMBERED = 300_000
+#: Words, and pieces of words, remembered per worker: how many, the longest, and the bytes they may take.
+REMEMBERED, LONGEST, MEMORY = 300_000, 64, 96 * 2**20
 
 _TOGETHER = re.compile(r"[\s\x1c-\x1f\x85][\s\x1c-\x1f\x85]")
 
 
 class Remembered(dict):
-    """A bounded memo: looking up a missing key computes it. The first ``limit`` keys stay, which are the frequent ones."""
+    """A bounded memo: looking up a missing key computes it. The first keys stay, which are the frequent ones.
+
+    At most ``limit`` of them, none longer than ``LONGEST``, and with their answers ``MEMORY`` bytes together.
+    """
 
     def __init__(self, compute: Callable, limit: int = REMEMBERED):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.room = compute, limit, MEMORY
 
     def __missing__(self, key):
         value = self.compute(key)
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(key) <= LONGEST and self.room > 0:
+            self.room -= 200 + 2 * len(key) + (len(value) if isinstance(value, bytes) else 0)
             self[key] = value
         return value
 

@@ -78,7 +78,7 @@ def train(docs: DataFrame, *, sample: int = SAMPLE) -> Model:
     """
     known = docs.where("doc_id is not null and text is not null and lang is not null")
     counts = known.groupBy("lang").agg(F.count("*").alias("docs"))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("docs") < F.lit(sample << 30)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("docs").cast("double") < F.lit(float(sample << 30))
     picked = known.select("doc_id", "lang").join(counts, "lang").where(drawn).select("doc_id").distinct()
     ids = picked.count()
     picked = F.broadcast(picked) if ids <= 100_000 else picked

@@ -158,3 +158,13 @@ def test_sources_below_a_token_a_sequence_take_turns():
     for s, parts in filled.items():
         ends = [o + k for o, k in sorted(parts)]
         assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] == (1024 if s < len(filled) - 1 else sum(totals) % 1024 or 1024)
+
+
+def test_words_are_remembered_within_bytes(monkeypatch):
+    from graphlift.llm import bpe
+
+    monkeypatch.setattr(bpe, "MEMORY", 50_000)
+    memo = bpe.Remembered(lambda w: b"x" * 400)
+    for i in range(1000):
+        assert memo["w" * 1000 + str(i)] == memo[f"word{i}"] == b"x" * 400
+    assert 20 < len(memo) < 120 and max(map(len, memo)) <= bpe.LONGEST
