@@ -64,14 +64,15 @@ def source_statistics(source: Source, *, rule: str = "shared_key") -> DataFrame:
 
 
 def label_counts(graph: Graph) -> DataFrame:
-    """``(label, n)``: nodes that carry a label, where a node of a merged hierarchy carries several."""
+    """``(node_set, label, n)``: nodes that carry a label, where a node of a merged hierarchy carries several."""
     frames = []
     for name, df in graph.nodes.items():
         if "labels" in df.columns:
-            frames.append(df.select(F.explode("labels").alias("label")).groupBy("label").agg(_n()))
+            counts = df.select(F.explode("labels").alias("label")).groupBy("label").agg(_n())
         else:
-            frames.append(df.agg(_n()).select(F.lit(name).alias("label"), "n"))
-    return union_all(frames, empty=no_rows(graph.source.spark, label=pa.string(), n=pa.int64())).groupBy("label").agg(F.sum("n").alias("n"))
+            counts = df.agg(_n()).select(F.lit(name).alias("label"), "n")
+        frames.append(counts.select(F.lit(name).alias("node_set"), "label", "n"))
+    return union_all(frames, empty=no_rows(graph.source.spark, node_set=pa.string(), label=pa.string(), n=pa.int64()))
 
 
 def reconcile_counts(source: Source, graph: Graph) -> DataFrame:
@@ -82,16 +83,19 @@ def reconcile_counts(source: Source, graph: Graph) -> DataFrame:
     commas), nowhere for tables that were not chosen. A label that no table accounts for has no source.
     """
     placed = local_frame(
-        source.spark, [("table_name", pa.string()), ("label", pa.string())], [(t, label) for t, (_, label) in graph.tables.items()]
+        source.spark, [("table_name", pa.string()), ("node_set", pa.string()), ("label", pa.string())], [(t, *at) for t, at in graph.tables.items()]
     )
     rows = (
-        source.only(graph.tables).row_counts().join(placed, "table_name").groupBy("label")
+        source.only(graph.tables).row_counts().join(placed, "table_name").groupBy("node_set", "label")
         .agg(F.array_join(F.array_sort(F.collect_list("table_name")), ",").alias("table_name"), F.sum("row_count").alias("source_count"))
     )
-    target = label_counts(graph).withColumnRenamed("n", "target_count")
+    # A label that rows have from a superclass elsewhere is counted where that superclass is.
+    planned = F.broadcast(placed.groupBy("node_set").agg(F.collect_set("label").alias("own")))
+    target = label_counts(graph).join(planned, "node_set", "left").where("own IS NULL OR array_contains(own, label)")
+    target = target.select("node_set", "label", F.col("n").alias("target_count"))
     zero = F.lit(0).cast("bigint")
     return (
-        rows.join(target, "label", "full_outer")
+        rows.join(target, ["node_set", "label"], "full_outer")
         .withColumn("source_count", F.coalesce("source_count", zero))
         .withColumn("target_count", F.coalesce("target_count", zero))
         .withColumn("difference", F.col("target_count") - F.col("source_count"))

@@ -221,7 +221,8 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, *, kind: str | N
     """
     hashes = df.where(_q(key).isNotNull()).selectExpr(f"{_key_hash(df, key, kind)} AS _hot", f"pmod(spark_partition_id(), {_GROUPS}) AS _g")
     some = hashes.groupBy("_g").agg(F.expr(f"approx_top_k_accumulate(_hot, {_TRACKED})").alias("_s"))
-    top = some.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {_TRACKED}), {MOST_HOT})").alias("_t"))
+    # Grouped by a constant, since a task without rows has no sketch to hand on.
+    top = some.groupBy(F.lit(0).alias("_all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s, {_TRACKED}), {MOST_HOT})").alias("_t"))
     found = top.selectExpr("inline(_t)").where(F.col("count") >= hot_rows)
     return found.select(F.col("item").alias("_hot"), F.expr(f"CAST(ceil(count / {hot_rows}) AS INT)").alias("_parts"))
 

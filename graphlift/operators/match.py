@@ -12,7 +12,7 @@ Catalyst pushes filters to the scans and reads only the columns that are used.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -156,6 +156,79 @@ def _edges(graph: Graph, child: Node, s: Step, parent: Node) -> DataFrame:
     return edges.where(test if s.rel_type is None else test & (F.col("rel_type") == s.rel_type))
 
 
+def _taking_part(graph: Graph, n: Node, where: Mapping[str, str]) -> DataFrame:
+    """``(k,)``: keys of the nodes that meet their variable's condition."""
+    df = graph.nodes[n.label]
+    df = df.where(where[n.var]) if n.var in where else df
+    return df.select(F.col("node_key").alias("k")).distinct()
+
+
+def _step_ends(graph: Graph, a: Node, s: Step, b: Node) -> DataFrame:
+    """``(x, y)``: the keys at both ends of a step's edges, a's first."""
+    child, parent = (a, b) if s.direction == "out" else (b, a)
+    x, y = ("from_key", "to_key") if s.direction == "out" else ("to_key", "from_key")
+    return _edges(graph, child, s, parent).select(F.col(x).alias("x"), F.col(y).alias("y"))
+
+
+def _walked(graph: Graph, nodes: Sequence[Node], steps: Sequence[Step], where: Mapping[str, str]) -> DataFrame:
+    """``(k, n)``: how many ways lead from the first node to each key of the last one, which need not take part yet."""
+    counts = _taking_part(graph, nodes[0], where).withColumn("n", F.lit(1).cast("bigint"))
+    for i, (a, s, b) in enumerate(zip(nodes, steps, nodes[1:])):
+        if i:
+            counts = counts.join(_taking_part(graph, a, where), "k")
+        ends = _step_ends(graph, a, s, b)
+        counts = ends.join(counts, ends["x"] == counts["k"]).groupBy(F.col("y").alias("k")).agg(F.sum("n").alias("n"))
+    return counts
+
+
+def count_paths(graph: Graph, pattern: Sequence[Node | Step], *, where: Mapping[str, str] | None = None, per_start: bool = False) -> DataFrame:
+    """``n``: how many rows ``match`` has for a pattern; ``(node_key, n)`` for each start node with ``per_start``.
+
+    No path is formed. Counts are passed along the steps, added up per node before they are shuffled,
+    and meet in the middle of the pattern, so two hops over a hub of n edges move n numbers and not the
+    n * n paths. ``where`` gives a condition on a variable's own properties; it takes nodes away before
+    anything is counted.
+
+    As in ``match``, an edge is used once in a path. Two steps that could take the same edges must
+    therefore be the only ones of the pattern; paths that go back over their edge are then counted and
+    subtracted. Keys are taken to be unique among the nodes of a label; one that repeats counts as one node.
+    """
+    nodes, steps, where = list(pattern[0::2]), list(pattern[1::2]), dict(where or {})
+    if len(nodes) != len(steps) + 1 or not steps or not all(isinstance(n, Node) for n in nodes):
+        raise ValueError("a pattern alternates nodes and steps, nodes at both ends")
+    if unknown := set(where) - {n.var for n in nodes}:
+        raise ValueError(f"no such variable: {', '.join(sorted(unknown))}")
+    kinds = []
+    for a, s, b in zip(nodes, steps, nodes[1:]):
+        child, parent = (a, b) if s.direction == "out" else (b, a)
+        kinds.append((child.label, parent.label, s.rel_type))
+    shared = [(p, q) for i, p in enumerate(kinds) for q in kinds[:i] if p[:2] == q[:2] and (None in (p[2], q[2]) or p[2] == q[2])]
+    if shared and len(steps) > 2:
+        raise ValueError("two steps could take the same edge; use match for this pattern")
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
+    back = [replace(s, direction="in" if s.direction == "out" else "out") for s in steps]
+    first, last = nodes[0], nodes[-1]
+    if per_start:
+        found = _walked(graph, nodes[::-1], back[::-1], where).join(_taking_part(graph, first, where), "k")
+    else:
+        mid = len(steps) // 2
+        met = _walked(graph, nodes[mid:][::-1], back[mid:][::-1], where).join(_taking_part(graph, nodes[mid], where), "k")
+        if mid:
+            met = met.withColumnRenamed("n", "r").join(_walked(graph, nodes[: mid + 1], steps[:mid], where), "k").withColumn("n", F.col("n") * F.col("r"))
+        found = met.agg(total("n").alias("n"))
+    if shared and first.label == last.label and steps[0].direction != steps[1].direction:
+        edges = _step_ends(graph, first, steps[0], nodes[1]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("m"))
+        for n, key in ((first, "x"), (last, "x"), (nodes[1], "y")):
+            edges = edges.join(_taking_part(graph, n, where).withColumnRenamed("k", key), key)
+        again = F.col("m") * F.col("m")
+        if per_start:
+            lost = edges.groupBy(F.col("x").alias("k")).agg(F.sum(again).alias("lost"))
+            found = found.join(lost, "k", "left").select("k", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n")).where("n > 0")
+        else:
+            found = found.unionByName(edges.agg((-total(again)).alias("n"))).agg(F.sum("n").alias("n"))
+    return found.withColumnRenamed("k", "node_key") if per_start else found
+
+
 def collect_over_hub(
     graph: Graph,
     start: Node,

@@ -84,6 +84,7 @@ def merge_subclass(
     child_key: str,
     child_label: str,
     keep_orphans: bool = True,
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Superclass and subclass rows as one node with both labels.
 
@@ -91,7 +92,7 @@ def merge_subclass(
     the superclass already has gets the subclass label as prefix. A subclass row without its
     superclass row stays a node of its own; where there is none (a foreign key without orphans),
     ``keep_orphans=False`` allows the cheaper left join. Keys are unique on both sides, so no row
-    can have many partners.
+    can have many partners. ``also`` names labels that a subclass row has from superclasses elsewhere.
     """
     old = "labels" if "labels" in parent.columns else "CASE WHEN label IS NOT NULL THEN array(label) END"
     taken = set(parent.columns)
@@ -108,7 +109,7 @@ def merge_subclass(
     joined = parent.join(sub, F.col(f"`{parent_key}`") == F.col("_sub_key"), how)
     whole = {"node_key": "coalesce(node_key, _sub_node_key)", parent_key: f"coalesce({quoted(parent_key)}, _sub_key)"}
     kept = [f"{whole.get(c, quoted(c))} AS {quoted(c)}" for c in parent.columns if c not in ("label", "labels")]
-    added = f"CASE WHEN _sub_key IS NOT NULL THEN array({literal(child_label)}) ELSE array() END"
+    added = f"CASE WHEN _sub_key IS NOT NULL THEN array({', '.join(map(literal, (child_label, *also)))}) ELSE array() END"
     return joined.selectExpr(
         *kept, f"concat(coalesce({old}, array()), {added}) AS labels", *[f"`_sub_{n}` AS {quoted(n)}" for _, n in extra]
     )

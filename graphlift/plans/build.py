@@ -177,13 +177,18 @@ def _plan_edges(source, mode, rule, mapping, evidence, labels, entities, junctio
 def merge_inheritance(graph: Graph, *, evidence: DataFrame | None = None) -> Graph:
     """The graph with every subclass folded into its root: one node, several labels.
 
-    IS-A edges disappear, all others now start and end at the root's label. A subclass shares the
-    key of its superclass, so node keys stay what they were.
+    A subclass shares the key of its superclass, so node keys stay what they were. IS-A edges inside a
+    hierarchy disappear, all others now start and end at the root's label. A table may have several
+    superclasses: its rows are folded along the first, and carry the labels of all. Superclasses that
+    lead to the same root add nothing but labels that the node has anyway; where they lead to another
+    root, the IS-A edge to the node there stays.
     """
     isa: dict[str, E.EdgeType] = {}
+    every: dict[str, list[E.EdgeType]] = {}
     for e in graph.edge_types:
         if e.semantics == "INHERITANCE":
             isa.setdefault(e.from_label, e)
+            every.setdefault(e.from_label, []).append(e)
     complete = set()
     if evidence is not None:
         complete = {r.fk_name for r in evidence.where("orphan_values = 0").select("fk_name").collect()}
@@ -202,21 +207,32 @@ def merge_inheritance(graph: Graph, *, evidence: DataFrame | None = None) -> Gra
             label, depth = isa[label].to_label, depth + 1
         return depth
 
+    def above(label: str, seen: tuple[str, ...] = ()) -> list[str]:
+        """All superclasses, near ones first."""
+        found: dict[str, None] = {}
+        for e in every.get(label, ()):
+            if e.to_label not in (*seen, label):
+                found |= dict.fromkeys([e.to_label, *above(e.to_label, (*seen, label))])
+        return list(found)
+
     roots = {label: root_of(label) for label in graph.nodes}
     subs = sorted((label for label in graph.nodes if roots[label] != label and roots[label] not in isa), key=depth_of)
     nodes, key_of = dict(graph.nodes), {}
     for sub in subs:
         e, root = isa[sub], roots[sub]
-        key_of.setdefault(root, graph.names[e.fk.ref_table, e.fk.ref_column])
+        single = len(e.fk.columns) == 1
+        key_of.setdefault(root, graph.names[e.fk.ref_table, e.fk.ref_columns[0]] if single else "node_key")
         nodes[root] = ND.merge_subclass(
             nodes[root],
             nodes.pop(sub),
             parent_key=key_of[root],
-            child_key=graph.names[e.fk.table, e.fk.column],
+            child_key=graph.names[e.fk.table, e.fk.columns[0]] if single else "node_key",
             child_label=sub,
             keep_orphans=e.fk.name not in complete,
+            also=[label for label in above(sub) if roots[label] != root],
         )
-    gone = {isa[sub].fk.name for sub in subs}
+    # An IS-A edge whose ends are now one node says what the labels say.
+    gone = {e.fk.name for sub in subs for e in every[sub] if roots[e.to_label] == roots[sub]}
     moved = {sub: roots[sub] for sub in subs}
     types = tuple(
         replace(e, from_label=moved.get(e.from_label, e.from_label), to_label=moved.get(e.to_label, e.to_label))

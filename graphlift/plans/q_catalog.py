@@ -24,11 +24,9 @@ WITH_JUNCTION = (*TRADE, "supplier_part")
 
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
     s = sample_source(spark, d, FILES)
-    value = F.when(F.col("sql_type").isin("int", "bigint", "string"), F.col("min_value")).alias("min_value")
-    high = F.when(F.col("sql_type").isin("int", "bigint", "string"), F.col("max_value")).alias("max_value")
     return P.column_profile(s).select(
         "table_name", "column_name", "ordinal", F.expr(TY.column_type("sql_type")).alias("column_type"), "row_count",
-        "null_count", "ndv", "is_unique", value, high, "max_length",
+        "null_count", "ndv", "is_unique", "min_value", "max_value", "max_length", "precision", "scale",
     )
 
 
@@ -66,7 +64,7 @@ def inclusions(spark: SparkSession, d: str) -> DataFrame:
 def self_references(spark: SparkSession, d: str) -> DataFrame:
     """Customers with a referrer: a reference of a table to itself that no name gives away, among the inclusions in keys."""
     s = sample_source(spark, d, ["customer", "orders"])
-    referred = s["customer"].selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN (c_custkey + 1) DIV 2 END AS sent_by", "c_name")
+    referred = s["customer"].selectExpr("c_custkey", "CASE WHEN c_mktsegment = 'BUILDING' THEN (c_custkey + 1) DIV 2 END AS sent_by", "c_name")
     return I.inclusion_dependencies(Source(spark, {"customer": referred, "orders": s["orders"]}, primary_keys={"customer": ("c_custkey",)}), to_keys=True)
 
 
@@ -239,7 +237,7 @@ def _each(template: str, kinds: str = "ildsta") -> str:
     for t, columns in COLUMNS.items():
         for i, (c, k) in enumerate(columns, 1):
             if k in kinds:
-                text = f"CAST(min({c}) AS VARCHAR)" if k in "ils" else "NULL"
+                text = f"CAST(min({c}) AS VARCHAR)" if k in "ilsdt" else "NULL"
                 parts.append(
                     template.format(
                         t=t, c=c, i=i, type=_TYPE[k], loose=_LOOSE[k], graph=_GRAPH[k], graph_loose=_GRAPH_LOOSE[k],
@@ -322,7 +320,8 @@ ORACLES = {
     "b1_column_profile": _each(
         "SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, '{type}' AS column_type, count(*) AS row_count, "
         "count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS ndv, "
-        "count(DISTINCT {c}) = count(*) AS is_unique, {lo} AS min_value, {hi} AS max_value, CAST({len} AS BIGINT) AS max_length FROM {t}"
+        "count(DISTINCT {c}) = count(*) AS is_unique, {lo} AS min_value, {hi} AS max_value, CAST({len} AS BIGINT) AS max_length, "
+        "CAST(NULL AS INT) AS precision, CAST(NULL AS INT) AS scale FROM {t}"
     ),
     "b2_primary_keys": _key_sql({t: [c for c, k in columns if k in "ilst"] for t, columns in COLUMNS.items()}),
     "b2_wide_keys": _key_sql(
@@ -342,7 +341,7 @@ ORACLES = {
         [("customer", "c_custkey", "l", "referred"), ("customer", "sent_by", "l", "referred"), ("customer", "c_name", "s", "referred"),
          *[("orders", c, k, "orders") for c, k in COLUMNS["orders"] if k in "ilst"]],
         _shares_name,
-        "referred AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey + 1) // 2 END AS sent_by, c_name FROM customer), ",
+        "referred AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN (c_custkey + 1) // 2 END AS sent_by, c_name FROM customer), ",
         {("customer", "c_custkey")},
     ),
     "b3_composite_keys": " UNION ALL ".join(

@@ -94,11 +94,11 @@ def missing_by_key(spark: SparkSession, d: str) -> DataFrame:
     """Keys of two columns and keys that are translated: nothing is missing as built, and what is taken away is found."""
     frames = []
     for name, s, label, test in (
-        ("composite", composite_source(spark, d), "SupplierPart", "suppkey % 2 = 0"),
-        ("translated", translated_source(spark, d), "Customer", "cCustkey % 2 = 0"),
+        ("composite", composite_source(spark, d), "SupplierPart", "qty > 30"),
+        ("translated", translated_source(spark, d), "Customer", "cAcctbal > 0"),
     ):
         g = build_graph(s)
-        for case, graph in (("as built", g), ("half", g.with_nodes(label, g.nodes[label].where(test)))):
+        for case, graph in (("as built", g), ("part", g.with_nodes(label, g.nodes[label].where(test)))):
             frames.append(CK.missing_nodes(graph).selectExpr(f"'{name} {case}' AS graph", "*"))
     return union_all(frames)
 
@@ -201,12 +201,12 @@ ORACLES = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'
         UNION ALL SELECT 'PART_OF_NATION', 'Customer', 'Nation', 'from', count(*) FROM customer WHERE c_mktsegment <> '{SEGMENT}'""",
     "e7_missing_by_key": f"""
-        SELECT 'composite half' AS graph, 'PART_OF_SUPPLIERPART' AS rel_type, 'Lineitem' AS from_label, 'SupplierPart' AS to_label, 'to' AS missing, count(*) AS n
-        FROM lineitem JOIN {rel("supplier_part")} ON suppkey = l_suppkey AND partkey = l_partkey WHERE qty > 20 AND suppkey % 2 = 1 HAVING count(*) > 0
-        UNION ALL SELECT 'translated half', 'PURCHASED_BY', 'Orders', 'Customer', 'to', count(*) FROM orders JOIN customer ON o_custkey = c_custkey
-        WHERE c_mktsegment = '{SEGMENT}' AND c_name <> 'Customer#5' AND c_custkey % 2 = 1 HAVING count(*) > 0
-        UNION ALL SELECT 'translated half', 'PART_OF_NATION', 'Customer', 'Nation', 'from', count(*) FROM customer
-        WHERE c_mktsegment = '{SEGMENT}' AND c_custkey % 2 = 1 HAVING count(*) > 0""",
+        SELECT 'composite part' AS graph, 'PART_OF_SUPPLIERPART' AS rel_type, 'Lineitem' AS from_label, 'SupplierPart' AS to_label, 'to' AS missing, count(*) AS n
+        FROM lineitem JOIN {rel("supplier_part")} ON suppkey = l_suppkey AND partkey = l_partkey WHERE qty > 20 AND qty <= 30 HAVING count(*) > 0
+        UNION ALL SELECT 'translated part', 'PURCHASED_BY', 'Orders', 'Customer', 'to', count(*) FROM orders JOIN customer ON o_custkey = c_custkey
+        WHERE c_mktsegment = '{SEGMENT}' AND c_name <> 'Customer#5' AND c_acctbal <= 0 HAVING count(*) > 0
+        UNION ALL SELECT 'translated part', 'PART_OF_NATION', 'Customer', 'Nation', 'from', count(*) FROM customer
+        WHERE c_mktsegment = '{SEGMENT}' AND c_acctbal <= 0 HAVING count(*) > 0""",
     "e8_validation_summary": f"""
         SELECT 'pre' AS phase, 'FAILED' AS status, CAST(1 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings
         UNION ALL SELECT 'post', 'FAILED',

@@ -14,7 +14,7 @@ from ..operators import match as M
 from ..operators import nodes as ND
 from ..operators import profile as P
 from ..sources import sinks
-from ..sources.source import ForeignKey, Source
+from ..sources.source import ForeignKey, Source, union_all
 from .build import GraphMapping, build_graph, merge_inheritance
 from .q_semantics import IN_TRADE, MEANING, rel
 from .sample import TRADE, sample_source
@@ -47,7 +47,7 @@ def node_property_maps(spark: SparkSession, d: str) -> DataFrame:
     """Nodes with their properties as one JSON text, customers without orders showing nulls stripped."""
     s = sample_source(spark, d, ["customer", "orders"])
     last = s["orders"].groupBy("o_custkey").agg({"o_orderkey": "max"}).withColumnRenamed("max(o_orderkey)", "last_order")
-    joined = s["customer"].join(last, s["customer"]["c_custkey"] == last["o_custkey"], "left").drop("o_custkey", "c_acctbal")
+    joined = s["customer"].join(last, s["customer"]["c_custkey"] == last["o_custkey"], "left").drop("o_custkey")
     nodes = build_graph(s.with_tables(customer=joined)).nodes["Customer"]
     return ND.property_map(nodes)
 
@@ -56,8 +56,8 @@ def shared_label(spark: SparkSession, d: str) -> DataFrame:
     """Customers in two tables whose names give one label; a column that only one has, and one of two types."""
     c = sample_source(spark, d, ["customer"])["customer"]
     tables = {
-        "big_customer": c.where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_nationkey"),
-        "big-_customer": c.where("c_custkey % 2 = 1").selectExpr("c_custkey", "c_mktsegment", "concat('n', c_nationkey) AS c_nationkey"),
+        "big_customer": c.where(f"c_mktsegment = '{SEGMENT}'").select("c_custkey", "c_name", "c_nationkey"),
+        "big-_customer": c.where(f"c_mktsegment <> '{SEGMENT}'").selectExpr("c_custkey", "c_mktsegment", "concat('n', c_nationkey) AS c_nationkey"),
     }
     s = Source(spark, tables, primary_keys={t: ("c_custkey",) for t in tables})
     g = build_graph(s)
@@ -71,7 +71,7 @@ def converted_values(spark: SparkSession, d: str) -> DataFrame:
     s = Source(s.spark, s.tables, primary_keys=s.primary_keys,
                sql_types={("events", "props"): "json", ("events", "event_type"): "json"})
     return build_graph(s, "direct").nodes["Events"].selectExpr(
-        "eventId", "ts", "variant_get(props, '$.k', 'bigint') AS k", "CAST(eventType AS STRING) AS event_type"
+        "eventId", "ts", "variant_get(props, '$.k', 'bigint') AS k", "to_json(props) AS props", "CAST(eventType AS STRING) AS event_type", "userId", "value"
     )
 
 
@@ -92,6 +92,25 @@ def merged_graph(spark: SparkSession, d: str) -> DataFrame:
     return nodes.unionByName(g.edges.selectExpr("rel_type AS name").groupBy("name").count()).withColumnRenamed("count", "n")
 
 
+def two_superclasses(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged documents are labels and urgent ones; both are documents. And some are also pages, a hierarchy of its own."""
+    s = sample_source(spark, d, ["documents", "labels", "pages"])
+    labels = s["labels"]
+    tables = {
+        "documents": s["documents"], "labels": labels, "urgent": labels.where("quality = 0").select("doc_id", "quality"),
+        "flagged": labels.where("toxic = 1 AND quality = 0").select("doc_id"),
+        "page": s["pages"].selectExpr("page_id AS doc_id", "url"), "linked": labels.where("toxic = 1").select("doc_id"),
+    }
+    links = [("labels", "documents"), ("urgent", "documents"), ("flagged", "labels"), ("flagged", "urgent"), ("linked", "documents"), ("linked", "page")]
+    fks = tuple(ForeignKey(f"{a}_{b}", a, "doc_id", b, "doc_id") for a, b in links)
+    s = Source(spark, tables, primary_keys={t: ("doc_id",) for t in tables}, foreign_keys=fks)
+    g = merge_inheritance(build_graph(s))
+    nodes = g.nodes["Documents"].selectExpr("array_join(array_sort(labels), ':') AS name").groupBy("name").count()
+    counts = CK.reconcile_counts(s, g).selectExpr("concat(label, ' ', difference) AS name", "target_count AS count")
+    edges = g.edges.groupBy(F.concat_ws(" ", "rel_type", "from_label", "to_label").alias("name")).count()
+    return nodes.unionByName(counts).unionByName(edges).withColumnRenamed("count", "n")
+
+
 def derived_property(spark: SparkSession, d: str) -> DataFrame:
     g = _graph(spark, d, ["customer"], derived={"customer": {"fullName": "concat(cName, ' of ', cMktsegment)"}})
     return g.nodes["Customer"].select("node_key", "fullName")
@@ -244,6 +263,18 @@ def lookup_layout(spark: SparkSession, d: str) -> DataFrame:
     return sinks.read_nodes(spark, path, "Customer").where(f"cMktsegment = '{SEGMENT}'").select("node_key", "cName")
 
 
+def bucketed_join(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and customers as bucketed tables, joined on the customer's key without an exchange."""
+    g = _graph(spark, d, ["customer", "orders"])
+    tables = []
+    for name, df, key in (("customers", g.nodes["Customer"], "node_key"), ("purchases", g.edges.drop("props"), "to_key")):
+        path = sinks.scratch_folder(spark)
+        tables.append(sinks.write_bucketed(df, f"graphlift_{name}_{path[-8:]}", key, buckets=8, path=path))
+    customers, edges = tables
+    joined = edges.hint("merge").join(customers, edges["to_key"] == customers["node_key"])
+    return joined.groupBy("cMktsegment", "rel_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def required_properties(spark: SparkSession, d: str) -> DataFrame:
     """Required columns of orders left-joined to one segment's customers, so that nulls occur."""
     s = sample_source(spark, d, ["customer", "orders"])
@@ -330,6 +361,29 @@ def two_hops_inward(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def counted_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of orders of one customer, and of line items of one supplier, and longer ways, counted without forming them."""
+    g = _graph(spark, d)
+    order, customer, line, supplier = M.node("o", "Orders"), M.node("c", "Customer"), M.node("l", "Lineitem"), M.node("s", "Supplier")
+    buys, supplied = ("PURCHASED_BY",), ("PART_OF_SUPPLIER",)
+    patterns = {
+        "orders of a customer": ([order, M.step(*buys), customer, M.step(*buys, "in"), M.node("p", "Orders")], {"c": f"cMktsegment = '{SEGMENT}'", "p": "oOrderstatus = 'O'"}),
+        "lines of a supplier": ([line, M.step(*supplied), supplier, M.step(*supplied, "in"), M.node("m", "Lineitem")], {}),
+        "lines of customers of a region": (
+            [line, M.step("PART_OF_ORDERS"), order, M.step(*buys), customer, M.step("PART_OF_NATION"), M.node("n", "Nation"), M.step("PART_OF_REGION"), M.node("r", "Region")],
+            {"r": "rName = 'ASIA'", "l": "lQuantity > 20"},
+        ),
+    }
+    return union_all(M.count_paths(g, p, where=w).select(F.lit(name).alias("pattern"), "n") for name, (p, w) in patterns.items())
+
+
+def paths_per_start(spark: SparkSession, d: str) -> DataFrame:
+    """Other orders of the same customer, for each order."""
+    g = _graph(spark, d, ["customer", "orders"])
+    pattern = [M.node("o", "Orders"), M.step("PURCHASED_BY"), M.node("c", "Customer"), M.step("PURCHASED_BY", "in"), M.node("p", "Orders")]
+    return M.count_paths(g, pattern, where={"p": "oOrderstatus = 'O'"}, per_start=True)
+
+
 def collected(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers with the market segments found in their nation."""
     g = _graph(spark, d)
@@ -406,12 +460,14 @@ QUERIES = {
     "d6_profiled_edges": profiled_edges,
     "d7_merged_nodes": merged_nodes,
     "d7_merged_graph": merged_graph,
+    "d7_two_superclasses": two_superclasses,
     "d8_nary_table": nary_table,
     "d9_derived_property": derived_property,
     "d10_user_edges": user_edges,
     "d11_mapping_choices": mapping_choices,
     "d12_unique_nodes": unique_nodes,
     "d13_lookup_layout": lookup_layout,
+    "d13_bucketed_join": bucketed_join,
     "d14_required_properties": required_properties,
     "d15_model_summary": model_summary,
     "d15_types_of_label": types_of_label,
@@ -423,6 +479,8 @@ QUERIES = {
     "f5_two_hops": two_hops,
     "f5_two_hops_spread": two_hops_spread,
     "f5_two_hops_inward": two_hops_inward,
+    "f5_counted_paths": counted_paths,
+    "f5_paths_per_start": paths_per_start,
     "f6_collected": collected,
     "f6_collected_groups": collected_groups(False),
     "f6_collected_distinct_groups": collected_groups(True),
@@ -463,22 +521,22 @@ ORACLES = {
         SELECT CAST(o_orderkey AS VARCHAR) AS node_key, 'Orders' AS label, o_orderkey AS "oOrderkey", o_orderstatus AS "oOrderstatus",
                o_totalprice AS "oTotalprice", strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "oOrderdate",
                o_orderpriority AS "oOrderpriority" FROM orders""",
-    "d1_shared_label": """
-        SELECT CAST(c_custkey AS VARCHAR) AS node_key, 'BigCustomer' AS label, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS "cName",
-               CASE WHEN c_custkey % 2 = 1 THEN 'n' ELSE '' END || c_nationkey AS "cNationkey",
-               CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS "cMktsegment", true AS is_match FROM customer""",
+    "d1_shared_label": f"""
+        SELECT CAST(c_custkey AS VARCHAR) AS node_key, 'BigCustomer' AS label, CASE WHEN c_mktsegment = '{SEGMENT}' THEN c_name END AS "cName",
+               CASE WHEN c_mktsegment <> '{SEGMENT}' THEN 'n' ELSE '' END || c_nationkey AS "cNationkey",
+               CASE WHEN c_mktsegment <> '{SEGMENT}' THEN c_mktsegment END AS "cMktsegment", true AS is_match FROM customer""",
     "d2_nodes_enriched": """
         SELECT concat_ws('|', conv_id, turn) AS node_key, 'Conversations' AS label, conv_id AS "convId", turn, role, text,
                CAST((conv_id IS NOT NULL)::INT + (turn IS NOT NULL)::INT + (role IS NOT NULL)::INT + (text IS NOT NULL)::INT AS INTEGER)
                AS n_properties FROM conversations""",
     "d2_property_maps": """
         SELECT CAST(c_custkey AS VARCHAR) AS node_key, 'Customer' AS label,
-               '{"cCustkey":' || c_custkey || ',"cName":"' || c_name || '","cNationkey":' || c_nationkey || ',"cMktsegment":"'
+               '{"cCustkey":' || c_custkey || ',"cName":"' || c_name || '","cNationkey":' || c_nationkey || ',"cAcctbal":' || c_acctbal || ',"cMktsegment":"'
                || c_mktsegment || '"' || coalesce(',"lastOrder":' || k, '') || '}' AS properties
         FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""",
     "d3_converted_values": """
         SELECT event_id AS "eventId", strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS ts,
-               CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events""",
+               CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json(props) AS VARCHAR) AS props, event_type, user_id AS "userId", value FROM events""",
     "d4_fk_edges": edge_sql(),
     "d4_fk_edges_direct": _union(
         f"SELECT '{m[6]}' AS rel_type, '{LABEL[m[1]]}' AS from_label, '{LABEL[m[3]]}' AS to_label, count(*) AS n FROM {m[1]}"
@@ -519,6 +577,18 @@ ORACLES = {
                || CASE WHEN toxic = 1 THEN ':FlaggedDocument' ELSE '' END AS name, count(*) AS n
         FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1
         UNION ALL SELECT 'PART_OF_CONVERSATION', count(*) FROM conversations""",
+    "d7_two_superclasses": """
+        WITH f AS (SELECT d.doc_id, l.doc_id IS NOT NULL AS lab, coalesce(l.quality = 0, false) AS urg, coalesce(l.toxic = 1 AND l.quality = 0, false) AS flag,
+                          coalesce(l.toxic = 1, false) AS link
+                   FROM documents d LEFT JOIN labels l USING (doc_id)),
+             page AS (SELECT count(*) AS n FROM pages),
+             counts AS (SELECT 'Documents' AS name, count(*) AS n FROM f UNION ALL SELECT 'Labels', count(*) FROM f WHERE lab
+                        UNION ALL SELECT 'Urgent', count(*) FROM f WHERE urg UNION ALL SELECT 'Flagged', count(*) FROM f WHERE flag
+                        UNION ALL SELECT 'Linked', count(*) FROM f WHERE link UNION ALL SELECT 'Page', n FROM page)
+        SELECT concat_ws(':', 'Documents', CASE WHEN flag THEN 'Flagged' END, CASE WHEN lab THEN 'Labels' END, CASE WHEN link THEN 'Linked' END,
+                         CASE WHEN link THEN 'Page' END, CASE WHEN urg THEN 'Urgent' END) AS name, count(*) AS n FROM f GROUP BY 1
+        UNION ALL SELECT name || ' 0', n FROM counts
+        UNION ALL SELECT 'IS_A_PAGE Documents Page', count(*) FROM f WHERE link AND doc_id IN (SELECT page_id FROM pages) HAVING count(*) > 0""",
     "d8_nary_table": _union(
         f"SELECT '{n}' AS name, count(*) AS n FROM lineitem" for n in ("Lineitem", "PART_OF_ORDERS", "PART_OF_PART", "PART_OF_SUPPLIER")
     ),
@@ -544,6 +614,8 @@ ORACLES = {
     ),
     "d13_lookup_layout": f"""
         SELECT CAST(c_custkey AS VARCHAR) AS node_key, c_name AS "cName" FROM customer WHERE c_mktsegment = '{SEGMENT}'""",
+    "d13_bucketed_join": """
+        SELECT c_mktsegment AS "cMktsegment", 'PURCHASED_BY' AS rel_type, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
     "d14_required_properties": f"""
         SELECT 'customer' AS table_name, 'c_custkey' AS column_name, count(*) - count(c_custkey) AS null_count FROM customer
         UNION ALL SELECT 'orders', 'o_orderkey', count(*) - count(o_orderkey) FROM orders
@@ -589,6 +661,22 @@ ORACLES = {
         FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 9500 GROUP BY s_nationkey"""
         for name, distinct in (("", ""), ("distinct_", "DISTINCT"))
     },
+    "f5_counted_paths": f"""
+        WITH lines AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, count(*) AS m, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
+        SELECT 'orders of a customer' AS pattern, CAST(coalesce(sum(a * b - b), 0) AS BIGINT) AS n
+        FROM (SELECT o_custkey, count(*) AS a, count(*) FILTER (WHERE o_orderstatus = 'O') AS b FROM orders
+              JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = '{SEGMENT}' GROUP BY o_custkey)
+        UNION ALL
+        SELECT 'lines of a supplier', CAST((SELECT sum(k * k) FROM (SELECT l_suppkey, sum(m) AS k FROM lines GROUP BY l_suppkey))
+                                           - (SELECT sum(m * m) FROM lines) AS BIGINT)
+        UNION ALL
+        SELECT 'lines of customers of a region', coalesce(sum(m), 0)::BIGINT FROM lines
+        JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+        JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND q > 20""",
+    "f5_paths_per_start": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS node_key, b - CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS n
+        FROM orders JOIN (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS b FROM orders GROUP BY o_custkey) USING (o_custkey)
+        WHERE b - CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END > 0""",
     "f6_collected": """
         SELECT s_name AS supplier, segments FROM supplier JOIN (
             SELECT c_nationkey, string_agg(s, ',' ORDER BY s) AS segments

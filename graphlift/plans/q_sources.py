@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +84,8 @@ def _written(spark: SparkSession, d: str):
 def node_sink(spark: SparkSession, d: str) -> DataFrame:
     g, path = _written(spark, d)
     sinks.write_nodes(g.nodes, f"{path}/nodes")
-    return sinks.read_nodes(spark, f"{path}/nodes", "Orders").select("oOrderkey", "oCustkey", "oOrderdate", "oOrderpriority")
+    read = [sinks.read_nodes(spark, f"{path}/nodes", label).withColumn("label", F.lit(label)) for label in g.nodes]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
 
 
 def edge_sink(spark: SparkSession, d: str) -> DataFrame:
@@ -93,19 +96,24 @@ def edge_sink(spark: SparkSession, d: str) -> DataFrame:
 
 def csv_staging(spark: SparkSession, d: str) -> DataFrame:
     g, path = _written(spark, d)
-    sinks.write_csv(sinks.bulk_nodes(g.nodes["Customer"], "Customer"), f"{path}/csv/nodes")
+    read = lambda folder: spark.read.option("header", True).option("escape", '"').csv(folder)
+    found = []
+    for label, df in g.nodes.items():
+        sinks.write_csv(sinks.bulk_nodes(df, label), f"{path}/csv/{label}")
+        cells = read(f"{path}/csv/{label}")
+        properties = [f"`{c}`" for c in cells.columns if not c.startswith(":")]
+        found.append(
+            cells.select(
+                F.lit("node").alias("kind"), F.col("`:LABEL`").alias("type"), F.col(f"`:ID({label})`").alias("start_id"),
+                F.lit(None).cast("string").alias("end_id"), F.concat_ws("|", *properties).alias("cells"),
+            )
+        )
     sinks.write_csv(sinks.bulk_edges(g.edges), f"{path}/csv/edges")
-    nodes = spark.read.option("header", True).option("escape", '"').csv(f"{path}/csv/nodes")
-    edges = spark.read.option("header", True).option("escape", '"').csv(f"{path}/csv/edges")
-    return nodes.select(
-        F.lit("node").alias("kind"), F.col("`:LABEL`").alias("type"), F.col("`:ID(Customer)`").alias("start_id"),
-        F.col("cName").alias("end_id"),
-    ).unionByName(
-        edges.select(
-            F.lit("edge").alias("kind"), F.col("`:TYPE`").alias("type"), F.col("`:START_ID`").alias("start_id"),
-            F.col("`:END_ID`").alias("end_id"),
-        )
+    edges = read(f"{path}/csv/edges").select(
+        F.lit("edge").alias("kind"), F.col("`:TYPE`").alias("type"), F.col("`:START_ID`").alias("start_id"),
+        F.col("`:END_ID`").alias("end_id"), F.concat_ws("|", "cardinality", "props").alias("cells"),
     )
+    return union_all([*found, edges])
 
 
 def clear_target(spark: SparkSession, d: str) -> DataFrame:
@@ -260,12 +268,22 @@ ORACLES = {
         UNION ALL SELECT 'ORDER_CUSTOMER', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
         UNION ALL SELECT 'CUSTOMER_NATION', count(*) FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)""",
     "a9_node_sink": """
-        SELECT o_orderkey AS "oOrderkey", o_custkey AS "oCustkey",
-               strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "oOrderdate", o_orderpriority AS "oOrderpriority" FROM orders""",
+        SELECT CAST(r_regionkey AS VARCHAR) AS node_key, 'Region' AS label, r_regionkey AS "rRegionkey", r_name AS "rName" FROM region
+        UNION ALL BY NAME SELECT CAST(n_nationkey AS VARCHAR) AS node_key, 'Nation' AS label, n_nationkey AS "nNationkey", n_name AS "nName",
+            n_regionkey AS "nRegionkey" FROM nation
+        UNION ALL BY NAME SELECT CAST(c_custkey AS VARCHAR) AS node_key, 'Customer' AS label, c_custkey AS "cCustkey", c_name AS "cName",
+            c_nationkey AS "cNationkey", c_acctbal AS "cAcctbal", c_mktsegment AS "cMktsegment" FROM customer
+        UNION ALL BY NAME SELECT CAST(o_orderkey AS VARCHAR) AS node_key, 'Orders' AS label, o_orderkey AS "oOrderkey", o_custkey AS "oCustkey",
+            o_orderstatus AS "oOrderstatus", o_totalprice AS "oTotalprice", strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "oOrderdate",
+            o_orderpriority AS "oOrderpriority" FROM orders""",
     "a10_edge_sink": _EDGES,
     "a11_csv_staging": f"""
-        SELECT 'node' AS kind, 'Customer' AS type, CAST(c_custkey AS VARCHAR) AS start_id, c_name AS end_id FROM customer
-        UNION ALL SELECT 'edge', rel_type, from_key, to_key FROM ({_EDGES})""",
+        SELECT 'node' AS kind, 'Region' AS type, CAST(r_regionkey AS VARCHAR) AS start_id, NULL AS end_id, concat_ws('|', r_regionkey, r_name) AS cells FROM region
+        UNION ALL SELECT 'node', 'Nation', CAST(n_nationkey AS VARCHAR), NULL, concat_ws('|', n_nationkey, n_name, n_regionkey) FROM nation
+        UNION ALL SELECT 'node', 'Customer', CAST(c_custkey AS VARCHAR), NULL, concat_ws('|', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) FROM customer
+        UNION ALL SELECT 'node', 'Orders', CAST(o_orderkey AS VARCHAR), NULL,
+            concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority) FROM orders
+        UNION ALL SELECT 'edge', rel_type, from_key, to_key, 'N:1' FROM ({_EDGES})""",
     "a12_clear_target": f"""
         SELECT 'append' AS target, 'nodes' AS what, 2 * count(*) AS n FROM customer
         UNION ALL SELECT 'replace', 'nodes', count(*) FROM customer

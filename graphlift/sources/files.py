@@ -42,10 +42,12 @@ def read_jdbc(
     fetch_size: int = 10_000,
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Table over JDBC, split on the range of an integer, date or timestamp key.
+    """Table over JDBC, split on the range of an integer, date or timestamp key, or on the order of a text key.
 
-    The bounds are asked of the database itself (one aggregate row), so each of the
-    ``partitions`` tasks reads its own key range. Filters and column selection are pushed down.
+    The bounds are asked of the database itself: two of them for a key that can be divided, so each
+    of the ``partitions`` tasks reads an equal part of the range; for any other key the least one of
+    every ``partitions``-th of the rows, so each task reads as many rows. Every row is read once, those
+    without a key by the first task. Filters and column selection are pushed down.
     """
     options = {**(properties or {}), "fetchsize": str(fetch_size)}
     if key is None or partitions <= 1:
@@ -56,6 +58,27 @@ def read_jdbc(
     lower, upper = bounds[0], bounds[1]
     if lower is None:
         return spark.read.jdbc(url, table, properties=options)
+    if isinstance(lower, str):
+        tiles = f"SELECT {key} AS k, NTILE({int(partitions)}) OVER (ORDER BY {key}) AS part FROM {table} WHERE {key} IS NOT NULL"
+        first = spark.read.jdbc(url, f"(SELECT part, MIN(k) AS k FROM ({tiles}) tiles GROUP BY part) key_bounds", properties=options)
+        firsts = [r[1] for r in sorted(first.collect(), key=lambda r: r[0])]
+        return spark.read.jdbc(url, table, predicates=text_ranges(key, firsts, backslash=url.startswith("jdbc:mysql")), properties=options)
     return spark.read.jdbc(
         url, table, column=key, lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=options
     )
+
+
+def text_ranges(key: str, firsts: Iterable[str], *, backslash: bool = False) -> list[str]:
+    """Conditions that cut a text key into ranges that begin at these values; every row meets exactly one.
+
+    ``firsts`` come in the database's own order, in which it compares them too. ``backslash`` doubles
+    that character, for databases that take it as an escape inside texts.
+    """
+    cuts = list(dict.fromkeys(firsts))[1:]
+    if backslash:
+        cuts = [c.replace("\\", "\\\\") for c in cuts]
+    texts = ["'" + c.replace("'", "''") + "'" for c in cuts]
+    if not texts:
+        return ["1 = 1"]
+    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(texts, texts[1:])]
+    return [f"{key} < {texts[0]} OR {key} IS NULL", *inner, f"{key} >= {texts[-1]}"]

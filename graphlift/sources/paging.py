@@ -72,10 +72,12 @@ def _with_range(df: DataFrame, key: Sequence[str], rows_per_range: int) -> DataF
     ranged = df.withColumn("_range", _coarse_range(df, key, coarse, n))
     if ranges == coarse:
         return ranged
-    # Each coarse range is split on its own: its part of the sample is sorted where it is collected, and every
-    # _SAMPLES_PER_RANGE-th key is a split point. The table has a row per coarse range.
-    sample = ranged.select("_range", _point(df, key).alias("_key")).sample(min(1.0, ranges * _SAMPLES_PER_RANGE / n), seed=11)
-    every = F.expr(f"filter(_all, (x, i) -> i % {_SAMPLES_PER_RANGE} = {_SAMPLES_PER_RANGE - 1})")
+    # Each coarse range is split on its own: its part of the sample is sorted where it is collected, and a key is a
+    # split point after as many as a range is expected to have in it. The table has a row per coarse range.
+    share = min(1.0, ranges * _SAMPLES_PER_RANGE / n)
+    apart = max(1, round(share * n / ranges))
+    sample = ranged.select("_range", _point(df, key).alias("_key")).sample(share, seed=11)
+    every = F.expr(f"filter(_all, (x, i) -> i % {apart} = {apart - 1})")
     cuts = scratch_table(
         sample.groupBy("_range").agg(F.array_sort(F.collect_list("_key")).alias("_all")).select(F.col("_range").alias("_coarse"), every.alias("_cuts"))
     )

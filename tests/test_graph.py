@@ -236,3 +236,83 @@ def test_loose_rule_builds(blog, people):
     g = build_graph(people, rule="as_coded")
     assert {e.fk.name: e.rel_type for e in g.edge_types}["item_order"] == "IS_A_ORDER"
     assert {e.rel_type for e in build_graph(blog, rule="as_coded").edge_types} == {"USED_BY", "POST_TAGS"}
+
+
+# -- hot and missing keys ---------------------------------------------------------------------
+
+
+def largest_and_mean(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes), sum(sizes) / len(sizes)
+
+
+def test_rows_without_a_key_are_dealt_out(spark):
+    big = spark.range(100_000).selectExpr("IF(id % 10 = 0, id, NULL) AS k", "id")
+    small = spark.range(1000).selectExpr("id * 10 AS sk", "id AS w")
+    confs = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    old = {c: spark.conf.get(c) for c in confs}
+    for c, v in confs.items():
+        spark.conf.set(c, v)
+    try:
+        joined = E.hub_join(big, small, "k", "sk", how="left")
+        most, mean = largest_and_mean(joined)
+        assert joined.count() == 100_000 and most < 2 * mean
+        assert E.hub_join(big, small, "k", "sk", how="left_anti").count() == 99_000
+        assert E.hub_join(big, small, "k", "sk").count() == 1000
+        hub = spark.range(100_000).selectExpr("IF(id % 10 = 0, id, 7) AS k", "id")
+        spread = E.hub_join(hub, small.withColumn("sk", F.col("w") + 7), "k", "sk", hot_rows=5000)
+        plain = hub.join(small.withColumn("sk", F.col("w") + 7), F.col("k") == F.col("sk"))
+        assert spread.count() == plain.count()
+        most, mean = largest_and_mean(spread)
+        assert most < 4 * mean < largest_and_mean(plain)[0]
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_the_list_of_hot_keys_is_bounded(spark, monkeypatch):
+    df = spark.range(30_000).selectExpr("IF(id % 3 = 0, -1, id % 3000) AS k")
+    assert E.hot_keys(df, "k", 5000).collect()[0]["_parts"] == 2
+    assert E.hot_keys(df, "k", 1).count() <= E.MOST_HOT
+    assert E.hot_keys(df.where("k > 99999"), "k").count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hub_join_of_keys_of_different_types(spark, how):
+    big = spark.range(300).selectExpr("CAST(id % 7 AS DECIMAL(10, 2)) AS k", "id")
+    small = spark.range(5).selectExpr("CAST(id AS INT) AS sk", "id AS w")
+    want = big.join(small, big["k"] == small["sk"], how)
+    for hot_rows in (1, 20):
+        got = E.hub_join(big, small, "k", "sk", how=how, hot_rows=hot_rows)
+        assert Counter(map(str, got.collect())) == Counter(map(str, want.collect()))
+
+
+# -- labels -----------------------------------------------------------------------------------
+
+
+def test_two_superclasses(spark):
+    from graphlift import ForeignKey, Source, merge_inheritance
+    from graphlift.operators import checks as CK
+
+    ids = lambda *v: spark.createDataFrame([(x,) for x in v], "id long")
+    tables = {"person": ids(1, 2, 3, 4), "student": ids(1, 2), "employee": ids(2, 3), "tutor": ids(2), "account": ids(2, 9)}
+    links = [("student", "person"), ("employee", "person"), ("tutor", "student"), ("tutor", "employee"), ("tutor", "account")]
+    s = Source(spark, tables, primary_keys={t: ("id",) for t in tables}, foreign_keys=tuple(ForeignKey(f"{a}_{b}", a, "id", b, "id") for a, b in links))
+    g = merge_inheritance(build_graph(s))
+    assert sorted(g.nodes) == ["Account", "Person"]
+    got = {r.id: sorted(r.labels) for r in g.nodes["Person"].collect()}
+    assert got == {1: ["Person", "Student"], 2: ["Account", "Employee", "Person", "Student", "Tutor"], 3: ["Employee", "Person"], 4: ["Person"]}
+    assert [(r.rel_type, r.from_label, r.to_label, r.from_key) for r in g.edges.collect()] == [("IS_A_ACCOUNT", "Person", "Account", "2")]
+    assert all(r.is_match for r in CK.reconcile_counts(s, g).collect()) and CK.reconcile_counts(s, g).count() == 5
+
+
+def test_one_key_column_with_two_foreign_keys_is_no_junction(spark):
+    from graphlift import ForeignKey, Source
+
+    ids = lambda *v: spark.createDataFrame([(x,) for x in v], "id long")
+    s = Source(
+        spark, {"a": ids(1, 2), "b": ids(1, 3), "c": ids(1)}, primary_keys={t: ("id",) for t in "abc"},
+        foreign_keys=(ForeignKey("c_a", "c", "id", "a", "id"), ForeignKey("c_b", "c", "id", "b", "id")),
+    )
+    for rule in ("shared_key", "as_coded"):
+        assert sorted(build_graph(s, rule=rule).nodes) == ["A", "B", "C"]

@@ -102,3 +102,63 @@ def test_counts(uni):
     assert h[("node", None)] == 12 and h[("edge", None)] == 9 and h[("edge", "WORKS_IN")] == 5
     assert [r.node_key for r in M.graph_sample(uni, 3).collect()] == ["10", "11", "12"]
     assert {r.rel_type for r in M.types_of_label(uni, "Students").collect()} == {"ENROLLMENTS"}
+
+
+def plain_count(graph, pattern, where=None, per=None):
+    text = " AND ".join(f"({c})" for c in (where or {}).values()) or None
+    rows = match(graph, pattern, where=text, returns={"k": f"{pattern[0].var}.node_key"}).collect()
+    return sorted((k, sum(r.k == k for r in rows)) for k in {r.k for r in rows}) if per else len(rows)
+
+
+@pytest.fixture
+def crowd(spark):
+    """People with a home club and memberships, one of them twice in one club."""
+    from graphlift import ForeignKey
+
+    rows = lambda text, data: spark.createDataFrame(data, text)
+    s = Source(
+        spark,
+        {
+            "club": rows("cid int, city string", [(1, "x"), (2, "y"), (3, "x")]),
+            "person": rows("pid int, age int, home int", [(i, 20 + i, 1 + i % 2) for i in range(6)]),
+            "member": rows("pid int, cid int, since int", [(0, 1, 7), (1, 1, 8), (1, 2, 9), (2, 1, 7), (2, 1, 8), (4, 3, 1)]),
+        },
+        primary_keys={"club": ("cid",), "person": ("pid",), "member": ("pid", "cid")},
+        foreign_keys=(
+            ForeignKey("home", "person", "home", "club", "cid"), ForeignKey("mp", "member", "pid", "person", "pid"),
+            ForeignKey("mc", "member", "cid", "club", "cid"),
+        ),
+    )
+    return build_graph(s, assume_complete=True)
+
+
+@pytest.mark.parametrize("where", [{}, {"p": "p.age > 21"}, {"c": "c.city = 'x'", "q": "q.age < 24"}])
+@pytest.mark.parametrize("kind", ["home", "member", "mixed", "one", "long"])
+def test_counts_equal_the_paths(crowd, kind, where):
+    home = next(e.rel_type for e in crowd.edge_types if e.fk.name == "home")
+    member = next(e.rel_type for e in crowd.edge_types if e.fk.table == "member")
+    p, c, q = node("p", "Person"), node("c", "Club"), node("q", "Person")
+    pattern = {
+        "home": [p, step(home), c, step(home, "in"), q],
+        "member": [p, step(member), c, step(member, "in"), q],
+        "mixed": [p, step(home), c, step(member, "in"), q],
+        "one": [p, step(member), c],
+        "long": [q, step(home), c, step(member, "in"), p],
+    }[kind]
+    names = {n.var for n in pattern[0::2]}
+    used = {k: v for k, v in where.items() if k in names}
+    inner = {k: v.replace(f"{k}.", "") for k, v in used.items()}
+    assert M.count_paths(crowd, pattern, where=inner).first().n == plain_count(crowd, pattern, used)
+    per = sorted((r.node_key, r.n) for r in M.count_paths(crowd, pattern, where=inner, per_start=True).collect())
+    assert per == plain_count(crowd, pattern, used, per=True)
+
+
+def test_counts_refuse_what_they_cannot_tell_apart(crowd):
+    home = next(e.rel_type for e in crowd.edge_types if e.fk.name == "home")
+    p, c, q = node("p", "Person"), node("c", "Club"), node("q", "Person")
+    with pytest.raises(ValueError):
+        M.count_paths(crowd, [p, step(home), c, step(home, "in"), q, step(home), node("d", "Club")])
+    with pytest.raises(ValueError):
+        M.count_paths(crowd, [p, step(home), c], where={"z": "1 = 1"})
+    with pytest.raises(ValueError):
+        M.count_paths(crowd, [p])

@@ -101,3 +101,52 @@ def test_jdbc_is_split_on_the_key_range():
     plain = FakeReader(None)
     files.read_jdbc(plain, "u", "t")
     assert len(plain.calls) == 1
+
+
+class TextReader:
+    """Stands in for a database: holds rows of a text key and answers the bounds and the conditions itself."""
+
+    def __init__(self, spark, keys):
+        self.df, self.spark, self.parts = spark.createDataFrame([(k,) for k in keys], "k string"), spark, None
+        self.df.createOrReplaceTempView("texts_here")
+
+    @property
+    def read(self):
+        return self
+
+    def jdbc(self, url, table, *, predicates=None, properties=None):
+        if predicates is None:
+            return self.spark.sql(f"SELECT * FROM {table}")
+        self.parts = [self.df.where(p) for p in predicates]
+        return self.parts[0] if len(self.parts) == 1 else self.parts[0].unionByName(self.parts[1]) if len(self.parts) == 2 else None
+
+
+@pytest.mark.parametrize("keys", [[f"k{i:03d}" for i in range(100)], ["a"] * 30 + ["b'c", "d\\e", None, None], ["only"], ["x", None]])
+def test_jdbc_split_of_a_text_key_sees_every_row_once(spark, keys):
+    old = spark.conf.get("spark.sql.parser.escapedStringLiterals")
+    spark.conf.set("spark.sql.parser.escapedStringLiterals", "true")  # as in most databases, a backslash is itself
+    try:
+        reader = TextReader(spark, keys)
+        files.read_jdbc(reader, "jdbc:postgresql://h/d", "texts_here", key="k", partitions=4)
+        got = [r.k for p in reader.parts for r in p.collect()]
+    finally:
+        spark.conf.set("spark.sql.parser.escapedStringLiterals", old)
+    assert sorted(map(str, got)) == sorted(map(str, keys))
+    if len(keys) == 100:
+        assert [p.count() for p in reader.parts] == [25] * 4
+
+
+def test_text_ranges_escape():
+    assert files.text_ranges("k", ["a", "o'x\\", "o'x\\", "z"], backslash=True) == ["k < 'o''x\\\\' OR k IS NULL", "k >= 'o''x\\\\' AND k < 'z'", "k >= 'z'"]
+    assert files.text_ranges("k", []) == files.text_ranges("k", ["a"]) == ["1 = 1"]
+
+
+@pytest.mark.parametrize("columns", [["k.y"], ["a.b", "k.y"]])
+def test_many_ranges_and_dotted_names(spark, monkeypatch, columns):
+    monkeypatch.setattr(paging, "_COARSE_RANGES", 8)
+    df = spark.range(3000).selectExpr("hex(xxhash64(id)) AS `k.y`", "id % 3 AS `a.b`")
+    numbered = paging.with_row_number(df, columns, rows_per_range=10)
+    got = [(tuple(r[c] for c in columns), r.row_number) for r in numbered.collect()]
+    assert [k for k, _ in sorted(got, key=lambda r: r[1])] == sorted(k for k, _ in got) and sorted(n for _, n in got) == list(range(3000))
+    ranged = paging._with_range(df, columns, 10).groupBy("_range").count().collect()
+    assert len(ranged) > 200 and max(r["count"] for r in ranged) < 60
