@@ -42,17 +42,22 @@ def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     return table
 
 
-def discard(*tables: DataFrame) -> None:
-    """Removes stored tables that nothing will read again, and lets Spark remove what was shuffled to make later ones.
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove what was shuffled for tables that stand by now.
 
-    Spark keeps the shuffle files of a plan until the driver's JVM finds that nobody holds the plan any more.
+    It keeps the shuffle files of a plan until the driver's JVM finds that nobody holds the plan any more.
     """
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing will read again, and what was shuffled to make later ones."""
+    spark = tables[0].sparkSession
+    for df in tables:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    release(spark)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, require_columns, stored
+from .common import discard, release, require_columns, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -429,13 +429,16 @@ class Join:
     def links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs that are similar enough: overlaps per fragment, summed per pair."""
         pairs = stored(pairs, "pairs")
+        release(self.spark)
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         segments = stored(self.segments(nodes.join(ends, "node", "left_semi")), "segments")
+        del ends
+        release(self.spark)
         side = lambda end, name: segments.select(F.col("node").alias(end), "fragment", F.col("segment").alias(name))
         partial = pairs.join(side("a", "s_a"), "a").join(side("b", "s_b"), ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("k"))
         overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
         links = stored(overlap.where(similar(F.col("k"), F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b"), "links")
-        del ends, partial, overlap
+        del partial, overlap, side
         discard(pairs, segments)
         return links
 
@@ -443,6 +446,7 @@ class Join:
         """(node, root): the component of every node. Tables go as soon as the next ones stand."""
         nodes = stored(self.sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
         lists = self.lists()
+        release(self.spark)
         pairs, leaders, met = self.first_pairs(lists)
         first = self.links(pairs, nodes)
         del pairs
