@@ -51,7 +51,7 @@ def _text(data_type: T.DataType, name: str) -> str:
     return f"CASE WHEN length({text}) > 64 THEN concat('#', sha2({text}, 256)) ELSE {text} END" if isinstance(data_type, T.StringType) else text
 
 
-def _value(source: Source, columns: Columns) -> str:
+def value_text(source: Source, columns: Columns) -> str:
     """One text per value of a column or tuple; null where a part is null."""
     schema = source[columns[0]].schema
     parts = [_text(schema[c].dataType, c) for c in columns[1]]
@@ -72,7 +72,7 @@ def _sketches(source: Source, attributes: Sequence[Columns]) -> DataFrame:
     for t, numbers in by_table.items():
         schema, aggs, rows = source[t].schema, [], []
         for i in numbers:
-            value = _value(source, attributes[i])
+            value = value_text(source, attributes[i])
             aggs += [f"count({value}) AS n{i}", f"theta_sketch_agg(xxhash64({value}), {SKETCH_SIZE}) FILTER (WHERE {value} IS NOT NULL) AS s{i}"]
             low = high = low_text = high_text = "NULL"
             if len(attributes[i][1]) == 1:
@@ -112,7 +112,7 @@ def _included(source: Source, attributes: Sequence[Columns]) -> tuple[list[int],
     words = range((len(attributes) + _WORD - 1) // _WORD)
     by_table: dict[str, list[str]] = {}
     for i, a in enumerate(attributes):
-        by_table.setdefault(a[0], []).append(f"struct({literal(_kind_of(source, a))} AS kind, {_value(source, a)} AS value, {i} AS i)")
+        by_table.setdefault(a[0], []).append(f"struct({literal(_kind_of(source, a))} AS kind, {value_text(source, a)} AS value, {i} AS i)")
     held = union_all(source[t].selectExpr(f"inline(array({', '.join(rows)}))") for t, rows in by_table.items()).where("value IS NOT NULL")
     bits = [f"CASE WHEN i DIV {_WORD} = {w} THEN shiftleft(1L, i % {_WORD}) ELSE 0L END AS w{w}" for w in words]
     sets = (

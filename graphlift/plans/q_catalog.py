@@ -352,7 +352,7 @@ ORACLES = {
         for t, x, columns in (
             ("lineitem", "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]),
             ("supplier_part", SUPPLIER_PART, ["suppkey", "partkey"]),
-            ("part", "part", ["p_partkey", "p_size"]),
+            ("part", "part", ["p_partkey", "p_size"]), ("supplier", "supplier", ["s_suppkey", "s_nationkey"]),
         )
         for a in columns for b in columns if a != b and (t, a) != ("supplier_part", "suppkey")
     ),

@@ -132,3 +132,23 @@ def test_wide_tables_shrink_the_whole_set(spark, monkeypatch):
     df = spark.createDataFrame([(a, b, 0, c) for a, b, c in product(range(6), range(6), range(6))], "a int, b int, x int, c int")
     assert P.discover_primary_key(df) == ("a", "b", "c")
     assert P.discover_primary_key(df.unionByName(df)) == ()
+
+
+def test_distinct_counts_of_integers(spark):
+    import random
+
+    r = random.Random(4)
+    far = [-(2**63), 2**63 - 1, -1, 0, 63, 64, -64, -65]
+    columns = {
+        "x": pa.array([r.choice([*far, None, r.randint(-200, 200)]) for _ in range(500)], pa.int64()),
+        "y": pa.array([r.choice([None, *range(-128, 128)]) for _ in range(500)], pa.int8()),
+        "z": pa.array([None] * 500, pa.int32()),
+        "k": pa.array(r.sample(range(-250, 250), 500), pa.int16()),
+        "t": pa.array([r.choice("abc") for _ in range(500)], pa.string()),
+    }
+    s = Source(spark, {"t": spark.createDataFrame(pa.table(columns)).repartition(5), "none": spark.createDataFrame([], "a int, b string")})
+    got = {r.column_name: (r.ndv, r.is_unique) for r in P.column_profile(s).collect()}
+    want = {c: (len(set(v.drop_null().to_pylist())), c == "k") for c, v in columns.items()}
+    assert got == want | {"a": (0, False), "b": (0, False)}
+    assert {r.column_name for r in P.unique_columns(s).collect()} == {"k"}
+    assert [(r.column_name, r.first_value, r.last_value) for r in P.auto_increment_columns(s).collect()] == [("k", -250, 249)]
