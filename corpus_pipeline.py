@@ -9,13 +9,24 @@ from graphlift.llm import decontaminate, jaccard, packing, queries, secrets, tox
 from graphlift.llm.common import stored, table
 
 
+#: Rows that Spark hands to Python at once. Executors keep the heap that one stage has grown while the next one's
+#: Python workers hold such batches, so they are a fifth of Spark's default here.
+BATCH = "2000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. The model learns from the labelled ones among docs."""
+    _small_batches(spark)
     return toxicity.drop_toxic(docs, queries.toxicity_model(spark, sf_dir, docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays: the one with the least id."""
+    _small_batches(spark)
     return jaccard.keep_one_per_group(docs)
 
 
@@ -26,11 +37,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind in brackets; every document stays."""
+    _small_batches(spark)
     return secrets.redact_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens, mixed by source."""
+    _small_batches(spark)
     return packing.piece_digest(packing.pack(docs, public_tokenizers.path(queries.VOCABULARY), size=1024))
 
 
