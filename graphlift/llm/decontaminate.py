@@ -182,6 +182,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """The rows of docs, with all columns, that hold no benchmark item. Rows with a null id stay."""
+    """The rows of docs, with all columns, that hold no benchmark item.
+
+    Rows with a null id stay, and rows with a null or empty text. Repeated rows go or stay alike; all rows of
+    an id go if one of its texts holds an item. An empty table gives an empty result, an empty benchmark
+    all rows. Whole texts are searched, however long.
+    """
     found = contaminations(docs, benchmark, id_col=id_col, text_col=text_col, **names).select(F.col("doc_id").alias("__found")).distinct()
     return docs.join(found, docs[id_col] == found["__found"], "left_anti")

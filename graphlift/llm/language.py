@@ -110,8 +110,9 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """One row per row of docs: doc_id, lang_pred, score (0 to 1).
 
     A null text, or one without a letter, is ``und`` with score 0. Any other has the most likely learned
-    language; ties go to the first by name. Whole texts are judged. Ids may be null or repeated; other
-    columns are not looked at. A model without languages finds ``und`` everywhere.
+    language; ties go to the first by name. Whole texts are judged, however long. Ids may be null or repeated,
+    and repeated rows are judged alike; an empty table gives an empty result; other columns are not looked
+    at. A model without languages finds ``und`` everywhere.
     """
     require_columns(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

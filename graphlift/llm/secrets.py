@@ -138,7 +138,9 @@ def scanner() -> Scanner:
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, spans (array of start, kind, end; code points, end exclusive).
 
-    A null or empty text has no spans. Ids may be null or repeated; other columns are not looked at.
+    A null or empty text has no spans. Ids may be null or repeated, and repeated rows have the same spans; an empty
+    table gives an empty result; other columns are not looked at. Whole texts are scanned, in time that grows in
+    proportion to their length.
     """
     require_columns(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -178,7 +180,8 @@ def redact(text: str, spans: list[tuple[int, str, int]]) -> str:
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """All rows and columns of docs, with secrets in the text replaced by their kind in brackets.
 
-    Null texts stay null. ``length_col``, if there is one, is set anew for changed texts only.
+    Null and empty texts stay as they are, and so do ids, nulls and repeated rows; an empty table gives an empty
+    result. ``length_col``, if there is one, is set anew for changed texts only. Whole texts are scanned.
     """
     require_columns(docs, text_col)
 

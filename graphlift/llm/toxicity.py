@@ -147,8 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
 def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, score (0 to 1) and predicted (1 if the score is 0.5 or more).
 
-    A null text is scored as an empty one. Ids may be null or repeated; other columns are not looked at.
-    Whole texts are compressed, window by window.
+    A null text is scored as an empty one. Ids may be null or repeated, and repeated rows are scored alike; an
+    empty table gives an empty result; other columns are not looked at. Whole texts are compressed, window by
+    window, so a very long one takes time in proportion and no more memory than itself.
     """
     require_columns(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -159,7 +160,11 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that are not predicted toxic. Null and empty texts are judged as empty."""
+    """The rows of docs, with all columns, that are not predicted toxic.
+
+    Null and empty texts are judged as empty. Repeated rows go or stay alike; an empty table gives an empty
+    result; ids and other columns are not looked at. Whole texts are judged, however long.
+    """
     require_columns(docs, text_col)
 
     @F.arrow_udf("boolean")

@@ -29,7 +29,7 @@ def test_verbatim_and_asked_anew(spark):
         (6, ITEM.replace("apples", "pears")), (7, None), (8, ""), (None, ITEM), (1, "Some words before. " + ITEM + " Some words after."), (9, "w " * 20_000 + ITEM), (10, "quite another text of no interest at all for any test here"),
     ]
     got = found(spark, texts)
-    assert {d for d, _ in got} == {1, 2, 9} | ({4} if (4, 1) in got else set())
+    assert {d for d, _ in got} == {1, 2, 4, 9}
     assert got[1, 1].n_changed == 0 and got[2, 1].n_changed >= 3 and got[9, 1].begin == 20_000
 
 
