@@ -212,6 +212,11 @@ def _key_hash(df: DataFrame, key: str, kind: str | None = None) -> str:
     return f"xxhash64(CAST({value}{' + 0' if plain else ''} AS STRING))"  # -0.0 is 0.0
 
 
+def same_hash(a: T.DataType, b: T.DataType) -> bool:
+    """Whether equal keys of two types have one ``_key_hash``."""
+    return a == b or isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType)
+
+
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, *, kind: str | None = None) -> DataFrame:
     """``(_hot, _parts)``: hashes of keys with about ``hot_rows`` rows or more, and the parts they are cut into.
 
@@ -254,7 +259,7 @@ def hub_join(
     if how in ("inner", "left_semi"):
         big = big.where(_q(big_key).isNotNull())
     kinds, kind = [big.schema[big_key].dataType, small.schema[small_key].dataType], None
-    if kinds[0] != kinds[1] and not all(isinstance(k, T.IntegralType) for k in kinds):
+    if not same_hash(*kinds):
         # Equal keys must be equal as text as well, on which the parts of a key depend.
         kind = big.select(_q(big_key)).union(small.select(_q(small_key))).schema[0].dataType.simpleString()
     if hot is None:

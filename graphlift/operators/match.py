@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..graph import Graph
 from ..sources.source import no_rows, union_all
-from .edges import HOT_ROWS, hot_keys, with_parts, with_salt
+from .edges import HOT_ROWS, hot_keys, same_hash, with_parts, with_salt
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def match(
         if way is not None:
             fk = f"_fk:{way[0]}"
             on = F.col(f"{child.var}.`{fk}`") == F.col(f"{parent.var}.{way[1]}")
-            if spread:
+            if spread and same_hash(graph.carriers[child.label].schema[fk].dataType, frames[parent.var].schema[way[1]].dataType):
                 hot = hot_keys(graph.carriers[child.label], fk, hot_rows)
                 frames[child.var] = with_salt(frames[child.var], fk, hot, f"_salt{i}", by=["node_key"])
                 frames[parent.var] = with_parts(frames[parent.var], way[1], hot, f"_part{i}")

@@ -162,3 +162,16 @@ def test_counts_refuse_what_they_cannot_tell_apart(crowd):
         M.count_paths(crowd, [p, step(home), c], where={"z": "1 = 1"})
     with pytest.raises(ValueError):
         M.count_paths(crowd, [p])
+
+
+def test_spread_steps_between_keys_of_different_types(spark):
+    from graphlift import ForeignKey
+
+    parent = spark.range(4).selectExpr("CAST(id AS INT) AS id", "concat('p', id) AS name")
+    child = spark.range(40).selectExpr("id AS n", "CAST(id % 3 AS DECIMAL(9, 1)) AS parent")
+    s = Source(spark, {"parent": parent, "child": child}, primary_keys={"parent": ("id",), "child": ("n",)}, foreign_keys=(ForeignKey("f", "child", "parent", "parent", "id"),))
+    g = build_graph(s)
+    pattern = [node("c", "Child"), step(g.edge_types[0].rel_type), node("p", "Parent")]
+    for spread in (False, True):
+        assert match(g, pattern, spread=spread, hot_rows=5).count() == 40
+    assert sorted({r.to_key for r in g.edges.collect()}) == ["0", "1", "2"]
