@@ -4,9 +4,9 @@ Batches need every row's global position. No global sort with an unpartitioned w
 rows are put into ranges of the key, the ranges are counted (map-side combined), a running total
 over the ranges gives each range its offset, and rows are numbered inside their range only.
 
-Ranges come from two levels of split points, so that there can be as many as the rows need: some
-hundred coarse ones from a sample of fixed size, and in each of them as many as it has room for from a
-sample that the executors sort.
+Up to some hundred ranges come from literal split points of a sample of fixed size. For more, Spark deals
+the rows out by ranges of the key, as many as the rows need; each part is sorted and its rows are numbered
+where they lie. No task and no row holds the keys of others.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from ..functions.values import quoted
 from .scratch import scratch_table
 
 _SAMPLES_PER_RANGE = 64
-#: Ranges of the first level; more are made by splitting these.
+#: Ranges that are told apart by literal split points. Above that rows are dealt out in at least so many parts, of so many rows.
 _COARSE_RANGES = 256
+_PART_ROWS = 1_000_000
 
 
 def _q(name: str) -> Column:
@@ -72,22 +73,14 @@ def _with_range(df: DataFrame, key: Sequence[str], rows_per_range: int) -> DataF
     ranged = df.withColumn("_range", _coarse_range(df, key, coarse, n))
     if ranges == coarse:
         return ranged
-    # Each coarse range is split on its own: its part of the sample is sorted where it is collected, and a key is a
-    # split point after as many as a range is expected to have in it. The table has a row per coarse range.
-    share = min(1.0, ranges * _SAMPLES_PER_RANGE / n)
-    apart = max(1, round(share * n / ranges))
-    sample = ranged.select("_range", _point(df, key).alias("_key")).sample(share, seed=11)
-    every = F.expr(f"filter(_all, (x, i) -> i % {apart} = {apart - 1})")
-    cuts = scratch_table(
-        sample.groupBy("_range").agg(F.array_sort(F.collect_list("_key")).alias("_all")).select(F.col("_range").alias("_coarse"), every.alias("_cuts"))
-    )
-    widest = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 0
-    steps = widest.bit_length()
-    ranged = ranged.join(cuts, ranged["_range"].eqNullSafe(cuts["_coarse"]), "left").withColumn("_key", _point(df, key)).withColumn("_fine", F.lit(0))
-    for step in (1 << i for i in reversed(range(steps))):
-        # A binary search, one halving at a time: _fine counts the split points that are not above the key.
-        ranged = ranged.withColumn("_fine", F.expr(f"CASE WHEN _fine + {step} <= size(_cuts) AND _cuts[_fine + {step} - 1] <= _key THEN _fine + {step} ELSE _fine END"))
-    return ranged.withColumn("_range", F.col("_range") * (widest + 1) + F.col("_fine")).drop("_coarse", "_cuts", "_key", "_fine")
+    # Too many for literal split points: Spark deals the rows out by their key and sorts each part, where a row's place is
+    # known as soon as it stands. Written once, since the parts depend on a sample that is drawn anew for every plan.
+    parts = max(coarse, -(-n // _PART_ROWS))
+    # A row is numbered within its task from 0, below the 33 bits that hold the task.
+    place = F.monotonically_increasing_id()
+    placed = scratch_table(df.repartitionByRange(parts, *map(_q, key)).sortWithinPartitions(*map(_q, key)).withColumn("_place", place))
+    placed = placed.withColumn("_part", F.shiftright("_place", 33)).withColumn("_place", F.col("_place").bitwiseAND((1 << 33) - 1))
+    return placed.withColumn("_range", F.shiftleft("_part", 33) + F.expr(f"_place div {rows_per_range}"))
 
 
 def with_row_number(df: DataFrame, key: Sequence[str], *, rows_per_range: int = 1_000_000) -> DataFrame:
@@ -95,12 +88,17 @@ def with_row_number(df: DataFrame, key: Sequence[str], *, rows_per_range: int =
     single_integer = len(key) == 1 and isinstance(df.schema[key[0]].dataType, T.IntegralType)
     part = _integer_range(df, key[0], rows_per_range) if single_integer else None
     ranged = _with_range(df, key, rows_per_range) if part is None else df.withColumn("_range", part)
-    # One row per range: about rows / rows_per_range of them.
+    placed = "_place" in set(ranged.columns) - set(df.columns)
+    unit = "_part" if placed else "_range"
+    # One row per range, or per part where there are many ranges.
     offsets = (
-        ranged.groupBy("_range")
+        ranged.groupBy(unit)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(F.col("_range").alias("_at"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_offset"))
+        .select(F.col(unit).alias("_at"), (F.sum("_n").over(Window.orderBy(unit)) - F.col("_n")).alias("_offset"))
     )
+    if placed:
+        numbered = ranged.join(F.broadcast(offsets), ranged["_part"] == offsets["_at"])
+        return numbered.withColumn("row_number", F.col("_offset") + F.col("_place")).drop("_range", "_part", "_place", "_at", "_offset")
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*map(_q, key))) - 1
     return (
         ranged.withColumn("_inside", inside)

@@ -150,3 +150,17 @@ def test_many_ranges_and_dotted_names(spark, monkeypatch, columns):
     assert [k for k, _ in sorted(got, key=lambda r: r[1])] == sorted(k for k, _ in got) and sorted(n for _, n in got) == list(range(3000))
     ranged = paging._with_range(df, columns, 10).groupBy("_range").count().collect()
     assert len(ranged) > 200 and max(r["count"] for r in ranged) < 60
+
+
+def test_many_ranges_put_no_keys_of_others_into_a_row_and_no_range_list_into_one_task(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(paging, "_COARSE_RANGES", 4)
+    monkeypatch.setattr(paging, "scratch_table", lambda df, f=paging.scratch_table: stored.append(df) or f(df))
+    df = spark.range(2000).selectExpr("IF(id = 5, NULL, hex(xxhash64(id))) AS k", "id AS v")
+    got = paging.with_row_number(df, ["k"], rows_per_range=1).collect()
+    want = sorted((r for r in df.collect()), key=lambda r: (r.k is not None, r.k or ""))
+    assert [(r.k, r.v) for r in sorted(got, key=lambda r: r.row_number)] == [(r.k, r.v) for r in want]
+    assert sorted(r.row_number for r in got) == list(range(2000))
+    assert stored and not any("array" in kind for s in stored for _, kind in s.dtypes)
+    ranged = paging._with_range(df, ["k"], 1)
+    assert ranged.select("_part").distinct().count() <= 4
