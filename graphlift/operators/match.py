@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..graph import Graph
 from ..sources.source import no_rows, union_all
-from .edges import HOT_ROWS, hot_keys, same_hash, with_parts, with_salt
+from .edges import HOT_ROWS, fk_edges, hot_keys, same_hash, with_parts, with_salt
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,14 @@ def _step_ends(graph: Graph, a: Node, s: Step, b: Node) -> DataFrame:
     """``(x, y)``: the keys at both ends of a step's edges, a's first."""
     child, parent = (a, b) if s.direction == "out" else (b, a)
     x, y = ("from_key", "to_key") if s.direction == "out" else ("to_key", "from_key")
-    return _edges(graph, child, s, parent).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    hits = [e for e in graph.edge_types if _fits(e, child, s, parent)]
+    of_user = set(graph.edge_sets) - {e.fk.table for e in graph.edge_types}
+    if len(hits) == 1 and hits[0].fk in graph.source.foreign_keys and child.label in graph.carriers and not of_user:
+        # One foreign key of a table: neither its other keys are looked up, nor parents, which are joined as nodes anyway.
+        edges = fk_edges(graph.source, hits[0].fk.table, hits)
+    else:
+        edges = _edges(graph, child, s, parent)
+    return edges.select(F.col(x).alias("x"), F.col(y).alias("y"))
 
 
 def _walked(graph: Graph, nodes: Sequence[Node], steps: Sequence[Step], where: Mapping[str, str]) -> DataFrame:

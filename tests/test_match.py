@@ -1,6 +1,6 @@
 import pytest
 
-from graphlift import Source, build_graph, collect_over_hub, match, node, step
+from graphlift import ForeignKey, Source, build_graph, collect_over_hub, match, node, step
 from graphlift.operators import match as M
 
 
@@ -175,3 +175,17 @@ def test_spread_steps_between_keys_of_different_types(spark):
     for spread in (False, True):
         assert match(g, pattern, spread=spread, hot_rows=5).count() == 40
     assert sorted({r.to_key for r in g.edges.collect()}) == ["0", "1", "2"]
+
+
+def test_counts_of_a_table_with_several_keys_join_none_of_their_parents(university):
+    from graphlift.operators.match import _step_ends
+
+    courses = university["courses"].selectExpr("*", "CAST(7 AS BIGINT) AS professor_id")
+    keys = (*university.foreign_keys, ForeignKey("course_professor", "courses", "professor_id", "professors", "professor_id"))
+    s = Source(university.spark, {**university.tables, "courses": courses}, primary_keys=university.primary_keys, foreign_keys=keys)
+    g = build_graph(s)
+    e = next(e for e in g.edge_types if e.fk.name == "course_department")
+    ends = _step_ends(g, node("c", "Courses"), step(e.rel_type), node("d", "Departments"))
+    assert "Join" not in ends._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.x, r.y) for r in ends.collect()) == [("10", "1"), ("11", "1"), ("12", "2")]
+    assert M.count_paths(g, [node("c", "Courses"), step(e.rel_type), node("d", "Departments")]).first().n == 3
