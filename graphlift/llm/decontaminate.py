@@ -30,7 +30,8 @@ UNITS = (
     "percent", "dollar", "dollars", "cent", "cents", "euro", "euros", "degree", "degrees", "kilometer", "kilometers", "kilometre", "kilometres",
 )
 
-_WORD = r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}\p{N}]+"
+# Numbers, and words that begin with a letter or mark. ASCII is named first, since Java looks properties up last.
+_WORD = r"[a-zA-Z\p{L}\p{M}][a-zA-Z0-9\p{L}\p{M}\p{N}]*|[0-9\p{N}]+(?:[.,][0-9\p{N}]+)*"
 
 
 def lower_words(text: Column) -> Column:
@@ -43,13 +44,22 @@ def marked_words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?:{_WORD})[.!?:]?"), F.lit(0))
 
 
+def _numeric(w: Column) -> Column:
+    """Whether a word begins with a number; plain comparisons spare ASCII words the pattern."""
+    return (w < ":") | ((w >= "\u0080") & w.rlike(r"^\p{N}"))
+
+
+def _capital(w: Column) -> Column:
+    return ((w < "a") | (w >= "{")) & w.rlike(r"^\p{Lu}\p{Ll}+")
+
+
 def _kinds(low: str, marked: str) -> Column:
     """Per word its placeholder, or the word. Names begin with one capital, inside a sentence."""
     return F.transform(
         F.col(low),
-        lambda w, i: F.when(w.rlike(r"^\p{N}"), NUMBER)
+        lambda w, i: F.when(_numeric(w), NUMBER)
         .when(w.isin(*UNITS), UNIT)
-        .when((i > 0) & F.get(F.col(marked), i).rlike(r"^\p{Lu}\p{Ll}+") & ~F.get(F.col(marked), i - 1).rlike(r"[.!?:]$"), NAME)
+        .when((i > 0) & _capital(F.get(F.col(marked), i)) & ~F.get(F.col(marked), i - 1).rlike(r"[.!?:]$"), NAME)
         .otherwise(w),
     )
 
@@ -123,11 +133,11 @@ def _starts(length: int) -> Column:
 
 def _windows(length: int, verbatim: bool) -> Column:
     """Windows of this length: verbatim ones, or templates and, of those with names, also the spelt ones."""
-    n = F.lit(length)
+    n, starts = F.lit(length), F.col(f"starts{length}")
     made = lambda starts, f: F.transform(starts, lambda s: F.struct(s.alias("begin"), *f(s, n)))
     if verbatim:
-        return made(_starts(length), _verbatim)
-    return F.concat(made(_starts(length), _template), made(F.filter(_starts(length), lambda s: _named(s, n)), _spelt))
+        return made(starts, _verbatim)
+    return F.concat(made(starts, _template), made(F.filter(starts, lambda s: _named(s, n)), _spelt))
 
 
 def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -135,7 +145,9 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     lengths = sorted((r.length, r.verbatim) for r in windows.select("length", "verbatim").distinct().collect())
     anchors = [r.anchor for r in windows.select("anchor").distinct().limit(MOST_ANCHORS + 1).collect()]
     everywhere = len(anchors) > MOST_ANCHORS
-    rows = docs.where("doc_id is not null").select("doc_id", "text", lower_words(F.col("text")).alias("low"))
+    # Exploded from an array of one: Spark puts a condition on words below a projection that makes them, and then makes
+    # them once for every mention.
+    rows = docs.where("doc_id is not null").select("doc_id", "text", F.explode(F.array(lower_words(F.col("text")))).alias("low"))
     rows = rows.where(F.lit(True) if everywhere else F.exists("low", lambda w: w.isin(anchors))).where("size(low) > 0")
     places = F.sequence(F.lit(0), F.size("low") - 1)
     hits = places if everywhere else F.filter(places, lambda i: F.get("low", i).isin(anchors))
@@ -143,6 +155,7 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     held = held.select("doc_id", F.xxhash64("text").alias("k"), "low", _kinds("low", "marked").alias("kinds"), hits.alias("hits"))
     if not lengths:
         return held.select("doc_id", "k", F.lit(0).alias("begin"), F.lit(0).cast("long").alias("h"), F.array().cast("array<string>").alias("doc_slots")).limit(0)
+    held = held.select("*", *[_starts(n).alias(f"starts{n}") for n in sorted({n for n, _ in lengths})])
     made = held.select("doc_id", "k", F.inline(F.flatten(F.array(*[_windows(*n) for n in lengths]))))
     return made.withColumnRenamed("slots", "doc_slots")
 

@@ -126,3 +126,16 @@ def test_stages_of_empty_and_odd_documents(spark, name):
     odd = docs(spark, [(1, None), (2, ""), (None, clean), (3, clean, None, "s")]).select(columns)
     out = stage(spark, odd, SF)
     assert {1, 2, 3} <= {r.doc_id for r in out.collect()} and (name == "packing" or out.columns == columns)
+
+
+def test_words_of_a_document_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "The Quick brown fox jumps over 3 lazy dogs, 1.5 Élan ٣x 3rd")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "quick brown fox jumps over 7 lazy dogs")], "item_id long, text string")
+    made = decontaminate.document_windows(docs, decontaminate.item_windows(items))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower") == 1
+    words = docs.select(decontaminate.lower_words(docs["text"]).alias("low"), decontaminate.marked_words(docs["text"]).alias("marked"))
+    row = words.select("low", decontaminate._kinds("low", "marked").alias("kinds")).first()
+    assert row.low == "the quick brown fox jumps over 3 lazy dogs 1.5 élan ٣ x 3 rd".split()
+    n = decontaminate.NUMBER
+    assert row.kinds == ["the", decontaminate.NAME, *"brown fox jumps over".split(), n, "lazy", "dogs", n, decontaminate.NAME, n, "x", n, "rd"]
