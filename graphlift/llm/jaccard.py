@@ -16,7 +16,7 @@ Hashes are 64 bits wide, of words, shingles and sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -319,6 +319,8 @@ class Join:
         lead = F.max(F.struct("k", F.xxhash64("node").alias("by"), F.col("node").alias("y"), F.col("n").alias("n_y")))
         leads = lists.join(each, "node").groupBy("h").agg(lead.alias("lead")).select("h", "lead.y", "lead.n_y")
         met = stored(lists.withColumnsRenamed({"node": "x", "n": "n_x"}).join(leads, "h"), "lists-with-leaders")
+        del each, leads
+        release(self.spark)
         most = met.groupBy("x", "y").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("leader"))
         pairs = _pairs(met.where((F.col("x") != F.col("y")) & _length_fits("n_x", "n_y", self.percent)), self.percent)
         return pairs, stored(most.select(F.col("x").alias("node"), "leader"), "leaders"), met
@@ -431,15 +433,20 @@ class Join:
         pairs = stored(pairs, "pairs")
         release(self.spark)
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        segments = stored(self.segments(nodes.join(ends, "node", "left_semi")), "segments")
+        segments = stored(self.segments(nodes.join(ends, "node", "left_semi")), "segments", by="fragment")
         del ends
         release(self.spark)
-        side = lambda end, name: segments.select(F.col("node").alias(end), "fragment", F.col("segment").alias(name))
-        partial = pairs.join(side("a", "s_a"), "a").join(side("b", "s_b"), ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("k"))
-        overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
+        partial = []
+        for f in range(FRAGMENTS):  # one at a time, so that the segments of one only are beside their table on disk
+            side = lambda end, name: segments.where(F.col("fragment") == f).select(F.col("node").alias(end), F.col("segment").alias(name))  # noqa: B023, E731
+            met = pairs.join(side("a", "s_a"), "a").join(side("b", "s_b"), "b")
+            partial.append(stored(met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("k")), "overlaps"))
+            del met
+            release(self.spark)
+        overlap = reduce(DataFrame.unionByName, partial).groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
         links = stored(overlap.where(similar(F.col("k"), F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b"), "links")
-        del partial, overlap, side
-        discard(pairs, segments)
+        del overlap
+        discard(pairs, segments, *partial)
         return links
 
     def components(self) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
 
-from graphlift.llm import components, jaccard, queries
+from graphlift.llm import common, components, jaccard, queries
 
 from helpers import SF, docs, table, words5
 
@@ -135,3 +136,27 @@ def test_prefix_bound_is_exact():
     for n in range(1, 200):
         need = -(-3 * n // 4)
         assert jaccard.prefix_size(n) == n - need + 1
+
+
+def test_release_frees_what_was_shuffled_last(spark):
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    common.release(spark)
+    time.sleep(1)
+    before = shuffled()
+    kept = common.stored(spark.range(0, 10_000, 1, 4).groupBy((jaccard.F.col("id") % 1000).alias("k")).count(), "counts")
+    assert shuffled() - before
+    common.release(spark)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and kept.count() == 1000
+
+
+def test_links_of_several_fragments(spark):
+    words = [f"w{i}" for i in range(90)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:44], "x", *words[45:]])), (3, " ".join(reversed(words))), (4, " ".join(words[:40]))]
+    assert found(jaccard.jaccard_components(docs(spark, rows))) == brute(rows)
