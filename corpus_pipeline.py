@@ -12,10 +12,13 @@ from graphlift.llm.common import stored, table
 #: Rows that Spark hands to Python at once. Executors keep the heap that one stage has grown while the next one's
 #: Python workers hold such batches, so they are a fifth of Spark's default here.
 BATCH = "2000"
+#: Rows of a batch that Spark reads from Parquet; a batch's texts lie in one array of the heap.
+READ = "512"
 
 
 def _small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ BUCKET = 250_000
 SMALL, OUTSIDE, INSIDE = 16, 256, 4096
 
 #: Bytes of texts hashed at a time; one text may be longer.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 #: Bits of the table by which tasks pass over documents that no pair needs.
 BITS = 1 << 25
 
@@ -152,6 +152,17 @@ def _joined(found: pa.Table, column: str, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found.column(column)])
 
 
+def repeated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that occur more than once, and how often; h is sorted where it lies."""
+    h.sort()
+    same = h[1:] == h[:-1]
+    first, last = same.copy(), same.copy()
+    first[1:] &= ~same[:-1]
+    last[:-1] &= ~same[1:]
+    at = np.flatnonzero(first)
+    return h[at], np.flatnonzero(last) + 2 - at
+
+
 def crowded_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of the most crowded shingles of all documents.
 
@@ -163,11 +174,10 @@ def crowded_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            h = np.sort(np.concatenate(held))
+            h = np.concatenate(held)
             held.clear()
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            n = np.diff(np.append(at, len(h)))
-            return pa.RecordBatch.from_arrays([pa.array(h[at][n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+            h, n = repeated(h)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
         size = 0
         for b in batches:
@@ -235,6 +245,28 @@ def _pairs(found: DataFrame, percent: int) -> DataFrame:
     return named.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least - behind).drop("shared")
 
 
+def place(key: Column) -> tuple[Column, Column]:
+    """The row and the bit in it that stand for a key in the table of BITS."""
+    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
+    return F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+
+
+def bits_of(rows: DataFrame, column: str) -> np.ndarray:
+    """The table of BITS with those of the column's keys set; a set bit may stand for other keys, too."""
+    k, at = place(F.col(column))
+    held = rows.groupBy(k.alias("k")).agg(F.bitmap_construct_agg(at).alias("bits")).collect()
+    size = len(held[0].bits) if held else 1
+    bits = np.zeros((BITS // (size * 8) + 2, size), np.uint8)
+    for r in held:
+        bits[r.k] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def is_set(bits: np.ndarray, k: pa.Array, at: pa.Array) -> np.ndarray:
+    at = at.to_numpy()
+    return (bits[k.to_numpy(), at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)
+
+
 class Join:
     """The steps of one join; tables are written as they are made."""
 
@@ -396,22 +428,15 @@ class Join:
     def segments(self, nodes: DataFrame) -> DataFrame:
         """Rows (node, fragment, segment) of the whole sets of these nodes, made anew from one text of each."""
         words = self.words
-        bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-        held = nodes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-        size = len(held[0].bits) if held else 1
-        bits = np.zeros((BITS // (size * 8) + 2, size), np.uint8)
-        for r in held:
-            bits[r.k] = np.frombuffer(r.bits, np.uint8)
-        bits = self.spark.sparkContext.broadcast(bits)
-        numbered = self.docs.where("doc_id is not null").select("text", F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at"))
+        bits = self.spark.sparkContext.broadcast(bits_of(nodes, "doc_id"))
+        numbered = self.docs.where("doc_id is not null").select("text", *[c.alias(n) for c, n in zip(place(F.col("doc_id")), ("k", "at"), strict=True)])
         share = np.uint64(2**64 // FRAGMENTS)
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
             for whole in batches:
-                k, at = whole.column("k").to_numpy(), whole.column("at").to_numpy()
-                wanted = np.flatnonzero(bits.value[k, at // 8] >> (at % 8).astype(np.uint8) & 1)
+                wanted = np.flatnonzero(is_set(bits.value, whole.column("k"), whole.column("at")))
                 for i in range(0, len(wanted), 500):
                     node, fragment, segment = [], [], []
                     for s in filter(len, shingle_sets(whole.column("text").take(pa.array(wanted[i : i + 500])), words)):
@@ -517,12 +542,22 @@ def keep_one_per_group(
     require_columns(docs, id_col, text_col)
     found = stored(Join(docs, id_col, text_col, words, percent).surplus(), "surplus")
     # An id with one row is decided by the id alone. The texts of other ids are hashed once more.
+    # A table of bits tells most other documents, which stay and need not travel.
     drop = found.where("all = 1 and not stands").select(F.col("doc_id").alias("__id"))
     several = found.where("all > 1").select(F.col("doc_id").alias("__id")).distinct()
+    judged = drop.unionByName(several)
+    bits = docs.sparkSession.sparkContext.broadcast(bits_of(judged, "__id"))
+
+    @F.arrow_udf("boolean")
+    def named(k: pa.Array, at: pa.Array) -> pa.Array:
+        return pa.array(is_set(bits.value, k, at))
+
+    is_named = named(*place(docs[id_col]))
+    near = docs.where(is_named)
     same = docs[id_col] == F.col("__id")
-    single = docs.join(drop.unionByName(several), same, "left_anti")
+    single = docs.where(~is_named).unionByName(near.join(judged, same, "left_anti"))
     number = F.monotonically_increasing_id()
-    repeated = stored(docs.join(several, same, "left_semi").withColumn("__row", number), "repeated-ids")
+    repeated = stored(near.join(several, same, "left_semi").withColumn("__row", number), "repeated-ids")
     marked = stored(_with_node(repeated, text_col, words), "repeated-ids-with-sets")
     stands = found.where("all > 1 and stands").select(F.col("doc_id").alias("__id"), F.col("node").alias("__set"))
     mine = (marked[id_col] == F.col("__id")) & (marked["__node"] == F.col("__set"))

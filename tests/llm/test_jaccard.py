@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -160,3 +161,32 @@ def test_links_of_several_fragments(spark):
     words = [f"w{i}" for i in range(90)]
     rows = [(1, " ".join(words)), (2, " ".join([*words[:44], "x", *words[45:]])), (3, " ".join(reversed(words))), (4, " ".join(words[:40]))]
     assert found(jaccard.jaccard_components(docs(spark, rows))) == brute(rows)
+
+
+def test_ids_that_share_a_bit_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BITS", 2)
+    text = [" ".join(f"{x}{i}" for i in range(30)) for x in "abcd"]
+    rows = [(1, text[0]), (2, text[0]), (3, text[1]), (4, text[2]), (4, text[3]), (5, text[3]), (None, text[0]), (6, "")]
+    kept = jaccard.keep_one_per_group(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in [rows[0], *rows[2:5], *rows[6:]])
+
+
+def test_sets_are_made_in_little_memory():
+    import pyarrow as pa
+
+    def peak(f):
+        tracemalloc.start()
+        f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    r = random.Random(1)
+    texts = pa.array([" ".join(str(r.randrange(1000)) for _ in range(500)) for _ in range(1000)])
+    assert peak(lambda: [len(s) for s in jaccard.shingle_sets(texts)]) < 20e6  # 2 MB of texts
+    h = jaccard.np.random.default_rng(1).integers(0, 1 << 19, 1 << 20).astype(jaccard.np.uint64)
+    want = {k: n for k, n in Counter(h.tolist()).items() if n > 1}
+    got = []
+    assert peak(lambda: got.append(jaccard.repeated(h))) < 2 * h.nbytes
+    assert dict(zip(got[0][0].tolist(), got[0][1].tolist(), strict=True)) == want
+    assert [len(x) for x in jaccard.repeated(h[:0].copy())] == [0, 0] and len(jaccard.repeated(h[:1].copy())[0]) == 0
