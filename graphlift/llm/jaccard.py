@@ -15,7 +15,7 @@ Hashes are 64 bits wide, of words, shingles and sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, require_columns, stored
+from .common import discard, forget, give_back, release, require_columns, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -163,6 +163,22 @@ def repeated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], np.flatnonzero(last) + 2 - at
 
 
+def repeated_in_blocks(sets: Iterable[np.ndarray], block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What is repeated among each so many hashes of the sets, in memory for one block; a set may be cut by its end."""
+    held, size = np.empty(block, np.uint64), 0
+    for found in sets:
+        at = 0
+        while at < len(found):
+            part = found[at : at + block - size]
+            held[size : size + len(part)] = part
+            size, at = size + len(part), at + len(part)
+            if size == block:
+                yield repeated(held)
+                size = 0
+    if size:
+        yield repeated(held[:size])
+
+
 def crowded_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of the most crowded shingles of all documents.
 
@@ -171,25 +187,10 @@ def crowded_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            h = np.concatenate(held)
-            held.clear()
-            h, n = repeated(h)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-        size = 0
-        for b in batches:
-            for found in shingle_sets(b.column("text"), words):
-                if len(found):
-                    held.append(found)
-                    size += len(found)
-                if size >= BLOCK:
-                    size = 0
-                    yield flush()
-        if held:
-            yield flush()
+        forget()
+        for h, n in repeated_in_blocks((found for b in batches for found in shingle_sets(b.column("text"), words)), BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+        give_back()
 
     counts = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWDED)
     most = counts.orderBy(F.desc("n"), "h").limit(KNOWN).toArrow()
@@ -285,6 +286,7 @@ class Join:
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
+            forget()
             for whole in batches:
                 for k in range(0, whole.num_rows, 1000):
                     b = whole.slice(k, 1000)
@@ -296,6 +298,7 @@ class Join:
                         [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(rare, pa.list_(pa.int64()))],
                         ["doc_id", "n", "node", "rare"],
                     )
+            give_back()
 
         return stored(self.docs.mapInArrow(make, f"doc_id {self.id_type}, n long, node long, rare array<long>"), "shingle-sets")
 
@@ -449,6 +452,7 @@ class Join:
                                 fragment.append(f)
                                 segment.append(s[a:b].view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(segment, pa.list_(pa.int64()))], ["node", "fragment", "segment"])
+            give_back()
 
         made = numbered.mapInArrow(make, "node long, fragment int, segment array<long>")
         return made.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node", "fragment"])

@@ -115,8 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     if not counts.get(1) or not counts.get(0):
         return Model(b"", b"", (30.0 if counts.get(1) else -30.0, 0.0, 0.0))
     by = F.xxhash64("doc_id")
-    chosen = [r for c in (0, 1) for r in _least(known.where(F.col("toxic") == c), by, sample, counts[c]).withColumn("part", F.pmod(by, F.lit(3))).collect()]
-    picked = F.broadcast(spark.createDataFrame(chosen, known.withColumn("part", F.pmod(by, F.lit(3))).schema))
+    chosen = [_least(known.where(F.col("toxic") == c), by, sample, counts[c]).withColumn("part", F.pmod(by, F.lit(3))).toArrow() for c in (0, 1)]
+    # As an Arrow table: rows would start Python's RDD workers, whose parent process stays on every executor.
+    picked = F.broadcast(spark.createDataFrame(pa.concat_tables(chosen)))
     rows = docs.where("text is not null").join(picked, "doc_id").select("toxic", "part", "text").cache()
     words = rows.where("part <> 0").select("toxic", F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "").alias("w"))
     places = words.select("toxic", F.explode(F.arrays_zip(F.col("w").alias("word"), F.expr("array_append(slice(w, 2, size(w)), '')").alias("next"), F.expr("array_prepend(slice(w, 1, greatest(size(w) - 1, 0)), '')").alias("last"))).alias("x"))

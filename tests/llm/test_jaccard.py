@@ -190,3 +190,51 @@ def test_sets_are_made_in_little_memory():
     assert peak(lambda: got.append(jaccard.repeated(h))) < 2 * h.nbytes
     assert dict(zip(got[0][0].tolist(), got[0][1].tolist(), strict=True)) == want
     assert [len(x) for x in jaccard.repeated(h[:0].copy())] == [0, 0] and len(jaccard.repeated(h[:1].copy())[0]) == 0
+
+
+def test_blocks_of_shingles_are_counted_in_the_memory_of_one():
+    np = jaccard.np
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 14, 2000).astype(np.uint64)) for i in range(300)]
+    block, whole = 1 << 17, np.concatenate(sets)
+    want = [Counter(whole[k : k + block].tolist()) for k in range(0, len(whole), block)]
+    tracemalloc.start()
+    got = [dict(zip(h.tolist(), n.tolist(), strict=True)) for h, n in jaccard.repeated_in_blocks(iter(sets[:5] * 80), block)][-1:]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got and most < 8 * block * 8
+    got = [dict(zip(h.tolist(), n.tolist(), strict=True)) for h, n in jaccard.repeated_in_blocks(iter(sets), block)]
+    assert got == [{h: n for h, n in c.items() if n > 1} for c in want]
+    assert list(jaccard.repeated_in_blocks(iter([]), block)) == [] and len(list(jaccard.repeated_in_blocks(iter([sets[0]]), 100))) == -(-len(sets[0]) // 100)
+
+
+def test_a_worker_forgets_what_an_earlier_stage_loaded():
+    import pyarrow as pa
+
+    class Ran(Exception):
+        pass
+
+    class Worker:
+        def mapInArrow(self, f, schema):
+            self.out = [b.to_pydict() for b in f(iter([pa.RecordBatch.from_pydict({"text": ["a b c d e f", "a b c d e g"]})]))]
+            raise Ran
+
+    made = []
+    load = lambda k: made.append(k) or [k]
+    assert common.kept(load, 1) is common.kept(load, 1) and made == [1]
+    common.kept(load, 2)
+    assert len(common._kept) == 1 and made == [1, 2]
+    worker = Worker()
+    with pytest.raises(Ran):
+        jaccard.crowded_shingles(worker, 5)
+    assert not common._kept and [b["n"] for b in worker.out] == [[2]]
+
+
+def test_packing_leaves_one_encoder_to_the_worker():
+    import public_tokenizers
+    from graphlift.llm import packing
+
+    path = public_tokenizers.path(queries.VOCABULARY)
+    assert not hasattr(packing.encoder, "cache_info")  # a cache of its own would outlive the stage
+    assert common.kept(packing.encoder, path, True) is common.kept(packing.encoder, path, True)
+    common.forget()
+    assert not common._kept

@@ -159,3 +159,14 @@ def test_least_rows_are_the_same_with_and_without_the_bound(spark):
     want = [r.doc_id for r in rows.orderBy(by, "doc_id").limit(500).collect()]
     assert [r.doc_id for r in toxicity._least(rows, by, 500, 20_000).collect()] == want
     assert [r.doc_id for r in toxicity._least(rows, by, 500, 10**9).collect()] == want  # a wrong count bounds too low: all rows are looked at
+
+
+def test_training_starts_no_rdd_workers(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("rows through an RDD")
+
+    rows = [(i, ("you vile rotten fool " if i % 2 else "a calm and pleasant day ") * 5 + str(i)) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert toxicity.train(d, labels).toxic
